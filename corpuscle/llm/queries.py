@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from .ann import nearest
 from .bpe import encode_table
 from .common import table
 from .exact_dedup import exact_groups
+from .html_text import extract
 from .secrets import scan
 from .token_ids import token_id_table
+from .toxicity import toxicity
 from .warc import archived_pages
 
 
@@ -20,10 +22,22 @@ def tokenizer_path(spark: SparkSession) -> str:
     return spark.conf.get("corpuscle.tokenizer", None) or public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_id_table(table(spark, sf_dir, "documents"), tokenizer_path(spark))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -40,7 +54,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_table(table(spark, sf_dir, "documents"), tokenizer_path(spark))
 
 
-QUERIES = {f.__name__: f for f in (op5_token_ids, op7_exact_dedup, op8_warc, op9_secrets, op10_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op1_ann, op3_html_text, op5_token_ids, op6_toxicity, op7_exact_dedup, op8_warc, op9_secrets, op10_bpe_codec)}
 
 SQL = {
     "op7_exact_dedup": """
