@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +15,9 @@ from pyspark.sql.types import LongType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; texts go to Python in batches small enough for any mix of lengths."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -46,3 +53,26 @@ def only(df: DataFrame, *names: str) -> DataFrame:
 def keyed(df: DataFrame, column: str) -> DataFrame:
     """Rows whose integer key is present, with the key as a long."""
     return df.withColumn(column, F.col(column).cast(LongType())).where(F.col(column).isNotNull())
+
+
+SALTS = 16
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
+    """A join on ``key`` in which the rows of one key of ``left`` go to SALTS tasks by ``spread``.
+
+    ``right``, which has few rows a key, is repeated for each salt.
+    """
+    left = left.withColumn("__salt", F.pmod(F.xxhash64(F.col(spread)), F.lit(SALTS)).cast("int"))
+    right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, [key, "__salt"], how).drop("__salt")
+
+
+def kept_in_worker(key: tuple, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, kept for the next task of the same Python worker; one thing at a time."""
+    slot = sys.modules.setdefault("_corpuscle_worker", types.ModuleType("_corpuscle_worker"))
+    if getattr(slot, "key", None) != key:
+        slot.key = slot.value = None
+        slot.value = make()
+        slot.key = key
+    return slot.value

@@ -9,6 +9,7 @@ from .bpe import encode_table
 from .common import table
 from .exact_dedup import exact_groups
 from .html_text import extract
+from .ngram_join import near_groups
 from .secrets import scan
 from .token_ids import token_id_table
 from .toxicity import toxicity
@@ -26,6 +27,10 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
@@ -54,7 +59,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_table(table(spark, sf_dir, "documents"), tokenizer_path(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_ann, op3_html_text, op5_token_ids, op6_toxicity, op7_exact_dedup, op8_warc, op9_secrets, op10_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op1_ann, op2_ngram_join, op3_html_text, op5_token_ids, op6_toxicity, op7_exact_dedup, op8_warc, op9_secrets, op10_bpe_codec)}
 
 SQL = {
     "op7_exact_dedup": """
