@@ -55,6 +55,16 @@ def keyed(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.col(column).cast(LongType())).where(F.col(column).isNotNull())
 
 
+FEW = 100_000  # ids up to this number are broadcast (under 2 MB), more are joined by shuffle
+
+
+def without(docs: DataFrame, gone: DataFrame, *names: str) -> DataFrame:
+    """``docs`` without the rows whose ``names`` are in ``gone``; null ids stay."""
+    gone = cut(gone.select(*[F.col(n).alias(f"__{n}") for n in names]).distinct(), "gone")
+    same = [docs[n] == gone[f"__{n}"] for n in names]
+    return docs.join(F.broadcast(gone) if gone.count() <= FEW else gone, same, "left_anti")
+
+
 SALTS = 16
 
 

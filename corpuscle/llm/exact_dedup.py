@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, without
 
 RUNS, FAN = 64, 8
 KEY = ["__digest", "__bytes", "__second"]
@@ -63,7 +63,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", largest: bool = True) -> DataFrame:
-    """``docs`` without the rows that another row with the same text replaces."""
-    gone = exact_groups(docs, id_col, text_col, largest).where(~F.col("kept")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+def drop_copies(docs: DataFrame, largest: bool = True) -> DataFrame:
+    """``docs`` (doc_id, text and others) without the rows that another row with the same text replaces."""
+    gone = exact_groups(docs, largest=largest).where(~F.col("kept")).select("doc_id", F.col("text_sha256").alias("__sha"))
+    marked = docs.withColumn("__sha", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    return without(marked, gone, "doc_id", "__sha").drop("__sha")

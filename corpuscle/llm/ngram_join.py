@@ -39,13 +39,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, kept_in_worker, salted_join
+from .common import FEW, cut, kept_in_worker, salted_join, without
 from .components import components
 from .exact_dedup import KEY, tree_keep
 
 N, PERCENT, BITS, CHUNKS = 5, 80, 20, 16
 SEEN, WORDS = 200_000, 300_000
-FEW = 100_000  # ids up to this number are broadcast (1 MB), more are joined by shuffle
 FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
@@ -271,6 +270,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return salted_join(groups, by_rep, "rep", "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id")).withColumnRenamed("doc_id", id_col)
 
 
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document (the least doc_id) of each component."""
+    gone = near_groups(docs).where("doc_id <> component_id").select("doc_id")
+    return without(docs, gone, "doc_id")
+
+
 def _linked(docs: DataFrame, reps: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     nodes = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct().join(reps, "k").select("doc_id", "k")
     return verified(pairs, sets_of(docs, nodes, n), percent)

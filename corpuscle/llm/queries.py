@@ -9,6 +9,7 @@ from .bpe import encode_table
 from .common import table
 from .exact_dedup import exact_groups
 from .html_text import extract
+from .mixing import mixture
 from .ngram_join import near_groups
 from .secrets import scan
 from .token_ids import token_id_table
@@ -35,6 +36,10 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(table(spark, sf_dir, "documents"))
+
+
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_id_table(table(spark, sf_dir, "documents"), tokenizer_path(spark))
 
@@ -59,9 +64,33 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_table(table(spark, sf_dir, "documents"), tokenizer_path(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_ngram_join, op3_html_text, op5_token_ids, op6_toxicity, op7_exact_dedup, op8_warc, op9_secrets, op10_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op1_ann, op2_ngram_join, op3_html_text, op4_mixing, op5_token_ids, op6_toxicity, op7_exact_dedup, op8_warc, op9_secrets, op10_bpe_codec)}
 
 SQL = {
+    "op4_mixing": r"""
+        WITH RECURSIVE d AS MATERIALIZED (
+            SELECT doc_id, source, coalesce(source, chr(0)) AS s, len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+')) AS n,
+                   md5('mix|' || coalesce(doc_id::VARCHAR, ''))[1:2] AS b FROM documents),
+        st AS MATERIALIZED (SELECT s, b, sum(n)::BIGINT AS t FROM d GROUP BY ALL),
+        so AS MATERIALIZED (SELECT s, sum(t)::BIGINT AS t FROM st GROUP BY s),
+        cut(i, lo, hi) AS (
+            SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+            UNION ALL
+            SELECT i + 1, CASE WHEN ok THEN lo ELSE (lo + hi) / 2 END, CASE WHEN ok THEN (lo + hi) / 2 ELSE hi END
+            FROM (SELECT i, lo, hi, (SELECT max(pow(t::DOUBLE, (lo + hi) / 2 - 1.0)) <= min(pow(t::DOUBLE, (lo + hi) / 2 - 1.0)) * 2.0 FROM so WHERE t > 0) AS ok
+                  FROM cut WHERE i < 28)),
+        al AS (SELECT CASE WHEN (SELECT count(*) FROM so WHERE t > 0) < 2 THEN 1.0
+                           WHEN (SELECT max(pow(t::DOUBLE, -1.0)) <= min(pow(t::DOUBLE, -1.0)) * 2.0 FROM so WHERE t > 0) THEN 0.0
+                           ELSE hi END AS a FROM cut WHERE i = 28),
+        x AS (SELECT s, t, CASE WHEN t > 0 THEN pow(t::DOUBLE, a - 1.0) END AS x FROM so, al),
+        r AS (SELECT s, t AS al, round(coalesce(x / (SELECT min(x) FROM x), 1.0), 6) AS rep FROM x),
+        e AS (SELECT st.s, st.b, st.t, al, rep, unnest(range(0, floor(rep)::INT + 1))::INT AS epoch FROM st JOIN r USING (s)),
+        p AS (SELECT *, row_number() OVER w AS block_rank, sum(t) OVER (w ROWS UNBOUNDED PRECEDING) AS upto
+              FROM (SELECT *, md5('mix|' || s || '|' || epoch || '|' || b) AS o FROM e) WINDOW w AS (PARTITION BY s, epoch ORDER BY o, b))
+        SELECT doc_id, source, n AS n_tokens, epoch, d.b AS block, block_rank::INT AS block_rank,
+               round((epoch + (block_rank - 1) / 256.0::DOUBLE) / rep, 6) AS schedule, rep AS repetition
+        FROM d JOIN p ON d.s = p.s AND d.b = p.b
+        WHERE epoch < floor(rep) OR (upto <= floor((rep - floor(rep)) * al) AND floor((rep - floor(rep)) * al) > 0)""",
     "op7_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
