@@ -32,10 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import kept_in_worker
+
 BITS, SAMPLE, STEPS, RATE, DECAY, SHRINK, LEAST_DOCS = 18, 3000, 120, 0.15, 1e-6, 0.15, 3
 SENTENCE = re.compile(r"[^.!?\n]+")
 EDGE = ".,;:!?\"'()[]{}<>*%&$#@-_=+~`|/\\"
-CACHE = 400_000
+CACHE = 200_000
 
 
 def features(piece: str) -> list[int]:
@@ -53,6 +55,9 @@ class Model:
     weights: np.ndarray
     bias: float
 
+    def key(self) -> tuple:
+        return "toxicity", zlib.crc32(self.weights.tobytes()), self.bias
+
     def word(self, piece: str) -> float:
         return float(sum(self.weights[f] for f in features(piece)))
 
@@ -167,10 +172,10 @@ def score_table(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     kind = dict(src.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(model)
+        words = kept_in_worker(model.key(), lambda: Words(model))
         for batch in batches:
             scores, starts, ends, counts = [], [], [], []
-            for text in batch.column(2).to_pylist():
+            for text in (t.as_py() for t in batch.column(2)):
                 s, parts = score(text, words, model.bias)
                 worst = max(parts, key=lambda x: (x[2], -x[0]), default=(None, None, 0.0))
                 scores.append(s)
@@ -191,9 +196,9 @@ def reject_toxic(docs: DataFrame, model: Model) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(model)
+        words = kept_in_worker(model.key(), lambda: Words(model))
         for batch in batches:
-            keep = [score(t, words, model.bias)[0] < 0.5 for t in batch.column(at).to_pylist()]
+            keep = [score(t, words, model.bias)[0] < 0.5 for t in (v.as_py() for v in batch.column(at))]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, kinds)
