@@ -10,15 +10,18 @@ Two documents link if ``100 * |x & y| >= PERCENT * |x | y|``.
 2. The matrix keeps, of each row, the first |x| - ceil(t |x|) + 1 entries of that
    order: linked rows share one of these.  Its columns (blocks) with one row are
    dropped.
-3. In each block every node meets three leaders (smallest, largest, and smallest by
-   hash).  Overlap counts are summed over blocks; pairs whose count is below the
-   bound that the two sizes imply wait.  The others are compared exactly and give
-   the first components: a group of n near copies costs O(n) comparisons.
+3. In each block every node meets two leaders: the one of which the largest part of
+   the kept entries is shared (the copy with the fewest changes of its own), and the
+   smallest by hash.  Overlap counts are summed over blocks; pairs whose count is
+   below the bound that the two sizes imply wait.  The others are compared exactly
+   and give the first components: a group of n near copies costs O(n) comparisons.
 4. Blocks that still hold several components are multiplied out across components.
-   A pair whose overlap count over all blocks is below
-   ceil(t / (1 + t) (|x| + |y|)) - ceil(t max(|x|, |y|)) + 1
-   cannot link and is discarded; the others are compared exactly.  So no link
-   between components is lost, and none inside them is needed.
+   With o = ceil(t / (1 + t) (|x| + |y|)), linked sets share a first entry whose
+   place is |x| - o or less in x and |y| - o or less in y, and share
+   o - ceil(t max(|x|, |y|)) + 1 kept entries or more.  A product whose places are
+   later, or whose entries before and after it leave too small a count, is
+   discarded; the pairs that remain are compared exactly.  So no link between
+   components is lost, and none inside them is needed.
 
 Bounds hold for any order of the shingles, so the sketch never changes a result.
 
@@ -148,7 +151,7 @@ def sizes_fit(x: Column, y: Column, percent: int) -> Column:
 
 
 def kept_entries(docs: DataFrame, sketch, n: int, percent: int) -> DataFrame:
-    """(s, k, n): the first entries of each set in the order of the shingles."""
+    """(s, k, n, place): the first entries of each set in the order of the shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts, seen = kept_in_worker(("hashes",), Hashes), sketch.value, set()
@@ -167,18 +170,17 @@ def kept_entries(docs: DataFrame, sketch, n: int, percent: int) -> DataFrame:
                 size = len(s)
                 keep = size - -(-percent * size // 100) + 1
                 c = counts[counter_of(s)].astype(np.int64)
-                if keep < size:
-                    edge = np.partition(c, keep - 1)[keep - 1]
-                    near = np.flatnonzero(c <= edge)  # s is sorted, so ties stay in order of hash
-                    s = s[near[np.argsort(c[near], kind="stable")[:keep]]]
+                near = np.flatnonzero(c <= np.partition(c, keep - 1)[keep - 1])
+                s = s[near[np.argsort(c[near], kind="stable")[:keep]]]  # s is sorted: ties stay in order of hash
                 out.append(s.view(np.int64))
                 keys.append(key)
                 sizes.append(size)
             if out:
                 lens = [len(o) for o in out]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.repeat(np.array(keys, np.int64), lens)), pa.array(np.repeat(np.array(sizes, np.int64), lens))], ["s", "k", "n"])
+                each = [pa.array(np.repeat(np.array(v, np.int64), lens)) for v in (keys, sizes)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), *each, pa.array(np.concatenate([np.arange(x, dtype=np.int64) for x in lens]))], ["s", "k", "n", "place"])
 
-    return docs.select("text").mapInArrow(run, "s long, k long, n long")
+    return docs.select("text").mapInArrow(run, "s long, k long, n long, place long")
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
@@ -234,18 +236,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = cut(tree_keep(meta.withColumns({KEY[0]: F.col("key"), KEY[1]: F.col("n_shingles"), KEY[2]: alone.cast("long")}), "doc_id", largest=False).select("doc_id", "n_shingles", "key", F.col("keep_id").alias("rep")), "groups")
     reps = groups.where("doc_id = rep AND n_shingles > 0").select("doc_id", F.col("key").alias("k")).distinct()
 
-    whole = Window.partitionBy("s")
-    entry = F.struct("k", "n")
+    whole, own = Window.partitionBy("s"), Window.partitionBy("k")
     entries = kept_entries(docs, spark.sparkContext.broadcast(sketch), n, percent)
     blocks = (
         entries.withColumn("before", F.lag("k").over(whole.orderBy("k")))
-        .withColumns({"lo": F.min(entry).over(whole), "hi": F.max(entry).over(whole), "mid": F.min(F.struct(F.xxhash64("k"), "k", "n")).over(whole)})
-        .where("lo.k <> hi.k AND NOT (before <=> k)")
-        .select("s", "k", "n", "lo", "hi", F.struct("mid.k", "mid.n").alias("mid"))
+        .withColumns({"lo": F.min("k").over(whole), "hi": F.max("k").over(whole)})
+        .where("lo <> hi AND NOT (before <=> k)")
+        .select("s", "k", "n", "place")
     )
-    blocks = cut(blocks, "blocks")
+    # rank: how many shared entries come no later; shared: all of them
+    blocks = cut(blocks.withColumns({"rank": F.row_number().over(own.orderBy("place")), "shared": F.count(F.lit(1)).over(own)}), "blocks")
 
-    leader = blocks.select("k", "n", F.posexplode(F.array("lo", "hi", "mid")).alias("role", "l")).where("l.k <> k").select("k", "n", "role", F.col("l.k").alias("lk"), F.col("l.n").alias("ln"))
+    part = F.col("shared") / (F.col("n") - at_least(F.col("n"), percent) + 1)
+    heads = {"first": F.min(F.struct(-part, "k", "n")).over(whole), "second": F.min(F.struct(F.xxhash64("k"), "k", "n")).over(whole)}
+    leader = blocks.withColumns(heads).select("k", "n", F.posexplode(F.array(F.struct("first.k", "first.n"), F.struct("second.k", "second.n"))).alias("role", "l"))
+    leader = leader.where("l.k <> k").select("k", "n", "role", F.col("l.k").alias("lk"), F.col("l.n").alias("ln"))
     met = leader.where(sizes_fit(F.col("n"), F.col("ln"), percent)).groupBy("k", "n", "role", "lk", "ln").agg(F.count(F.lit(1)).alias("c"))
     met = met.where(F.col("c") >= least_count(F.col("n"), F.col("ln"), percent))
     best = met.groupBy("k", "role").agg(F.max(F.struct("c", "lk")).alias("top")).select("k", F.col("top.lk").alias("l"))
@@ -253,12 +258,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = cut(_linked(docs, reps, first, n, percent), "links")
     found = cut(components(links), "components1")
 
-    labelled = blocks.select("s", "k", "n").join(found.select(F.col("node").alias("k"), "component"), "k", "left").withColumn("c", F.coalesce("component", "k"))
-    mixed = cut(labelled.withColumns({"least": F.min("c").over(whole), "most": F.max("c").over(whole)}).where("least <> most").select("s", "k", "n", "c"), "mixed")
+    labelled = blocks.join(found.select(F.col("node").alias("k"), "component"), "k", "left").withColumn("c", F.coalesce("component", "k")).drop("component")
+    mixed = cut(labelled.withColumns({"least": F.min("c").over(whole), "most": F.max("c").over(whole)}).where("least <> most").drop("least", "most"), "mixed")
     x, y = mixed.alias("x"), mixed.alias("y")
-    across = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.k") < F.col("y.k")) & (F.col("x.c") != F.col("y.c")) & sizes_fit(F.col("x.n"), F.col("y.n"), percent))
-    counted = across.groupBy(F.col("x.k").alias("a"), F.col("y.k").alias("b"), F.col("x.n").alias("xn"), F.col("y.n").alias("yn")).agg(F.count(F.lit(1)).alias("c"))
-    second = cut(counted.where(F.col("c") >= least_count(F.col("xn"), F.col("yn"), percent)).select("a", "b"), "second")
+    overlap = least_overlap(F.col("x.n"), F.col("y.n"), percent)
+    early = (F.col("x.place") <= F.col("x.n") - overlap) & (F.col("y.place") <= F.col("y.n") - overlap)
+    most = F.least("x.rank", "y.rank") + F.least(F.col("x.shared") - F.col("x.rank"), F.col("y.shared") - F.col("y.rank"))
+    fit = sizes_fit(F.col("x.n"), F.col("y.n"), percent) & early & (most >= least_count(F.col("x.n"), F.col("y.n"), percent))
+    across = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.k") < F.col("y.k")) & (F.col("x.c") != F.col("y.c")) & fit)
+    second = cut(across.select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct(), "second")
     if not second.isEmpty():
         links = cut(links.unionByName(_linked(docs, reps, second, n, percent)), "links2")
         found = cut(components(links), "components2")
