@@ -1,6 +1,8 @@
-"""Queries by name, with the SQL that checks them."""
+"""All queries by name, with the SQL that checks them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import search_queries  # noqa: F401
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
