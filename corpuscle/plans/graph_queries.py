@@ -255,7 +255,7 @@ def trace_depth2(spark, d):
     return G.trace(edges(spark, d), nodes(spark, d), "app/core/m1.py", 2)
 
 
-@query(f"{EDGES} SELECT 'imports' AS direction, target_symbol AS other FROM edges WHERE kind = 'IMPORTS' AND source_file = 'app/brands/m8.py' UNION ALL SELECT 'importers', source_file FROM edges WHERE kind = 'IMPORTS' AND target_symbol ILIKE '%brands.m9%'")
+@query(f"{EDGES} SELECT 'imports' AS direction, target_symbol AS other FROM edges WHERE kind = 'IMPORTS' AND source_file = 'app/brands/m9.py' UNION ALL SELECT 'importers', source_file FROM edges WHERE kind = 'IMPORTS' AND target_symbol ILIKE '%brands.m9%'")
 def trace_both(spark, d):
     e = edges(spark, d)
     out = e.where("kind = 'IMPORTS' AND source_file = 'app/brands/m9.py'").select(F.lit("imports").alias("direction"), F.col("target_symbol").alias("other"))
