@@ -33,6 +33,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import kept_in_worker
+
 # The pre-tokeniser's pattern of byte-level BPE files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 DIRECT = 256
@@ -66,7 +68,7 @@ class Recent(dict):
         if value is None:
             value = self.make(key)
         if len(self) >= self.limit:
-            self.old = dict(self)
+            self.old = self.copy()
             self.clear()
         if len(key) < 200:
             self[key] = value
@@ -260,7 +262,7 @@ def encode_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.select(*names).dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(path)
+        bpe = kept_in_worker(("bpe", path), lambda: Bpe(path))
         for batch in batches:
             got = [digest(bpe, t.as_py()) for t in batch.column(len(names))]
             yield pa.RecordBatch.from_arrays(
@@ -279,7 +281,7 @@ def encode_ids(docs: DataFrame, path: str, text_col: str = "text", out_col: str
     def run(series: Iterator) -> Iterator:
         import pandas as pd
 
-        bpe = Bpe(path)
+        bpe = kept_in_worker(("bpe", path), lambda: Bpe(path))
         for s in series:
             yield pd.Series([np.frombuffer(b"".join(bpe.encode(t)), "<u4").astype(np.int32) for t in s])
 
