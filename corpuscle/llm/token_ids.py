@@ -25,7 +25,8 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +35,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, scratch_dir
+from .common import cut, kept_in_worker, scratch_dir
 
 MAGIC = b"CRPT1\0\0\0"
-FILE_IDS = 1 << 22
-CACHE = 300_000
+FILE_IDS = 1 << 20
+CACHE = 200_000
+GROUP = 64
 TAILS = tuple(",.;:!?")
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + np.uint8(1)
 
@@ -95,32 +97,15 @@ def from_file(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if z else int(i) for i, z in zip(ids, null, strict=True)], sizes.astype(np.int64), values
 
 
-class Words(dict):
-    """Pieces seen lately, in two generations; what both lack is encoded alone."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode, self.old = encode, {}
-
-    def __missing__(self, piece: str) -> bytes:
-        value = self.old.get(piece)
-        self[piece] = value = self.encode(" " + piece) if value is None else value
-        return value
-
-    def room(self, n: int) -> None:
-        if len(self) + n > CACHE:
-            self.old = dict(self)
-            self.clear()
-
-
 class LibraryEncoder:
     """The tokenizers library behind a cache of words.
 
     A text in which a space never precedes white space falls, before each space,
     into pieces that the library tokenises independently of each other; so does
-    one after a letter, before a last mark of ``TAILS``.  Pieces
-    not seen lately are joined into one text for the library, whose ids are cut
-    again at the pieces' ends.  Other texts go to the library whole.
+    one after a letter, before a last mark of ``TAILS``.  Pieces not seen lately
+    are joined into one text for the library, whose ids are cut again at the
+    pieces' ends.  Other texts go to the library whole.  The cache has two
+    generations, the older of which is dropped when the younger is full.
     """
 
     def __init__(self, path: str):
@@ -135,40 +120,64 @@ class LibraryEncoder:
         for t, i in vocab.items():  # a byte-level file shows each byte by one character
             self.size[i] = len(added[i].encode()) if i in added else len(t)
         self.marks, self.odd = tuple(added.values()), re.compile(r" \s| \Z")
-        self.words = Words(self.whole)
+        self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.tails = {t: self.whole(t) for t in TAILS}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            if self.odd.search(text) or any(m in text for m in self.marks):
-                yield self.whole(text)
-                continue
-            first, *rest = text.split(" ")
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of each text, as little-endian 32-bit integers; GROUP texts share a call of the library."""
+        texts = iter(texts)
+        while taken := list(islice(texts, GROUP)):
+            group, lack = [], set()
+            if len(self.words) > CACHE:
+                self.old, self.words = self.words, {}
             words = self.words
-            if lack := [p for p in dict.fromkeys(rest) if p not in words and p not in words.old]:
-                words.room(2 * len(rest))
-                ends = [p for p in lack if p[-1:] in TAILS and p[-2:-1].isalpha()]
-                stems = dict.fromkeys(p[:-1] for p in ends) | dict.fromkeys(p for p in lack if not (p[-1:] in TAILS and p[-2:-1].isalpha()))
-                new = [p for p in stems if p not in words and p not in words.old]
-                ids = np.array(self.tokenizer.encode(" " + " ".join(new) if new else "", add_special_tokens=False).ids, "<u4")
-                cuts = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([1 + len(p.encode()) for p in new])) + 1
-                raw, at = ids.tobytes(), 0
-                for p, end in zip(new, (4 * cuts).tolist(), strict=True):
-                    words[p] = raw[at:end]
-                    at = end
-                for p in ends:
-                    words[p] = words[p[:-1]] + self.tails[p[-1]]
-            yield (self.whole(first) if first else b"") + b"".join(map(words.__getitem__, rest))
+            for text in taken:
+                if self.odd.search(text) or any(m in text for m in self.marks):
+                    group.append((text, None))
+                else:
+                    first, *rest = text.split(" ")
+                    lack |= set(rest).difference(words)
+                    group.append((first, rest))
+            self._learn(lack)
+            get = words.__getitem__
+            for first, rest in group:
+                head = self.whole(first) if first else b""
+                yield head if rest is None else head + b"".join(map(get, rest))
+
+    def _learn(self, lack: set[str]) -> None:
+        words, old, tails = self.words, self.old, self.tails
+        new, ends = set(), []
+        for p in lack:
+            got = old.get(p)
+            if got is not None:
+                words[p] = got
+            elif p[-1:] in tails and p[-2:-1].isalpha():
+                ends.append(p)
+                new.add(p[:-1])
+            else:
+                new.add(p)
+        pieces = [p for p in new if p not in words]
+        for p in [p for p in pieces if p in old]:
+            words[p] = old[p]
+        pieces = [p for p in pieces if p not in words]
+        if pieces:
+            ids = np.array(self.tokenizer.encode(" " + " ".join(pieces), add_special_tokens=False).ids, "<u4")
+            cuts = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([1 + len(p.encode()) for p in pieces])) + 1
+            raw, stops = ids.tobytes(), (4 * cuts).tolist()
+            words.update(zip(pieces, map(raw.__getitem__, map(slice, [0, *stops], stops)), strict=True))
+        for p in ends:
+            words[p] = words[p[:-1]] + tails[p[-1]]
 
 
 def write_files(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
     """Writes the files; returns file, part, seq, docs and ids of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq = LibraryEncoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, seq = kept_in_worker(("library", path), lambda: LibraryEncoder(path)), TaskContext.get().partitionId(), 0
         store, root = pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder.removeprefix("file:"))
         store.create_dir(root, recursive=True)
         names: list[int | None] = []
@@ -190,7 +199,8 @@ def write_files(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id",
 
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for key, raw in zip(keys, encoder.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+            texts = (t.as_py() or "" for t in batch.column(1))
+            for key, raw in zip(keys, encoder.encode(texts), strict=True):
                 names.append(key)
                 arrays.append(np.frombuffer(raw + end, "<u4"))
                 held += len(arrays[-1])
