@@ -22,6 +22,7 @@ text.  An empty table writes no file.  Extra columns are left out.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -39,7 +40,7 @@ from .common import cut, kept_in_worker, scratch_dir
 
 MAGIC = b"CRPT1\0\0\0"
 FILE_IDS = 1 << 20
-CACHE = 200_000
+CACHE = 450_000
 GROUP = 64
 TAILS = tuple(",.;:!?")
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + np.uint8(1)
@@ -111,6 +112,7 @@ class LibraryEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -125,7 +127,10 @@ class LibraryEncoder:
         self.tails = {t: self.whole(t) for t in TAILS}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self._ids(text).tobytes()
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text, as little-endian 32-bit integers; GROUP texts share a call of the library."""
@@ -165,7 +170,7 @@ class LibraryEncoder:
             words[p] = old[p]
         pieces = [p for p in pieces if p not in words]
         if pieces:
-            ids = np.array(self.tokenizer.encode(" " + " ".join(pieces), add_special_tokens=False).ids, "<u4")
+            ids = self._ids(" " + " ".join(pieces))
             cuts = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([1 + len(p.encode()) for p in pieces])) + 1
             raw, stops = ids.tobytes(), (4 * cuts).tolist()
             words.update(zip(pieces, map(raw.__getitem__, map(slice, [0, *stops], stops)), strict=True))
