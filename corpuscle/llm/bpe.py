@@ -274,9 +274,7 @@ def encode_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
 
 def encode_ids(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "token_ids") -> DataFrame:
-    """All columns of ``docs`` and, as an array of ints, the ids of the text."""
-    if out_col in docs.columns:
-        raise ValueError(f"the input already has a column {out_col}")
+    """All columns of ``docs`` and, as an array of ints, the ids of the text; a column ``out_col`` is replaced."""
 
     def run(series: Iterator) -> Iterator:
         import pandas as pd

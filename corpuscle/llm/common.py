@@ -9,9 +9,8 @@ import uuid
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,23 +44,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def only(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns alone, so that extra columns cannot clash with ours."""
-    return df.select(*[df[n] for n in names])
-
-
-def keyed(df: DataFrame, column: str) -> DataFrame:
-    """Rows whose integer key is present, with the key as a long."""
-    return df.withColumn(column, F.col(column).cast(LongType())).where(F.col(column).isNotNull())
-
-
 FEW = 100_000  # ids up to this number are broadcast (under 2 MB), more are joined by shuffle
 
 
-def without(docs: DataFrame, gone: DataFrame, *names: str) -> DataFrame:
-    """``docs`` without the rows whose ``names`` are in ``gone``; null ids stay."""
-    gone = cut(gone.select(*[F.col(n).alias(f"__{n}") for n in names]).distinct(), "gone")
-    same = [docs[n] == gone[f"__{n}"] for n in names]
+def without(docs: DataFrame, gone: DataFrame, **keys: Column) -> DataFrame:
+    """``docs`` without the rows whose keys, expressions over ``docs``, are a row of ``gone``; null keys stay."""
+    gone = cut(gone.select(*[F.col(n).alias(f"__gone_{n}") for n in keys]).distinct(), "gone")
+    same = [expression == gone[f"__gone_{n}"] for n, expression in keys.items()]
     return docs.join(F.broadcast(gone) if gone.count() <= FEW else gone, same, "left_anti")
 
 

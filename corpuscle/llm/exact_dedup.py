@@ -65,6 +65,5 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, largest: bool = True) -> DataFrame:
     """``docs`` (doc_id, text and others) without the rows that another row with the same text replaces."""
-    gone = exact_groups(docs, largest=largest).where(~F.col("kept")).select("doc_id", F.col("text_sha256").alias("__sha"))
-    marked = docs.withColumn("__sha", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    return without(marked, gone, "doc_id", "__sha").drop("__sha")
+    gone = exact_groups(docs, largest=largest).where(~F.col("kept"))
+    return without(docs, gone, doc_id=docs["doc_id"], text_sha256=F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256))

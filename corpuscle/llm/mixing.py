@@ -39,9 +39,9 @@ def n_words(text: Column) -> Column:
 
 
 def blocked(docs: DataFrame) -> DataFrame:
-    """``docs`` with __source, __block and __tokens."""
+    """doc (a struct of the row), __source, __block and __tokens."""
     block = F.substring(F.md5(F.concat(F.lit(SEED + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")), 1, DIGITS)
-    return docs.withColumns({"__source": F.coalesce("source", F.lit(NO_SOURCE)), "__block": block, "__tokens": n_words(F.col("text"))})
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.coalesce("source", F.lit(NO_SOURCE)).alias("__source"), block.alias("__block"), n_words(F.col("text")).alias("__tokens"))
 
 
 def bisect(sources: DataFrame, max_repetition: float | None, target_entropy: float | None) -> float:
@@ -89,7 +89,7 @@ def plan(stats: DataFrame, max_repetition: float | None = 2.0, target_entropy: f
 
 
 def mixed(docs: DataFrame, max_repetition: float | None = 2.0, target_entropy: float | None = None) -> DataFrame:
-    """All columns of ``docs``, a row for each reading, with epoch, block_rank, schedule, repetition and __ columns."""
+    """doc and __ columns with epoch, block_rank, schedule and repetition: a row for each reading."""
     rows = blocked(docs)
     stats = cut(rows.groupBy("__source", "__block").agg(F.sum("__tokens").alias("tokens")), "stats")
     steps = cut(plan(stats, max_repetition, target_entropy), "plan")
@@ -100,12 +100,9 @@ def mixed(docs: DataFrame, max_repetition: float | None = 2.0, target_entropy: f
 def mixture(docs: DataFrame, max_repetition: float | None = 2.0, target_entropy: float | None = None) -> DataFrame:
     """doc_id, source, n_tokens, epoch, block, block_rank, schedule and repetition of every reading."""
     rows = mixed(docs.select("doc_id", "source", "text"), max_repetition, target_entropy)
-    return rows.select("doc_id", "source", F.col("__tokens").alias("n_tokens"), "epoch", F.col("__block").alias("block"), "block_rank", "schedule", "repetition")
+    return rows.select("doc.doc_id", "doc.source", F.col("__tokens").alias("n_tokens"), "epoch", F.col("__block").alias("block"), "block_rank", "schedule", "repetition")
 
 
 def mix(docs: DataFrame, max_repetition: float | None = 2.0, target_entropy: float | None = None) -> DataFrame:
     """``docs`` with each row as often as its source's weight asks for."""
-    for name in ("epoch", "block_rank", "schedule", "repetition"):
-        if name in docs.columns:
-            raise ValueError(f"the input has a column {name}")
-    return mixed(docs, max_repetition, target_entropy).select(*docs.columns)
+    return mixed(docs, max_repetition, target_entropy).select("doc.*")

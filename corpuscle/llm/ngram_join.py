@@ -272,16 +272,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         found = cut(components(links), "components2")
 
     # components of keys become components of documents
-    named = found.join(reps.withColumnRenamed("k", "node"), "node").select(F.col("doc_id").alias("rep"), "component")
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_rep = salted_join(named, least, "component", "rep").select("rep", "component_id")
-    return salted_join(groups, by_rep, "rep", "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id")).withColumnRenamed("doc_id", id_col)
+    least = reps.groupBy("k").agg(F.min("doc_id").alias("doc_id"))
+    named = found.withColumnRenamed("node", "key").join(least.withColumnRenamed("k", "key"), "key")
+    first_of = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    by_key = salted_join(named, first_of, "component", "key").select("key", "component_id")
+    rows = salted_join(groups, by_key, "key", "doc_id", "left")
+    return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id")).withColumnRenamed("doc_id", id_col)
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one document (the least doc_id) of each component."""
     gone = near_groups(docs).where("doc_id <> component_id").select("doc_id")
-    return without(docs, gone, "doc_id")
+    return without(docs, gone, doc_id=docs["doc_id"])
 
 
 def _linked(docs: DataFrame, reps: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:

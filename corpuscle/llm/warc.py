@@ -14,8 +14,8 @@ store that Spark writes to and are committed once, whichever executors are lost.
 ``read_archive`` parses the files by their declared lengths.
 
 Null payloads count as empty.  Of records with equal payloads of ``least`` bytes or
-more, the one with the largest key is a response and the others revisit it; those
-with a null key come last.  Repeated rows give repeated records.  An empty table
+more, the one with the largest key is a response and the others revisit it; one
+without a key is always a response.  Repeated rows give repeated records.  An empty table
 gives an empty archive.  Extra columns are left out.
 """
 
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import scratch_dir
-from .exact_dedup import digest_key, tree_keep
+from .exact_dedup import KEY, digest_key, tree_keep
 
 # Field names of the two versions of ARC record lines.
 ARC_V1 = ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"]
@@ -160,8 +160,8 @@ def archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str
     long_enough = F.octet_length(html) >= least
     rows = pages.select(F.col(id_col).cast("long").alias("key"), *digest_key(html, F.unhex(F.sha1(html.cast("binary")))), long_enough.alias("long_enough"))
     rows = tree_keep(rows, "key")
-    refers = rows.where("long_enough AND NOT (key <=> keep_id)").select("key", F.col("keep_id").alias("refers_to")).distinct()
-    src = pages.select(F.col(id_col).cast("long").alias("key"), F.col(url_col).alias("url"), html.alias("html"))
+    refers = rows.where("long_enough AND NOT (key <=> keep_id)").select("key", KEY[2], F.col("keep_id").alias("refers_to")).distinct()
+    src = pages.select(F.col(id_col).cast("long").alias("key"), F.col(url_col).alias("url"), html.alias("html"), F.xxhash64(html).alias(KEY[2]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,7 +172,7 @@ def archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str
                 out.append(to_warc(record, "" if key is None else str(key), None if refers_to is None else str(refers_to)).decode())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
-    joined = src.join(refers, "key", "left").select("key", "url", "html", "refers_to")
+    joined = src.join(refers, ["key", KEY[2]], "left").select("key", "url", "html", "refers_to")
     joined.mapInArrow(run, "value string").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", 4000).text(folder)
 
 
