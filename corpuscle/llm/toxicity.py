@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -72,24 +73,30 @@ def fit(texts: list[str | None], toxic: list[int], share: float) -> Model:
     if not y.any() or y.all():
         return Model(np.zeros(1 << BITS, np.float32), -np.inf)
     vocabulary: dict[str, int] = {}
-    words, sentence_of, doc_of = [], [], []
+    words, sentence_of, doc_of = array("i"), array("i"), array("i")
     for d, text in enumerate(texts):
         for s in SENTENCE.findall(text or ""):
             got = [vocabulary.setdefault(p, len(vocabulary)) for p in s.split()]
-            words.append(np.array(got, np.int32))
+            words.extend(got)
             sentence_of.append(len(got))
             doc_of.append(d)
-    if not vocabulary:
+    if not words:
         return Model(np.zeros(1 << BITS, np.float32), -np.inf)
-    word = np.concatenate(words)
-    sentence = np.repeat(np.arange(len(sentence_of)), sentence_of)
-    doc = np.array(doc_of)
-    per_word = [features(p) for p in vocabulary]
-    owner = np.repeat(np.arange(len(per_word)), [len(f) for f in per_word])
-    bucket = np.array([b for f in per_word for b in f], np.int64)
+    word, doc = np.frombuffer(words, np.int32), np.frombuffer(doc_of, np.int32)
+    sentence = np.repeat(np.arange(len(sentence_of), dtype=np.int32), np.frombuffer(sentence_of, np.int32))
+    n_words, owners, buckets = len(vocabulary), array("i"), array("i")
+    for i, p in enumerate(vocabulary):
+        found = features(p)
+        owners.extend([i] * len(found))
+        buckets.extend(found)
+    del vocabulary
+    owner, bucket = np.frombuffer(owners, np.int32), np.frombuffer(buckets, np.int32)
     # features of fewer than LEAST_DOCS documents are not learnt
-    seen = np.unique(np.stack([doc[sentence], word]), axis=1)
-    pairs = np.bincount(seen[1], minlength=len(per_word))
+    seen = doc[sentence].astype(np.int64) * n_words + word
+    seen.sort()
+    seen = seen[np.concatenate([[True], seen[1:] != seen[:-1]])]
+    pairs = np.bincount(seen % n_words, minlength=n_words)
+    del seen
     support = np.bincount(bucket, pairs[owner], 1 << BITS)
     learnt = (support >= LEAST_DOCS)[bucket]
     owner, bucket = owner[learnt], bucket[learnt]
@@ -98,12 +105,12 @@ def fit(texts: list[str | None], toxic: list[int], share: float) -> Model:
     weight = np.where(y, share / y.mean(), (1 - share) / (1 - y.mean())) / len(y)
     n_sent, n_doc = len(sentence_of), len(y)
     for step in range(1, STEPS + 1):
-        value = np.bincount(owner, w[bucket], len(per_word))
+        value = np.bincount(owner, w[bucket], n_words)
         z = np.bincount(sentence, value[word], n_sent) + b
         total = np.bincount(doc, softplus(z), n_doc)
         slope = np.where(y, -1 / np.expm1(np.clip(total, 1e-9, 50)), 1.0) * weight
         gz = slope[doc] / (1 + np.exp(-np.clip(z, -50, 50)))
-        gword = np.bincount(word, gz[sentence], len(per_word))
+        gword = np.bincount(word, gz[sentence], n_words)
         g = np.bincount(bucket, gword[owner], len(w)) + DECAY * w
         gb = gz.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
