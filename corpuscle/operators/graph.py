@@ -24,13 +24,17 @@ def substring_join(left: DataFrame, right: DataFrame, needle: str, hay: str) ->
         pairs = hays.join(F.broadcast(needles), F.contains(F.lower("__h"), F.col("__n")))
     else:
         sizes = [r[0] for r in needles.select(F.least(F.length("__n"), F.lit(GRAM)).alias("l")).distinct().collect()]
-        runs = F.array_distinct(F.concat(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length("__h") - n + 1, F.lit(1))), lambda i, n=n: F.substr(F.lower("__h"), i, F.lit(n))) for n in sizes]))
-        keyed = hays.withColumn("__g", F.explode(runs))
+        keyed = hays.withColumn("__g", F.explode(F.array_distinct(F.concat(*[_runs(F.lower("__h"), n) for n in sizes]))))
         pairs = keyed.join(needles.withColumn("__g", F.right("__n", F.lit(GRAM))), "__g").where(F.contains(F.lower("__h"), F.col("__n"))).select("__h", "__n")
     out = left.withColumn("__n", F.lower(needle)).join(pairs, "__n").join(right.withColumn("__h", F.col(hay)), "__h")
     return out.drop("__n", "__h")
 
 
+def _runs(hay: Column, n: int) -> Column:
+    """All runs of n characters."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(hay) - n + 1, F.lit(1))), lambda i: F.substr(hay, i, F.lit(n)))
+
+
 def edges_to(edges: DataFrame, target: str, kind: str | None = None) -> DataFrame:
     """Edges whose target symbol or file holds the text."""
     hit = F.coalesce(text.like_any_case(F.col("target_symbol"), target), F.lit(False)) | F.coalesce(text.like_any_case(F.col("target_file"), target), F.lit(False))

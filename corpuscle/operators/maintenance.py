@@ -11,7 +11,9 @@ from corpuscle.functions import fixed, text
 def walk(spark: SparkSession, root: str) -> DataFrame:
     """Files below a folder on any store, with their bytes; those of a size out of bounds are not read."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    rows = raw.where((F.col("length") >= 1) & (F.col("length") <= fixed.MAX_FILE_SIZE)).where(is_wanted(F.col("path")))
+    bare = root.split("://")[-1].rstrip("/")
+    below = F.substr("path", F.locate(bare, F.col("path")) + len(bare) + 1)  # what lies above the root does not count
+    rows = raw.where((F.col("length") >= 1) & (F.col("length") <= fixed.MAX_FILE_SIZE)).where(is_wanted(below))
     return rows.select(F.col("path").alias("file_path"), F.decode("content", "UTF-8").alias("content"), short_hash_of_bytes(F.col("content")).alias("file_hash"), F.col("modificationTime").cast("double").alias("last_modified"))
 
 
