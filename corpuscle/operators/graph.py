@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpuscle.functions import text
 from corpuscle.sources.scratch import cut
 
-FEW, GRAM = 10_000, 8
+FEW, GRAM = 300, 8
 
 
 def substring_join(left: DataFrame, right: DataFrame, needle: str, hay: str) -> DataFrame:
@@ -73,8 +73,8 @@ def resolve_targets(edges: DataFrame, nodes: DataFrame, most: int = 3) -> DataFr
     The first stage that finds a node counts; the last two give ``most`` nodes at most,
     in order of qualified_name.
     """
-    e = edges.withColumns({"name": F.element_at(F.split("target_symbol", r"\."), -1), "module_path": F.replace("target_symbol", F.lit("."), F.lit("/"))})
-    n = nodes.select("qualified_name", F.col("file_path").alias("node_file"), F.col("name").alias("node_name"))
+    e = cut(edges.withColumns({"name": F.element_at(F.split("target_symbol", r"\."), -1), "module_path": F.replace("target_symbol", F.lit("."), F.lit("/"))}), "edges")
+    n = cut(nodes.select("qualified_name", F.col("file_path").alias("node_file"), F.col("name").alias("node_name")), "nodes")
     first = e.join(n, (e["target_file"] == n["node_file"]) & (e["name"] == n["node_name"])).select("edge_id", "qualified_name", F.lit(1).alias("stage"))
     names = e.select("edge_id", F.col("name").alias("node_name"))
     w = Window.partitionBy("node_name").orderBy("qualified_name")
@@ -108,8 +108,8 @@ def trace(edges: DataFrame, nodes: DataFrame, path: str, depth: int = 2) -> Data
     A file is opened once, at its least depth.
     """
     spark = edges.sparkSession
-    imp = edges.where("kind = 'IMPORTS'").select("source_file", "target_symbol").distinct()
-    files = nodes.select("file_path").distinct()
+    imp = cut(edges.where("kind = 'IMPORTS'").select("source_file", "target_symbol").distinct(), "imports")
+    files = cut(nodes.select("file_path").distinct(), "files")
     todo = spark.createDataFrame([(path,)], "source_file string")
     seen, out = todo, None
     for level in range(1, depth + 1):
@@ -128,7 +128,7 @@ def references(edges: DataFrame, nodes: DataFrame, hits: DataFrame, symbol: str)
     hits: (file_path) of chunks in which the symbol occurs as a phrase.
     """
     shape = lambda df, tag, f, s, line: df.select(F.lit(tag).alias("category"), f.alias("file"), s.alias("symbol"), line.cast("int").alias("line"))
-    none = F.lit(None)
+    edges, nodes, none = cut(edges, "edges"), cut(nodes, "nodes"), F.lit(None)
     defined = shape(nodes.where(F.col("name") == symbol), "defined_in", F.col("file_path"), F.col("qualified_name"), F.col("line_start"))
     imported = shape(importers(edges, symbol).select("source_file").distinct(), "imported_by", F.col("source_file"), none.cast("string"), none)
     called = shape(callers(edges, symbol), "called_by", F.col("source_file"), F.col("target_symbol"), F.col("line"))
@@ -144,6 +144,7 @@ def symbol_links(edges: DataFrame, nodes: DataFrame, like: bool = False) -> Data
 
     With ``like``, a target symbol reaches every node whose name it holds.
     """
+    nodes = cut(nodes, "nodes")
     e = cut(edges.withColumn("edge_id", F.xxhash64("kind", "source_file", "source_symbol", "target_symbol", "line")).dropDuplicates(["edge_id"]))
     src = enclosing_nodes(e, nodes).select("edge_id", "kind", "source_file", F.col("qualified_name").alias("a"))
     if like:
@@ -161,6 +162,7 @@ def impact(edges: DataFrame, nodes: DataFrame, path: str, max_depth: int = 3, ma
     Each symbol is expanded over ``fan`` links of each direction, in order of the other
     end; of all symbols the ``max_nodes`` first by distance and name stay.
     """
+    nodes = cut(nodes, "nodes")
     links = cut(symbol_links(edges, nodes, like))
     w = Window.partitionBy("src", "direction").orderBy("dst", "kind")
     links = links.withColumn("r", F.row_number().over(w)).where(F.col("r") <= fan).drop("r")

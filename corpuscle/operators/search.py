@@ -46,19 +46,22 @@ def parse_query(query: str) -> list[list[str]]:
     return [list(p) for p in dict.fromkeys(tuple(p) for p in found if p)]
 
 
-def spaced(tokens: Column) -> Column:
-    return F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
+EDGE = r"[\p{L}\p{N}]"
 
 
-def phrase_count(line: Column, phrase: list[str]) -> Column:
-    """How often the phrase occurs in a line of tokens with a space around each, overlaps included."""
-    rest = "".join(f"{t} " for t in phrase[1:])
-    return F.regexp_count(line, F.lit(f"(?<= ){phrase[0]}(?= {rest})"))
+def phrase_count(folded: Column, phrase: list[str]) -> Column:
+    """How often the phrase's tokens follow each other in a folded text, overlaps included."""
+    rest = "".join(rf"[^\p{{L}}\p{{N}}]+{t}" for t in phrase[1:])
+    return F.regexp_count(folded, F.lit(rf"(?<!{EDGE}){phrase[0]}(?={rest}(?!{EDGE}))"))
+
+
+def folded(field: str) -> Column:
+    return text.fold(F.coalesce(F.col(field), F.lit("")))
 
 
 def frequencies(chunks: DataFrame, phrases: list[list[str]]) -> DataFrame:
     """The chunks with dl and, for each phrase, its weighted frequency f0, f1, ...: one pass, no shuffle."""
-    rows = chunks.withColumns({f"t_{f}": spaced(text.tokens(F.col(f))) for f in fixed.COLUMN_WEIGHTS})
+    rows = chunks.withColumns({f"t_{f}": folded(f) for f in fixed.COLUMN_WEIGHTS})
     dl = reduce(Column.__add__, [text.n_tokens(F.col(f)) for f in fixed.COLUMN_WEIGHTS])
     freq = {f"f{i}": reduce(Column.__add__, [phrase_count(F.col(f"t_{f}"), p) * w for f, w in fixed.COLUMN_WEIGHTS.items()]) for i, p in enumerate(phrases)}
     return rows.withColumns({"dl": dl.cast("long")} | freq).drop(*[f"t_{f}" for f in fixed.COLUMN_WEIGHTS])
@@ -171,5 +174,5 @@ def exact_or_substring(rows: DataFrame, column: str, name: str, most: int = 20)
 def phrase_refs(chunks: DataFrame, symbol: str, limit: int = 50) -> DataFrame:
     """Chunks whose fields hold the symbol's tokens as a phrase."""
     (phrase,) = parse_query(f'"{symbol}"')
-    hit = reduce(Column.__or__, [phrase_count(spaced(text.tokens(F.col(f))), phrase) > 0 for f in fixed.COLUMN_WEIGHTS])
+    hit = reduce(Column.__or__, [phrase_count(folded(f), phrase) > 0 for f in fixed.COLUMN_WEIGHTS])
     return chunks.where(hit).orderBy("repo_id", "chunk_id").limit(limit)

@@ -9,6 +9,7 @@ from corpuscle.operators import contracts as K
 from corpuscle.operators import extract as X
 from corpuscle.operators import graph as G
 from corpuscle.sources import views
+from corpuscle.sources.scratch import cut
 
 from . import code_queries as Q
 from .registry import query
@@ -178,7 +179,7 @@ RESOLVED = """, e AS (SELECT DISTINCT target_symbol, target_file FROM edges), f
 
 @query(f"{EDGES}{RESOLVED} SELECT target_symbol, target_file, qualified_name, stage FROM mn WHERE stage = lo")
 def resolve_targets(spark, d):
-    e = edges(spark, d).select("target_symbol", "target_file").distinct().withColumn("edge_id", F.xxhash64("target_symbol", "target_file"))
+    e = cut(edges(spark, d).select("target_symbol", "target_file").distinct().withColumn("edge_id", F.xxhash64("target_symbol", "target_file")))
     return G.resolve_targets(e, nodes(spark, d)).join(e, "edge_id").select("target_symbol", "target_file", "qualified_name", "stage")
 
 
@@ -210,9 +211,9 @@ REFS = f"""SELECT 'defined_in' AS category, file_path AS file, qualified_name AS
 
 @query(f"{EDGES}, kn AS ({REFS}) SELECT * FROM kn UNION ALL SELECT 'referenced_in', file_path, NULL, 0 FROM (SELECT DISTINCT file_path FROM code WHERE regexp_matches(lower(content), '(^|[^\\p{{L}}\\p{{N}}])widget13([^\\p{{L}}\\p{{N}}]|$)')) WHERE file_path NOT IN (SELECT file FROM kn)")
 def references_cascade(spark, d):
-    from corpuscle.operators.search import phrase_count, spaced
+    from corpuscle.operators.search import folded, phrase_count
 
-    hits = views.code(spark, d).where(phrase_count(spaced(text.tokens(F.col("content"))), ["widget13"]) > 0)
+    hits = views.code(spark, d).where(phrase_count(folded("content"), ["widget13"]) > 0)
     return G.references(edges(spark, d), nodes(spark, d), hits, "Widget13").select("category", "file", "symbol", line())
 
 
