@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import code_queries, corpus_queries, graph_queries, search_queries  # noqa: F401
+from . import code_queries, corpus_queries, graph_queries, outline_queries, search_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
