@@ -162,13 +162,10 @@ def symbols(chunks: DataFrame, pattern: str, limit: int = 50) -> DataFrame:
 
 def exact_or_substring(rows: DataFrame, column: str, name: str, most: int = 20) -> DataFrame:
     """Rows equal to the name; only if there are none, up to ``most`` that hold it."""
-    exact = F.col(column) == name
-    found = rows.where(F.contains(F.lower(column), F.lit(name.lower())) | exact).withColumn("exact", exact)
-    any_exact = found.agg(F.coalesce(F.bool_or("exact"), F.lit(False)).alias("any_exact"))
-    top = found.orderBy(F.desc("exact"), column).limit(10_000)
-    w = Window.orderBy(F.desc("exact"), column)
-    joined = top.join(F.broadcast(any_exact), F.lit(True)).withColumn("r", F.row_number().over(w))
-    return joined.where((F.col("exact") | ~F.col("any_exact")) & (F.col("exact") | (F.col("r") <= most))).drop("exact", "any_exact", "r")
+    exact = rows.where(F.col(column) == name)
+    if not exact.isEmpty():
+        return exact
+    return rows.where(F.contains(F.lower(column), F.lit(name.lower()))).orderBy(column).limit(most)
 
 
 def phrase_refs(chunks: DataFrame, symbol: str, limit: int = 50) -> DataFrame:
