@@ -129,6 +129,7 @@ class LibraryEncoder:
         self.marks, self.odd = tuple(added.values()), re.compile(r" \s| \Z")
         self.words: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.openings: dict[str, bytes] = {"": b""}  # words that open a text, without a space
         self.tails = {t: self.whole(t) for t in TAILS}
 
     def whole(self, text: str) -> bytes:
@@ -155,8 +156,16 @@ class LibraryEncoder:
             self._learn(lack)
             get = words.__getitem__
             for first, rest in group:
-                head = self.whole(first) if first else b""
-                yield head if rest is None else head + b"".join(map(get, rest))
+                yield self.whole(first) if rest is None else self._opening(first) + b"".join(map(get, rest))
+
+    def _opening(self, word: str) -> bytes:
+        got = self.openings.get(word)
+        if got is None:
+            got = self.whole(word)
+            if len(self.openings) >= CACHE // 10:
+                self.openings = {"": b""}
+            self.openings[word] = got
+        return got
 
     def _learn(self, lack: set[str]) -> None:
         words, old, tails = self.words, self.old, self.tails
