@@ -24,7 +24,6 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
-from collections import deque
 from collections.abc import Iterable, Iterator
 
 import numpy as np

@@ -67,6 +67,24 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_ann, op2_ngram_join, op3_html_text, op4_mixing, op5_token_ids, op6_toxicity, op7_exact_dedup, op8_warc, op9_secrets, op10_bpe_codec)}
 
 SQL = {
+    "op2_ngram_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        l AS MATERIALIZED (
+            SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))
+                                              WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+        n AS (SELECT doc_id, len(s) AS n_shingles FROM l),
+        e AS (SELECT doc_id, unnest(s) AS s FROM l),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM e a JOIN e b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+        k AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n_shingles + b.n_shingles - c)),
+        r(doc_id, other) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, k.y FROM r JOIN k ON k.x = r.other)
+        SELECT n.doc_id, n_shingles, min(other) AS component_id FROM r JOIN n USING (doc_id) GROUP BY n.doc_id, n_shingles""",
+    "op8_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS keep FROM p)
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform([1, 11, 21, 31], lambda i: translate(to_base(('0x' || x[i : i + 9])::BIGINT, 32, 8), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')), '') AS payload_digest,
+               CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keep THEN keep END AS refers_to FROM d""",
     "op4_mixing": r"""
         WITH RECURSIVE d AS MATERIALIZED (
             SELECT doc_id, source, coalesce(source, chr(0)) AS s, len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+')) AS n,
