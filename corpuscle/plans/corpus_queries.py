@@ -444,8 +444,13 @@ def routing_accuracy(spark, d):
 @query("WITH b AS (SELECT item_id, text[1:40] AS p FROM benchmark) SELECT item_id, count(*) AS documents FROM b JOIN documents d ON contains(d.text, b.p) GROUP BY item_id")
 def expected_hits(spark, d):
     b = T(spark, d, "benchmark").select("item_id", F.substring("text", 1, 40).alias("p"))
-    few = b if b.limit(1001).count() > 1000 else F.broadcast(b)
-    return T(spark, d, "documents").join(few, F.contains("text", F.col("p"))).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
+    blocks = max(1, -(-b.count() // 1000))  # so many items are broadcast at a time
+    docs, out = T(spark, d, "documents").select("text"), None
+    for i in range(blocks):
+        some = F.broadcast(b.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i))
+        rows = docs.join(some, F.contains("text", F.col("p"))).select("item_id")
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
 
 
 def change_events(spark, d):
