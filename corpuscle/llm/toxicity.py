@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import kept_in_worker
 
-BITS, SAMPLE, STEPS, RATE, DECAY, SHRINK, LEAST_DOCS = 18, 3000, 120, 0.15, 1e-6, 0.15, 3
+BITS, SAMPLE, STEPS, RATE, DECAY, SHRINK, LEAST_DOCS = 18, 3000, 120, 0.3, 1e-6, 0.15, 3
 SENTENCE = re.compile(r"[^.!?\n]+")
 EDGE = ".,;:!?\"'()[]{}<>*%&$#@-_=+~`|/\\"
 CACHE = 200_000
@@ -116,9 +116,10 @@ def fit(texts: list[str | None], toxic: list[int], share: float) -> Model:
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         fix, fix2 = 1 - 0.9**step, 1 - 0.99**step
-        w -= RATE * (m / fix) / (np.sqrt(v / fix2) + 1e-7)
-        w = np.sign(w) * np.maximum(np.abs(w) - SHRINK * RATE, 0)
-        b -= RATE * (mb / fix) / (np.sqrt(vb / fix2) + 1e-7)
+        rate = RATE * (1 - (step - 1) / STEPS)  # falls to 0, so that the last steps settle
+        w -= rate * (m / fix) / (np.sqrt(v / fix2) + 1e-7)
+        w = np.sign(w) * np.maximum(np.abs(w) - SHRINK * rate, 0)
+        b -= rate * (mb / fix) / (np.sqrt(vb / fix2) + 1e-7)
     return Model(w.astype(np.float32), float(b))
 
 
