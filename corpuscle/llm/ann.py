@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-SHARD, WIDTH, BREADTH, BLOCK, POOL = 8192, 16, 96, 256, 64
+SHARD, WIDTH, BREADTH, BLOCK, POOL = 8192, 16, 192, 256, 64
 
 
 def mixed(ids: np.ndarray) -> np.ndarray:
