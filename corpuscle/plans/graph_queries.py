@@ -332,10 +332,7 @@ SEG = "list_filter(list_transform(string_split(string_split(regexp_replace({c},
 )
 def contract_match(spark, d):
     c = views.code(spark, d)
-    ends = K.endpoints(c.where("repo_id IN ('Brand#1', 'Brand#2')"))
-    uses = K.consumers(c.where("repo_id IN ('Brand#3', 'Brand#4') AND file_path LIKE 'web/%'"))
-    left = ends.groupBy("repo_id", "file_path", "method", "path").agg(F.count(F.lit(1)).alias("n_end")).drop("n_end")
-    return K.contract_match(left, uses.dropDuplicates(["repo_id", "file_path", "url", "method", "line"])).groupBy("path", "url").agg(F.count(F.lit(1)).alias("n"))
+    return K.contract_counts(K.endpoints(c), K.consumers(c))
 
 
 @query("WITH u AS (SELECT page_id, " + SEG.format(c="string_split(url, '#')[1]") + " AS s FROM pages), h AS (SELECT DISTINCT unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS href FROM pages), g AS (SELECT href, " + SEG.format(c="href") + " AS s FROM h) SELECT u.page_id, g.href, len(list_intersect(list_distinct(u.s), list_distinct(g.s))) AS common FROM u JOIN g ON list_has_any(u.s, g.s)")
@@ -370,5 +367,5 @@ def changed_file_fallback(spark, d):
 def cross_project_impact(spark, d):
     c = views.code(spark, d)
     ends = K.affected_endpoints(K.endpoints(c), "router_m3.py")
-    pairs = K.contract_match(ends, K.consumers(c.where("file_path LIKE 'web/%'")))
+    pairs = K.contract_match(ends, K.consumers(c))
     return pairs.groupBy(F.col("use_repo").alias("repo_id")).agg(F.count(F.lit(1)).alias("consumers"))
