@@ -191,8 +191,9 @@ def import_path_join(spark, d):
 
 @query(f"{EDGES} SELECT n.name, count(*) AS refs FROM (SELECT DISTINCT name FROM nodes WHERE name LIKE 'Widget1%') n JOIN edges e ON contains(lower(e.target_symbol), lower(n.name)) GROUP BY n.name")
 def reverse_substring_join(spark, d):
-    n = nodes(spark, d).where("name LIKE 'Widget1%'").select("name").distinct()
-    return G.substring_join(n, edges(spark, d).select("target_symbol", "kind"), "name", "target_symbol").groupBy("name").agg(F.count(F.lit(1)).alias("refs"))
+    names = cut(nodes(spark, d).select("name").distinct(), "names")
+    targets = cut(edges(spark, d).groupBy("target_symbol").agg(F.count(F.lit(1)).alias("n")), "targets")
+    return G.substring_join(names, targets, "name", "target_symbol").groupBy("name").agg(F.sum("n").alias("refs"))
 
 
 @query("WITH u AS (SELECT DISTINCT regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) AS p FROM pages), h AS (SELECT DISTINCT unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS h FROM pages) SELECT h FROM h WHERE length(h) > 1 AND NOT EXISTS (SELECT 1 FROM u WHERE contains(lower(u.p), lower(h.h)))")

@@ -43,3 +43,7 @@ def test_contract_counts_by_brute_force(spark):
     e = spark.createDataFrame(ends, "repo_id string, file_path string, method string, path string")
     u = spark.createDataFrame(uses, "repo_id string, file_path string, url string, method string")
     assert {(r.path, r.url): r.n for r in contracts.contract_counts(e, u).collect()} == want
+
+
+def test_references_of_all_names(spark, small, duck):
+    check_whole(spark, small, duck, "reverse_substring_join", (" WHERE name LIKE 'Widget1%'", ""))
