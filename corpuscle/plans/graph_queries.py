@@ -354,7 +354,7 @@ def shared_types(spark, d):
 @query("WITH t AS (SELECT DISTINCT source, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS k FROM documents) SELECT k, count(*) AS sources FROM t GROUP BY k HAVING count(*) >= 15")
 def shared_keys(spark, d):
     words = views.table(spark, d, "documents").select("source", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("k"))
-    return K.shared_keys(words, "k", "source", 15).select("k", F.size("sources").cast("long").alias("sources"))
+    return K.shared_keys(words, "k", "source").select("k", F.size("sources").cast("long").alias("sources"))
 
 
 @query(f"{ENDS} SELECT method, path, count(*) AS n FROM en WHERE file_path LIKE '%router_m3.py' OR NOT EXISTS (SELECT 1 FROM en WHERE file_path LIKE '%router_m3.py') GROUP BY ALL UNION ALL SELECT method, path, count(*) FROM en WHERE file_path LIKE '%nowhere.py' OR NOT EXISTS (SELECT 1 FROM en WHERE file_path LIKE '%nowhere.py') GROUP BY ALL")

@@ -47,3 +47,7 @@ def test_contract_counts_by_brute_force(spark):
 
 def test_references_of_all_names(spark, small, duck):
     check_whole(spark, small, duck, "reverse_substring_join", (" WHERE name LIKE 'Widget1%'", ""))
+
+
+def test_words_of_two_sources(spark, small, duck):
+    check_whole(spark, small, duck, "shared_keys", ("HAVING count(*) >= 15", "HAVING count(*) >= 2"))
