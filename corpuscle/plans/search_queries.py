@@ -123,7 +123,7 @@ def text_phrase_refs(spark, d):
 )
 def postings_build(spark, d):
     rows = S.postings(chunks(spark, d)).groupBy("repo_id", "term", "chunk_id").agg(F.count(F.lit(1)).alias("c"))
-    return rows.groupBy("repo_id", "term").agg(F.sum("c").alias("occurrences"), F.count(F.lit(1)).alias("df")).where("df > 5")
+    return rows.groupBy("repo_id", "term").agg(F.sum("c").alias("occurrences"), F.count(F.lit(1)).alias("df"))
 
 
 @query(

@@ -51,3 +51,7 @@ def test_references_of_all_names(spark, small, duck):
 
 def test_words_of_two_sources(spark, small, duck):
     check_whole(spark, small, duck, "shared_keys", ("HAVING count(*) >= 15", "HAVING count(*) >= 2"))
+
+
+def test_postings_of_rare_terms(spark, small, duck):
+    check_whole(spark, small, duck, "postings_build", (" HAVING count(DISTINCT chunk_id) > 5", ""))
