@@ -55,3 +55,11 @@ def test_words_of_two_sources(spark, small, duck):
 
 def test_postings_of_rare_terms(spark, small, duck):
     check_whole(spark, small, duck, "postings_build", (" HAVING count(DISTINCT chunk_id) > 5", ""))
+
+
+def test_hits_of_whole_passages(spark, tmp_path):
+    same = "the very same opening of forty characters and "
+    spark.createDataFrame([(1, same + "one end"), (2, same + "another end"), (3, "short")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = [(1, f"x {same}one end y"), (2, f"{same}one ending"), (3, f"{same}another end"), (4, same), (5, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.item_id: r.documents for r in QUERIES["expected_hits"](spark, str(tmp_path)).collect()} == {1: 2, 2: 1}
