@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math object audio video canvas select head".split())
+ENDLESS = frozenset("script style textarea title xmp".split())  # of RAW: without a closing tag, these reach to the end of the page
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 PLAIN = frozenset("p pre blockquote li dd dt td figcaption".split())
 CLOSES_P = BLOCK - frozenset(["html", "body"])
@@ -92,6 +93,7 @@ def blocks_of(html: str) -> list[Block]:
     stack: list[Element] = [root]
     blocks: list[Block] = []
     parts: list[str] = []
+    unclosed: set[str] = set()
     linked = links = 0
 
     def holder() -> Element:
@@ -139,8 +141,14 @@ def blocks_of(html: str) -> list[Block]:
                     break
             continue
         if tag in RAW and not attributes.rstrip().endswith("/"):
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>" + (r"|(?=<body\b)" if tag == "head" else ""), re.I).search(html, at)
-            at = close.end() if close else n if tag != "head" else at
+            close = None
+            if tag not in unclosed:
+                close = re.compile(rf"</{re.escape(tag)}\b[^>]*>" + (r"|(?=<body\b)" if tag == "head" else ""), re.I).search(html, at)
+            if close:
+                at = close.end()
+            else:
+                unclosed.add(tag)
+                at = n if tag in ENDLESS else at
             continue
         if tag == "br":
             parts.append(" ")
