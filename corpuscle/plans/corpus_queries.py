@@ -112,7 +112,7 @@ def insight_tags(spark, d):
 def insight_chunks(spark, d):
     from corpuscle.operators.chunking import insight_chunk
 
-    rows = T(spark, d, "conversations").where("turn = 1").select(F.col("role").alias("repo_id"), F.col("text").alias("content"), F.array("role", F.lit("turn")).alias("tags"))
+    rows = T(spark, d, "conversations").select(F.col("role").alias("repo_id"), F.col("text").alias("content"), F.array("role", F.lit("turn")).alias("tags"))
     return insight_chunk(rows).select("chunk_id", "summary", "symbol_name")
 
 

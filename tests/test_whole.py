@@ -73,3 +73,7 @@ def test_text_after_an_unclosed_element(tag):
     seen = lambda part: sum("And then" in b.text for b in html_text.blocks_of(page.format(part)))
     assert seen(f"<{tag}>") == seen(f"<{tag} a='b'><{tag}>") == (tag not in html_text.ENDLESS)
     assert seen(f"<{tag}>And then</{tag}>") == 1
+
+
+def test_insights_of_all_turns(spark, small, duck):
+    check_whole(spark, small, duck, "insight_chunks", (" WHERE turn = 1", ""))
