@@ -21,27 +21,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which all machines share.
+    """A new folder under ``spark.checkpoint.dir``, which all machines share, as a whole URI.
 
-    Only where that setting is absent (tests on one machine) is a local one made.
-    It is deleted when the JVM ends.
+    Where that setting is absent, a local folder is made on a local master (tests on
+    one machine); on a cluster that is an error.  The folder is deleted when the JVM
+    ends, if ``discard`` has not done so before.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = tempfile.mkdtemp(prefix="corpuscle-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/corpuscle-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
+    hadoop, store = _hadoop(spark, f"{base.rstrip('/')}/corpuscle-{uuid.uuid4().hex}")
+    store.deleteOnExit(hadoop)
+    return store.makeQualified(hadoop).toUri().toString()
+
+
+def _hadoop(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: its lineage ends there."""
     path = f"{scratch_dir(df.sparkSession)}/{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by ``cut`` that nothing reads any more."""
+    for df in tables:
+        hadoop, store = _hadoop(df.sparkSession, df._cut_path)
+        store.delete(hadoop.getParent(), True)
 
 
 FEW = 100_000  # ids up to this number are broadcast (under 2 MB), more are joined by shuffle

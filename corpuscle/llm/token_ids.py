@@ -23,26 +23,23 @@ text.  An empty table writes no file.  Extra columns are left out.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
-from itertools import islice
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, kept_in_worker, scratch_dir
+from .words import WordPool, gathered, lead, regular
 
 MAGIC = b"CRPT1\0\0\0"
 FILE_IDS = 1 << 20
-CACHE = 750_000
-GROUP = 64
-TAILS = tuple(",.;:!?")
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + np.uint8(1)
 
 
@@ -104,15 +101,7 @@ def from_file(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 
 class LibraryEncoder:
-    """The tokenizers library behind a cache of words.
-
-    A text in which a space never precedes white space falls, before each space,
-    into pieces that the library tokenises independently of each other; so does
-    one after a letter, before a last mark of ``TAILS``.  Pieces not seen lately
-    are joined into one text for the library, whose ids are cut again at the
-    pieces' ends.  Other texts go to the library whole.  The cache has two
-    generations, the older of which is dropped when the younger is full.
-    """
+    """The tokenizers library behind a pool of words; texts that do not fall into words go to it whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -126,70 +115,29 @@ class LibraryEncoder:
         self.size = np.zeros(1 + max(vocab.values()), np.int64)
         for t, i in vocab.items():  # a byte-level file shows each byte by one character
             self.size[i] = len(added[i].encode()) if i in added else len(t)
-        self.marks, self.odd = tuple(added.values()), re.compile(r" \s| \Z")
-        self.words: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.openings: dict[str, bytes] = {"": b""}  # words that open a text, without a space
-        self.tails = {t: self.whole(t) for t in TAILS}
-
-    def whole(self, text: str) -> bytes:
-        return self._ids(text).tobytes()
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
-        """The ids of each text, as little-endian 32-bit integers; GROUP texts share a call of the library."""
-        texts = iter(texts)
-        while taken := list(islice(texts, GROUP)):
-            group, lack = [], set()
-            if len(self.words) > CACHE:
-                self.old, self.words = self.words, {}
-            words = self.words
-            for text in taken:
-                if self.odd.search(text) or any(m in text for m in self.marks):
-                    group.append((text, None))
-                else:
-                    first, *rest = text.split(" ")
-                    lack |= set(rest).difference(words)
-                    group.append((first, rest))
-            self._learn(lack)
-            get = words.__getitem__
-            for first, rest in group:
-                yield self.whole(first) if rest is None else self._opening(first) + b"".join(map(get, rest))
-
-    def _opening(self, word: str) -> bytes:
-        got = self.openings.get(word)
-        if got is None:
-            got = self.whole(word)
-            if len(self.openings) >= CACHE // 10:
-                self.openings = {"": b""}
-            self.openings[word] = got
-        return got
-
-    def _learn(self, lack: set[str]) -> None:
-        words, old, tails = self.words, self.old, self.tails
-        new, ends = set(), []
-        for p in lack:
-            got = old.get(p)
-            if got is not None:
-                words[p] = got
-            elif p[-1:] in tails and p[-2:-1].isalpha():
-                ends.append(p)
-                new.add(p[:-1])
-            else:
-                new.add(p)
-        pieces = [p for p in new if p not in words]
-        for p in [p for p in pieces if p in old]:
-            words[p] = old[p]
-        pieces = [p for p in pieces if p not in words]
-        if pieces:
-            ids = self._ids(" " + " ".join(pieces))
-            cuts = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([1 + len(p.encode()) for p in pieces])) + 1
-            raw, stops = ids.tobytes(), (4 * cuts).tolist()
-            words.update(zip(pieces, map(raw.__getitem__, map(slice, [0, *stops], stops)), strict=True))
-        for p in ends:
-            words[p] = words[p[:-1]] + tails[p[-1]]
+        self.marks = list(added.values())
+        self.words = WordPool(self._learn)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _learn(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The words go to the library as one text, whose ids are cut again at the words' ends."""
+        shown = lead(words)
+        ends = np.cumsum(pc.binary_length(shown).to_numpy(zero_copy_only=False), dtype=np.int64)
+        ids = self.whole("".join(shown.to_pylist()))
+        return ids, np.diff(np.searchsorted(np.cumsum(self.size[ids]), ends) + 1, prepend=0)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each has."""
+        plain = regular(texts, self.marks)
+        ids, counts = self.words.encode(texts.filter(pa.array(plain)))
+        if plain.all():
+            return ids, counts
+        ends = np.cumsum(counts)
+        parts = iter(zip((ends - counts).tolist(), ends.tolist(), strict=True))
+        each = [ids[slice(*next(parts))] if p else self.whole(t.as_py()) for p, t in zip(plain.tolist(), texts, strict=True)]
+        return np.concatenate(each), np.array([len(x) for x in each], np.int64)
 
 
 def write_files(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
@@ -197,11 +145,11 @@ def write_files(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, seq = kept_in_worker(("library", path), lambda: LibraryEncoder(path)), TaskContext.get().partitionId(), 0
-        store, root = pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder.removeprefix("file:"))
+        store, root = pafs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         names: list[int | None] = []
         arrays: list[np.ndarray] = []
-        end, held = np.array([end_id], "<u4").tobytes(), 0
+        end, held = np.array([end_id], np.uint32), 0
 
         def flush() -> pa.RecordBatch:
             nonlocal seq, held
@@ -216,12 +164,12 @@ def write_files(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id",
             arrays.clear()
             return row
 
-        for batch in batches:
-            keys = batch.column(0).to_pylist()
-            texts = (t.as_py() or "" for t in batch.column(1))
-            for key, raw in zip(keys, encoder.encode(texts), strict=True):
+        for keys, texts in gathered(batches):
+            ids, counts = encoder.encode(pc.fill_null(texts, ""))
+            stops = np.cumsum(counts)
+            for key, a, b in zip(keys.to_pylist(), (stops - counts).tolist(), stops.tolist(), strict=True):
                 names.append(key)
-                arrays.append(np.frombuffer(raw + end, "<u4"))
+                arrays.append(np.concatenate([ids[a:b], end]))
                 held += len(arrays[-1])
                 if held >= FILE_IDS:
                     yield flush()
@@ -246,8 +194,12 @@ def read_files(spark, folder: str, files: DataFrame) -> DataFrame:
 
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.crpt").load(folder)
     rows = raw.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").mapInArrow(run, "file string, doc_id long, within long, n_tokens long, ids_crc32 long")
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select("file", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("before"))
+    # files are summed within their part first; the running sum over parts has a row for each task alone
+    part = files.groupBy("part").agg(F.sum("ids").alias("all"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    part = part.select("part", F.coalesce(F.sum("all").over(earlier), F.lit(0)).alias("earlier"))
+    within = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.join(part, "part").select("file", (F.col("earlier") + F.coalesce(F.sum("ids").over(within), F.lit(0))).alias("before"))
     return rows.join(starts, "file").select("doc_id", (F.col("within") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 

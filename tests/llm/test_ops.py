@@ -10,11 +10,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpuscle.llm import ann, bpe, exact_dedup, html_text, mixing, ngram_join, secrets, token_ids, toxicity, warc
+from corpuscle.llm import ann, bpe, exact_dedup, html_text, mixing, ngram_join, secrets, token_ids, toxicity, warc, words
 from corpuscle.llm.components import components
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -105,11 +106,31 @@ def test_pack_round_trip(values):
     assert token_ids.unpack(np.frombuffer(control, np.uint8), np.frombuffer(data, np.uint8), len(v)).tolist() == values
 
 
+def blanks(n, seed):
+    r = random.Random(seed)
+    parts = ["a", "word", "don't", "x,", "é.", "9!", " ", " ", " ", "\n", "\n", "\n\n", "\t", "\r\n", "\x0b", "\x1c", "\u2028", "\u00a0", "ſ;", "中:", "Ω?", ".."]
+    return ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(n)]
+
+
 def test_library_encoder(tokenizer):
     encoder = token_ids.LibraryEncoder(PATH)
-    sample = texts(3000, 3)
-    for s, got in zip(sample, encoder.encode(sample), strict=True):
-        assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(s, add_special_tokens=False).ids
+    sample = [*texts(3000, 3), *blanks(20000, 4), "a word\n\nand, more.\nof it"]
+    assert words.regular(pa.array(sample), encoder.marks).sum() > 4000
+    for a in range(0, len(sample), 1000):
+        ids, counts = encoder.encode(pa.array(sample[a : a + 1000]))
+        ends = np.cumsum(counts)
+        for s, e, n in zip(sample[a : a + 1000], ends.tolist(), counts.tolist(), strict=False):
+            assert ids[e - n : e].tolist() == tokenizer.encode(s, add_special_tokens=False).ids, s
+
+
+def test_word_pool_stays_small(tokenizer):
+    encoder = token_ids.LibraryEncoder(PATH)
+    encoder.words.most = 20_000
+    for a in range(0, 20_000, 500):
+        batch = [f"the w{i} of x{i * 7}, and" for i in range(a, a + 500)]
+        ids, _ = encoder.encode(pa.array(batch))
+        assert ids.tolist() == [x for s in batch for x in tokenizer.encode(s, add_special_tokens=False).ids]
+        assert len(encoder.words.words) < 2500
 
 
 def test_token_files(spark, edge, empty, tokenizer, small):
