@@ -1,15 +1,24 @@
 """BPE encoding and decoding as a bounded-lookahead streaming transducer.
 
-``Bpe`` reads a byte-level merge list.  A text is taken in pieces that end where
-the pre-tokeniser must split whatever follows.  A piece of usual length is merged
-directly; a run of more than ``DIRECT`` bytes goes through ``transduce``, which
-keeps, for each of the last ``max_token`` byte positions, the one token that ends
-there in the encoding of the prefix, and emits tokens once the token chains of
-all live positions agree.  Any later token starts at one of these positions, so
-what is emitted never changes.  ``lookahead`` is the merge list's sufficient
-lookahead: the number of merges times the longest token, after which a token is
-stable for any input (Berglund and van der Merwe, "Formalizing BPE
-Tokenization", 2023); it bounds the kept state, whatever the length of the text.
+``Bpe`` reads a byte-level merge list.  ``transduce`` turns the bytes of a pre-token,
+which may arrive in blocks of any size, into ids while it reads.  For each position
+it finds the one token that ends there in the encoding of the bytes so far: the
+candidates are the tokens that end at the position, longest first, by an automaton
+over the vocabulary; the right one stays apart from the token before it when the
+two are merged alone (``fits``: no merge joins them at any stage of their making).
+
+``lookahead`` is the merge list's sufficient lookahead.  Let two texts agree up to a
+position.  Where their encodings differ furthest to the left, a merge joined a token
+``a`` to a token ``b`` in one of them alone, because what stands at the start of ``b``
+was made, by an earlier merge, in one of them alone; and so on up to the position.
+A chain of such merges has ranks that rise and, link by link, left parts that stand at
+the left edge of the next right part.  So tokens further back than the heaviest
+chain, weighed by the bytes of the left parts, are stable whatever follows, and are
+emitted.  The kept state is some multiples of that length, for a text of any length.
+
+Every id comes from the transducer.  Words of ordinary texts pass it once for each
+batch and are then looked up (``words.WordPool``); texts with doubled blanks, special
+tokens or words beyond ``LONG`` characters are read as streams.
 
 Decoding maps ids to bytes and runs a byte-to-text state machine that keeps an
 unfinished character only.
@@ -24,24 +33,27 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+from collections import deque
 from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import kept_in_worker
+from .words import WordPool, gathered, lead, regular
 
 # The pre-tokeniser's pattern of byte-level BPE files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-DIRECT = 256
-CHUNK = 1 << 16
-CACHE = 150_000
+LONG, BLOCK, PAIRS = 1000, 1 << 12, 400_000
 ID_BITS = 24
 ID_MASK = (1 << ID_BITS) - 1
 NEVER = 1 << 62
+LONG_WORD = rf"[^ \n]{{{LONG}}}"
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -55,25 +67,6 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-class Recent(dict):
-    """A cache of two generations: about ``2 * limit`` entries at most, whatever the input."""
-
-    def __init__(self, make, limit: int = CACHE):
-        super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.limit:
-            self.old = self.copy()
-            self.clear()
-        if len(key) < 200:
-            self[key] = value
-        return value
-
-
 class Bpe:
     """A byte-level BPE file, its encoder and its decoder."""
 
@@ -84,150 +77,229 @@ class Bpe:
         if model["type"] != "BPE" or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or spec["normalizer"]:
             raise ValueError("a byte-level BPE file without normaliser or prefix space is needed")
         letters = byte_alphabet()
-        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        as_bytes = {t: bytes(letters[c] for c in t) for t in model["vocab"] if t not in special}
-        self.table: list[bytes] = [b""] * (1 + max([*model["vocab"].values(), *special.values()]))
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        vocab = model["vocab"]
+        as_bytes = {t: bytes(letters[c] for c in t) for t in vocab if t not in self.special}
+        size = 1 + max([*vocab.values(), *self.special.values()])
+        self.table: list[bytes] = [b""] * size
         for t, b in as_bytes.items():
-            self.table[model["vocab"][t]] = b
-        for t, i in special.items():
+            self.table[vocab[t]] = b
+        for t, i in self.special.items():
             self.table[i] = t.encode()
-        self.ids = {b: model["vocab"][t] for t, b in as_bytes.items()}
-        self.base = [self.ids[bytes([b])] for b in range(256)]
-        self.pairs: dict[tuple[int, int], int] = {}  # rank and, in the low bits, the merged id
-        for rank, m in enumerate(model["merges"]):
-            left, right = m.split(" ") if isinstance(m, str) else m
-            a, b = model["vocab"][left], model["vocab"][right]
-            self.pairs.setdefault((a, b), rank << ID_BITS | model["vocab"][left + right])
-        self.special = special
-        self.max_token = max(map(len, as_bytes.values()))
-        self.lookahead = len(model["merges"]) * self.max_token
-        self.fits = Recent(self._fits, 1 << 16)
+        self.base = [vocab[t] for _, t in sorted((b, t) for t, b in as_bytes.items() if len(b) == 1)]
+        self.pairs: dict[int, int] = {}  # left id, right id -> rank, merged id
+        self.merges = [(vocab[x], vocab[y]) for x, y in (m.split(" ") if isinstance(m, str) else m for m in model["merges"])]
+        names = {i: t for t, i in vocab.items()}
+        for rank, (x, y) in enumerate(self.merges):
+            self.pairs.setdefault(x << ID_BITS | y, rank << ID_BITS | vocab[names[x] + names[y]])
+        # how each token is made: by which merge, of which two; -1 for single bytes
+        self.rank, self.left, self.right = [-1] * size, [-1] * size, [-1] * size
+        reached = []
+        for i in map(vocab.__getitem__, as_bytes):
+            made, last = self._merge(self.table[i])
+            if made == [i]:
+                reached.append(i)
+                if last:
+                    self.left[i], self.right[i], self.rank[i] = last
+        self.max_token = max(len(self.table[i]) for i in reached)
+        self.lookahead = self._lookahead()
+        self._automaton(reached)
+        self.known: dict[int, bool] = {}
+        self.older: dict[int, bool] = {}
+        self.emitted = 0  # ids that the transducer has given, for tests
         self.split = regex.compile(PATTERN)
-        self.odd = regex.compile(r" \s| \Z")
-        self.marks = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.pretokens = Recent(lambda t: self._packed(self.merge_any(t.encode())), CACHE // 3)
-        self.spaced = Recent(lambda p: b"".join([self.pretokens[t] for t in self.split.findall(" " + p)]))
-
-    @staticmethod
-    def _packed(ids: Iterable[int]) -> bytes:
-        return np.fromiter(ids, "<u4").tobytes()
-
-    def merge(self, raw: bytes) -> list[int]:
-        """The ids of a short run: the lowest-ranked pair merges first, leftmost first."""
-        ids, pairs = [self.base[b] for b in raw], self.pairs
-        ranks = [pairs.get(p, NEVER) for p in zip(ids, ids[1:], strict=False)]
-        while ranks:
-            best = min(ranks)
-            if best == NEVER:
-                break
-            i = ranks.index(best)
-            ids[i] = best & ID_MASK
-            del ids[i + 1], ranks[i]
-            if i:
-                ranks[i - 1] = pairs.get((ids[i - 1], ids[i]), NEVER)
-            if i < len(ranks):
-                ranks[i] = pairs.get((ids[i], ids[i + 1]), NEVER)
-        return ids
-
-    def merge_any(self, raw: bytes) -> Iterable[int]:
-        return self.merge(raw) if len(raw) <= DIRECT else self.transduce([raw])
-
-    def _fits(self, pair: tuple[int, int]) -> bool:
-        """Two tokens that stay apart when their bytes are merged alone."""
-        return self.merge(self.table[pair[0]] + self.table[pair[1]]) == [*pair]
+        self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self.words = WordPool(self._learn)
+
+    def _merge(self, raw: bytes) -> tuple[list[int], tuple[int, int, int] | None]:
+        """The ids of a few bytes, lowest-ranked pair first, leftmost first; and the last merge (left, right, rank)."""
+        ids, last = [self.base[b] for b in raw], None
+        while True:
+            found = min((self.pairs.get(x << ID_BITS | y, NEVER), i) for i, (x, y) in enumerate(zip(ids, ids[1:], strict=False))) if len(ids) > 1 else (NEVER, 0)
+            if found[0] == NEVER:
+                return ids, last
+            i = found[1]
+            last = ids[i], ids[i + 1], found[0] >> ID_BITS
+            ids[i : i + 2] = [found[0] & ID_MASK]
+
+    def _lookahead(self) -> int:
+        """The bytes of the heaviest chain of merges (see above), and of one token."""
+        best = [0] * len(self.table)  # by left part: the heaviest chain that ends with such a merge
+        most = 0
+        for x, y in self.merges:
+            weight, edge = 0, y
+            while edge >= 0:  # the tokens at the left edge of y
+                weight = max(weight, best[edge])
+                edge = self.left[edge]
+            best[x] = max(best[x], weight + len(self.table[x]))
+            most = max(most, best[x])
+        return most + self.max_token
+
+    def _automaton(self, tokens: list[int]) -> None:
+        """For every string that begins a token: its next states and the longest token at its end."""
+        self.next, self.back, self.longest = {}, [0], [-1]
+        node_of = {}
+        for i in tokens:
+            at = 0
+            for byte in self.table[i]:
+                to = self.next.get(at << 8 | byte)
+                if to is None:
+                    to = self.next[at << 8 | byte] = len(self.back)
+                    self.back.append(0)
+                    self.longest.append(-1)
+                at = to
+            self.longest[at] = i
+            node_of[i] = at
+        children: dict[int, list[tuple[int, int]]] = {}
+        for key, to in self.next.items():
+            children.setdefault(key >> 8, []).append((key & 255, to))
+        todo = deque([0])
+        own = [t >= 0 for t in self.longest]
+        while todo:
+            at = todo.popleft()
+            for byte, to in children.get(at, ()):
+                todo.append(to)
+                if at:
+                    back = self.back[at]
+                    while back and back << 8 | byte not in self.next:
+                        back = self.back[back]
+                    self.back[to] = self.next.get(back << 8 | byte, 0)
+                if not own[to]:
+                    self.longest[to] = self.longest[self.back[to]]
+        self.shorter = [-1] * len(self.table)  # the longest token at the end of a token
+        for i, at in node_of.items():
+            self.shorter[i] = self.longest[self.back[at]]
+        self.sizes = [len(t) for t in self.table]
+
+    def fits(self, a: int, b: int) -> bool:
+        """Whether two tokens stay apart when their bytes are merged alone.
+
+        Walks back through their making: at each stage one token ends at the border
+        and one begins there; they must not be a pair that merges before the next
+        stage.  Of equal ranks the left merge comes first.
+        """
+        pairs, rank, left, right = self.pairs, self.rank, self.left, self.right
+        ends_a = ends_b = NEVER
+        while True:
+            q = pairs.get(a << ID_BITS | b)
+            if q is not None:
+                q >>= ID_BITS
+                if q < ends_a and q <= ends_b:
+                    return False
+            if rank[a] >= rank[b]:
+                if rank[a] < 0:
+                    return True
+                ends_a, a = rank[a], right[a]
+            else:
+                ends_b, b = rank[b], left[b]
 
     def transduce(self, blocks: Iterable[bytes]) -> Iterator[int]:
         """The ids of one pre-token that arrives in blocks of any size.
 
-        State: the bytes and chain ends of the last positions, back to the last
-        boundary that all live chains share.
+        State: for each byte after the last id emitted, the token that ends there.
         """
-        ids, fits, most = self.ids, self.fits, self.max_token
-        text = bytearray()  # bytes after the last emitted boundary
-        ends: list[int] = [-1]  # ends[i]: token ending at i in the encoding of the first i bytes
-        last = -1  # the token before text
-        table, checked = self.table, 0
+        go, back, longest, shorter, sizes, known = self.next, self.back, self.longest, self.shorter, self.sizes, self.known
+        ends: list[int] = [-1]  # ends[0]: the token before the bytes that are kept
+        state, limit, window = 0, 4 * self.lookahead, self.lookahead
         for block in blocks:
             for byte in block:
-                text.append(byte)
-                n = len(text)
-                for size in range(min(most, n), 0, -1):
-                    token = ids.get(bytes(text[n - size :]))
-                    if token is None:
-                        continue
-                    before = ends[n - size] if size < n else last
-                    if (before < 0 and size == n) or (before >= 0 and fits[before, token]):
-                        ends.append(token)
-                        break
-                else:
-                    raise ValueError("the merge list leaves a byte without a token")
-                if n - checked >= 2 * most:
-                    checked = n
-                    done = self._shared(ends, n)
-                    if done:
-                        emitted = []
-                        at = done
-                        while at > 0:
-                            emitted.append(ends[at])
-                            at -= len(table[ends[at]])
-                        yield from reversed(emitted)
-                        last = ends[done]
-                        del text[:done]
-                        ends = [-1, *ends[done + 1 :]]
-                        checked = len(text)
-                    elif n > self.lookahead:
-                        raise ValueError("no stable token within the sufficient lookahead")
+                to = go.get(state << 8 | byte)
+                while to is None:
+                    state = back[state]
+                    to = go.get(state << 8 | byte)
+                state = to
+                token, n = longest[state], len(ends)
+                while True:
+                    at = n - sizes[token]
+                    if at >= 0:
+                        before = ends[at]
+                        if before < 0:
+                            if at == 0:
+                                break
+                        else:
+                            key = before << ID_BITS | token
+                            fit = known.get(key)
+                            if fit is None:
+                                fit = self._look(key, before, token)
+                            if fit:
+                                break
+                    token = shorter[token]
+                    if token < 0:
+                        raise ValueError("the merge list leaves a byte without a token")
+                ends.append(token)
+                if n > limit:  # tokens that end before the window are stable
+                    out = self._chain(ends, n)
+                    kept = n
+                    while kept > n - window:
+                        kept -= sizes[out.pop()]
+                    self.emitted += len(out)
+                    yield from out
+                    del ends[:kept]
+        out = self._chain(ends, len(ends) - 1)
+        self.emitted += len(out)
+        yield from out
+
+    def _look(self, key: int, a: int, b: int) -> bool:
+        fit = self.older.get(key)
+        if fit is None:
+            fit = self.fits(a, b)
+        if len(self.known) >= PAIRS // 2:  # two generations, so that memory is bounded
+            self.older = self.known.copy()
+            self.known.clear()
+        self.known[key] = fit
+        return fit
+
+    def _chain(self, ends: list[int], at: int) -> list[int]:
         out = []
-        at = len(text)
         while at > 0:
             out.append(ends[at])
-            at -= len(table[ends[at]])
-        yield from reversed(out)
-
-    def _shared(self, ends: list[int], n: int) -> int:
-        """The last position before the live window on which all live chains meet, or 0."""
-        live = set(range(max(0, n - self.max_token + 1), n + 1))
-        while len(live) > 1:
-            at = max(live)
-            live.discard(at)
-            if at == 0:
-                return 0
-            live.add(at - len(self.table[ends[at]]))
-        return live.pop()
-
-    def parts(self, text: str) -> Iterator[tuple[str, int]]:
-        """The plain stretches of a text and the special token after each (-1: none)."""
-        at = 0
-        if self.marks is not None and any(s in text for s in self.special):
-            for m in self.marks.finditer(text):
-                yield text[at : m.start()], self.special[m.group()]
-                at = m.end()
-        yield text[at:], -1
+            at -= self.sizes[ends[at]]
+        return out[::-1]
 
-    def encode(self, text: str | None) -> Iterator[bytes]:
-        """The ids as little-endian 32-bit integers, in blocks, while the text is read."""
-        for plain, mark in self.parts(text or ""):
-            at, n = 0, len(plain)
-            while at < n:
-                end = n
-                if n - at > CHUNK:
-                    end = plain.rfind(" ", at + 1, at + CHUNK)
-                    while end > at and plain[end - 1].isspace():
-                        end = plain.rfind(" ", at + 1, end)
-                    if end <= at:
-                        m = regex.compile(r"\S(?= )").search(plain, at + CHUNK)
-                        end = m.end() if m else n
-                yield self._stretch(plain[at:end])
-                at = end
+    def stream(self, text: str) -> Iterator[int]:
+        """The ids of any text, one pre-token after the other, each read in blocks."""
+        at = 0
+        found = self.marks.finditer(text) if self.marks is not None and any(s in text for s in self.special) else ()
+        for start, end, mark in chain(((m.start(), m.end(), self.special[m.group()]) for m in found), [(len(text), len(text), -1)]):
+            piece = text[at:start]  # blanks before a special token do not look past it
+            for m in self.split.finditer(piece):
+                a, b = m.span()
+                yield from self.transduce(piece[i : min(i + BLOCK, b)].encode() for i in range(a, b, BLOCK))
             if mark >= 0:
-                yield self._packed([mark])
+                yield mark
+            at = end
+
+    def _learn(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids: list[int] = []
+        ends = []
+        split, transduce = self.split.findall, self.transduce
+        for word in lead(words).to_pylist():
+            for t in split(word):
+                ids.extend(transduce((t.encode(),)))
+            ends.append(len(ids))
+        return np.array(ids, np.uint32), np.diff(np.array(ends, np.int64), prepend=0)
+
+    def encode_all(self, texts: pa.Array) -> Iterator[Iterator[bytes]]:
+        """For each text its ids as little-endian 32-bit integers, in blocks."""
+        texts = pc.fill_null(texts, "")
+        plain = regular(texts, list(self.special))
+        if (pc.max(pc.binary_length(texts)).as_py() or 0) > LONG:
+            plain &= ~pc.match_substring_regex(texts, LONG_WORD).to_numpy(zero_copy_only=False)
+        ids, counts = self.words.encode(texts.filter(pa.array(plain)))
+        raw, ends = ids.astype("<u4", copy=False).tobytes(), (4 * np.cumsum(counts)).tolist()
+        parts = iter(zip([0, *ends], ends, strict=False))
+        for p, t in zip(plain.tolist(), texts, strict=True):
+            if p:
+                a, b = next(parts)
+                yield (raw[i : min(i + 4 * BLOCK, b)] for i in range(a, b, 4 * BLOCK))
+            else:
+                yield self.encode(t.as_py())
 
-    def _stretch(self, s: str) -> bytes:
-        if self.odd.search(s):
-            return b"".join([self.pretokens[t] for t in self.split.findall(s)])
-        first, *rest = s.split(" ")
-        head = b"".join([self.pretokens[t] for t in self.split.findall(first)])
-        return head + b"".join(map(self.spaced.__getitem__, rest))
+    def encode(self, text: str | None) -> Iterator[bytes]:
+        """The ids of one text, read as a stream."""
+        ids = self.stream(text or "")
+        while block := list(islice(ids, BLOCK)):
+            yield np.array(block, "<u4").tobytes()
 
     def decode(self, blocks: Iterable[bytes]) -> Iterator[str]:
         """Text from blocks of ids: an unfinished character waits for its bytes."""
@@ -238,13 +310,13 @@ class Bpe:
         yield machine.decode(b"", True)
 
 
-def digest(bpe: Bpe, text: str | None) -> tuple[int, str, str]:
+def digest(bpe: Bpe, blocks: Iterable[bytes]) -> tuple[int, str, str]:
     """Number of ids, SHA-256 of the ids, SHA-256 of the text decoded from them."""
     ids, out, n = hashlib.sha256(), hashlib.sha256(), 0
 
     def seen() -> Iterator[bytes]:
         nonlocal n
-        for block in bpe.encode(text):
+        for block in blocks:
             ids.update(block)
             n += len(block) // 4
             yield block
@@ -262,10 +334,10 @@ def encode_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = kept_in_worker(("bpe", path), lambda: Bpe(path))
-        for batch in batches:
-            got = [digest(bpe, t.as_py()) for t in batch.column(len(names))]
+        for *rest, texts in gathered(batches):
+            got = [digest(bpe, blocks) for blocks in bpe.encode_all(texts)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(names)], pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.string())],
+                [*rest, pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.string())],
                 [*names, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
@@ -275,16 +347,10 @@ def encode_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 def encode_ids(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "token_ids") -> DataFrame:
     """All columns of ``docs`` and, as an array of ints, the ids of the text; a column ``out_col`` is replaced."""
 
-    def run(series: Iterator) -> Iterator:
-        import pandas as pd
-
+    def run(texts: pa.Array) -> pa.Array:
         bpe = kept_in_worker(("bpe", path), lambda: Bpe(path))
-        for s in series:
-            yield pd.Series([np.frombuffer(b"".join(bpe.encode(t)), "<u4").astype(np.int32) for t in s])
-
-    from collections.abc import Iterator as It
-
-    import pandas as pd
+        each = [np.frombuffer(b"".join(blocks), "<u4").astype(np.int32) for blocks in bpe.encode_all(texts)]
+        return pa.array(each, pa.list_(pa.int32()))
 
-    run.__annotations__ = {"series": It[pd.Series], "return": It[pd.Series]}
-    return docs.withColumn(out_col, F.pandas_udf(run, "array<int>")(F.col(text_col)))
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return docs.withColumn(out_col, F.arrow_udf(run, "array<int>")(F.col(text_col)))

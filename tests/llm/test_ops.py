@@ -4,6 +4,7 @@ import base64
 import codecs
 import collections
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -61,7 +62,7 @@ def texts(n, seed):
 
 def test_bpe_equals_the_library(tokenizer):
     codec = bpe.Bpe(PATH)
-    for s in [*texts(3000, 1), "a" * 700, "ab" * 400, "=" * 900, " " * 600, "中文" * 200, "word " * 30000, LONG]:
+    for s in [*texts(3000, 1), "a" * 700, "ab" * 400, "=" * 900, " " * 600, "中文" * 200, "word " * 30000, LONG, *blanks(500, 9)]:
         ids = tokenizer.encode(s, add_special_tokens=False).ids
         assert np.frombuffer(b"".join(codec.encode(s)), "<u4").tolist() == ids
         assert "".join(codec.decode([np.array(ids, "<u4").tobytes()])) == tokenizer.decode(ids, skip_special_tokens=False)
@@ -69,14 +70,76 @@ def test_bpe_equals_the_library(tokenizer):
 
 def test_transducer_is_exact_and_keeps_little(tokenizer):
     codec, r = bpe.Bpe(PATH), random.Random(2)
+    assert codec.lookahead < 1000
     for _ in range(60):
         s = "".join(r.choice("theaonrsl") for _ in range(r.randint(1, 900)))
         raw = s.encode()
         assert list(codec.transduce([raw[:7], raw[7:400], raw[400:]])) == tokenizer.encode(s, add_special_tokens=False).ids
-    widest = 0
-    for i, _ in enumerate(codec.transduce([b"abcde" * 4000])):
-        widest = max(widest, i)
-    assert widest > 100 and codec.lookahead >= codec.max_token
+    for s in ["abcde" * 4000, "".join(r.choice("theaonrsl") for _ in range(30000)), "a" * 30001, "=" * 20003]:
+        given, waiting = 0, [0]
+
+        def blocks():
+            for i in range(0, len(s), 100):  # noqa: B023
+                waiting.append(i - sum(codec.sizes[t] for t in ids))  # noqa: B023
+                yield s[i : i + 100].encode()  # noqa: B023
+
+        ids = []
+        for t in codec.transduce(blocks()):
+            ids.append(t)
+        assert ids == tokenizer.encode(s, add_special_tokens=False).ids
+        assert max(waiting) <= 5 * codec.lookahead + 200
+
+
+def test_every_id_comes_from_the_transducer():
+    codec = bpe.Bpe(PATH)
+    words_of = ["one two\nthree", "x  y", "<|endoftext|>a", "z" * 5000]
+    got = [b"".join(blocks) for blocks in codec.encode_all(pa.array(words_of))]
+    learnt = sum(len(g) for g in got) // 4
+    before = codec.emitted
+    assert before >= learnt - 1  # all but the special token
+    assert [b"".join(blocks) for blocks in codec.encode_all(pa.array(words_of[:1]))] == got[:1] and codec.emitted == before
+
+
+def toy_codec(folder, seed):
+    """A codec of a random merge list over three letters, and its merges as strings."""
+    r = random.Random(seed)
+    shown = {v: k for k, v in bpe.byte_alphabet().items()}
+    vocab = {shown[b]: b for b in range(256)}
+    tokens, merges = ["a", "b", "c"], []
+    while len(merges) < 14:
+        x, y = r.choice(tokens), r.choice(tokens)
+        if len(x + y) <= 6 and x + y not in vocab:
+            merges.append((x, y))
+            vocab[x + y] = len(vocab)
+            tokens.append(x + y)
+    path = folder / f"toy{seed}.json"
+    path.write_text(json.dumps({"model": {"type": "BPE", "vocab": vocab, "merges": [f"{x} {y}" for x, y in merges]}, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False}, "normalizer": None, "added_tokens": []}))
+    return bpe.Bpe(str(path)), merges, vocab
+
+
+def rule_by_rule(text, merges):
+    parts = list(text)
+    for x, y in merges:
+        i = 0
+        while i + 1 < len(parts):
+            if parts[i] == x and parts[i + 1] == y:
+                parts[i : i + 2] = [x + y]
+            i += 1
+    return parts
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_lookahead_is_sufficient(tmp_path, seed):
+    codec, merges, vocab = toy_codec(tmp_path, seed)
+    r = random.Random(seed)
+    for _ in range(150):
+        text = "".join(r.choice("abc") for _ in range(r.randint(1, 160)))
+        whole = rule_by_rule(text, merges)
+        assert list(codec.transduce([text.encode()])) == [vocab[t] for t in whole]
+        cut = r.randint(0, len(text))
+        ends = lambda parts: set(np.cumsum([len(p) for p in parts]).tolist())
+        stable = range(1, cut - codec.lookahead + codec.max_token + 1)  # the chain alone: max_token is for the last token
+        assert not {p for p in ends(whole) ^ ends(rule_by_rule(text[:cut], merges)) if p in stable}
 
 
 def test_decoder_keeps_unfinished_characters():
