@@ -1,17 +1,22 @@
 """Main text of web pages by a minimum cut.
 
 A page is read into blocks: runs of text between block-level tags, with the open
-elements around them.  A fixed linear classifier gives each block a cost of being
-called content and one of being called boilerplate; they become the capacities to
-the two terminals.  Neighbouring blocks are joined by smoothness edges, stronger
-the more of the element tree they share, and so is each block to the one before it
-that has the same parent.  The maximum flow separates content from boilerplate
-with the least total cost.
+elements around them.  A linear classifier gives each block its log odds of being
+content: evidence of its own text (length, marks, share of links), bounded by
+``TEXT``, and of the elements around it (their tags, names and roles).  The odds
+become the capacities to the two terminals.  Neighbouring blocks are joined by
+smoothness edges, stronger the more of the element tree they share, and so is each
+block to the one before it that has the same parent.  Edges between siblings are
+about as strong as what text alone can say, so a paragraph that is all link stays
+with the paragraphs around it, and a sentence in a list of links goes with the
+links; named elements (a menu, an advert) are borders that smoothness hardly crosses.
+The maximum flow separates content from boilerplate with the least total cost.
 
 Character references are decoded, white space inside a block becomes one space,
 blocks are trimmed and joined by a line end in page order.  Null and empty pages
-give an empty text.  Very long pages take time in proportion to their blocks for
-reading, and the flow works on integers with blocking flows.  Rows with a null
+give an empty text.  Reading takes time in proportion to the page, for deep,
+unclosed and malformed markup too: an element keeps what its ancestors say, open
+elements are found by name, and the flow works on bounded integers.  Rows with a null
 page_id, ties and repeated rows are each treated alone.  Extra columns are left out.
 """
 
@@ -19,7 +24,7 @@ from __future__ import annotations
 
 import re
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -27,30 +32,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Element names of HTML by their role.
-BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math object audio video canvas select head".split())
-ENDLESS = frozenset("script style textarea title xmp".split())  # of RAW: without a closing tag, these reach to the end of the page
-HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
-PLAIN = frozenset("p pre blockquote li dd dt td figcaption".split())
+BLOCK = frozenset(["address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"])
+VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"])
+RAW = frozenset(["script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "template", "select", "head"])  # scripts, styles, form fields, what is not shown
+ENDLESS = frozenset(["script", "style", "textarea", "title", "xmp"])  # of RAW: without a closing tag, these reach to the end of the page
+HEADING = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
+PLAIN = frozenset(["p", "pre", "blockquote", "li", "dd", "dt", "td", "figcaption"])
 CLOSES_P = BLOCK - frozenset(["html", "body"])
+ENDS = {"li": ["li"], "dt": ["dd", "dt"], "dd": ["dd", "dt"], "tr": ["tr", "td", "th"], "td": ["td", "th"], "th": ["td", "th"]}
 
 # Capacities of the classifier; integers, so that the flow is exact.
+TEXT = 45  # the most that text alone says, either way
+SMOOTH = (40, 36, 32, 16, 9, 6, 4)  # by the elements to climb from one block to the other
+SIBLING, BORDER = 16, 1
 TAG_COST = {"nav": -90, "footer": -90, "aside": -70, "form": -80, "menu": -80, "dialog": -80, "button": -80, "fieldset": -60, "label": -60, "header": -50, "article": 60, "main": 45}
 NAME_COST = [
-    (-75, "nav navbar navigation menu submenu breadcrumb breadcrumbs footer foot sidebar aside rail toolbar pagination pager"),
-    (-75, "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner outbrain taboola"),
-    (-75, "cookie cookies consent gdpr notice notices alert popup modal overlay toast newsletter subscribe subscription signup login paywall"),
-    (-75, "comment comments commentlist disqus reply replies respond discussion"),
-    (-65, "share sharing social related recommended recommendations widget tags byline author-box search skip copyright legal masthead header topbar"),
-    (25, "article articlebody content main post entry story text body hentry maincontent"),
+    (-75, ["nav", "navbar", "navigation", "menu", "submenu", "breadcrumb", "breadcrumbs", "footer", "foot", "sidebar", "aside", "rail", "toolbar", "pagination", "pager"]),
+    (-75, ["ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner", "outbrain", "taboola"]),
+    (-75, ["cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "toast", "newsletter", "subscribe", "subscription", "signup", "login", "paywall"]),
+    (-75, ["comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "discussion"]),
+    (-65, ["share", "sharing", "social", "related", "recommended", "recommendations", "widget", "tags", "byline", "search", "skip", "copyright", "legal", "masthead", "header", "topbar"]),
+    (25, ["article", "articlebody", "content", "main", "post", "entry", "story", "text", "body", "hentry", "maincontent"]),
 ]
-NAMES = {w: c for c, words in NAME_COST for w in words.split()}
+NAMES = {w: c for c, words in NAME_COST for w in words}
 ROLES = {"navigation": -90, "banner": -60, "contentinfo": -90, "complementary": -70, "search": -80, "form": -80, "dialog": -80, "alert": -70, "main": 45, "article": 60}
-INFINITE = 1 << 40
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden|aria-modal)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>", re.S)
+LAST = re.compile(r"<!--.*|<!\[CDATA\[.*|<[!?].*", re.S)  # what can begin after the last >
+ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 NAME = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 
 
@@ -73,11 +82,19 @@ def name_cost(tag: str, attributes: str) -> int:
 
 
 class Element:
-    __slots__ = ("cost", "depth", "parent", "tag")
+    """An open element, with what it and its ancestors say."""
+
+    __slots__ = ("best", "block", "cost", "depth", "inside", "parent", "tag", "worst")
 
     def __init__(self, tag: str, parent: Element | None, cost: int):
         self.tag, self.parent, self.cost = tag, parent, cost
-        self.depth = parent.depth + 1 if parent else 0
+        self.depth, self.worst, self.best, self.inside = (parent.depth + 1, parent.worst, parent.best, parent.inside) if parent else (0, 0, 0, False)
+        # a heading group at the head of an article is the article's own
+        if cost < 0 and not (tag == "header" and cost == TAG_COST["header"] and self.inside):
+            self.worst = min(self.worst, cost)
+        self.best = max(self.best, cost)
+        self.inside = self.inside or tag in ("article", "main")
+        self.block = self if parent is None or tag in BLOCK else parent.block
 
 
 class Block:
@@ -87,58 +104,70 @@ class Block:
         self.element, self.text, self.linked = element, text, linked
 
 
+class Stack:
+    """The open elements, found by name."""
+
+    def __init__(self) -> None:
+        self.open = [Element("html", None, 0)]
+        self.at: dict[str, list[int]] = {}
+        self.blocks = [0]  # places of the block-level ones
+
+    def push(self, tag: str, cost: int) -> None:
+        self.at.setdefault(tag, []).append(len(self.open))
+        if tag in BLOCK:
+            self.blocks.append(len(self.open))
+        self.open.append(Element(tag, self.open[-1], cost))
+
+    def cut(self, place: int) -> None:
+        """Closes the elements from ``place`` on."""
+        while len(self.open) > place:
+            self.at[self.open.pop().tag].pop()
+        while self.blocks[-1] >= place:
+            self.blocks.pop()
+
+    def last(self, tags: Iterable[str]) -> int:
+        """The place of the last open element of these tags, or 0."""
+        return max((places[-1] for places in map(self.at.get, tags) if places), default=0)
+
+
 def blocks_of(html: str) -> list[Block]:
     """The blocks of a page in order."""
-    root = Element("html", None, 0)
-    stack: list[Element] = [root]
+    stack = Stack()
     blocks: list[Block] = []
     parts: list[str] = []
     unclosed: set[str] = set()
-    linked = links = 0
-
-    def holder() -> Element:
-        for e in reversed(stack):
-            if e.tag in BLOCK:
-                return e
-        return root
+    linked = 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                blocks.append(Block(holder(), text, linked))
+                blocks.append(Block(stack.open[-1].block, text, linked))
             parts.clear()
             linked = 0
 
-    at, n = 0, len(html)
+    at, n, tags_end = 0, len(html), html.rfind(">")
     while at < n:
-        m = TOKEN.search(html, at)
+        m = (TOKEN if at <= tags_end else LAST).search(html, at)
         end = m.start() if m else n
         if end > at:
-            piece = html[at:end]
-            parts.append(piece)
-            if links:
-                linked += len(piece)
+            parts.append(html[at:end])
+            if stack.at.get("a"):
+                linked += end - at
         if not m:
             break
         at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        tag = (m[2] or m[5] or "").lower() if m.re is TOKEN else ""
         if not tag:
             continue
         closing, attributes = m[1] or m[4], m[3] or m[6] or ""
         if closing:
+            place = stack.last([tag])
             if tag in BLOCK:
                 flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    if any(e.tag in BLOCK for e in stack[k:]):
-                        flush()
-                    links -= sum(e.tag == "a" for e in stack[k:])
-                    del stack[k:]
-                    break
-                if tag not in BLOCK and stack[k].tag in BLOCK:
-                    break
+            if place and (tag in BLOCK or stack.blocks[-1] < place):  # a block ends an inline element, not the other way about
+                stack.cut(place)
             continue
         if tag in RAW and not attributes.rstrip().endswith("/"):
             close = None
@@ -156,75 +185,48 @@ def blocks_of(html: str) -> list[Block]:
         if tag in BLOCK:
             flush()
             if tag in CLOSES_P:  # an open paragraph ends here, and an item where the next begins
-                ends = {"li": "li", "dt": "dd dt", "dd": "dd dt", "tr": "tr td th", "td": "td th", "th": "td th"}.get(tag, "").split() + ["p"]
-                stops = ("ul", "ol", "dl", "table") if tag in ("li", "dt", "dd", "tr", "td", "th") else ("div", "section", "article", "li", "td", "th", "blockquote")
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag in ends:
-                        links -= sum(e.tag == "a" for e in stack[k:])
-                        del stack[k:]
-                        break
-                    if stack[k].tag in stops:
-                        break
+                stops = ("ul", "ol", "dl", "table") if tag in ENDS else ("div", "section", "article", "li", "td", "th", "blockquote")
+                place = stack.last([*ENDS.get(tag, ()), "p"])
+                if place > stack.last(stops):
+                    stack.cut(place)
         if tag in VOID or attributes.rstrip().endswith("/"):
             continue
-        if tag == "a":
-            links += 1
-        stack.append(Element(tag, stack[-1], name_cost(tag, attributes)))
+        stack.push(tag, name_cost(tag, attributes))
     flush()
     return blocks
 
 
 def score(block: Block) -> int:
-    """Above 0: content is likelier, below: boilerplate."""
-    worst = best = 0
-    inside = False
-    e: Element | None = block.element
-    while e is not None:
-        if e.cost < 0:
-            # a heading group at the head of an article is the article's own
-            own = e.tag == "header" and e.cost == TAG_COST["header"] and any(a.tag in ("article", "main") for a in up(e.parent))
-            if not own:
-                worst = min(worst, e.cost)
-        else:
-            best = max(best, e.cost)
-        inside = inside or e.tag in ("article", "main")
-        e = e.parent
-    n = len(block.text)
+    """Log odds: above 0 content is likelier, below boilerplate."""
+    e, n = block.element, len(block.text)
     density = min(1.0, block.linked / n)
     marks = sum(map(block.text.count, ".,;:!?"))
-    value = min(40, n // 12) + min(20, 2 * marks) + 2
-    if block.element.tag in HEADING:
+    value = min(TEXT - 5, n // 8) + min(20, 2 * marks) + 2
+    if e.tag in HEADING:
         value = max(value, 6)
-    if block.element.tag in PLAIN:
+    if e.tag in PLAIN:
         value += 8
-    value -= round(90 * density) if not inside or n > 40 and density > 0.6 else round(20 * density)
-    if worst:
-        return worst * 2 + min(value, 0)
-    return value + best
-
-
-def up(e: Element | None) -> Iterator[Element]:
-    while e is not None:
-        yield e
-        e = e.parent
+    value -= round(90 * density) if not e.inside or n > 40 and density > 0.6 else round(20 * density)
+    value = max(-TEXT, min(TEXT, value))
+    return e.worst * 2 + min(value, 0) if e.worst else value + e.best
 
 
 def closeness(a: Element, b: Element) -> int:
     """Smoothness of two neighbours: by the elements to climb to the one that holds both.
 
-    An element on the way that says what it is (a menu, an advert) is a boundary.
+    An element on the way that says what it is (a menu, an advert) is a border.
     """
     climbs = 0
     while a is not b:
         low = a if a.depth >= b.depth else b
         climbs += 1
-        if climbs > 6 or low.cost:
-            return 1
+        if climbs >= len(SMOOTH) or low.cost:
+            return BORDER
         if low is a:
             a = a.parent or a
         else:
             b = b.parent or b
-    return (16, 14, 12, 6, 4, 3, 2)[climbs]
+    return SMOOTH[climbs]
 
 
 def min_cut(sources: list[int], sinks: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
@@ -305,8 +307,8 @@ def main_blocks(html: str | None) -> list[str]:
     last: dict[int, int] = {}
     for i, b in enumerate(blocks):
         parent = id(b.element.parent)
-        if parent in last and last[parent] != i - 1:
-            edges.append((last[parent], i, 6))
+        if parent in last and last[parent] != i - 1 and not b.element.cost:
+            edges.append((last[parent], i, SIBLING))
         last[parent] = i
     stays = min_cut([max(0, s) for s in scores], [max(0, -s) for s in scores], edges)
     return [b.text for b, keep in zip(blocks, stays, strict=True) if keep]

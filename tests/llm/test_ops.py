@@ -7,6 +7,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -423,6 +424,53 @@ PAGE = """<html><head><title>T</title><script>var a="</p>";</script></head><body
 <footer><p>&copy; 2020, all rights reserved, by us.</p></footer></body></html>"""
 
 
+P1 = "The committee met on Tuesday, and after two hours of debate it agreed, by a narrow margin, to fund the bridge."
+P2 = "Work is to begin in the spring, the mayor said, once the river has fallen; it should last about two years."
+LINKED = "<a href=x>The full report of the committee on the bridge</a>"
+#: Pages of several makes, and what an editor would keep; one block of each has evidence of its own against it.
+TEMPLATES = {
+    "unnamed boxes, a paragraph that is a link": (
+        f"<body><div><div><a href=1>Home</a></div><div><a href=2>News</a></div><div><a href=3>Sport</a></div></div><div><p>{P1}</p><p>{LINKED}</p><p>{P2}</p></div></body>",
+        [P1, "The full report of the committee on the bridge", P2],
+    ),
+    "unnamed boxes, a sentence among links": (
+        f"<body><div><div><a href=1>Home</a></div><div><a href=2>News</a></div><div>Welcome, dear reader.</div><div><a href=3>Sport</a></div><div><a href=4>Town and country</a></div></div><div><p>{P1}</p><p>{P2}</p></div></body>",
+        [P1, P2],
+    ),
+    "a table as a frame": (
+        f"<table><tr><td><div><a href=1>Home</a></div><div>See also:</div><div><a href=2>Archive of the year</a></div></td><td><div><p>{P1}</p><p>{LINKED}</p><p>{P2}</p></div></td></tr></table>",
+        [P1, "The full report of the committee on the bridge", P2],
+    ),
+    "sections with a list of links that belongs to the text": (
+        f"<body><nav><a href=1>Home</a></nav><div id=content><section><h2>Sources</h2><p>{P1}</p><p>{LINKED}</p><p>{P2}</p></section></div><div class=footer-links><p>{P2}</p></div></body>",
+        ["Sources", P1, "The full report of the committee on the bridge", P2],
+    ),
+}
+
+
+@pytest.mark.parametrize("name", TEMPLATES)
+def test_cut_overrules_scores(name):
+    html, want = TEMPLATES[name]
+    by_score = [b.text for b in html_text.blocks_of(html) if html_text.score(b) > 0]
+    assert html_text.main_blocks(html) == want and by_score != want
+
+
+def test_html_keeps_inline_content():
+    page = "<article><p>The value of <math><mi>x</mi></math> is set, see <svg><text>fig</text></svg>.</p><object><p>Kept, as it is shown.</p></object><select><option>no</option></select></article>"
+    assert html_text.main_text(page) == "The value of x is set, see fig.\nKept, as it is shown."
+
+
+@pytest.mark.parametrize("piece", ["<div>x", "<a ", "<span>x", "<b><i>x</b>", "<ul><li>x", "<table><td>x", "<!-- x", '<a ">\'', "<b><hr>x"])
+def test_html_time_is_linear(piece):
+    def seconds(n):
+        began = time.process_time()
+        html_text.main_text(piece * n)
+        return time.process_time() - began
+
+    seconds(2000)
+    assert min(seconds(32000) for _ in range(2)) < 0.02 + 9 * max(seconds(8000) for _ in range(3))
+
+
 def test_html(spark, small):
     assert html_text.main_text(PAGE) == "Title & more\nShort.\nA link in text, which is long enough.\none\ntwo"
     assert html_text.main_text(None) == "" and html_text.main_text("<p>") == ""
