@@ -14,9 +14,11 @@ Equal vectors of a shard are one node with a list of identifiers, so a vector th
 a third of all rows share takes one place in each graph; its list is read in order
 and cut at k, which loses nothing from a merged list of k.
 
-Stored graphs meet the queries in blocks of ``BLOCK``; each shard gives k for each
-query and the lists are merged by (score, id).  Scores are cosines in double
-precision of the original vectors.
+Queries go to the shards in blocks of about ``BLOCK_BYTES``, the size of a graph, so
+a graph is loaded once for each block and the queries, not the graphs, are what is
+copied; each shard gives k for each query and the lists are merged by (score, id).
+Scores are cosines in double precision; vectors are scaled by powers of two first,
+which changes no digit, so that squares neither overflow nor vanish.
 
 Vectors that are null, empty, of zero length, or hold a null or a non-finite
 component take no part, neither as queries nor as candidates; nor do null
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-SHARD, WIDTH, BREADTH, BLOCK, POOL = 8192, 16, 192, 256, 64
+SHARD, WIDTH, BREADTH, BLOCK_BYTES, POOL = 8192, 16, 192, 8 << 20, 64
 
 
 def mixed(ids: np.ndarray) -> np.ndarray:
@@ -48,6 +50,11 @@ def mixed(ids: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component to [0.5, 1)."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(-1, keepdims=True))[1])
+
+
 def thin(row: np.ndarray, near: np.ndarray, among: np.ndarray, width: int) -> list[int]:
     """Of candidates in order of nearness, those nearer to the node than to those chosen."""
     chosen: list[int] = []
@@ -137,7 +144,7 @@ class Graph:
         by_node = np.argsort(node, kind="stable")
         starts = np.searchsorted(node[by_node], np.arange(len(first) + 1))
         ids = ids[by_node]
-        vectors = vectors[by_node][starts[:-1]]
+        vectors = scaled(vectors[by_node][starts[:-1]])
         graph = cls(vectors.shape[1], ids, starts, vectors, [])
         level = np.floor(-np.log((mixed(ids[starts[:-1]]) >> np.uint64(11)).astype(np.float64) / 2**53 + 1e-18) / np.log(WIDTH)).astype(int)
         for k in range(int(level.max()) + 1):
@@ -147,6 +154,7 @@ class Graph:
 
     def search(self, query: np.ndarray, k: int, breadth: int) -> list[tuple[int, float]]:
         """Up to k (id, cosine), nearest first, ties to the smaller id."""
+        query = scaled(query)
         q = (query / np.sqrt((query**2).sum())).astype(np.float32)
         unit = self.unit
         at = int(self.levels[-1][0][0])
@@ -160,7 +168,7 @@ class Graph:
                     break
                 sims = unit[members[row]] @ q
                 j = int(sims.argmax())
-                if sims[j] <= best:
+                if not sims[j] > best:
                     break
                 best, here = float(sims[j]), int(row[j])
             at = int(members[here])
@@ -231,11 +239,11 @@ def build_index(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddi
 def search_index(index: DataFrame, queries: DataFrame, k: int = 5, breadth: int = BREADTH, skip_self: bool = True) -> DataFrame:
     """query_id, rank, vec_id, score; queries: id and v.  With skip_self, a query's own id is no candidate."""
     index = cut(index, "index")
-    stats = queries.count()
-    blocks = max(1, -(-stats // BLOCK))
-    grouped = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("dim", F.size("v")).groupBy("block", "dim").agg(F.collect_list(F.struct("id", "v")).alias("queries"))
-    shards = index.select("shard", "dim")
-    tasks = grouped.join(shards, "dim").join(index, ["shard", "dim"])
+    queries = queries.withColumn("dim", F.size("v"))
+    blocks = queries.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) * F.col("dim") * 8 / F.lit(BLOCK_BYTES)).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    grouped = queries.join(blocks, "dim").groupBy("dim", block.alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("queries"))
+    tasks = grouped.join(index.select("shard", "dim"), "dim").join(index, ["shard", "dim"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

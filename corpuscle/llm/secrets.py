@@ -12,7 +12,8 @@ are suppressed.
 
 Positions are code points.  They come from the gaps between matches: the lengths
 of gaps and matches are summed within blocks of ``BLOCK`` and over the blocks, so
-that a text with very many matches takes near-linear time.
+that a text with very many matches takes near-linear time; a long candidate takes
+time in proportion to its characters.
 
 Null and empty texts have no spans.  Rows with a null identifier, ties and repeated
 rows are scanned each for itself.  Extra columns are left out of the result.
@@ -22,7 +23,8 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 WINDOW, BLOCK = 20, 256
 THRESHOLDS = {"hex": 3.0, "any": 3.7}
@@ -66,22 +68,28 @@ def with_matches(rows: DataFrame, pattern: str, group: int, name: str) -> DataFr
     )
 
 
-def entropy_of(value: str) -> str:
-    """SQL for the largest entropy of a window of the string ``value``."""
-    table = "array(" + ", ".join(f"{c * math.log2(c) if c else 0.0!r}D" for c in range(WINDOW + 1)) + ")"
-    code = f"ascii(substr({value}, {{i}}, 1))"
-    move = "transform(acc.c, (n, k) -> CASE WHEN inn = out THEN n WHEN k = inn THEN n + 1 WHEN k = out THEN n - 1 ELSE n END)"
-    # the sum of c * log2(c) of the window; out = -1 while the first window fills
-    change = "IF(inn = out, 0D, f[acc.c[inn] + 1] - f[acc.c[inn]] + IF(out < 0, 0D, f[acc.c[out] - 1] - f[acc.c[out]]))"
-    change = change.replace("acc.c[out]", "acc.c[greatest(out, 0)]")
-    step = (
-        f"element_at(transform(array(named_struct('inn', {code.format(i='i')}, 'out', IF(i > {WINDOW}, {code.format(i=f'greatest(i - {WINDOW}, 1)')}, -1))), io -> "
-        f"element_at(transform(array(acc.s + {change}), s2 -> named_struct('c', {move}, 's', s2, 'best', IF(i >= {WINDOW}, least(acc.best, s2), acc.best))), 1)), 1)"
-    )
-    step = step.replace("inn =", "io.inn =").replace("= inn", "= io.inn").replace("[inn]", "[io.inn]").replace("= out", "= io.out").replace("out <", "io.out <").replace("greatest(out", "greatest(io.out").replace("f[", f"{table}[")
-    start = "named_struct('c', array_repeat(0, 128), 's', 0D, 'best', 1e9D)"
-    least = f"aggregate(sequence(1, length({value})), {start}, (acc, i) -> {step}, acc -> acc.best)"
-    return f"({math.log2(WINDOW)!r}D - {least} / {WINDOW})"
+def entropy_of(value: Column) -> Column:
+    """The largest entropy of a window of the string ``value``.
+
+    The state holds the count of each character in the window and the sum of
+    c * log2(c) over these counts; a character that leaves takes one count down, one
+    that comes takes one up, and both correct the sum.
+    """
+    table = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(WINDOW + 1)])
+    let = lambda x, body: F.element_at(F.transform(F.array(x), body), 1)  # noqa: E731  evaluated once, then read by place
+    codes = F.transform(F.regexp_extract_all(value, F.lit("(?s)."), F.lit(0)), F.ascii)
+    moves = let(codes, lambda cs: F.transform(cs, lambda c, i: F.struct(c.alias("comes"), F.get(cs, i - WINDOW).alias("goes"), (i >= WINDOW - 1).alias("full"))))
+
+    def step(acc: Column, m: Column) -> Column:
+        comes, goes, counts = m["comes"], m["goes"], acc["counts"]
+        gone = F.coalesce(F.get(table, F.get(counts, goes) - 1) - F.get(table, F.get(counts, goes)), F.lit(0.0))
+        left = F.get(counts, comes) - F.coalesce((comes == goes).cast("int"), F.lit(0))
+        total = acc["total"] + gone + F.get(table, left + 1) - F.get(table, left)
+        moved = F.transform(counts, lambda n, k: n + F.when(k == comes, 1).otherwise(0) - F.when(k == goes, 1).otherwise(0))
+        return let(total, lambda t: F.struct(moved.alias("counts"), t.alias("total"), F.when(m["full"], F.least(acc["least"], t)).otherwise(acc["least"]).alias("least")))
+
+    start = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("total"), F.lit(1e9).alias("least"))
+    return F.lit(math.log2(WINDOW)) - F.aggregate(moves, start, step, lambda acc: acc["least"]) / WINDOW
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresholds: dict[str, float] | None = None, allow: tuple[str, ...] = ALLOW) -> DataFrame:
@@ -94,8 +102,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     allowed = " OR ".join(f"m.v RLIKE {quoted(p)}" for p in allow) or "false"
     overlap = " OR ".join(f"exists({name}, b -> b.s < m.e AND m.s < b.e)" for name, *_ in KINDS)
     rows = rows.selectExpr("*", f"filter(cand, m -> m.v RLIKE '[0-9]' AND m.v RLIKE '[A-Za-z]' AND NOT ({allowed}) AND NOT ({overlap})) AS open").drop("cand")
-    limit = f"IF(m.v RLIKE '^[0-9a-fA-F]+$', {th['hex']!r}D, {th['any']!r}D)"
-    rows = rows.selectExpr("*", f"filter(open, m -> {entropy_of('m.v')} >= {limit} - 1e-9D) AS entropy").drop("open")
+    limit = lambda v: F.when(v.rlike("^[0-9a-fA-F]+$"), th["hex"]).otherwise(th["any"])
+    rows = rows.withColumn("entropy", F.filter("open", lambda m: entropy_of(m["v"]) >= limit(m["v"]) - 1e-9)).drop("open")
     tagged = lambda name, k: f"transform({name}, m -> named_struct('s', m.s, 'k', {k}, 'e', m.e))"
     names = [name for name, *_ in KINDS]
     base = "array_sort(concat(" + ", ".join(tagged(n, k) for k, n in enumerate(names)) + "))"

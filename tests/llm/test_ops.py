@@ -373,6 +373,22 @@ def test_secrets(spark, edge, empty):
     assert secrets.scan(edge).count() == len(ROWS) and secrets.scan(empty).count() == 0
 
 
+def test_long_candidates_take_linear_time(spark):
+    r = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    value = lambda n: "".join(r.choices("ab1", k=n - 40) + r.choices(letters, k=40))
+    short, long = [(1, value(10_000))], [(1, value(80_000))]
+
+    def seconds(rows):
+        began = time.perf_counter()
+        got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert list(got[0])[1:] == brute_secrets(rows[0][1])
+        return time.perf_counter() - began
+
+    seconds(short)
+    assert seconds(long) < 2 + 12 * seconds(short)
+
+
 # WARC
 
 
@@ -554,3 +570,15 @@ def test_nearest(spark):
         for j, c in near:
             assert c == pytest.approx(vectors[q] @ vectors[j] / np.linalg.norm(vectors[q]) / np.linalg.norm(vectors[j]), abs=1e-12)
     assert ann.nearest(df.limit(0)).count() == 0
+
+
+def test_nearest_of_tiny_and_huge_vectors(spark):
+    r = np.random.default_rng(9)
+    rows = [(i, (r.normal(size=8) * s).tolist()) for i, s in enumerate([1e-200, 1e200, 1e-310, 1.0, 1e300] * 24)]
+    got = {(x.query_id, x.rank): x for x in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    plain = [(i, ann.scaled(np.array(v)).tolist()) for i, v in rows]
+    want = brute_nearest(plain)
+    assert len(got) == 15
+    for q, near in want.items():
+        assert [got[q, k].vec_id for k in range(1, 6)] == [j for j, _ in near]
+        assert [got[q, k].score for k in range(1, 6)] == pytest.approx([c for _, c in near], abs=1e-6 if q % 5 == 2 else 1e-12)
