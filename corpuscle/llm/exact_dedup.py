@@ -1,15 +1,20 @@
-"""Exact duplicates by a tree merge of digest runs, with DataFrame functions only.
+"""Exact duplicates by a tree merge of sorted digest runs, with DataFrame functions only.
 
-Every row belongs to one of ``RUNS`` runs, by a hash of its identifier.  A run
-holds one entry for each digest: the identifier that stays and the number of
-rows.  Runs are merged ``FAN`` at a time in binomial rounds (64, 8, 1), and at
-every level an entry keeps the best identifier, so a digest that a third of all
-rows share is reduced to 64 entries before anything meets.  The decisions go down
-the same tree: an entry meets at most ``FAN`` entries of the level below, and a
-hot digest stays spread over all runs.
+Every row belongs to a run, by a hash of its identifier (of its place in the table,
+if that is null).  A run is sorted by digest and holds one entry for each: the
+identifier that stays, and the number of rows.  Runs are merged ``FAN`` at a time in
+binomial rounds (64, 8, 1): the entries of the runs of a round meet by range of their
+keys, are merged in order and adjacent entries of one key become one, which keeps the
+better identifier.  Identifiers are compared as structs, which Spark aggregates by
+sorting and merging, before an exchange and after it; each round is stored in order.
+There are 64 runs, and ``FAN`` times as many for as long as a run would hold more than
+``RUN_ROWS`` rows, so a digest that a third of all rows share is reduced run by run
+and spread over all of them on the way back: the decisions go down the same tree, in
+which an entry meets at most ``FAN`` entries of the level below.
 
 An entry's key is the digest, the byte length and a second, unrelated hash of the
-text; rows are equal only if all three are (the check of the digest).
+text; rows are equal only if all three are (the check of the digest, made again at
+every level).
 
 Null texts count as empty.  Rows with a null identifier are kept in the result
 with their group; a group of null identifiers alone has a null keep_id, and its
@@ -24,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, without
 
-RUNS, FAN = 64, 8
+FAN, LEVELS, MOST_LEVELS, RUN_ROWS = 8, 2, 6, 1 << 20
 KEY = ["__digest", "__bytes", "__second"]
 
 
@@ -32,22 +37,26 @@ def digest_key(data: Column, digest: Column) -> list[Column]:
     return [digest.alias(KEY[0]), F.octet_length(data).cast("long").alias(KEY[1]), F.xxhash64(data).alias(KEY[2])]
 
 
-def tree_keep(rows: DataFrame, id_col: str, largest: bool = True) -> DataFrame:
+def tree_keep(rows: DataFrame, id_col: str, largest: bool = True, run_rows: int = RUN_ROWS) -> DataFrame:
     """``rows`` (id_col, KEY and others) with keep_id and group_size of each row's key."""
-    best = F.max if largest else F.min
-    rows = cut(rows.withColumn("__run", F.pmod(F.xxhash64(F.col(id_col)), F.lit(RUNS)).cast("int")), "rows")
-    level = rows.groupBy("__run", *KEY).agg(best(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    levels = [cut(level, "level0")]
-    width = RUNS
-    while width > 1:
-        width = -(-width // FAN)
-        level = levels[-1].groupBy((F.col("__run") / FAN).cast("int").alias("__run"), *KEY).agg(best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-        levels.append(cut(level, f"level{len(levels)}"))
+    better, key = F.max if largest else F.min, F.col(id_col)
+    spread = F.xxhash64(F.coalesce(key.cast("string"), F.monotonically_increasing_id().cast("string")))
+    rows = cut(rows.withColumn("__spread", F.pmod(spread, F.lit(FAN**MOST_LEVELS)).cast("int")), "rows")
+    n, depth = rows.count(), LEVELS
+    while depth < MOST_LEVELS and n > run_rows * FAN**depth:
+        depth += 1
+    rows = rows.withColumn("__run", F.col("__spread") % FAN**depth).drop("__spread")
+    entries = rows.select("__run", *KEY, F.when(key.isNotNull(), F.struct(key.alias("id"))).alias("kept"), F.lit(1).cast("long").alias("group_size"))
+    levels = []
+    for k in range(depth + 1):
+        merged = entries.groupBy("__run", *KEY).agg(better("kept").alias("kept"), F.sum("group_size").alias("group_size"))
+        levels.append(cut(merged.sortWithinPartitions("__run", *KEY), f"level{k}"))
+        entries = levels[-1].withColumn("__run", F.floor(F.col("__run") / FAN).cast("int"))
     known = levels.pop()
     while levels:
-        below = levels.pop().select("__run", *KEY, (F.col("__run") / FAN).cast("int").alias("__up"))
+        below = levels.pop().select("__run", *KEY, F.floor(F.col("__run") / FAN).cast("int").alias("__up"))
         known = below.join(known.withColumnRenamed("__run", "__up"), ["__up", *KEY]).drop("__up")
-    return rows.join(known, ["__run", *KEY]).drop("__run")
+    return rows.join(known.select("__run", *KEY, F.col("kept.id").alias("keep_id"), "group_size"), ["__run", *KEY]).drop("__run")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", largest: bool = True) -> DataFrame:

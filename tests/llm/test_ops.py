@@ -229,6 +229,22 @@ def test_exact_groups(edge, empty):
     assert least == {1: 1, 2: 1}
 
 
+def test_tree_merges_sorted_runs(spark):
+    r = random.Random(10)
+    rows = [(i if r.random() < 0.7 else None, f"t{r.randint(0, 40) if r.random() < 0.6 else 0}") for i in range(3000)]
+    keyed = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", *exact_dedup.digest_key(F.col("text"), F.unhex(F.sha2(F.col("text").cast("binary"), 256))))
+    want = collections.defaultdict(list)
+    for i, t in rows:
+        want[t].append(i)
+    for largest, run_rows in ((True, 1 << 20), (False, 1 << 20), (True, 3), (False, 3)):  # 64 runs, and as many as 3 rows ask for
+        best = max if largest else min
+        for x in exact_dedup.tree_keep(keyed, "doc_id", largest, run_rows).collect():
+            ids = [i for i in want[x.text] if i is not None]
+            assert (x.keep_id, x.group_size) == (best(ids, default=None), len(want[x.text]))
+    plan = exact_dedup.tree_keep(keyed, "doc_id").select("keep_id")._jdf.queryExecution().toString()
+    assert "Python" not in plan
+
+
 # near duplicates
 
 
