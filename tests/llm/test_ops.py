@@ -543,6 +543,56 @@ def test_toxicity_learns_sentences(spark):
     assert kept.columns == docs.columns and kept.count() == sum(1 - x.predicted for x in got)
 
 
+def bags_of(texts_of, toxic):
+    packed = toxicity.Packed()
+    return toxicity.Bags.of([(*map(np.array, toxicity.sentences(t, packed)), y) for t, y in zip(texts_of, toxic, strict=True)])
+
+
+def test_toxicity_gradient_and_scores_by_brute_force():
+    r = random.Random(11)
+    some = ["idiot", "fool,", "Bridge", "river", "ab", "abc", "!!", "été"]
+    rows = ["".join(r.choice(some) + r.choice([" ", " ", ". ", "\n"]) for _ in range(r.randint(0, 14))) for _ in range(40)]
+    toxic = [int("idiot" in t or "fool" in t) for t in rows]
+    bags, rng = bags_of(rows, toxic), np.random.default_rng(1)
+    model = toxicity.Model(rng.normal(size=1 << toxicity.BITS).astype(np.float32), -1.5)
+    w, weight, every = model.weights.astype(float), toxicity.class_weights(bags.toxic, 0.3), np.ones(1 << toxicity.BITS)
+
+    def probability(text, w, b):  # sentence by sentence, word by word
+        rest = 1.0
+        for part in re.split(r"[.!?\n]", text):
+            if part.split():
+                rest *= 1 - 1 / (1 + np.exp(-sum(w[f] for piece in part.split() for f in toxicity.features(piece)) - b))
+        return 1 - rest
+
+    def loss(w, b):
+        return sum(c * -np.log(max(probability(t, w, b) if y else 1 - probability(t, w, b), 1e-9)) for t, y, c in zip(rows, toxic, weight, strict=True))
+
+    got, g, gb = toxicity.gradient(bags, w, model.bias, weight, every)
+    assert got == pytest.approx(loss(w, model.bias), rel=1e-6)
+    step = 1e-5
+    assert gb == pytest.approx((loss(w, model.bias + step) - loss(w, model.bias - step)) / (2 * step), rel=1e-4)
+    for f in {f for p in some for f in toxicity.features(p)}:
+        up, down = w.copy(), w.copy()
+        up[f] += step
+        down[f] -= step
+        assert g[f] == pytest.approx((loss(up, model.bias) - loss(down, model.bias)) / (2 * step), rel=1e-3, abs=1e-7)
+    words_of = toxicity.Words(model)
+    for t in rows:
+        assert toxicity.score(t, words_of, model.bias)[0] == pytest.approx(probability(t, w, model.bias), abs=1e-9)
+    learnt = toxicity.fit(bags, 0.3)
+    last, _, _ = toxicity.gradient(bags, learnt.weights.astype(float), learnt.bias, weight, every)
+    assert last < toxicity.gradient(bags, w * 0, -1.0, weight, every)[0]
+
+
+def test_toxicity_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i % 40, f"word{i} one two three. four") for i in range(4000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    rows, share = toxicity.examples(docs, labels, 30)
+    assert len(rows) == 60 and sum(r[2] for r in rows) == 30 and 0 < share < 1
+    rows, _ = toxicity.examples(docs, labels, 30, 52)
+    assert [sum(len(r[0]) for r in rows if r[2] == c) for c in (0, 1)] == [50, 50]
+
+
 def test_toxicity_edges(spark, edge, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.toxicity(edge, none).collect()
