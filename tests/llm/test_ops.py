@@ -3,6 +3,7 @@
 import base64
 import codecs
 import collections
+import gzip
 import hashlib
 import json
 import random
@@ -414,7 +415,7 @@ def test_arc_to_warc(version):
     raw = warc.arc_head(version) + b"".join(warc.arc_line(u, len(p), "20240102030405", version=version).encode() + p + b"\n" for u, p in pages)
     records = list(warc.parse_arc(raw))
     assert [r.payload for r in records] == [p for _, p in pages] and records[0].fields["URL"] == "http://a/b%20c"
-    out = b"".join(warc.to_warc(r, str(i)) + b"\r\n\r\n" for i, r in enumerate(records))
+    out = b"".join(map(warc.to_warc, records))
     for (f, block), (_, p) in zip(warc.parse_warc(out), pages, strict=True):
         assert block == p and f["warc-date"] == "2024-01-02T03:04:05Z"
         assert f["warc-payload-digest"] == "sha1:" + base64.b32encode(hashlib.sha1(p).digest()).decode()
@@ -422,6 +423,31 @@ def test_arc_to_warc(version):
         list(warc.parse_arc(b"http://a 0.0.0.0 20240101000000 text/html 10\nabc"))
 
 
+@pytest.mark.parametrize("version", [1, 2])
+def test_convert_arc_files(spark, tmp_path, version):
+    """ARC files as a crawler leaves them, plain and packed, any bytes, with and without HTTP headers."""
+    bodies = [b"\xff\xfe\x00 no utf-8", b"", b"x" * 100, b"\r\n\r\nWARC/1.1\r\n", b"x" * 100, bytes(range(256)) * 40]
+    messages = [warc.http_message(b, str(i)) if i != 3 else b for i, b in enumerate(bodies)]
+    lines = [warc.arc_line(f"http://h/{i}", len(m), "20010203040506", version=version).encode() + m + b"\n" for i, m in enumerate(messages)]
+    arc, out = tmp_path / "arc", tmp_path / "warc"
+    arc.mkdir()
+    (arc / "a.arc").write_bytes(warc.arc_head(version) + b"".join(lines[:2]))
+    (arc / "b.arc.gz").write_bytes(b"".join(map(gzip.compress, [warc.arc_head(version), *lines[2:]])))
+    warc.convert(spark, str(arc), str(out))
+    got = {r.url: r for r in warc.read_archive(spark, str(out)).collect()}
+    for i, b in enumerate(bodies):
+        r = got[f"http://h/{i}"]
+        assert (r.payload_bytes, r.payload_digest, r.date) == (len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "2001-02-03T04:05:06Z")
+        assert (r.page_id, r.record_type, r.refers_to) == (None if i == 3 else i, "revisit" if i == 2 else "response", 4 if i == 2 else None)
+
+
+def test_files_are_bounded_by_bytes():
+    files = list(warc.to_files((bytes([i]) * 1000 for i in range(100)), b"head", 10_000))
+    assert [len(gzip.decompress(f)) for f in files] == [10_004] * 10
+    assert gzip.decompress(files[0] + b"\0") == gzip.decompress(files[0])
+    assert list(warc.to_files(iter(()), b"head")) == []
+
+
 def test_archive(spark, small):
     rows = [(1, "http://a", "<p>x</p>"), (2, "http://b", "<p>x</p>"), (3, None, None), (4, "u", ""), (None, "n", "<p>x</p>"), (5, "v", "\r\n\r\nWARC/1.1 é"), (5, "w", "<p>x</p>")]
     pages = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, key string")
