@@ -73,13 +73,13 @@ def without(docs: DataFrame, gone: DataFrame, **keys: Column) -> DataFrame:
 SALTS = 16
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
-    """A join on ``key`` in which the rows of one key of ``left`` go to SALTS tasks by ``spread``.
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """A join on ``key`` in which the rows of one key of ``left`` go to ``salts`` tasks by ``spread``.
 
     ``right``, which has few rows a key, is repeated for each salt.
     """
-    left = left.withColumn("__salt", F.pmod(F.xxhash64(F.col(spread)), F.lit(SALTS)).cast("int"))
-    right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    left = left.withColumn("__salt", F.pmod(F.xxhash64(F.col(spread)), F.lit(salts)).cast("int"))
+    right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [key, "__salt"], how).drop("__salt")
 
 

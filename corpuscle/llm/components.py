@@ -4,7 +4,12 @@ A round joins every node's larger neighbours to its least neighbour (large star)
 then its smaller neighbours to the least of them (small star), until nothing
 changes; what is left is a star about the least node of each component.  A hot
 node's neighbours are spread by salt.  Each round is a written table, so that no
-lineage grows, and only a count and a checksum reach the driver.
+lineage grows, and only a count and a checksum reach the driver; tables of earlier
+rounds are deleted.
+
+Pairs of a node with itself and pairs with a null are left out; repeated pairs and
+pairs in either order count once.  An empty table gives an empty result.  Columns
+beside a and b are left out.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, salted_join
+from .common import cut, discard, salted_join
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -28,7 +33,8 @@ def components(pairs: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = cut(small.distinct(), "small")
+        before, edges = edges, cut(small.distinct(), "small")
+        discard(before, large)
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == state:
             break

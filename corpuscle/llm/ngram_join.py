@@ -6,7 +6,9 @@ Two documents link if ``100 * |x & y| >= PERCENT * |x | y|``.
 
 1. Sets are counted into a sketch of 2 ** BITS counters over all documents (one
    size for any table); (counter, hash) is a total order of shingles with frequent
-   ones last.  Equal sets are one node from here on.
+   ones last.  Sets whose 128-bit digests and sizes are equal are one node from here
+   on.  A node is named by half of its digest, or by the other half where two nodes
+   have the first in common.
 2. The matrix keeps, of each row, the first |x| - ceil(t |x|) + 1 entries of that
    order: linked rows share one of these.  Its columns (blocks) with one row are
    dropped.
@@ -15,20 +17,24 @@ Two documents link if ``100 * |x & y| >= PERCENT * |x | y|``.
    smallest by hash.  Overlap counts are summed over blocks; pairs whose count is
    below the bound that the two sizes imply wait.  The others are compared exactly
    and give the first components: a group of n near copies costs O(n) comparisons.
-4. Blocks that still hold several components are multiplied out across components.
-   With o = ceil(t / (1 + t) (|x| + |y|)), linked sets share a first entry whose
-   place is |x| - o or less in x and |y| - o or less in y, and share
-   o - ceil(t max(|x|, |y|)) + 1 kept entries or more.  A product whose places are
-   later, or whose entries before and after it leave too small a count, is
-   discarded; the pairs that remain are compared exactly.  So no link between
-   components is lost, and none inside them is needed.
+4. Blocks that still hold several components are multiplied out across components,
+   and overlap counts are summed over blocks again.  With o = ceil(t / (1 + t) (|x| +
+   |y|)), linked sets share o - ceil(t max(|x|, |y|)) + 1 kept entries or more, one of
+   which has the place |x| - o or less in x and |y| - o or less in y.  A product whose
+   entries before and after it leave too small a count is discarded, and so is a pair
+   whose count is too small or whose products are all at later places; the pairs that
+   remain are compared exactly.  So no link between components is lost, and none
+   inside them is needed.
 
 Bounds hold for any order of the shingles, so the sketch never changes a result.
+A block of up to ``HOT`` rows is one task's; the counters bound every block.  Larger
+blocks, which the sketch shows, are aggregated before their rows meet the aggregate,
+spread over tasks.
 
 Null texts and texts without words have an empty set and link with nothing.  Equal
 texts (ties, repeated rows) are one node.  A null doc_id keeps its row, with its own
-set size; it takes the component of its text.  An empty table gives an empty
-result.  Extra columns are left out.
+set size; it takes the component of its text, of near copies too, and is no component's
+name.  An empty table gives an empty result.  Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -42,12 +48,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import FEW, cut, kept_in_worker, salted_join, without
+from .common import FEW, cut, discard, kept_in_worker, salted_join, without
 from .components import components
 from .exact_dedup import KEY, tree_keep
 
 N, PERCENT, BITS, CHUNKS = 5, 80, 20, 16
-SEEN, WORDS = 200_000, 300_000
+SEEN, WORDS, HOT = 200_000, 300_000, 1 << 20
 FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
@@ -81,8 +87,16 @@ def shingles(text: str | None, hashes: Hashes, n: int = N) -> np.ndarray:
     return np.unique(a)
 
 
-def fingerprint(s: np.ndarray) -> int:
-    return int(np.array([xxhash.xxh3_64_intdigest(s.tobytes(), len(s) & 0xFFFFFFFF)], np.uint64).view(np.int64)[0])
+def fingerprint(s: np.ndarray) -> tuple[int, int]:
+    """The 128-bit digest of a set, as two signed integers."""
+    whole = xxhash.xxh3_128_digest(s.tobytes(), len(s) & 0xFFFFFFFF)
+    return int.from_bytes(whole[:8], "big", signed=True), int.from_bytes(whole[8:], "big", signed=True)
+
+
+def node_of(s: np.ndarray, clash: frozenset[int]) -> int:
+    """The name of a set's node; ``clash`` holds the first halves that several sets have."""
+    first, second = fingerprint(s)
+    return second if first in clash else first
 
 
 def counter_of(s: np.ndarray) -> np.ndarray:
@@ -90,12 +104,12 @@ def counter_of(s: np.ndarray) -> np.ndarray:
 
 
 def read_sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles and key of every row; and the sketch's chunks (doc_id null, chunk not)."""
+    """doc_id, n_shingles and key, key2 (digest) of every row; and the sketch's chunks (doc_id null, chunk not)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, sketch = kept_in_worker(("hashes",), Hashes), np.zeros(1 << BITS, np.int32)
-        names = ["doc_id", "n_shingles", "key", "chunk", "counts"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        names = ["doc_id", "n_shingles", "key", "key2", "chunk", "counts"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         for batch in batches:
             sizes, keys = [], []
             for t in (v.as_py() for v in batch.column(1)):
@@ -103,13 +117,13 @@ def read_sets(docs: DataFrame, n: int) -> DataFrame:
                 sizes.append(len(s))
                 keys.append(fingerprint(s))
                 np.add.at(sketch, counter_of(s), 1)
-            cols = [batch.column(0), sizes, keys, [None] * len(keys), [None] * len(keys)]
+            cols = [batch.column(0), sizes, [k[0] for k in keys], [k[1] for k in keys], [None] * len(keys), [None] * len(keys)]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
         for k, part in enumerate(sketch.reshape(CHUNKS, -1)):
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([None, None, None, k, zlib.compress(part.tobytes(), 1)], kinds, strict=True)], names)
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([None, None, None, None, k, zlib.compress(part.tobytes(), 1)], kinds, strict=True)], names)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, key long, chunk int, counts binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, key long, key2 long, chunk int, counts binary")
 
 
 def sum_sketches(parts: DataFrame) -> np.ndarray:
@@ -150,18 +164,18 @@ def sizes_fit(x: Column, y: Column, percent: int) -> Column:
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
 
-def kept_entries(docs: DataFrame, sketch, n: int, percent: int) -> DataFrame:
-    """(s, k, n, place): the first entries of each set in the order of the shingles."""
+def kept_entries(docs: DataFrame, sketch, n: int, percent: int, clash: frozenset[int], hot: int | None) -> DataFrame:
+    """(s, k, n, place): the first entries of each set in the order of the shingles; with ``hot``, whether more rows may hold s."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts, seen = kept_in_worker(("hashes",), Hashes), sketch.value, set()
         for batch in batches:
-            out, keys, sizes = [], [], []
+            out, keys, sizes, many = [], [], [], []
             for t in (v.as_py() for v in batch.column(0)):
                 s = shingles(t, hashes, n)
                 if not len(s):
                     continue
-                key = fingerprint(s)
+                key = node_of(s, clash)
                 if key in seen:  # the table drops what another task has as well
                     continue
                 if len(seen) >= SEEN:
@@ -171,19 +185,36 @@ def kept_entries(docs: DataFrame, sketch, n: int, percent: int) -> DataFrame:
                 keep = size - -(-percent * size // 100) + 1
                 c = counts[counter_of(s)].astype(np.int64)
                 near = np.flatnonzero(c <= np.partition(c, keep - 1)[keep - 1])
-                s = s[near[np.argsort(c[near], kind="stable")[:keep]]]  # s is sorted: ties stay in order of hash
-                out.append(s.view(np.int64))
+                near = near[np.argsort(c[near], kind="stable")[:keep]]  # s is sorted: ties stay in order of hash
+                out.append(s[near].view(np.int64))
                 keys.append(key)
                 sizes.append(size)
+                if hot is not None:
+                    many.append(c[near] > hot)
             if out:
                 lens = [len(o) for o in out]
                 each = [pa.array(np.repeat(np.array(v, np.int64), lens)) for v in (keys, sizes)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), *each, pa.array(np.concatenate([np.arange(x, dtype=np.int64) for x in lens]))], ["s", "k", "n", "place"])
+                cols = [pa.array(np.concatenate(out)), *each, pa.array(np.concatenate([np.arange(x, dtype=np.int64) for x in lens]))]
+                names = ["s", "k", "n", "place"]
+                if hot is not None:
+                    cols.append(pa.array(np.concatenate(many)))
+                    names.append("hot")
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    return docs.select("text").mapInArrow(run, "s long, k long, n long, place long" + ", hot boolean" * (hot is not None))
+
 
-    return docs.select("text").mapInArrow(run, "s long, k long, n long, place long")
+def over_blocks(rows: DataFrame, aggregates: dict[str, Column], salts: int) -> DataFrame:
+    """``rows`` with aggregates of their block s; with salts, the rows of a hot block are spread over as many tasks."""
+    whole = Window.partitionBy("s")
+    if not salts:
+        return rows.withColumns({name: a.over(whole) for name, a in aggregates.items()})
+    calm = rows.where("NOT hot").withColumns({name: a.over(whole) for name, a in aggregates.items()})
+    few = rows.where("hot").groupBy("s").agg(*[a.alias(name) for name, a in aggregates.items()])
+    return calm.unionByName(salted_join(rows.where("hot"), few, "s", "k", salts=salts))
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+def sets_of(docs: DataFrame, nodes: DataFrame, n: int, clash: frozenset[int]) -> DataFrame:
     """(k, size, members) of the nodes (doc_id, k), read again from the texts."""
     nodes = cut(nodes, "nodes")
     few = nodes.count() <= FEW
@@ -194,14 +225,21 @@ def sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
             keys, raws, sizes = [], [], []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = shingles(t, hashes, n)
-                if fingerprint(s) == k:
-                    keys.append(k)
+                node = node_of(s, clash)
+                if k is None or node == k:
+                    keys.append(node)
                     raws.append(s.tobytes())
                     sizes.append(len(s))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(raws, pa.binary())], ["k", "size", "members"])
 
-    rows = docs.join(F.broadcast(nodes) if few else nodes, "doc_id").select("k", "text")
-    return cut(rows.mapInArrow(run, "k long, size long, members binary").dropDuplicates(["k"]), "sets")
+    kinds = "k long, size long, members binary"
+    known = nodes.where("doc_id IS NOT NULL")
+    rows = docs.join(F.broadcast(known) if few else known, "doc_id").select("k", "text").mapInArrow(run, kinds)
+    unnamed = nodes.where("doc_id IS NULL").select("k")
+    if not unnamed.isEmpty():  # no doc_id leads to these texts: all without one are read
+        read = docs.where("doc_id IS NULL").select(F.lit(None).cast("long").alias("k"), "text").mapInArrow(run, kinds)
+        rows = rows.unionByName(read.join(unnamed, "k", "left_semi"))
+    return cut(rows.dropDuplicates(["k"]), "sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -224,52 +262,56 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     read = cut(read_sets(docs, n), "read")
     sketch = sum_sketches(read.where("chunk IS NOT NULL").select("chunk", "counts"))
-    meta = read.where("chunk IS NULL").select("doc_id", "n_shingles", "key")
+    meta = read.where("chunk IS NULL").select("doc_id", "n_shingles", "key", "key2")
     # equal sets: the least doc_id stands for them; empty sets stand alone
-    alone = F.when(F.col("n_shingles") == 0, F.coalesce("doc_id", F.lit(0))).otherwise(F.lit(-1))
-    groups = cut(tree_keep(meta.withColumns({KEY[0]: F.col("key"), KEY[1]: F.col("n_shingles"), KEY[2]: alone.cast("long")}), "doc_id", largest=False).select("doc_id", "n_shingles", "key", F.col("keep_id").alias("rep")), "groups")
-    reps = groups.where("doc_id = rep AND n_shingles > 0").select("doc_id", F.col("key").alias("k")).distinct()
-
+    second = F.when(F.col("n_shingles") == 0, F.coalesce("doc_id", F.lit(0))).otherwise(F.col("key2"))
+    groups = tree_keep(meta.withColumns({KEY[0]: F.col("key"), KEY[1]: F.col("n_shingles"), KEY[2]: second}), "doc_id", largest=False)
+    groups = cut(groups.select("doc_id", "n_shingles", "key", "key2", F.col("keep_id").alias("rep")), "groups")
+    reps = cut(groups.where("doc_id <=> rep AND n_shingles > 0").select("doc_id", "key", "key2").distinct(), "reps")
+    # of the 2 ** 64 first halves, n nodes have about n * n / 2 ** 65 in common
+    clash = frozenset(r["key"] for r in reps.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key").collect())
+    if clash:
+        named = F.when(F.col("key").isin(list(clash)), F.col("key2")).otherwise(F.col("key"))
+        groups, reps = groups.withColumn("key", named), reps.withColumn("key", named)
+    reps = reps.select("doc_id", F.col("key").alias("k"))
+
+    salts = -(-int(sketch.max(initial=0)) // hot) if sketch.max(initial=0) > hot else 0
     whole, own = Window.partitionBy("s"), Window.partitionBy("k")
-    entries = kept_entries(docs, spark.sparkContext.broadcast(sketch), n, percent)
-    blocks = (
-        entries.withColumn("before", F.lag("k").over(whole.orderBy("k")))
-        .withColumns({"lo": F.min("k").over(whole), "hi": F.max("k").over(whole)})
-        .where("lo <> hi AND NOT (before <=> k)")
-        .select("s", "k", "n", "place")
-    )
+    entries = kept_entries(docs, spark.sparkContext.broadcast(sketch), n, percent, clash, hot if salts else None)
+    ends = {"lo": F.min("k"), "hi": F.max("k")}
+    if salts:
+        entries = cut(entries, "entries")
+        once = entries.where("NOT hot").withColumn("before", F.lag("k").over(whole.orderBy("k"))).where("NOT (before <=> k)").drop("before")
+        blocks = over_blocks(once.unionByName(entries.where("hot").dropDuplicates(["s", "k"])), ends, salts).where("lo <> hi")
+    else:
+        blocks = over_blocks(entries.withColumn("before", F.lag("k").over(whole.orderBy("k"))), ends, 0).where("lo <> hi AND NOT (before <=> k)").drop("before")
     # rank: how many shared entries come no later; shared: all of them
-    blocks = cut(blocks.withColumns({"rank": F.row_number().over(own.orderBy("place")), "shared": F.count(F.lit(1)).over(own)}), "blocks")
+    blocks = cut(blocks.drop("lo", "hi").withColumns({"rank": F.row_number().over(own.orderBy("place")), "shared": F.count(F.lit(1)).over(own)}), "blocks")
 
     part = F.col("shared") / (F.col("n") - at_least(F.col("n"), percent) + 1)
-    heads = {"first": F.min(F.struct(-part, "k", "n")).over(whole), "second": F.min(F.struct(F.xxhash64("k"), "k", "n")).over(whole)}
-    leader = blocks.withColumns(heads).select("k", "n", F.posexplode(F.array(F.struct("first.k", "first.n"), F.struct("second.k", "second.n"))).alias("role", "l"))
+    heads = {"first": F.min(F.struct(-part, "k", "n")), "second": F.min(F.struct(F.xxhash64("k"), "k", "n"))}
+    leader = over_blocks(blocks, heads, salts).select("k", "n", F.posexplode(F.array(F.struct("first.k", "first.n"), F.struct("second.k", "second.n"))).alias("role", "l"))
     leader = leader.where("l.k <> k").select("k", "n", "role", F.col("l.k").alias("lk"), F.col("l.n").alias("ln"))
     met = leader.where(sizes_fit(F.col("n"), F.col("ln"), percent)).groupBy("k", "n", "role", "lk", "ln").agg(F.count(F.lit(1)).alias("c"))
     met = met.where(F.col("c") >= least_count(F.col("n"), F.col("ln"), percent))
     best = met.groupBy("k", "role").agg(F.max(F.struct("c", "lk")).alias("top")).select("k", F.col("top.lk").alias("l"))
     first = cut(best.select(F.col("k").alias("a"), F.col("l").alias("b")).distinct(), "first")
-    links = cut(_linked(docs, reps, first, n, percent), "links")
+    links = cut(_linked(docs, reps, first, n, percent, clash), "links")
     found = cut(components(links), "components1")
 
     labelled = blocks.join(found.select(F.col("node").alias("k"), "component"), "k", "left").withColumn("c", F.coalesce("component", "k")).drop("component")
-    mixed = cut(labelled.withColumns({"least": F.min("c").over(whole), "most": F.max("c").over(whole)}).where("least <> most").drop("least", "most"), "mixed")
-    x, y = mixed.alias("x"), mixed.alias("y")
-    overlap = least_overlap(F.col("x.n"), F.col("y.n"), percent)
-    early = (F.col("x.place") <= F.col("x.n") - overlap) & (F.col("y.place") <= F.col("y.n") - overlap)
-    most = F.least("x.rank", "y.rank") + F.least(F.col("x.shared") - F.col("x.rank"), F.col("y.shared") - F.col("y.rank"))
-    fit = sizes_fit(F.col("x.n"), F.col("y.n"), percent) & early & (most >= least_count(F.col("x.n"), F.col("y.n"), percent))
-    across = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.k") < F.col("y.k")) & (F.col("x.c") != F.col("y.c")) & fit)
-    second = cut(across.select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct(), "second")
+    mixed = cut(over_blocks(labelled, {"least": F.min("c"), "most": F.max("c")}, salts).where("least <> most").drop("least", "most"), "mixed")
+    second = cut(across_components(mixed, percent), "second")
     if not second.isEmpty():
-        links = cut(links.unionByName(_linked(docs, reps, second, n, percent)), "links2")
+        links = cut(links.unionByName(_linked(docs, reps, second, n, percent, clash)), "links2")
         found = cut(components(links), "components2")
+    discard(read, blocks, mixed)
 
     # components of keys become components of documents
     least = reps.groupBy("k").agg(F.min("doc_id").alias("doc_id"))
@@ -280,12 +322,25 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id")).withColumnRenamed("doc_id", id_col)
 
 
+def across_components(mixed: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of nodes of two components whose summed overlap count reaches the bound of their sizes."""
+    x, y = mixed.alias("x"), mixed.alias("y")
+    overlap = least_overlap(F.col("x.n"), F.col("y.n"), percent)
+    early = (F.col("x.place") <= F.col("x.n") - overlap) & (F.col("y.place") <= F.col("y.n") - overlap)
+    most = F.least("x.rank", "y.rank") + F.least(F.col("x.shared") - F.col("x.rank"), F.col("y.shared") - F.col("y.rank"))
+    fit = sizes_fit(F.col("x.n"), F.col("y.n"), percent) & (most >= least_count(F.col("x.n"), F.col("y.n"), percent))
+    products = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.k") < F.col("y.k")) & (F.col("x.c") != F.col("y.c")) & fit)
+    products = products.select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), least_count(F.col("x.n"), F.col("y.n"), percent).alias("bound"), early.alias("early"))
+    counted = products.groupBy("a", "b", "bound").agg(F.count(F.lit(1)).alias("c"), F.max("early").alias("early"))
+    return counted.where("early AND c >= bound").select("a", "b")
+
+
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one document (the least doc_id) of each component."""
     gone = near_groups(docs).where("doc_id <> component_id").select("doc_id")
     return without(docs, gone, doc_id=docs["doc_id"])
 
 
-def _linked(docs: DataFrame, reps: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+def _linked(docs: DataFrame, reps: DataFrame, pairs: DataFrame, n: int, percent: int, clash: frozenset[int]) -> DataFrame:
     nodes = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct().join(reps, "k").select("doc_id", "k")
-    return verified(pairs, sets_of(docs, nodes, n), percent)
+    return verified(pairs, sets_of(docs, nodes, n, clash), percent)

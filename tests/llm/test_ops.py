@@ -295,10 +295,28 @@ def test_near_groups(spark, seed):
     assert collections.Counter(map(tuple, got.collect())) == brute_groups(rows)
 
 
-def test_near_groups_edges(edge, empty):
-    want = brute_groups([r[:2] for r in ROWS if r[0] is not None])
-    got = collections.Counter(tuple(r) for r in ngram_join.near_groups(edge).collect() if r.doc_id is not None)
-    assert got == want
+def test_near_groups_of_hot_blocks(spark):
+    """With blocks of more than two rows spread over tasks, nothing changes."""
+    rows = near_rows(4, families=5)
+    got = ngram_join.near_groups(spark.createDataFrame([*rows, *rows[:5]], "doc_id long, text string").repartition(3), hot=2)
+    assert collections.Counter(map(tuple, got.collect())) == brute_groups([*rows, *rows[:5]])
+
+
+def test_nodes_of_clashing_digests():
+    one, two = np.array([1], np.uint64), np.array([2], np.uint64)
+    first, second = ngram_join.fingerprint(one)
+    assert ngram_join.fingerprint(two) != (first, second)
+    assert ngram_join.node_of(one, frozenset()) == first and ngram_join.node_of(one, frozenset([first])) == second
+
+
+def test_near_groups_edges(spark, edge, empty):
+    got = collections.Counter(map(tuple, ngram_join.near_groups(edge).collect()))
+    assert got == brute_groups([r[:2] for r in ROWS])
+    # without identifiers: near copies of a named text, copies among themselves, and a text of its own
+    words_of = [f"w{i}" for i in range(60)]
+    rows = [(9, " ".join(words_of)), (None, " ".join([*words_of, "x"])), (None, " ".join([*words_of, "x"])), (None, " ".join(words_of[::-1])), (4, " ".join(words_of[::-1]) + " y"), (None, "alone as can be, it stays"), (None, None), (None, "")]
+    named = spark.createDataFrame(rows, "doc_id long, text string")
+    assert collections.Counter(map(tuple, ngram_join.near_groups(named).collect())) == brute_groups(rows)
     assert ngram_join.near_groups(empty).count() == 0
     kept = ngram_join.drop_near_copies(edge)
     assert kept.columns == edge.columns and kept.where("doc_id = 2").count() == 0 and kept.where("doc_id IN (3, 4, 5)").count() == 3
@@ -320,6 +338,8 @@ def test_bounds_never_lose_a_link(spark):
 def test_components(spark):
     r = random.Random(4)
     pairs = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)]
+    odd = spark.createDataFrame([(None, 1, "x"), (2, None, "x"), (7, 7, "x"), (3, 5, "x"), (5, 3, "x"), (3, 5, "x")], "a long, b long, u string")
+    assert {(x.node, x.component) for x in components(odd).collect()} == {(3, 3), (5, 3)} and components(odd.limit(0)).count() == 0
     got = {x.node: x.component for x in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     parent = {}
 
