@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 DIGITS, SEED, STEPS, FEW = 2, "mix", 28, 200_000
-NO_SOURCE = "\x00"
+NO_SOURCE, SOURCE = "\x00", ["__source", "__unnamed"]  # a source is its name, and whether that is null
 
 
 def n_words(text: Column) -> Column:
@@ -39,9 +39,9 @@ def n_words(text: Column) -> Column:
 
 
 def blocked(docs: DataFrame) -> DataFrame:
-    """doc (a struct of the row), __source, __block and __tokens."""
+    """doc (a struct of the row), SOURCE, __block and __tokens."""
     block = F.substring(F.md5(F.concat(F.lit(SEED + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")), 1, DIGITS)
-    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.coalesce("source", F.lit(NO_SOURCE)).alias("__source"), block.alias("__block"), n_words(F.col("text")).alias("__tokens"))
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.coalesce("source", F.lit(NO_SOURCE)).alias("__source"), F.col("source").isNull().alias("__unnamed"), block.alias("__block"), n_words(F.col("text")).alias("__tokens"))
 
 
 def bisect(sources: DataFrame, max_repetition: float | None, target_entropy: float | None) -> float:
@@ -72,29 +72,29 @@ def bisect(sources: DataFrame, max_repetition: float | None, target_entropy: flo
 
 
 def plan(stats: DataFrame, max_repetition: float | None = 2.0, target_entropy: float | None = None) -> DataFrame:
-    """(__source, __block, epoch, block_rank, schedule, repetition) from tokens by source and block."""
-    sources = cut(stats.groupBy("__source").agg(F.sum("tokens").alias("tokens")), "sources")
+    """(SOURCE, __block, epoch, block_rank, schedule, repetition) from tokens by source and block."""
+    sources = cut(stats.groupBy(*SOURCE).agg(F.sum("tokens").alias("tokens")), "sources")
     alpha = bisect(sources, max_repetition, target_entropy)
     x = F.when(F.col("tokens") > 0, F.pow(F.col("tokens").cast("double"), F.lit(alpha - 1.0)))
     least = sources.agg(F.min(x).alias("least")).first()["least"] or 1.0
-    ratio = sources.select("__source", F.col("tokens").alias("all"), F.round(F.coalesce(x / F.lit(least), F.lit(1.0)), 6).alias("repetition"))
-    spread = stats.join(ratio, "__source").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.floor("repetition").cast("int"))))
+    ratio = sources.select(*SOURCE, F.col("tokens").alias("all"), F.round(F.coalesce(x / F.lit(least), F.lit(1.0)), 6).alias("repetition"))
+    spread = stats.join(ratio, SOURCE).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.floor("repetition").cast("int"))))
     order = F.md5(F.concat_ws("|", F.lit(SEED), "__source", F.col("epoch").cast("string"), "__block").cast("binary"))
-    w = Window.partitionBy("__source", "epoch").orderBy("order", "__block")
+    w = Window.partitionBy(*SOURCE, "epoch").orderBy("order", "__block")
     rows = spread.withColumn("order", order).withColumns({"block_rank": F.row_number().over(w), "sum": F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0))})
     budget = F.floor((F.col("repetition") - F.floor("repetition")) * F.col("all"))
     rows = rows.where((F.col("epoch") < F.floor("repetition")) | ((F.col("sum") <= budget) & (budget > 0)))
     schedule = F.round((F.col("epoch") + (F.col("block_rank") - 1) / F.lit(16.0**DIGITS)) / F.col("repetition"), 6)
-    return rows.select("__source", "__block", "epoch", "block_rank", schedule.alias("schedule"), "repetition")
+    return rows.select(*SOURCE, "__block", "epoch", "block_rank", schedule.alias("schedule"), "repetition")
 
 
 def mixed(docs: DataFrame, max_repetition: float | None = 2.0, target_entropy: float | None = None) -> DataFrame:
     """doc and __ columns with epoch, block_rank, schedule and repetition: a row for each reading."""
     rows = blocked(docs)
-    stats = cut(rows.groupBy("__source", "__block").agg(F.sum("__tokens").alias("tokens")), "stats")
+    stats = cut(rows.groupBy(*SOURCE, "__block").agg(F.sum("__tokens").alias("tokens")), "stats")
     steps = cut(plan(stats, max_repetition, target_entropy), "plan")
     few = steps.count() <= FEW
-    return rows.join(F.broadcast(steps) if few else steps, ["__source", "__block"])
+    return rows.join(F.broadcast(steps) if few else steps, [*SOURCE, "__block"])
 
 
 def mixture(docs: DataFrame, max_repetition: float | None = 2.0, target_entropy: float | None = None) -> DataFrame:

@@ -368,6 +368,13 @@ def test_mixing_keeps_every_document(edge, empty):
     assert out.columns == edge.columns and out.count() == len(rows)
 
 
+def test_mixing_keeps_null_sources_apart(spark):
+    rows = [(i, "w " * 5, [None, "\x00", "a"][i % 3]) for i in range(300)] + [(i, "w " * 5, "a") for i in range(300, 900)]
+    got = mixing.mixture(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.doc_id for r in got} == set(range(900))
+    assert len({r.repetition for r in got if r.source != "a"}) == 1 and {r.repetition for r in got if r.source is None} == {2.0}
+
+
 def test_mixing_meets_its_targets(spark):
     rows = [(i, "w " * 10, "big" if i % 20 else ("mid" if i % 40 else "low")) for i in range(4000)]
     docs = spark.createDataFrame([(i, t, None, s, 1) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")

@@ -5,7 +5,7 @@ import hashlib
 
 import numpy as np
 import pytest
-from test_ops import PATH, brute_groups
+from test_ops import PATH, ROWS, brute_groups
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -52,6 +52,31 @@ def test_run_equals_the_stages(spark, small, stages):
     assert collections.Counter(corpus_pipeline.run(spark, small).collect()) == collections.Counter(stages[-1].collect())
 
 
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls, ties, repeated rows, very long and empty texts, clashing columns; and empty tables."""
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, key string, k long, epoch int, doc string, rank int"
+    rows = [(*r, "y", 1, 2, "z", 3) for r in ROWS]
+    labels = spark.createDataFrame([(1, 1, "q"), (6, 0, "q"), (None, 1, "q"), (7, None, "q")], "doc_id long, toxic int, text string")
+    for name, docs, marks in (("odd", rows, labels), ("empty", [], labels.limit(0))):
+        spark.createDataFrame(docs, kinds).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        marks.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        at, held = table(spark, f"{tmp_path}/{name}", "documents"), []
+        for _, stage in corpus_pipeline.STAGES:
+            at = cut(stage(spark, at, f"{tmp_path}/{name}"), "odd")
+            held.append(at)
+        assert all(s.columns == [c.split()[0] for c in kinds.split(", ")] for s in held[:4])
+        if not docs:
+            assert [s.count() for s in held] == [0] * 5
+            continue
+        assert held[0].count() == len(rows)  # one label of each class in the training fold at most: nothing is rejected
+        # of equal texts the largest doc_id stays (twice: a repeated row), of null and empty ones the largest
+        assert sorted((r.doc_id is None, r.doc_id or 0) for r in held[1].collect()) == [(False, i) for i in (2, 2, 4, 5, 6, 7, 8)] + [(True, 0)]
+        ids = {r.doc_id for r in held[4].collect()}
+        assert ids == {2, 4, 5, 6, 7, 8, None}
+        want = {i: len(Tokenizer.from_file(PATH).encode(t or "", add_special_tokens=False).ids) for i, t, *_ in ROWS}
+        assert all(r.n_tokens == want[r.doc_id] for r in held[4].collect())
+
+
 def test_queries_have_the_contracts_columns(spark, small):
     from corpuscle.llm.queries import QUERIES
 
