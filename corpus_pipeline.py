@@ -2,6 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of documents.  A stage reads what its predecessor wrote.
+
+Every stage treats odd rows as its operator states.  In short: null texts count as
+empty; an empty text is never toxic, is an exact copy of other empty texts, and has no
+near copies; rows with a null doc_id pass both removals of copies, as no decision can
+name them; repeated rows share each decision; a null source is a source of its own; an
+empty table gives an empty result, and without labels of both classes nothing is
+rejected.  Further columns of documents are carried to the last stage, whatever
+their names, which returns doc_id, source and the encoded document.
 """
 
 from __future__ import annotations
