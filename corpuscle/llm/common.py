@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import tempfile
 import types
@@ -9,6 +11,7 @@ import uuid
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,7 +90,12 @@ def kept_in_worker(key: tuple, make: Callable[[], Any]) -> Any:
     """What ``make`` gives, kept for the next task of the same Python worker; one thing at a time."""
     slot = sys.modules.setdefault("_corpuscle_worker", types.ModuleType("_corpuscle_worker"))
     if getattr(slot, "key", None) != key:
-        slot.key = slot.value = None
+        if getattr(slot, "key", None) is not None:  # another operator's things go, and their memory goes back
+            slot.key = slot.value = None
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                ctypes.CDLL(None).malloc_trim(0)
         slot.value = make()
         slot.key = key
     return slot.value

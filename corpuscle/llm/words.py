@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-POOL_BYTES, BATCH_BYTES = 32 << 20, 4 << 20
+POOL_BYTES, BATCH_BYTES = 20 << 20, 2 << 20
 TAILS = [".", ",", ";", ":", "!", "?"]
 TAILED = "[A-Za-zÀ-ÖØ-öø-ɏ][.,;:!?]$"
 WHITE = r"\t\n\v\f\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -130,7 +130,7 @@ def gather(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
     starts, sizes = starts[some], sizes[some]
     if not len(some):
         return pool[:0]
-    step = np.ones(int(sizes.sum()), np.int64)
+    step = np.ones(int(sizes.sum()), np.int32 if len(pool) < 1 << 31 else np.int64)
     step[0] = starts[0]
     step[np.cumsum(sizes)[:-1]] = starts[1:] - (starts[:-1] + sizes[:-1] - 1)
     return pool[np.cumsum(step, out=step)]
