@@ -86,16 +86,21 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, how: s
     return left.join(right, [key, "__salt"], how).drop("__salt")
 
 
+def give_back() -> None:
+    """Memory that this process has freed goes back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def kept_in_worker(key: tuple, make: Callable[[], Any]) -> Any:
     """What ``make`` gives, kept for the next task of the same Python worker; one thing at a time."""
     slot = sys.modules.setdefault("_corpuscle_worker", types.ModuleType("_corpuscle_worker"))
     if getattr(slot, "key", None) != key:
         if getattr(slot, "key", None) is not None:  # another operator's things go, and their memory goes back
             slot.key = slot.value = None
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            if sys.platform == "linux":
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
         slot.value = make()
         slot.key = key
     return slot.value

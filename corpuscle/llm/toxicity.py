@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, kept_in_worker
+from .common import cut, give_back, kept_in_worker
 
 BITS, SAMPLE, SAMPLE_WORDS, LEAST_DOCS = 18, 3000, 4_000_000, 3
 STEPS, RATE, DECAY, SHRINK = 120, 0.3, 1e-6, 0.15
@@ -106,17 +106,19 @@ class Bags:
     @classmethod
     def of(cls, rows: list[tuple[np.ndarray, np.ndarray, int]]) -> Bags:
         """From (packed words, sizes of sentences, label) of each document."""
-        words = np.concatenate([np.empty(0, np.int64), *[r[0] for r in rows]]).astype(np.int64)
-        sizes = np.concatenate([np.empty(0, np.int64), *[r[1] for r in rows]]).astype(np.int64)
+        words = np.concatenate([np.empty(0, np.int64), *[r[0] for r in rows]]).astype(np.int64, copy=False)
+        sizes = np.concatenate([np.empty(0, np.int32), *[r[1] for r in rows]]).astype(np.int32, copy=False)
         distinct, word = np.unique(words, return_inverse=True)
         mask = (1 << BITS) - 1
-        buckets = np.stack([distinct >> BITS * i & mask for i in range(3)], 1)
-        doc = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-        return cls(np.array([r[2] for r in rows], bool), doc, np.repeat(np.arange(len(sizes)), sizes), word, buckets)
+        buckets = np.stack([(distinct >> BITS * i & mask).astype(np.int32) for i in range(3)], 1)
+        doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[1]) for r in rows])
+        return cls(np.array([r[2] for r in rows], bool), doc, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), word.astype(np.int32), buckets)
 
     def support(self) -> np.ndarray:
         """For each bucket, the documents of its words; repeats of a word in a document count once."""
-        pairs = np.unique(self.doc[self.sentence] * len(self.buckets) + self.word)
+        pairs = self.doc[self.sentence].astype(np.int64) * len(self.buckets) + self.word
+        pairs.sort()
+        pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])[: len(pairs)]]
         each = np.bincount(pairs % max(1, len(self.buckets)), minlength=len(self.buckets))
         return np.bincount(self.buckets.reshape(-1), np.repeat(each, 3), 1 << BITS)
 
@@ -257,7 +259,12 @@ def examples(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_wo
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_words: int = SAMPLE_WORDS) -> Model:
     """A model from a bounded sample of the labelled rows that are not held out."""
     rows, share = examples(docs, labels, sample, sample_words)
-    return fit(Bags.of(rows), share)
+    bags = Bags.of(rows)
+    del rows
+    model = fit(bags, share)
+    del bags
+    give_back()
+    return model
 
 
 def score_table(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
