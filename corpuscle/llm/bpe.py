@@ -49,7 +49,7 @@ from .words import WordPool, gathered, lead, regular
 
 # The pre-tokeniser's pattern of byte-level BPE files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LONG, BLOCK, PAIRS = 1000, 1 << 12, 400_000
+LONG, BLOCK, PAIRS = 1000, 1 << 12, 200_000
 ID_BITS = 24
 ID_MASK = (1 << ID_BITS) - 1
 NEVER = 1 << 62

@@ -86,9 +86,10 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, how: s
     return left.join(right, [key, "__salt"], how).drop("__salt")
 
 
-def give_back() -> None:
+def give_back(collect: bool = True) -> None:
     """Memory that this process has freed goes back to the machine."""
-    gc.collect()
+    if collect:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     if sys.platform == "linux":
         ctypes.CDLL(None).malloc_trim(0)

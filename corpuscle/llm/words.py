@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import give_back
+
 POOL_BYTES, BATCH_BYTES = 20 << 20, 2 << 20
 TAILS = [".", ",", ";", ":", "!", "?"]
 TAILED = "[A-Za-zÀ-ÖØ-öø-ɏ][.,;:!?]$"
@@ -40,11 +42,15 @@ def regular(texts: pa.Array, marks: list[str]) -> np.ndarray:
 def gathered(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[list[pa.Array]]:
     """The columns of Arrow batches joined until they hold ``most`` bytes."""
     held: list[pa.RecordBatch] = []
+    given = 0
     for batch in batches:
         held.append(batch)
         if sum(b.nbytes for b in held) >= most:
             yield [pa.concat_arrays(c) for c in zip(*(b.columns for b in held), strict=True)]
             held = []
+            given += 1
+            if given % 8 == 0:
+                give_back(False)
     if held:
         yield [pa.concat_arrays(c) for c in zip(*(b.columns for b in held), strict=True)]
 
