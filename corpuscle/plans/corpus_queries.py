@@ -108,7 +108,7 @@ def insight_tags(spark, d):
     return T(spark, d, "conversations").select("conv_id", "turn", F.array_join(D.tags(F.col("text")), ",").alias("tags"))
 
 
-@query("SELECT sha256('insight:' || role || ':0:' || md5(text)[1:8])[1:16] AS chunk_id, text[1:120] AS summary, role || ', turn' AS symbol_name FROM conversations WHERE turn = 1")
+@query("SELECT sha256('insight:' || role || ':0:' || md5(text)[1:8])[1:16] AS chunk_id, text[1:120] AS summary, role || ', turn' AS symbol_name FROM conversations")
 def insight_chunks(spark, d):
     from corpuscle.operators.chunking import insight_chunk
 
@@ -441,7 +441,7 @@ def routing_accuracy(spark, d):
     return D.best_source(q)
 
 
-@query("WITH b AS (SELECT item_id, text[1:40] AS p FROM benchmark) SELECT item_id, count(*) AS documents FROM b JOIN documents d ON contains(d.text, b.p) GROUP BY item_id")
+@query("WITH b AS (SELECT item_id, text AS p FROM benchmark) SELECT item_id, count(*) AS documents FROM b JOIN documents d ON contains(d.text, b.p) GROUP BY item_id")
 def expected_hits(spark, d):
     b = T(spark, d, "benchmark").select("item_id", F.col("text").alias("p"))
     blocks = max(1, -(-b.count() // 1000))  # so many items are broadcast at a time

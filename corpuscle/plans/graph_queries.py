@@ -189,7 +189,7 @@ def import_path_join(spark, d):
     return G.substring_join(imp, nodes(spark, d).select("file_path").distinct(), "p", "file_path").select("target_symbol", "file_path").distinct()
 
 
-@query(f"{EDGES} SELECT n.name, count(*) AS refs FROM (SELECT DISTINCT name FROM nodes WHERE name LIKE 'Widget1%') n JOIN edges e ON contains(lower(e.target_symbol), lower(n.name)) GROUP BY n.name")
+@query(f"{EDGES} SELECT n.name, count(*) AS refs FROM (SELECT DISTINCT name FROM nodes) n JOIN edges e ON contains(lower(e.target_symbol), lower(n.name)) GROUP BY n.name")
 def reverse_substring_join(spark, d):
     names = cut(nodes(spark, d).select("name").distinct(), "names")
     targets = cut(edges(spark, d).groupBy("target_symbol").agg(F.count(F.lit(1)).alias("n")), "targets")
@@ -328,7 +328,7 @@ SEG = "list_filter(list_transform(string_split(string_split(regexp_replace({c},
 
 
 @query(
-    f"{ENDS}, {USES}, a AS (SELECT repo_id, method, path, {SEG.format(c='path')} AS sg FROM en WHERE repo_id IN ('Brand#1', 'Brand#2')), b AS (SELECT repo_id, url, method, {SEG.format(c='url')} AS sg FROM us WHERE file_path LIKE 'web/%' AND repo_id IN ('Brand#3', 'Brand#4')) "
+    f"{ENDS}, {USES}, a AS (SELECT repo_id, method, path, {SEG.format(c='path')} AS sg FROM en), b AS (SELECT repo_id, url, method, {SEG.format(c='url')} AS sg FROM us) "
     "SELECT a.path, b.url, count(*) AS n FROM a JOIN b ON list_has_any(a.sg, b.sg) AND (b.method IS NULL OR b.method = a.method) GROUP BY a.path, b.url"
 )
 def contract_match(spark, d):
@@ -351,7 +351,7 @@ def shared_types(spark, d):
     return K.shared_keys(n.unionByName(e), "name", "repo_id").select("name", F.array_join("sources", ",").alias("sources"))
 
 
-@query("WITH t AS (SELECT DISTINCT source, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS k FROM documents) SELECT k, count(*) AS sources FROM t GROUP BY k HAVING count(*) >= 15")
+@query("WITH t AS (SELECT DISTINCT source, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS k FROM documents) SELECT k, count(*) AS sources FROM t GROUP BY k HAVING count(*) >= 2")
 def shared_keys(spark, d):
     words = views.table(spark, d, "documents").select("source", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("k"))
     return K.shared_keys(words, "k", "source").select("k", F.size("sources").cast("long").alias("sources"))
@@ -364,7 +364,7 @@ def changed_file_fallback(spark, d):
     return count(K.affected_endpoints(ends, "app/x/router_m3.py")).unionByName(count(K.affected_endpoints(ends, "nowhere.py")))
 
 
-@query(f"{ENDS}, {USES}, a AS (SELECT DISTINCT path, method, {SEG.format(c='path')} AS sg FROM en WHERE file_path LIKE '%router_m3.py'), b AS (SELECT repo_id, file_path, url, method, {SEG.format(c='url')} AS sg FROM us WHERE file_path LIKE 'web/%') SELECT b.repo_id, count(*) AS consumers FROM a JOIN b ON list_has_any(a.sg, b.sg) AND (b.method IS NULL OR b.method = a.method) GROUP BY b.repo_id")
+@query(f"{ENDS}, {USES}, a AS (SELECT DISTINCT path, method, {SEG.format(c='path')} AS sg FROM en WHERE file_path LIKE '%router_m3.py'), b AS (SELECT repo_id, file_path, url, method, {SEG.format(c='url')} AS sg FROM us) SELECT b.repo_id, count(*) AS consumers FROM a JOIN b ON list_has_any(a.sg, b.sg) AND (b.method IS NULL OR b.method = a.method) GROUP BY b.repo_id")
 def cross_project_impact(spark, d):
     c = views.code(spark, d)
     ends = K.affected_endpoints(K.endpoints(c), "router_m3.py")

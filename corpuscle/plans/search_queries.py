@@ -119,7 +119,7 @@ def text_phrase_refs(spark, d):
 
 @query(
     f"WITH {CHUNKS}, p AS (SELECT repo_id, chunk_id, unnest({TOK.format(c='content')} || {TOK.format(c='summary')} || {TOK.format(c='symbol_name')} || {TOK.format(c='file_path')}) AS term FROM chunks) "
-    "SELECT repo_id, term, count(*) AS occurrences, count(DISTINCT chunk_id) AS df FROM p GROUP BY ALL HAVING count(DISTINCT chunk_id) > 5"
+    "SELECT repo_id, term, count(*) AS occurrences, count(DISTINCT chunk_id) AS df FROM p GROUP BY ALL"
 )
 def postings_build(spark, d):
     rows = S.postings(chunks(spark, d)).groupBy("repo_id", "term", "chunk_id").agg(F.count(F.lit(1)).alias("c"))
