@@ -12,18 +12,27 @@ from .fixed import LANGUAGES, SECURITY, SYNONYMS, TEST_PATTERNS
 
 
 def _accents() -> tuple[str, str]:
-    """Accented Latin letters and the letters below their marks."""
-    pairs = [(c, unicodedata.normalize("NFD", c)[0]) for c in map(chr, range(0xC0, 0x250))]
-    pairs = [(a, b) for a, b in pairs if a != b]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+    """Letters with marks of all scripts, then the marks themselves; and the bare letters."""
+    chars = [c for c in map(chr, range(0x80, 0x10000)) if not 0xD800 <= ord(c) < 0xE000]
+    bare = {c: "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x)[0] != "M") for c in chars}
+    pairs = [(c, b) for c, b in bare.items() if b != c and len(b) == 1]
+    marks = [c for c, b in bare.items() if not b]
+    return "".join([a for a, _ in pairs] + marks), "".join(b for _, b in pairs)
 
 
 ACCENTED, PLAIN = _accents()
+FOLDED = {ord(a): PLAIN[i] if i < len(PLAIN) else None for i, a in enumerate(ACCENTED)}
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents."""
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
+    """Lower case without accents, composed or not."""
+    low = F.lower(text)
+    return F.when(low.rlike(r"[^\x00-\x7F]"), F.translate(low, ACCENTED, PLAIN)).otherwise(low)
+
+
+def fold_str(text: str) -> str:
+    """As ``fold``, of a string."""
+    return text.lower().translate(FOLDED)
 
 
 def tokens(text: Column) -> Column:
@@ -32,9 +41,20 @@ def tokens(text: Column) -> Column:
 
 
 def n_tokens(text: Column) -> Column:
+    """The number of ``tokens`` of a text that is folded already."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{N}]+"))
 
 
+def running_sums(values: Column, block: int = 256) -> Column:
+    """Sums of an array of ints up to each element: within blocks first, then over blocks."""
+    empty = F.expr("cast(array() AS array<int>)")
+    inside = lambda x: F.aggregate(x, empty, lambda a, v: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + v)))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(values), F.lit(1)) - 1) / block).cast("int")), lambda b: F.slice(values, b * block + 1, F.lit(block)))
+    totals = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), lambda a, v: a + v))
+    upto = F.slice(F.concat(F.array(F.lit(0)), inside(totals)), F.lit(1), F.size(totals))
+    return F.flatten(F.zip_with(blocks, upto, lambda x, o: F.transform(inside(x), lambda v: v + o)))
+
+
 def like_any_case(text: Column, part: str) -> Column:
     """Substring in any letter case; ``_`` and ``%`` of ``part`` are wildcards, as in LIKE."""
     return F.ilike(text, F.lit(f"%{part}%"), F.lit("\x01"))

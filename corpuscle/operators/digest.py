@@ -62,7 +62,7 @@ def mine_insights(turns: DataFrame, pattern: str = fixed.INSIGHT, least: int = 2
 
 def bars(rows: DataFrame, value: str, width: int = 20) -> DataFrame:
     """Length of a bar for each value: at least 1 where the value is above 0; halves go to even."""
-    top = F.max(value).over(Window.partitionBy(F.lit(1)))
+    top = rows.agg(F.max(value)).scalar()
     return rows.withColumn("bar", F.when(F.col(value) > 0, F.greatest(F.lit(1), F.bround(F.col(value) / top * width).cast("int"))).otherwise(0))
 
 

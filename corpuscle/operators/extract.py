@@ -6,7 +6,7 @@ file is bounded (100 000 bytes by the source filter), so arrays of its lines are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscle.functions import fixed, text
@@ -22,8 +22,8 @@ def matches(files: DataFrame, pattern: str, groups: dict[str, int]) -> DataFrame
     rows = rows.withColumn("__g", F.split("content", pattern, -1))
     ends = lambda a: F.transform(a, lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit(""))))
     rows = rows.withColumns({"__gl": ends(F.col("__g")), "__ml": ends(F.col("__m"))})
-    add = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda x, y: x + y)
-    rows = rows.withColumn("__line", F.transform(F.sequence(F.lit(1), F.size("__m")), lambda i: 1 + add(F.col("__gl"), i) + add(F.col("__ml"), i - 1)))
+    rows = rows.withColumn("__s", F.transform("__m", lambda m, i: F.get("__gl", i) + F.coalesce(F.get("__ml", i - 1), F.lit(0))))
+    rows = rows.withColumn("__line", F.transform(text.running_sums(F.col("__s")), lambda n: n + 1))
     rows = rows.withColumns({f"__{n}": F.regexp_extract_all("content", p, F.lit(g)) for n, g in groups.items()})
     zipped = F.arrays_zip("__line", *[f"__{n}" for n in groups])
     keep = [c for c in files.columns if c != "content"]
@@ -104,30 +104,46 @@ def python_nodes(files: DataFrame) -> DataFrame:
     """Classes, functions and methods of Python files with their line ranges.
 
     A block ends before the next line that is neither blank nor a comment and is
-    indented no more.  Methods are the definitions inside the last class before them.
+    indented no more: one pass from the last line to the first keeps, in a stack, the
+    next line of each smaller indent.  Methods are the definitions inside the block of
+    a class.  A signature goes on over lines to its closing bracket.
     """
-    rows = files.where("language = 'python'").withColumn("l", F.split("content", "\n"))
-    indent = lambda s: F.length(s) - F.length(F.ltrim(s))
-    real = lambda s: (F.trim(s) != "") & ~F.startswith(F.ltrim(s), F.lit("#"))
-    lines = rows.select("repo_id", "file_path", "language", "l", F.posexplode("l").alias("i", "s"))
-    defs = lines.where(F.col("s").rlike(rf"^\s*(?:async\s+)?def\s+{W}+\s*\(|^class\s+{W}+"))
-    later = F.filter(F.sequence(F.col("i") + 2, F.greatest(F.size("l"), F.col("i") + 2)), lambda j: real(F.get("l", j - 1)) & (indent(F.get("l", j - 1)) <= indent(F.col("s"))) & (j <= F.size("l")))
-    end = F.coalesce(F.array_min(later) - 1, F.size("l"))
-    # the class around a line: the last line of no indent before it, if that opens a class
-    open_at = F.array_max(F.filter(F.sequence(F.lit(1), F.greatest(F.col("i"), F.lit(1))), lambda j: real(F.get("l", j - 1)) & (indent(F.get("l", j - 1)) == 0) & (j <= F.col("i"))))
-    parent = F.nullif(F.regexp_extract(F.coalesce(F.get("l", open_at - 1), F.lit("")), rf"^class\s+({W}+)", 1), F.lit(""))
+    rows = files.where("language = 'python'").select("repo_id", "file_path", "language", F.split("content", "\n").alias("l"))
+
+    def fact(s: Column, i: Column) -> Column:
+        bare = F.ltrim(s)
+        opens = s.rlike(rf"^\s*(?:async\s+)?def\s+{W}+\s*\(|^class\s+{W}+")
+        return F.struct(i.alias("i"), (F.length(s) - F.length(bare)).alias("ind"), ((F.trim(s) != "") & ~F.startswith(bare, F.lit("#"))).alias("real"), opens.alias("opens"))
+
+    def back(acc: Column, x: Column) -> Column:
+        kept = F.filter(acc["stack"], lambda e: e["ind"] <= x["ind"])
+        found = F.struct(x["i"].alias("i"), x["ind"].alias("ind"), F.try_element_at(kept, F.lit(-1))["i"].alias("next"))
+        grown = F.struct(F.concat(kept, F.array(F.struct(x["ind"].alias("ind"), x["i"].alias("i")))).alias("stack"), F.when(x["opens"], F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).alias("out"))
+        return F.when(x["real"], grown).otherwise(acc)
+
+    start = F.struct(F.expr("cast(array() AS array<struct<ind:int,i:int>>)").alias("stack"), F.expr("cast(array() AS array<struct<i:int,ind:int,next:int>>)").alias("out"))
+    rows = rows.withColumn("found", F.aggregate(F.reverse(F.transform("l", fact)), start, back, lambda acc: acc["out"]))
+
+    def signed(i: Column) -> Column:
+        rest = F.slice("l", i + 1, F.size("l"))
+        more = F.slice(rest, F.lit(1), F.greatest(F.array_position(F.transform(rest, lambda s: F.contains(s, F.lit(")"))), F.lit(True)).cast("int"), F.lit(1)))
+        return F.when(F.contains(F.get("l", i), F.lit(")")), F.get("l", i)).otherwise(F.array_join(F.transform(more, F.trim), " "))
+
+    defs = rows.select("repo_id", "file_path", "language", F.explode(F.transform("found", lambda f: F.struct(f["i"].alias("i"), f["ind"].alias("ind"), F.coalesce(f["next"], F.size("l")).alias("end"), F.get("l", f["i"]).alias("s"), signed(f["i"]).alias("sig")))).alias("d")).select("repo_id", "file_path", "language", "d.*")
     is_class = F.col("s").rlike("^class")
     name = F.when(is_class, F.regexp_extract("s", rf"^class\s+({W}+)", 1)).otherwise(F.regexp_extract("s", rf"def\s+({W}+)", 1))
-    inner = F.when(~is_class & (indent(F.col("s")) > 0), parent)
-    out = defs.withColumns({"name": name, "parent_name": inner, "line_start": F.col("i") + 1, "line_end": end.cast("int")})
-    out = out.where(F.col("s").rlike("^class|^def|^async") | F.col("parent_name").isNotNull())
+    before = Window.partitionBy("repo_id", "file_path").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    defs = defs.withColumn("name", name).withColumn("around", F.last(F.when(is_class, F.struct("name", "end")), ignorenulls=True).over(before))
+    inner = F.when(~is_class & (F.col("ind") > 0) & (F.col("i") < F.col("around.end")), F.col("around.name"))
+    out = defs.withColumns({"parent_name": inner, "line_start": F.col("i") + 1, "line_end": F.col("end")})
+    out = out.where((F.col("ind") == 0) | F.col("parent_name").isNotNull())
     return out.select(
         "repo_id",
         F.concat("file_path", F.lit("::"), F.when(F.col("parent_name").isNotNull(), F.concat("parent_name", F.lit("."))).otherwise(""), "name").alias("qualified_name"),
         F.when(is_class, "class").when(F.col("parent_name").isNotNull(), "method").otherwise("function").alias("kind"),
         "file_path", "name", "parent_name", "line_start", "line_end",
-        F.when(~is_class, short_params(F.regexp_extract("s", r"\(([^)]*)\)?", 1))).alias("params"),
-        F.when(~is_class, F.nullif(F.trim(F.regexp_extract("s", r"\)\s*->\s*([^:]+)", 1)), F.lit(""))).alias("return_type"),
+        F.when(~is_class, short_params(F.regexp_extract("sig", r"\(([^)]*)\)?", 1))).alias("params"),
+        F.when(~is_class, F.nullif(F.trim(F.regexp_extract("sig", r"\)\s*->\s*([^:]+)", 1)), F.lit(""))).alias("return_type"),
         (text.is_test_file(F.col("file_path"), F.col("language")) & F.startswith("name", F.lit("test"))).alias("is_test"),
     )
 

@@ -198,12 +198,15 @@ def two_hop(deps: DataFrame, limit: int = 25) -> DataFrame:
     return chains.unionByName(single).orderBy("part", F.desc("fan"), "chain").limit(limit)
 
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: str, how_many: bool = True) -> DataFrame:
-    """Pairs of rows whose arrays share an element, with the number and share of common elements."""
-    a = left.withColumn("__k", F.explode(F.array_distinct(F.col(f"l_{keys}"))))
-    b = right.withColumn("__k", F.explode(F.array_distinct(F.col(f"r_{keys}"))))
-    cols = [c for c in [*left.columns, *right.columns]]
-    return a.join(b, "__k").groupBy(*cols).agg(F.count(F.lit(1)).alias("common"))
+def overlap_join(left: DataFrame, right: DataFrame, keys: str) -> DataFrame:
+    """Pairs of rows whose arrays share an element, with the number of common elements; equal rows make pairs of their own."""
+    n = F.count(F.lit(1))
+    a = left.groupBy(*left.columns).agg(n.alias("__a")).withColumn("__k", F.explode(F.array_distinct(F.col(f"l_{keys}"))))
+    b = right.groupBy(*right.columns).agg(n.alias("__b")).withColumn("__k", F.explode(F.array_distinct(F.col(f"r_{keys}"))))
+    cols = [*left.columns, *right.columns]
+    pairs = a.join(b, "__k").groupBy(*cols, "__a", "__b").agg(n.alias("common"))
+    times = F.explode(F.array_repeat(F.lit(0), (F.col("__a") * F.col("__b")).cast("int")))
+    return pairs.withColumn("__t", times).drop("__a", "__b", "__t")
 
 
 def item_risk(distance: Column, tested: Column, sensitive: Column, caller_files: Column) -> Column:

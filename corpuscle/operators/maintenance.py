@@ -9,12 +9,12 @@ from corpuscle.functions import fixed, text
 
 
 def walk(spark: SparkSession, root: str) -> DataFrame:
-    """Files below a folder on any store, with their bytes; those of a size out of bounds are not read."""
+    """Files below a folder on any store, with their texts; those of a size out of bounds are not read, bytes that are no UTF-8 become U+FFFD."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     bare = root.split("://")[-1].rstrip("/")
     below = F.substr("path", F.locate(bare, F.col("path")) + len(bare) + 1)  # what lies above the root does not count
     rows = raw.where((F.col("length") >= 1) & (F.col("length") <= fixed.MAX_FILE_SIZE)).where(is_wanted(below))
-    return rows.select(F.col("path").alias("file_path"), F.decode("content", "UTF-8").alias("content"), short_hash_of_bytes(F.col("content")).alias("file_hash"), F.col("modificationTime").cast("double").alias("last_modified"))
+    return rows.select(F.col("path").alias("file_path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"), short_hash_of_bytes(F.col("content")).alias("file_hash"), F.col("modificationTime").cast("double").alias("last_modified"))
 
 
 def short_hash_of_bytes(content: Column) -> Column:
@@ -38,8 +38,9 @@ def priority(path: Column, recent: Column | None = None) -> Column:
 
 
 def outside_environments(files: DataFrame, path: str = "file_path") -> DataFrame:
-    """Files that lie in no folder with a marker of a virtual environment."""
-    marked = files.where(text.basename(F.col(path)) == "pyvenv.cfg").select(F.regexp_replace(path, "/[^/]*$", "").alias("__env")).distinct()
+    """Files that lie in no folder with a marker of a virtual environment: pyvenv.cfg, bin/python or lib/python*/site-packages."""
+    root = F.nullif(F.regexp_extract(path, r"^(.*?)/(?:pyvenv\.cfg$|bin/python$|lib/python[^/]*/site-packages/)", 1), F.lit(""))
+    marked = files.select(root.alias("__env")).where("__env IS NOT NULL").distinct()
     parts = F.split(path, "/")
     above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     inside = files.select(F.col(path).alias("__p"), F.explode(above).alias("__env")).join(marked, "__env").select("__p").distinct()

@@ -7,6 +7,7 @@ is the best.  Every order ends in chunk_id, so results do not depend on partitio
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,7 +25,7 @@ def postings(chunks: DataFrame) -> DataFrame:
 
 def doc_stats(chunks: DataFrame) -> DataFrame:
     """(repo_id, chunk_id, dl): unweighted number of tokens of all fields."""
-    dl = reduce(Column.__add__, [text.n_tokens(F.col(f)) for f in fixed.COLUMN_WEIGHTS])
+    dl = reduce(Column.__add__, [text.n_tokens(folded(f)) for f in fixed.COLUMN_WEIGHTS])
     return chunks.select("repo_id", "chunk_id", dl.cast("long").alias("dl"))
 
 
@@ -35,14 +36,7 @@ def corpus_stats(stats: DataFrame) -> DataFrame:
 
 def parse_query(query: str) -> list[list[str]]:
     """Phrases of a query as lists of terms; double quotes hold several words together."""
-    import re
-    import unicodedata
-
-    def terms(s: str) -> list[str]:
-        plain = "".join(c for c in unicodedata.normalize("NFD", s.lower()) if not unicodedata.combining(c))
-        return re.findall(r"[^\W_]+", plain)
-
-    found = [terms(q or w) for q, w in re.findall(r'"([^"]*)"|([^\s"]+)', query)]
+    found = [re.findall(r"[^\W_]+", text.fold_str(q or w)) for q, w in re.findall(r'"([^"]*)"|([^\s"]+)', query)]
     return [list(p) for p in dict.fromkeys(tuple(p) for p in found if p)]
 
 
@@ -62,7 +56,7 @@ def folded(field: str) -> Column:
 def frequencies(chunks: DataFrame, phrases: list[list[str]]) -> DataFrame:
     """The chunks with dl and, for each phrase, its weighted frequency f0, f1, ...: one pass, no shuffle."""
     rows = chunks.withColumns({f"t_{f}": folded(f) for f in fixed.COLUMN_WEIGHTS})
-    dl = reduce(Column.__add__, [text.n_tokens(F.col(f)) for f in fixed.COLUMN_WEIGHTS])
+    dl = reduce(Column.__add__, [text.n_tokens(F.col(f"t_{f}")) for f in fixed.COLUMN_WEIGHTS])
     freq = {f"f{i}": reduce(Column.__add__, [phrase_count(F.col(f"t_{f}"), p) * w for f, w in fixed.COLUMN_WEIGHTS.items()]) for i, p in enumerate(phrases)}
     return rows.withColumns({"dl": dl.cast("long")} | freq).drop(*[f"t_{f}" for f in fixed.COLUMN_WEIGHTS])
 

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame, name: str = "level") -> DataFrame:
-    """``df`` written under spark.checkpoint.dir (a local folder only where that is unset) and read back."""
+    """``df`` written under spark.checkpoint.dir and read back; where that is unset, below a local folder on a local master, else an error."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = tempfile.mkdtemp(prefix="corpuscle-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/corpuscle-{uuid.uuid4().hex}/{name}"
