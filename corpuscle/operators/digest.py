@@ -85,3 +85,10 @@ def metrics(first: DataFrame, *by: str) -> DataFrame:
 def best_source(scored: DataFrame) -> DataFrame:
     """For each query, the source of its least score."""
     return scored.groupBy("query").agg(F.min_by("source", F.struct("score", "source")).alias("routed"))
+
+
+def accuracy(routed: DataFrame, expected: DataFrame) -> DataFrame:
+    """One row: the number of queries, and the share whose source is among those expected (query, source)."""
+    right = expected.select("query", F.col("source").alias("routed")).distinct().withColumn("right", F.lit(1.0))
+    rows = routed.join(right, ["query", "routed"], "left")
+    return rows.agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg(F.coalesce("right", F.lit(0.0))), 6).alias("accuracy"))

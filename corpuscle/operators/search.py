@@ -69,19 +69,25 @@ def bm25(chunks: DataFrame, query: str, per_repo: int | None = 20) -> DataFrame:
     rows = frequencies(chunks, phrases)
     stats = rows.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(phrases))])
     hits = rows.where(reduce(Column.__or__, [F.col(f"f{i}") > 0 for i in range(len(phrases))])).join(stats, "repo_id")
+    return scored(hits, len(phrases), per_repo)
+
+
+def term_score(f: Column, held: Column) -> Column:
+    """A phrase's part of the score: its weighted frequency f, in ``held`` of n chunks; dl and avgdl are columns."""
     k1, b = fixed.K1, fixed.B
-    parts = []
-    for i in range(len(phrases)):
-        idf = F.log((F.col("n") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
-        idf = F.when(idf <= 0, 1e-6).otherwise(idf)
-        f = F.col(f"f{i}")
-        parts.append(idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))))
-    names = [f"{x}{i}" for x in "fn" for i in range(len(phrases))]
-    scored = hits.withColumn("bm25_score", -reduce(Column.__add__, parts)).drop(*names, "n", "avgdl", "dl")
+    idf = F.log((F.col("n") - held + 0.5) / (held + 0.5))
+    return F.when(idf <= 0, 1e-6).otherwise(idf) * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+
+
+def scored(hits: DataFrame, phrases: int, per_repo: int | None) -> DataFrame:
+    """Hits with bm25_score from f0, n0, f1, ..., n, dl and avgdl, which go; the per_repo best of each repository."""
+    names = [f"{x}{i}" for x in "fn" for i in range(phrases)]
+    total = reduce(Column.__add__, [term_score(F.col(f"f{i}"), F.col(f"n{i}")) for i in range(phrases)])
+    rows = hits.withColumn("bm25_score", -total).drop(*names, "n", "avgdl", "dl")
     if per_repo is None:
-        return scored
+        return rows
     w = Window.partitionBy("repo_id").orderBy("bm25_score", "chunk_id")
-    return scored.withColumn("repo_rank", F.row_number().over(w)).where(F.col("repo_rank") <= per_repo)
+    return rows.withColumn("repo_rank", F.row_number().over(w)).where(F.col("repo_rank") <= per_repo)
 
 
 def words(c: Column, marks: str) -> Column:
@@ -116,7 +122,7 @@ def within_budget(ranked: DataFrame, k: int, max_tokens: int, first: int = 1000)
     """
     top = ranked.orderBy("final_score", "chunk_id").limit(max(first, k))
     w = Window.orderBy("final_score", "chunk_id")
-    size = F.floor(F.length(F.coalesce("content", F.lit(""))) / 4)
+    size = F.floor((F.col("chars") if "chars" in ranked.columns else F.length(F.coalesce("content", F.lit("")))) / 4)
     rows = top.withColumns({"rank": F.row_number().over(w), "tokens_so_far": F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))})
     return rows.where((F.col("rank") <= k) & ((F.col("rank") == 1) | (F.col("tokens_so_far") <= max_tokens)))
 

@@ -12,6 +12,7 @@ from corpuscle.sources import views
 from corpuscle.sources.scratch import cut
 
 from . import code_queries as Q
+from . import stored
 from .registry import query
 
 EDGES = (
@@ -31,11 +32,11 @@ def line():
 
 
 def edges(spark, d):
-    return X.edges(views.code(spark, d))
+    return stored.code(spark, d).table("edges")
 
 
 def nodes(spark, d):
-    return X.nodes(views.code(spark, d))
+    return stored.code(spark, d).table("nodes")
 
 
 def lookup(sql):

@@ -6,22 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.functions import text
+from corpuscle.operators import digest as D
 from corpuscle.operators import search as S
 from corpuscle.sources import views
+from corpuscle.sources.scratch import cut
 
+from . import stored
 from .registry import query
+from .stored import chunks
 
 NOW = 1700003600.0 + 168 * 3600
 SCORED = ["repo_id", "chunk_id", "file_path"]
 
 
-def chunks(spark, d) -> DataFrame:
-    """Documents as whole-file chunks; every tenth is a doc, every fifteenth an insight."""
-    rows = views.files(spark, d)
-    kind = F.expr("CASE WHEN doc_id % 10 = 0 THEN 'doc' WHEN doc_id % 15 = 1 THEN 'insight' ELSE 'code' END")
-    return rows.withColumns({"chunk_id": text.short_hash("file_path", F.lit("0"), "symbol_name"), "chunk_type": kind})
-
-
 CHUNKS = (
     views.FILES_SQL
     + """, chunks AS (SELECT *, sha256(file_path || ':0:' || symbol_name)[1:16] AS chunk_id,
@@ -57,7 +54,7 @@ RANK = """, rr AS (SELECT *, bm25_score
 
 @query(bm25_sql(["token", "thing", "des"], "SELECT repo_id, chunk_id, file_path, round(bm25_score, 5) AS bm25_score FROM rk WHERE repo_rank <= 20 ORDER BY rk.bm25_score, chunk_id LIMIT 10"))
 def text_bm25_topk(spark, d):
-    rows = S.bm25(chunks(spark, d), "token thing des", 20).orderBy("bm25_score", "chunk_id").limit(10)
+    rows = stored.texts(spark, d).bm25("token thing des", 20).orderBy("bm25_score", "chunk_id").limit(10)
     return rows.select(*SCORED, F.round("bm25_score", 5).alias("bm25_score"))
 
 
@@ -66,7 +63,7 @@ def text_bm25_topk(spark, d):
     + " SELECT repo_id, chunk_id, file_path, round(final_score, 5) AS final_score, rank, tokens_so_far, more_in_file FROM bb WHERE rank <= 10 AND (rank = 1 OR tokens_so_far <= 6000)"
 )
 def text_rerank_dedupe_budget(spark, d):
-    rows = S.within_budget(S.best_per_file(S.rerank(S.bm25(chunks(spark, d), "token doc src3", 20), "token doc src3", NOW)), 10, 6000)
+    rows = stored.texts(spark, d).search("token doc src3", 10, 6000, NOW, expand=False, per_repo=20)
     return rows.select(*SCORED, F.round("final_score", 5).alias("final_score"), "rank", "tokens_so_far", "more_in_file")
 
 
@@ -75,7 +72,7 @@ def text_rerank_dedupe_budget(spark, d):
     + " SELECT repo_id, chunk_id, round(final_score, 5) AS final_score, rank FROM bb WHERE rank <= 10 AND (rank = 1 OR tokens_so_far <= 999999)"
 )
 def text_synonym_search(spark, d):
-    return S.search(chunks(spark, d), "token des", 10, 999_999, NOW).select("repo_id", "chunk_id", F.round("final_score", 5).alias("final_score"), "rank")
+    return stored.texts(spark, d).search("token des", 10, 999_999, NOW).select("repo_id", "chunk_id", F.round("final_score", 5).alias("final_score"), "rank")
 
 
 @query(
@@ -83,7 +80,7 @@ def text_synonym_search(spark, d):
     + " SELECT repo_id, chunk_id, file_path, summary, rank FROM bb WHERE rank <= 10 AND (rank = 1 OR tokens_so_far <= 999999)"
 )
 def compact_search(spark, d):
-    return S.search_compact(chunks(spark, d), "thation doc", 10, NOW).select(*SCORED, "summary", "rank")
+    return stored.texts(spark, d).search("thation doc", 10, 999_999, NOW).select(*SCORED, "summary", "rank")
 
 
 @query(
@@ -114,7 +111,7 @@ PHRASE = " OR ".join(f"contains(' ' || array_to_string({TOK.format(c=c)}, ' ') |
 
 @query(f"WITH {CHUNKS} SELECT repo_id, chunk_id FROM chunks WHERE {PHRASE} ORDER BY repo_id, chunk_id LIMIT 50")
 def text_phrase_refs(spark, d):
-    return S.phrase_refs(chunks(spark, d), "of the").select("repo_id", "chunk_id")
+    return stored.texts(spark, d).frequencies([["of", "the"]]).where("f0 > 0").orderBy("repo_id", "chunk_id").limit(50).select("repo_id", "chunk_id")
 
 
 @query(
@@ -122,7 +119,7 @@ def text_phrase_refs(spark, d):
     "SELECT repo_id, term, count(*) AS occurrences, count(DISTINCT chunk_id) AS df FROM p GROUP BY ALL"
 )
 def postings_build(spark, d):
-    rows = S.postings(chunks(spark, d)).groupBy("repo_id", "term", "chunk_id").agg(F.count(F.lit(1)).alias("c"))
+    rows = stored.texts(spark, d).table("postings").groupBy("repo_id", "term", "chunk_id").agg(F.sum(F.size("positions")).alias("c"))
     return rows.groupBy("repo_id", "term").agg(F.sum("c").alias("occurrences"), F.count(F.lit(1)).alias("df"))
 
 
@@ -131,7 +128,7 @@ def postings_build(spark, d):
     "SELECT repo_id, count(*) AS n, round(avg(dl), 6) AS avgdl FROM s GROUP BY repo_id"
 )
 def corpus_stats(spark, d):
-    return S.corpus_stats(S.doc_stats(chunks(spark, d))).select("repo_id", "n", F.round("avgdl", 6).alias("avgdl"))
+    return stored.texts(spark, d).table("stats").select("repo_id", "n", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query(
@@ -170,3 +167,57 @@ def vocabulary(spark, d):
     rows = views.table(spark, d, "part").selectExpr("replace(p_name, ' ', '_') AS name").distinct()
     words = rows.select("name", F.explode(text.split_identifier(F.col("name"))).alias("word"))
     return words.groupBy("word").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("names"))
+
+
+@query(f"WITH {CHUNKS}, t AS (SELECT repo_id, chunk_id, " + " + ".join(f"len({TOK.format(c=c)})" for c in ("content", "summary", "symbol_name", "file_path")) + " AS dl FROM chunks), "
+    f"p AS (SELECT unnest({TOK.format(c='content')} || {TOK.format(c='summary')} || {TOK.format(c='symbol_name')} || {TOK.format(c='file_path')}) AS term FROM chunks) "
+    "SELECT 'chunks' AS what, count(*) AS n FROM chunks UNION ALL SELECT 'tokens', sum(dl)::BIGINT FROM t UNION ALL SELECT 'occurrences', count(*) FROM p UNION ALL SELECT 'terms', count(DISTINCT term) FROM p UNION ALL SELECT 'repositories', count(DISTINCT repo_id) FROM chunks")
+def index_build(spark, d):
+    """Builds the text index anew and counts what it holds."""
+    from corpuscle.operators.index import Index, build_texts
+    from corpuscle.sources.scratch import new_folder
+
+    folder = new_folder(spark)
+    build_texts(chunks(spark, d), folder)
+    i, n = Index(spark, folder), F.count(F.lit(1))
+    one = lambda table, what, c: i.table(table).agg(F.lit(what).alias("what"), c.cast("long").alias("n"))
+    return one("texts", "chunks", n).union(one("meta", "tokens", F.sum("dl"))).union(one("postings", "occurrences", F.sum(F.size("positions")))).union(one("postings", "terms", F.count_distinct("term"))).union(one("stats", "repositories", n))
+
+
+ASKED = "SELECT item_id, text FROM benchmark b WHERE EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text))"
+FIELDS = {"content": 1.0, "summary": 2.0, "symbol_name": 3.0, "file_path": 1.5}
+MANY = (
+    f"WITH {CHUNKS}, asked AS MATERIALIZED ({ASKED}), q AS (SELECT item_id, unnest(list_distinct({TOK.format(c='text')})) AS term FROM asked), "
+    + "tk AS (" + " UNION ALL ".join(f"SELECT repo_id, chunk_id, {w}::DOUBLE AS w, unnest({TOK.format(c=c)}) AS term FROM chunks" for c, w in FIELDS.items()) + "), "
+    + "dl AS (SELECT repo_id, chunk_id, " + " + ".join(f"len({TOK.format(c=c)})" for c in FIELDS) + " AS dl FROM chunks), st AS (SELECT repo_id, count(*) AS n, avg(dl) AS avgdl FROM dl GROUP BY repo_id), "
+    "h AS (SELECT repo_id, chunk_id, term, sum(w) AS f FROM tk WHERE term IN (SELECT term FROM q) GROUP BY ALL), hn AS (SELECT *, count(*) OVER (PARTITION BY repo_id, term) AS nt FROM h), "
+    "pt AS (SELECT hn.*, CASE WHEN ln((n - nt + 0.5) / (nt + 0.5)) <= 0 THEN 1e-6::DOUBLE ELSE ln((n - nt + 0.5) / (nt + 0.5)) END * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)) AS part FROM hn JOIN st USING (repo_id) JOIN dl USING (repo_id, chunk_id)), "
+    "sc AS (SELECT item_id, repo_id, chunk_id, round(-sum(part), 9) AS score FROM q JOIN pt USING (term) GROUP BY ALL), "
+    "rk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score, chunk_id) AS rank FROM sc), "
+    "rl AS (SELECT item_id, repo_id, chunk_id FROM asked JOIN chunks ON contains(content, asked.text)) "
+)
+
+
+def asked(spark, d):
+    """(query, text) of benchmark passages that documents hold, and (query, repo_id, chunk_id) of these documents."""
+    items = F.broadcast(views.table(spark, d, "benchmark").select(F.col("item_id").alias("query"), "text"))
+    held = chunks(spark, d).select("repo_id", "chunk_id", "content").join(items, F.contains("content", F.col("text"))).select("query", "text", "repo_id", "chunk_id")
+    held = cut(held, "relevant")
+    return held.select("query", "text").distinct(), held.drop("text")
+
+
+@query(MANY + "SELECT round(avg(CASE WHEN first <= 1 THEN 1.0 ELSE 0.0 END), 6) AS hit1, round(avg(CASE WHEN first <= 3 THEN 1.0 ELSE 0.0 END), 6) AS recall3, round(avg(CASE WHEN first <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall5, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr, count(*) AS queries FROM (SELECT item_id, min(rank) FILTER (rl.chunk_id IS NOT NULL) AS first FROM rk LEFT JOIN rl USING (item_id, repo_id, chunk_id) WHERE rank <= 5 GROUP BY item_id)")
+def search_evaluation(spark, d):
+    """Our own search, asked for passages: how often documents that hold them come first."""
+    queries, relevant = asked(spark, d)
+    found = stored.texts(spark, d).search_many(queries, 5)
+    marked = found.join(relevant.withColumn("relevant", F.lit(True)), ["query", "repo_id", "chunk_id"], "left").withColumn("relevant", F.coalesce("relevant", F.lit(False)))
+    return D.metrics(D.ranks(marked))
+
+
+@query(MANY + "SELECT count(*) AS queries, round(avg(CASE WHEN EXISTS (SELECT 1 FROM rl WHERE rl.item_id = rk.item_id AND rl.repo_id = rk.repo_id) THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM rk WHERE rank = 1")
+def search_routing(spark, d):
+    """How often the repository of the best answer holds the passage."""
+    queries, relevant = asked(spark, d)
+    best = D.best_source(stored.texts(spark, d).search_many(queries, 5).select("query", F.col("repo_id").alias("source"), "score"))
+    return D.accuracy(best, relevant.select("query", F.col("repo_id").alias("source")))
