@@ -223,4 +223,28 @@ def overall_risk(rows: DataFrame, sensitive_source: Column) -> DataFrame:
     spread = F.when(n >= 10, 0.30).when(n >= 5, 0.20).when(n >= 2, 0.10).otherwise(0.0)
     risk = F.least(F.lit(1.0), spread + F.when(F.max(sensitive_source), 0.25).otherwise(0.0) + F.coalesce(F.try_divide(untested, n) * 0.25, F.lit(0.0)) + F.coalesce(F.max("risk") * 0.20, F.lit(0.0)))
     out = rows.agg(n.alias("affected"), F.count_distinct("file_path").alias("files"), untested.alias("untested"), risk.alias("risk"))
-    return out.withColumn("level", F.when(F.col("risk") > 0.7, "critical").when(F.col("risk") > 0.5, "high").when(F.col("risk") > 0.3, "medium").otherwise("low"))
+    return out.withColumn("level", risk_level(F.col("risk")))
+
+
+def impact_report(edges: DataFrame, nodes: DataFrame, path: str, changed: tuple[int, int] | None = None, most: int = 25) -> DataFrame:
+    """What a change of a file touches: each symbol with its distance, tests, callers, risk and level; riskiest first, the first ``most``.
+
+    A file is tested if a TESTED_BY edge's target holds its module path or its stem as
+    a part; its callers are the files with a CALLS edge whose target holds its stem.
+    """
+    hit = cut(impact(edges, nodes, path, changed=changed), "impact")
+    files = hit.select("file_path").distinct().withColumn("stem", text.stem(F.col("file_path")))
+    tests = edges.where("kind = 'TESTED_BY'").select("target_symbol").distinct()
+    part = F.explode(F.split("target_symbol", r"[./]"))
+    tested = files.join(tests.select(part.alias("stem")).distinct(), "stem", "left_semi").select("file_path").withColumn("tested", F.lit(True))
+    calls = edges.where("kind = 'CALLS'").select("source_file", "target_symbol").distinct()
+    callers = substring_join(files, calls, "stem", "target_symbol").groupBy("file_path").agg(F.count_distinct("source_file").alias("callers"))
+    rows = hit.join(tested, "file_path", "left").join(callers, "file_path", "left")
+    rows = rows.withColumns({"tested": F.coalesce("tested", F.lit(False)), "callers": F.coalesce("callers", F.lit(0))})
+    risk = F.round(item_risk(F.col("distance"), F.col("tested"), text.is_sensitive(F.col("file_path")), F.col("callers")), 2)
+    rows = rows.withColumn("risk", risk).withColumn("level", risk_level(F.col("risk")))
+    return rows.select("qualified_name", "file_path", "distance", "direction", "tested", "callers", "risk", "level").orderBy(F.desc("risk"), "distance", "qualified_name").limit(most)
+
+
+def risk_level(risk: Column) -> Column:
+    return F.when(risk > 0.7, "critical").when(risk > 0.5, "high").when(risk > 0.3, "medium").otherwise("low")

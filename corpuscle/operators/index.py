@@ -24,6 +24,7 @@ from corpuscle.functions import fixed, text
 from . import extract, search
 
 BUCKETS, SPREAD = 32, 4
+POSTINGS = "term string, repo_id string, chunk_id string, field string, positions array<int>, bucket int"  # of an empty index, too
 
 
 def bucket_of(term: Column, buckets: int) -> Column:
@@ -61,7 +62,8 @@ class Index:
         self.spark, self.folder, self.buckets = spark, folder, buckets
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}")
+        read = self.spark.read.schema(POSTINGS) if name == "postings" else self.spark.read
+        return read.parquet(f"{self.folder}/{name}")
 
     def postings(self, terms: list[str]) -> DataFrame:
         """The postings of some terms: their folders, and in these their rows."""
@@ -85,12 +87,12 @@ class Index:
 
     def bm25(self, query: str, per_repo: int | None = 20) -> DataFrame:
         """As ``search.bm25``, without contents."""
-        phrases = search.parse_query(query)
+        phrases, condition = search.parse_match(query)
         if not phrases:
             return self.table("meta").where("false").withColumn("bm25_score", F.lit(0.0))
-        rows = self.frequencies(phrases).where(reduce(Column.__or__, [F.col(f"f{i}") > 0 for i in range(len(phrases))]))
+        rows = self.frequencies(phrases)
         held = rows.groupBy("repo_id").agg(*[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(phrases))])
-        hits = rows.join(held, "repo_id").join(self.table("stats"), "repo_id").join(self.table("meta"), ["repo_id", "chunk_id"])
+        hits = rows.where(search.meets(condition, len(phrases))).join(held, "repo_id").join(self.table("stats"), "repo_id").join(self.table("meta"), ["repo_id", "chunk_id"])
         return search.scored(hits, len(phrases), per_repo)
 
     def search(self, query: str, k: int = 5, max_tokens: int = 3000, now: float = 0.0, expand: bool = True, per_repo: int | None = None) -> DataFrame:

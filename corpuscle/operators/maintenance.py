@@ -66,6 +66,13 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], order: str) -> DataFr
     return both.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r", "__new")
 
 
+def replace_nodes(old: DataFrame, new: DataFrame, order: str, path: str = "file_path") -> DataFrame:
+    """As replace_files; of rows with one qualified name the last in the order stays."""
+    w = Window.partitionBy("qualified_name").orderBy(F.desc("__new"), F.desc(order))
+    both = old.join(new.select(path).distinct(), path, "left_anti").withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
+    return both.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r", "__new")
+
+
 def replace_files(old: DataFrame, new: DataFrame, path: str = "file_path") -> DataFrame:
     """Old rows of files that new has no rows of, and all new ones."""
     return old.join(new.select(path).distinct(), path, "left_anti").unionByName(new)
@@ -92,6 +99,70 @@ def drop_repo(workspaces: DataFrame, repo: str) -> DataFrame:
     return workspaces.withColumn("repo_ids", F.array_remove("repo_ids", repo))
 
 
+def forget_repo(spark: SparkSession, repo: str, repos: DataFrame, mappings: DataFrame, workspaces: DataFrame, folder: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The registry without a repository: its row, its paths and its places in workspaces; its partition of a stored table goes too."""
+    if folder is not None:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/repo_id={repo}")
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return repos.where(F.col("repo_id") != repo), mappings.where(F.col("repo_id") != repo), drop_repo(workspaces, repo)
+
+
+def save_workspace(workspaces: DataFrame, name: str, repo_ids: list[str]) -> DataFrame:
+    """Workspaces (name, repo_ids) with the repositories added to the one of this name, which is made if it is new."""
+    added = workspaces.sparkSession.createDataFrame([(name, repo_ids)], "name string, repo_ids array<string>")
+    both = workspaces.select("name", "repo_ids", F.lit(0).alias("at")).unionByName(added.withColumn("at", F.lit(1)))
+    listed = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "repo_ids"))), lambda x: x["repo_ids"]))
+    return both.groupBy("name").agg(F.array_distinct(listed).alias("repo_ids"))
+
+
+def map_workspaces(mappings: DataFrame, workspaces: DataFrame) -> DataFrame:
+    """Path mappings (path, repo_id) with the workspace of their repository: the first by name; null if it is in none."""
+    member = workspaces.select("name", F.explode("repo_ids").alias("repo_id")).groupBy("repo_id").agg(F.min("name").alias("workspace"))
+    return mappings.join(member, "repo_id", "left")
+
+
+def search_targets(repos: DataFrame, workspaces: DataFrame, workspace: str | None = None, repo: str | None = None, cwd: str | None = None) -> DataFrame:
+    """(repo_id, status): which repositories a search reads: those of the workspace, else the repository, else what the folder belongs to.
+
+    One row says what is wrong where nothing is found: unknown workspace, empty
+    workspace, unknown repository, unindexed folder, or no target.
+    """
+    known = repos.select("repo_id").distinct()
+    if workspace is not None:
+        own = workspaces.where(F.col("name") == workspace)
+        out, wrong = own.select(F.explode("repo_ids").alias("repo_id")).join(known, "repo_id", "left_semi"), F.when(own.agg(F.count(F.lit(1))).scalar() == 0, "unknown workspace").otherwise("empty workspace")
+    elif repo is not None:
+        out, wrong = known.where(F.col("repo_id") == repo), F.lit("unknown repository")
+    elif cwd is not None:
+        at = resolve_context(repos.sparkSession.createDataFrame([(cwd,)], "path string"), repos, workspaces)
+        by_workspace = at.where("status = 'workspace'").join(workspaces.select(F.col("name").alias("workspace"), F.explode("repo_ids").alias("member")), "workspace").select(F.col("member").alias("repo_id"))
+        out, wrong = at.where("status = 'repo'").select("repo_id").unionByName(by_workspace), F.lit("unindexed folder")
+    else:
+        out, wrong = known.where("false"), F.lit("no target")
+    out = out.distinct().withColumn("status", F.lit("found"))
+    none = out.agg(F.count(F.lit(1)) == 0).scalar()
+    return out.unionByName(repos.sparkSession.range(1).select(F.lit(None).cast("string").alias("repo_id"), wrong.alias("status")).where(none))
+
+
+def repo_list(repos: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Repositories by name, with the files and chunks that are indexed of each."""
+    held = chunks.groupBy("repo_id").agg(F.count_distinct("file_path").alias("files"), F.count(F.lit(1)).alias("chunks"))
+    return repos.join(held, "repo_id", "left").fillna(0, ["files", "chunks"]).orderBy("name", "repo_id")
+
+
+def history(spark: SparkSession, path: str, last: int = 5) -> DataFrame:
+    """(file, role, text) of saved conversations: one JSONL file, or the ``last`` by name of a folder; lines that are no JSON objects are left out."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = sorted(f.getPath().toString() for f in store.listStatus(at) if f.getPath().getName().endswith(".jsonl"))[-last:]
+    kinds = "role string, text string, content string, message struct<role: string, content: string>, __bad string"
+    if not names:
+        return spark.createDataFrame([], "file string, role string, text string")
+    rows = spark.read.schema(kinds).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__bad").json(names)
+    rows = rows.select("*", F.col("_metadata.file_name").alias("file")).where("__bad IS NULL")
+    return rows.select("file", F.coalesce("role", "message.role").alias("role"), F.coalesce("text", "content", "message.content").alias("text")).where("role IS NOT NULL AND text IS NOT NULL")
+
+
 def organisation(remote: Column) -> Column:
     """Owner of a remote address: after the colon of the short form, else the part before the last."""
     parts = F.split(remote, "/")

@@ -40,6 +40,58 @@ def parse_query(query: str) -> list[list[str]]:
     return [list(p) for p in dict.fromkeys(tuple(p) for p in found if p)]
 
 
+Condition = int | tuple  # a phrase's number, or ("and" | "or" | "not", left, right)
+
+
+def parse_match(query: str) -> tuple[list[list[str]], Condition | None]:
+    """Phrases of a query and how they combine.
+
+    AND, OR and NOT in capitals, outside quotes, are operators; NOT binds closest, then
+    AND, which is also meant where phrases follow each other in such a query, then OR.
+    A query without operators, or with one that lacks a side, asks for any of its
+    phrases (None).
+    """
+    parts = [(False, q) if q or not w else (w in ("AND", "OR", "NOT"), w) for q, w in re.findall(r'"([^"]*)"|([^\s"]+)', query)]
+    plain = parse_query(" ".join(f'"{p}"' for is_operator, p in parts if not is_operator))
+    if not any(is_operator for is_operator, _ in parts):
+        return parse_query(query), None
+    tree = _any(parts, {tuple(p): i for i, p in enumerate(plain)})
+    return (plain, tree) if tree is not None else (parse_query(query), None)
+
+
+def _any(parts: list[tuple[bool, str]], number: dict[tuple, int]) -> Condition | None:
+    """The condition of parts (is an operator, word or phrase); None if an operator lacks a side."""
+    for name in ("OR", "AND"):  # what binds least splits first
+        at = next((i for i, p in enumerate(parts) if p == (True, name)), None)
+        if at is not None:
+            left, right = _any(parts[:at], number), _any(parts[at + 1 :], number)
+            return None if left is None or right is None else (name.lower(), left, right)
+    out: Condition | None = None
+    while parts:
+        (is_operator, word), *parts = parts
+        if is_operator:  # NOT, of what stands before it
+            if out is None or not parts or parts[0][0]:
+                return None
+            (_, word), *parts = parts
+        (phrase,) = parse_query(f'"{word}"') or [None]
+        if phrase is None:
+            return None
+        one = number[tuple(phrase)]
+        out = one if out is None else ("not" if is_operator else "and", out, one)
+    return out
+
+
+def meets(condition: Condition | None, phrases: int) -> Column:
+    """The condition over f0, f1, ...; None: any phrase."""
+    if condition is None:
+        return reduce(Column.__or__, [F.col(f"f{i}") > 0 for i in range(phrases)])
+    if isinstance(condition, int):
+        return F.col(f"f{condition}") > 0
+    name, left, right = condition
+    left, right = meets(left, phrases), meets(right, phrases)
+    return left & right if name == "and" else left | right if name == "or" else left & ~right
+
+
 EDGE = r"[\p{L}\p{N}]"
 
 
@@ -63,12 +115,12 @@ def frequencies(chunks: DataFrame, phrases: list[list[str]]) -> DataFrame:
 
 def bm25(chunks: DataFrame, query: str, per_repo: int | None = 20) -> DataFrame:
     """Chunks that hold a phrase of the query, with bm25_score; the per_repo best of each repository."""
-    phrases = parse_query(query)
+    phrases, condition = parse_match(query)
     if not phrases:
         return chunks.where("false").withColumn("bm25_score", F.lit(0.0))
     rows = frequencies(chunks, phrases)
     stats = rows.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(phrases))])
-    hits = rows.where(reduce(Column.__or__, [F.col(f"f{i}") > 0 for i in range(len(phrases))])).join(stats, "repo_id")
+    hits = rows.where(meets(condition, len(phrases))).join(stats, "repo_id")
     return scored(hits, len(phrases), per_repo)
 
 
@@ -163,9 +215,16 @@ def symbols(chunks: DataFrame, pattern: str, limit: int = 50) -> DataFrame:
 def exact_or_substring(rows: DataFrame, column: str, name: str, most: int = 20) -> DataFrame:
     """Rows equal to the name; only if there are none, up to ``most`` that hold it."""
     exact = rows.where(F.col(column) == name)
-    if not exact.isEmpty():
-        return exact
-    return rows.where(F.contains(F.lower(column), F.lit(name.lower()))).orderBy(column).limit(most)
+    none = exact.agg(F.count(F.lit(1)) == 0).scalar()
+    return exact.unionByName(rows.where(F.contains(F.lower(column), F.lit(name.lower())) & none).orderBy(column).limit(most))
+
+
+def file_match(nodes: DataFrame, chunks: DataFrame, part: str, most: int = 5) -> DataFrame:
+    """Paths that hold the part in any letter case, shortest first: of files with symbols, else of files with chunks."""
+    named = nodes.select("file_path").where(text.holds(F.col("file_path"), part)).distinct()
+    none = named.agg(F.count(F.lit(1)) == 0).scalar()
+    other = chunks.select("file_path").where(text.holds(F.col("file_path"), part) & none).distinct()
+    return named.unionByName(other).orderBy(F.length("file_path"), "file_path").limit(most)
 
 
 def phrase_refs(chunks: DataFrame, symbol: str, limit: int = 50) -> DataFrame:

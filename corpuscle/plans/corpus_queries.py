@@ -469,3 +469,39 @@ def debounce_sessions(spark, d):
 def watch_filter(spark, d):
     e = T(spark, d, "events").selectExpr("CASE WHEN user_id % 2 = 1 THEN concat('src/u', user_id, '.py') ELSE concat('.git/u', user_id) END AS path")
     return changes.watched(e).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+
+
+WORK = "w AS (SELECT r_name AS name, n_name AS repo_id FROM region JOIN nation ON n_regionkey = r_regionkey)"
+
+
+@query(f"WITH {WORK}, m AS (SELECT repo_id, min(name) AS workspace FROM w GROUP BY repo_id) SELECT 's' || s_suppkey AS path, n_name AS repo_id, workspace FROM supplier JOIN nation ON n_nationkey = s_nationkey LEFT JOIN m ON m.repo_id = n_name")
+def workspace_mappings(spark, d):
+    paths = T(spark, d, "supplier").join(T(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("s"), "s_suppkey").alias("path"), F.col("n_name").alias("repo_id"))
+    return M.map_workspaces(paths, workspaces_of(spark, d)).select("path", "repo_id", "workspace")
+
+
+def workspaces_of(spark, d):
+    rows = T(spark, d, "nation").join(T(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return rows.groupBy(F.col("r_name").alias("name")).agg(F.array_sort(F.collect_set("n_name")).alias("repo_ids"))
+
+
+@query(f"WITH {WORK} SELECT repo_id, 'found' AS status FROM w WHERE name = 'ASIA' UNION ALL SELECT NULL, 'unknown workspace' WHERE NOT EXISTS (SELECT 1 FROM w WHERE name = 'ASIA')")
+def search_targets(spark, d):
+    repos = T(spark, d, "nation").select(F.col("n_name").alias("repo_id"), F.concat(F.lit("/x/"), "n_name").alias("local_path"))
+    return M.search_targets(repos, workspaces_of(spark, d), workspace="ASIA")
+
+
+@query("WITH c AS (SELECT source AS repo_id, count(DISTINCT lang) AS files, count(*) AS chunks FROM documents GROUP BY 1) SELECT repo_id, upper(repo_id) AS name, files, chunks FROM c")
+def repo_list(spark, d):
+    docs = T(spark, d, "documents")
+    repos = docs.select(F.col("source").alias("repo_id")).distinct().withColumn("name", F.upper("repo_id"))
+    return M.repo_list(repos, docs.select(F.col("source").alias("repo_id"), F.col("lang").alias("file_path")))
+
+
+NAMED = "SELECT concat('f', p_partkey % 40) AS file_path, p_name AS qualified_name, p_partkey AS seq, p_size AS v FROM part"
+
+
+@query(f"WITH o AS (SELECT * FROM ({NAMED}) WHERE seq % 2 = 0), n AS (SELECT * FROM ({NAMED}) WHERE seq % 2 = 1 AND file_path < 'f2'), b AS (SELECT *, 0 AS new FROM o WHERE file_path NOT IN (SELECT file_path FROM n) UNION ALL SELECT *, 1 FROM n) SELECT file_path, qualified_name, seq, v FROM b QUALIFY row_number() OVER (PARTITION BY qualified_name ORDER BY new DESC, seq DESC) = 1")
+def replace_nodes(spark, d):
+    rows = T(spark, d, "part").selectExpr("concat('f', p_partkey % 40) AS file_path", "p_name AS qualified_name", "p_partkey AS seq", "p_size AS v")
+    return M.replace_nodes(rows.where("seq % 2 = 0"), rows.where("seq % 2 = 1 AND file_path < 'f2'"), "seq")

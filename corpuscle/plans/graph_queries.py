@@ -8,6 +8,7 @@ from corpuscle.functions import fixed, text
 from corpuscle.operators import contracts as K
 from corpuscle.operators import extract as X
 from corpuscle.operators import graph as G
+from corpuscle.operators import search as S
 from corpuscle.sources import views
 from corpuscle.sources.scratch import cut
 
@@ -371,3 +372,13 @@ def cross_project_impact(spark, d):
     ends = K.affected_endpoints(K.endpoints(c), "router_m3.py")
     pairs = K.contract_match(ends, K.consumers(c))
     return pairs.groupBy(F.col("use_repo").alias("repo_id")).agg(F.count(F.lit(1)).alias("consumers"))
+
+
+@lookup("SELECT file_path FROM (SELECT DISTINCT file_path FROM nodes WHERE contains(lower(file_path), 'core/m1') UNION SELECT DISTINCT file_path FROM code WHERE contains(lower(file_path), 'core/m1') AND NOT EXISTS (SELECT 1 FROM nodes WHERE contains(lower(file_path), 'core/m1'))) ORDER BY length(file_path), file_path LIMIT 5")
+def file_match(spark, d):
+    return S.file_match(nodes(spark, d), views.code(spark, d), "Core/M1")
+
+
+@query()
+def impact_report(spark, d):
+    return G.impact_report(edges(spark, d), nodes(spark, d), "app/core/m1.py")

@@ -27,7 +27,7 @@ CHUNKS = (
 TOK = r"regexp_extract_all(strip_accents(lower(coalesce({c}, ''))), '[\p{{L}}\p{{N}}]+')"
 
 
-def bm25_sql(terms: list[str], tail: str, phrase: bool = False) -> str:
+def bm25_sql(terms: list[str], tail: str, some: str = "") -> str:
     fields = {"content": 1.0, "summary": 2.0, "symbol_name": 3.0, "file_path": 1.5}
     toks = ", ".join(f"{TOK.format(c=c)} AS t_{c}" for c in fields)
     freq = ", ".join("(" + " + ".join(f"len(list_filter(t_{c}, lambda z: z = '{t}')) * {w}" for c, w in fields.items()) + f")::DOUBLE AS f{i}" for i, t in enumerate(terms))
@@ -35,7 +35,7 @@ def bm25_sql(terms: list[str], tail: str, phrase: bool = False) -> str:
     ns = ", ".join(f"count(*) FILTER (f{i} > 0) AS n{i}" for i in range(len(terms)))
     idf = lambda i: f"CASE WHEN ln((n - n{i} + 0.5) / (n{i} + 0.5)) <= 0 THEN 1e-6::DOUBLE ELSE ln((n - n{i} + 0.5) / (n{i} + 0.5)) END"
     part = " + ".join(f"({idf(i)}) * f{i} * 2.2::DOUBLE / (f{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))" for i in range(len(terms)))
-    some = " OR ".join(f"f{i} > 0" for i in range(len(terms)))
+    some = some or " OR ".join(f"f{i} > 0" for i in range(len(terms)))
     return f"""WITH {CHUNKS}, tk AS (SELECT *, {toks} FROM chunks), fr AS (SELECT *, ({dl}) AS dl, {freq} FROM tk),
         st AS (SELECT repo_id, count(*) AS n, avg(dl) AS avgdl, {ns} FROM fr GROUP BY repo_id),
         sc AS (SELECT fr.*, -({part}) AS bm25_score FROM fr JOIN st USING (repo_id) WHERE {some}),
@@ -221,3 +221,9 @@ def search_routing(spark, d):
     queries, relevant = asked(spark, d)
     best = D.best_source(stored.texts(spark, d).search_many(queries, 5).select("query", F.col("repo_id").alias("source"), "score"))
     return D.accuracy(best, relevant.select("query", F.col("repo_id").alias("source")))
+
+
+@query(bm25_sql(["token", "doc", "the"], "SELECT repo_id, chunk_id, round(bm25_score, 5) AS bm25_score FROM rk WHERE repo_rank <= 20", some="f0 > 0 AND f1 > 0 AND NOT f2 > 0"))
+def text_boolean_search(spark, d):
+    rows = stored.texts(spark, d).bm25("token AND doc NOT the", 20)
+    return rows.select("repo_id", "chunk_id", F.round("bm25_score", 5).alias("bm25_score"))
