@@ -4,12 +4,14 @@ Tables below one folder, all parquet:
 
     meta      a row for each chunk without its text, with its tokens in all fields (dl) and its size
     texts     chunk_id and content, in order of chunk_id, so that few row groups hold what an answer shows
-    postings  (bucket, term, repo_id, chunk_id, field, positions), by folders of ``bucket``, a hash of the term
+    postings  (bucket, term, repo_id, chunk_id, n, f), by folders of ``bucket``, a hash of the term; n: how often
+              the chunk holds the term, f: the same by weights of fields
     stats     number of chunks and average length of each repository
     nodes, edges   symbols and relationships of source files
 
 A search reads the folders of its terms alone, and texts of the rows that it returns.
-A term that most chunks hold is written in several files of its bucket.
+Phrases are counted in the texts of the chunks that hold all their words.  A term that
+most chunks hold is written in several files of its bucket.
 """
 
 from __future__ import annotations
@@ -20,11 +22,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuscle.functions import fixed, text
+from corpuscle.sources.scratch import cut
 
 from . import extract, search
 
 BUCKETS, SPREAD = 32, 4
-POSTINGS = "term string, repo_id string, chunk_id string, field string, positions array<int>, bucket int"  # of an empty index, too
+POSTINGS = "term string, repo_id string, chunk_id string, n long, f double, bucket int"  # of an empty index, too
 
 
 def bucket_of(term: Column, buckets: int) -> Column:
@@ -33,17 +36,16 @@ def bucket_of(term: Column, buckets: int) -> Column:
 
 def build_texts(chunks: DataFrame, folder: str, buckets: int = BUCKETS) -> None:
     """Writes meta, texts, postings and stats of chunks (see ``search``)."""
-    fields = list(fixed.COLUMN_WEIGHTS)
-    terms = F.array(*[F.struct(F.lit(f).alias("field"), text.tokens(F.col(f)).alias("terms")) for f in fields])
-    chunks.select("chunk_id", "content").repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").write.parquet(f"{folder}/texts")
     spark = chunks.sparkSession
-    listed = chunks.select("repo_id", "chunk_id", terms.alias("t"), *[c for c in chunks.columns if c not in ("repo_id", "chunk_id", "content")], F.length(F.coalesce("content", F.lit(""))).alias("chars"))
-    listed = listed.withColumn("dl", F.aggregate("t", F.lit(0).cast("long"), lambda n, x: n + F.size(x["terms"])))
-    listed.drop("t").write.parquet(f"{folder}/meta")
-    stats = search.corpus_stats(spark.read.parquet(f"{folder}/meta"))
-    stats.write.parquet(f"{folder}/stats")
-    rows = chunks.select("repo_id", "chunk_id", F.explode(terms).alias("x")).select("repo_id", "chunk_id", "x.field", F.posexplode("x.terms").alias("pos", "term"))
-    rows = rows.groupBy("term", "repo_id", "chunk_id", "field").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    chunks.select("chunk_id", "content").repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").write.parquet(f"{folder}/texts")
+    terms = F.array(*[F.struct(F.lit(w).alias("w"), text.tokens(F.col(f)).alias("terms")) for f, w in fixed.COLUMN_WEIGHTS.items()])
+    kept = [c for c in chunks.columns if c != "content"]
+    read = cut(chunks.select(*kept, F.length(F.coalesce("content", F.lit(""))).alias("chars"), terms.alias("__t")), "terms")
+    dl = F.aggregate("__t", F.lit(0).cast("long"), lambda n, x: n + F.size(x["terms"]))
+    read.withColumn("dl", dl).drop("__t").write.parquet(f"{folder}/meta")
+    search.corpus_stats(spark.read.parquet(f"{folder}/meta")).write.parquet(f"{folder}/stats")
+    rows = read.select("repo_id", "chunk_id", F.explode("__t").alias("x")).select("repo_id", "chunk_id", "x.w", F.explode("x.terms").alias("term"))
+    rows = rows.groupBy("term", "repo_id", "chunk_id").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("f"))
     rows = rows.withColumn("bucket", bucket_of(F.col("term"), buckets))
     rows = rows.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(SPREAD))).sortWithinPartitions("bucket", "term")
     rows.write.partitionBy("bucket").parquet(f"{folder}/postings")
@@ -73,17 +75,22 @@ class Index:
 
     def frequencies(self, phrases: list[list[str]]) -> DataFrame:
         """(repo_id, chunk_id, f0, f1, ...): the weighted frequency of each phrase, of chunks that hold one."""
-        weight = F.create_map(*[F.lit(x) for pair in fixed.COLUMN_WEIGHTS.items() for x in pair])
-        rows = self.postings(sorted({t for p in phrases for t in p})).groupBy("repo_id", "chunk_id", "field")
-        every = rows.agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))  # no more than the query has terms
-
-        def count(phrase: list[str]) -> Column:
-            first = F.try_element_at("at", F.lit(phrase[0]))
-            holds = lambda x: reduce(Column.__and__, [F.coalesce(F.array_contains(F.try_element_at("at", F.lit(t)), x + i), F.lit(False)) for i, t in enumerate(phrase[1:], 1)], F.lit(True))
-            return F.coalesce(F.size(F.filter(first, holds) if len(phrase) > 1 else first), F.lit(0))
-
-        weighted = [F.sum(F.greatest(count(p), F.lit(0)) * F.element_at(weight, F.col("field"))).alias(f"f{i}") for i, p in enumerate(phrases)]
-        return every.groupBy("repo_id", "chunk_id").agg(*weighted)
+        key = ["repo_id", "chunk_id"]
+        rows = self.postings(sorted({t for p in phrases for t in p}))
+        single = [rows.where(F.col("term") == p[0]).select(*key, F.lit(i).alias("i"), "f") for i, p in enumerate(phrases) if len(p) == 1]
+        longer = {i: p for i, p in enumerate(phrases) if len(p) > 1}
+        held = single
+        if longer:
+            every = rows.groupBy(*key).agg(F.collect_set("term").alias("terms"))  # no more than the query has terms
+            hold = {i: F.forall(F.array(*[F.lit(t) for t in p]), lambda t: F.array_contains("terms", t)) for i, p in longer.items()}
+            some = every.where(reduce(Column.__or__, hold.values())).select(*key)
+            read = some.join(self.table("meta").select(*key, "summary", "symbol_name", "file_path"), key).join(self.table("texts"), "chunk_id")
+            count = lambda p: reduce(Column.__add__, [search.phrase_count(F.col(f"t_{f}"), p) * w for f, w in fixed.COLUMN_WEIGHTS.items()])
+            read = read.select(*key, *[search.folded(f).alias(f"t_{f}") for f in fixed.COLUMN_WEIGHTS])
+            found = read.select(*key, F.explode(F.array(*[F.struct(F.lit(i).alias("i"), count(p).alias("f")) for i, p in longer.items()])).alias("x"))
+            held = [*single, found.select(*key, "x.i", "x.f").where("f > 0")]
+        every = reduce(DataFrame.unionByName, held)
+        return every.groupBy(*key).agg(*[F.sum(F.when(F.col("i") == i, F.col("f")).otherwise(0.0)).alias(f"f{i}") for i in range(len(phrases))])
 
     def bm25(self, query: str, per_repo: int | None = 20) -> DataFrame:
         """As ``search.bm25``, without contents."""
@@ -105,8 +112,7 @@ class Index:
         """(query, rank, repo_id, chunk_id, score) of many queries (query, text) in one pass: their words, by BM25, over all repositories."""
         asked = queries.select("query", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("term"))
         terms = asked.select("term").distinct().withColumn("bucket", bucket_of(F.col("term"), self.buckets))
-        weight = F.create_map(*[F.lit(x) for pair in fixed.COLUMN_WEIGHTS.items() for x in pair])
-        held = self.table("postings").join(terms, ["bucket", "term"]).groupBy("repo_id", "chunk_id", "term").agg(F.sum(F.size("positions") * F.element_at(weight, F.col("field"))).alias("f"))
+        held = self.table("postings").join(terms, ["bucket", "term"]).select("repo_id", "chunk_id", "term", "f")
         held = held.withColumn("nt", F.count(F.lit(1)).over(Window.partitionBy("repo_id", "term")))
         held = held.join(self.table("stats"), "repo_id").join(self.table("meta").select("repo_id", "chunk_id", "dl"), ["repo_id", "chunk_id"])
         parts = held.withColumn("part", search.term_score(F.col("f"), F.col("nt")))

@@ -119,8 +119,8 @@ def text_phrase_refs(spark, d):
     "SELECT repo_id, term, count(*) AS occurrences, count(DISTINCT chunk_id) AS df FROM p GROUP BY ALL"
 )
 def postings_build(spark, d):
-    rows = stored.texts(spark, d).table("postings").groupBy("repo_id", "term", "chunk_id").agg(F.sum(F.size("positions")).alias("c"))
-    return rows.groupBy("repo_id", "term").agg(F.sum("c").alias("occurrences"), F.count(F.lit(1)).alias("df"))
+    rows = stored.texts(spark, d).table("postings")
+    return rows.groupBy("repo_id", "term").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("df"))
 
 
 @query(
@@ -173,15 +173,10 @@ def vocabulary(spark, d):
     f"p AS (SELECT unnest({TOK.format(c='content')} || {TOK.format(c='summary')} || {TOK.format(c='symbol_name')} || {TOK.format(c='file_path')}) AS term FROM chunks) "
     "SELECT 'chunks' AS what, count(*) AS n FROM chunks UNION ALL SELECT 'tokens', sum(dl)::BIGINT FROM t UNION ALL SELECT 'occurrences', count(*) FROM p UNION ALL SELECT 'terms', count(DISTINCT term) FROM p UNION ALL SELECT 'repositories', count(DISTINCT repo_id) FROM chunks")
 def index_build(spark, d):
-    """Builds the text index anew and counts what it holds."""
-    from corpuscle.operators.index import Index, build_texts
-    from corpuscle.sources.scratch import new_folder
-
-    folder = new_folder(spark)
-    build_texts(chunks(spark, d), folder)
-    i, n = Index(spark, folder), F.count(F.lit(1))
+    """Builds the text index, if the session has none of these documents, and counts what it holds."""
+    i, n = stored.texts(spark, d), F.count(F.lit(1))
     one = lambda table, what, c: i.table(table).agg(F.lit(what).alias("what"), c.cast("long").alias("n"))
-    return one("texts", "chunks", n).union(one("meta", "tokens", F.sum("dl"))).union(one("postings", "occurrences", F.sum(F.size("positions")))).union(one("postings", "terms", F.count_distinct("term"))).union(one("stats", "repositories", n))
+    return one("texts", "chunks", n).union(one("meta", "tokens", F.sum("dl"))).union(one("postings", "occurrences", F.sum("n"))).union(one("postings", "terms", F.count_distinct("term"))).union(one("stats", "repositories", n))
 
 
 ASKED = "SELECT item_id, text FROM benchmark b WHERE EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text))"
