@@ -3,7 +3,7 @@
 Tables below one folder, all parquet:
 
     meta      a row for each chunk without its text, with its tokens in all fields (dl) and its size
-    texts     chunk_id and content, in order of chunk_id, so that few row groups hold what an answer shows
+    texts     repo_id, chunk_id and content, in order of chunk_id, so that few row groups hold what an answer shows
     postings  (bucket, term, repo_id, chunk_id, n, f), by folders of ``bucket``, a hash of the term; n: how often
               the chunk holds the term, f: the same by weights of fields
     stats     number of chunks and average length of each repository
@@ -37,7 +37,7 @@ def bucket_of(term: Column, buckets: int) -> Column:
 def build_texts(chunks: DataFrame, folder: str, buckets: int = BUCKETS) -> None:
     """Writes meta, texts, postings and stats of chunks (see ``search``)."""
     spark = chunks.sparkSession
-    chunks.select("chunk_id", "content").repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").write.parquet(f"{folder}/texts")
+    chunks.select("repo_id", "chunk_id", "content").repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").write.parquet(f"{folder}/texts")
     terms = F.array(*[F.struct(F.lit(w).alias("w"), text.tokens(F.col(f)).alias("terms")) for f, w in fixed.COLUMN_WEIGHTS.items()])
     kept = [c for c in chunks.columns if c != "content"]
     read = cut(chunks.select(*kept, F.length(F.coalesce("content", F.lit(""))).alias("chars"), terms.alias("__t")), "terms")
@@ -84,7 +84,7 @@ class Index:
             every = rows.groupBy(*key).agg(F.collect_set("term").alias("terms"))  # no more than the query has terms
             hold = {i: F.forall(F.array(*[F.lit(t) for t in p]), lambda t: F.array_contains("terms", t)) for i, p in longer.items()}
             some = every.where(reduce(Column.__or__, hold.values())).select(*key)
-            read = some.join(self.table("meta").select(*key, "summary", "symbol_name", "file_path"), key).join(self.table("texts"), "chunk_id")
+            read = some.join(self.table("meta").select(*key, "summary", "symbol_name", "file_path"), key).join(self.table("texts"), key)
             count = lambda p: reduce(Column.__add__, [search.phrase_count(F.col(f"t_{f}"), p) * w for f, w in fixed.COLUMN_WEIGHTS.items()])
             read = read.select(*key, *[search.folded(f).alias(f"t_{f}") for f in fixed.COLUMN_WEIGHTS])
             found = read.select(*key, F.explode(F.array(*[F.struct(F.lit(i).alias("i"), count(p).alias("f")) for i, p in longer.items()])).alias("x"))
@@ -106,7 +106,7 @@ class Index:
         """As ``search.search``: expansion, scoring, re-ranking, one row a file, budget; contents of the answer alone are read."""
         asked = text.expand_query(query) if expand else query
         best = search.best_per_file(search.rerank(self.bm25(asked, per_repo or 2 * k), query, now))
-        return search.within_budget(best, k, max_tokens).join(self.table("texts"), "chunk_id")
+        return search.within_budget(best, k, max_tokens).join(self.table("texts"), ["repo_id", "chunk_id"])
 
     def search_many(self, queries: DataFrame, k: int = 5) -> DataFrame:
         """(query, rank, repo_id, chunk_id, score) of many queries (query, text) in one pass: their words, by BM25, over all repositories."""
