@@ -133,3 +133,31 @@ def commit_chunks(lines: DataFrame) -> DataFrame:
     rows = lines.select(parts.alias("p")).where(F.size("p") >= 2)
     get = lambda i: F.coalesce(F.get("p", F.lit(i)), F.lit(""))
     return rows.select(text.short_hash(F.lit("__commits__"), F.lit("0"), F.substring(get(0), 1, 8)).alias("chunk_id"), F.lit("__commits__").alias("file_path"), F.substring(get(0), 1, 8).alias("symbol_name"), get(1).alias("summary"), get(2).alias("author"), get(3).alias("date"))
+
+
+def code_whole(files: DataFrame) -> DataFrame:
+    """Short code files as one chunk each; the summary has the path, what opens the module, and its first definitions."""
+    names = F.regexp_extract_all("content", F.lit(r"(?m)^(?:export\s+)?(?:class|(?:async\s+)?def|(?:async\s+)?function)\s+([\p{L}\p{N}_]+)"), F.lit(1))
+    parts = F.split("file_path", "/")
+    path = F.array_join(F.slice(parts, -F.least(F.lit(2), F.size(parts)), 2), "/")
+    about = F.nullif(F.substring(module_docstring(F.col("content"), F.col("language")), 1, 200), F.lit(""))
+    defines = F.when(F.size(names) > 0, F.concat(F.lit("Defines: "), F.array_join(F.slice(names, 1, 5), ", ")))
+    return files.select("file_path", F.lit("code_whole").alias("strategy"), text.basename(F.col("file_path")).alias("symbol_name"), F.concat_ws(" | ", path, about, defines).alias("summary"), "content", F.lit(1).alias("line_start"))
+
+
+def chunk_files(files: DataFrame) -> DataFrame:
+    """(file_path, strategy, symbol_name, summary, content, line_start): every file through the chunker of its language and size.
+
+    Long Python files fall into their imports and definitions; those without any, and
+    other long code, into blocks between blank lines.
+    """
+    files = files.select("file_path", "content", "language").withColumn("strategy", strategy(F.col("language"), F.col("content")))
+    of = lambda name: files.where(F.col("strategy") == name)
+    shape = lambda rows, name, symbol, summary: rows.select("file_path", F.lit(name).alias("strategy"), symbol.cast("string").alias("symbol_name"), summary.cast("string").alias("summary"), "content", F.col("line_start").cast("int").alias("line_start"))
+    none = F.lit(None)
+    docs = shape(whole(of("doc_whole")), "doc_whole", F.col("symbol_name"), F.col("summary")).unionByName(shape(sections(of("doc_sections")), "doc_sections", F.col("symbol_name"), none))
+    found = code_symbols(of("code_symbols"))
+    heads = of("code_symbols").select("file_path", import_block(F.col("content"), F.col("language")).alias("content"), F.lit(1).alias("line_start")).where("content <> ''").join(found.select("file_path").distinct(), "file_path", "left_semi")
+    symbols = shape(found, "code_symbols", F.col("name"), F.col("doc")).unionByName(shape(heads, "code_symbols", F.lit("imports"), none))
+    rest = of("code_blocks").unionByName(of("code_symbols").join(found.select("file_path").distinct(), "file_path", "left_anti").select(*files.columns))
+    return docs.unionByName(code_whole(of("code_whole"))).unionByName(symbols).unionByName(shape(blocks(rest, None), "code_blocks", none, none))

@@ -14,20 +14,39 @@ from corpuscle.functions import fixed, text
 W = r"[\p{L}\p{N}_]"
 
 
-def matches(files: DataFrame, pattern: str, groups: dict[str, int]) -> DataFrame:
-    """A row for each match of the pattern in content: the groups, and its line."""
+def matches(files: DataFrame, pattern: str, groups: dict[str, int], after: int = 0) -> DataFrame:
+    """A row for each match of the pattern in content: the groups, and its line; with ``after``, so much of what follows it (``rest``)."""
     p = F.lit(pattern)
     found = F.regexp_extract_all("content", p, F.lit(0))
     rows = files.withColumn("__m", found).where(F.size("__m") > 0)
     rows = rows.withColumn("__g", F.split("content", pattern, -1))
-    ends = lambda a: F.transform(a, lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit(""))))
-    rows = rows.withColumns({"__gl": ends(F.col("__g")), "__ml": ends(F.col("__m"))})
-    rows = rows.withColumn("__s", F.transform("__m", lambda m, i: F.get("__gl", i) + F.coalesce(F.get("__ml", i - 1), F.lit(0))))
+    lines = lambda a: F.transform(a, lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit(""))))
+    steps = lambda gap, own: F.transform(gap, lambda g, i: g + F.coalesce(F.get(own, i - 1), F.lit(0)))
+    rows = rows.withColumns({"__gl": lines(F.col("__g")), "__ml": lines(F.col("__m"))})
+    rows = rows.withColumn("__s", F.slice(steps(F.col("__gl"), F.col("__ml")), F.lit(1), F.size("__m")))
     rows = rows.withColumn("__line", F.transform(text.running_sums(F.col("__s")), lambda n: n + 1))
     rows = rows.withColumns({f"__{n}": F.regexp_extract_all("content", p, F.lit(g)) for n, g in groups.items()})
-    zipped = F.arrays_zip("__line", *[f"__{n}" for n in groups])
+    names = list(groups)
+    if after:
+        size = lambda a: F.transform(a, F.length)
+        rows = rows.withColumn("__e", F.slice(steps(size(F.col("__g")), size(F.col("__m"))), F.lit(1), F.size("__m")))
+        rows = rows.withColumn("__b", text.running_sums(F.col("__e")))
+        rows = rows.withColumn("__rest", F.transform("__b", lambda at, i: F.substr("content", at + F.length(F.get("__m", i)) + 1, F.lit(after))))
+        rows, names = rows.withColumn("__own", F.col("__ml")), [*names, "rest", "own"]
+    zipped = F.arrays_zip("__line", *[f"__{n}" for n in names])
     keep = [c for c in files.columns if c != "content"]
-    return rows.select(*keep, F.explode(zipped).alias("z")).select(*keep, F.col("z.__line").alias("line"), *[F.col(f"z.__{n}").alias(n) for n in groups])
+    return rows.select(*keep, F.explode(zipped).alias("z")).select(*keep, F.col("z.__line").alias("line"), *[F.col(f"z.__{n}").alias(n) for n in names])
+
+
+def closing_line(rest: Column) -> Column:
+    """How many lines after an opening brace its closing one stands; 50 if that is not in the text after it."""
+    marks = F.regexp_extract_all(rest, F.lit(r"[{}\n]"), F.lit(0))
+
+    def step(a: Column, m: Column) -> Column:
+        moved = F.struct((a["depth"] + F.when(m == "{", 1).when(m == "}", -1).otherwise(0)).alias("depth"), (a["line"] + (m == "\n").cast("int")).alias("line"))
+        return F.when(a["depth"] == 0, a).otherwise(moved)
+
+    return F.aggregate(marks, F.struct(F.lit(1).alias("depth"), F.lit(0).alias("line")), step, lambda a: F.when(a["depth"] == 0, a["line"]).otherwise(F.lit(50)))
 
 
 def edge(rows: DataFrame, kind: str, symbol: Column | None, target: Column, line: Column | None) -> DataFrame:
@@ -149,16 +168,36 @@ def python_nodes(files: DataFrame) -> DataFrame:
 
 
 def generic_nodes(files: DataFrame) -> DataFrame:
-    """Classes and functions of other languages by their key words, with nominal ranges."""
-    rest = files.where("language <> 'python'")
+    """Classes and functions of languages without a reader of their own, by key words, with nominal ranges."""
+    rest = files.where("language NOT IN ('python', 'javascript', 'typescript')")
     classes = matches(rest, rf"class\s+({W}+)", {"name": 1}).withColumns({"kind": F.lit("class"), "params": F.lit(None).cast("string"), "line_end": F.col("line") + 20})
     functions = matches(rest, rf"(?:function|func|fun|fn|def)\s+({W}+)\s*\(([^)]*)\)", {"name": 1, "params": 2}).withColumns({"kind": F.lit("function"), "params": F.substring("params", 1, 60), "line_end": F.col("line") + 15})
-    both = classes.unionByName(functions)
-    return both.select("repo_id", F.concat("file_path", F.lit("::"), "name").alias("qualified_name"), "kind", "file_path", "name", F.col("line").alias("line_start"), "line_end", "params")
+    return _listed(classes.unionByName(functions))
+
+
+def script_nodes(files: DataFrame) -> DataFrame:
+    """Classes, functions and arrow functions of JavaScript and TypeScript, to the brace that closes them."""
+    rows = files.where("language IN ('javascript', 'typescript')")
+    end = F.col("line") + F.col("own") + F.when(F.col("open") == "", 0).otherwise(closing_line(F.col("rest")))
+    forms = [
+        ("class", rf"\bclass\s+({W}+)[^{{}};()]*(\{{)", {"name": 1, "open": 2}),
+        ("function", rf"\bfunction\s*\*?\s*({W}+)\s*(?:<[^>]*>)?\s*\(([^)]*)\)[^{{}};]*(\{{)", {"name": 1, "params": 2, "open": 3}),
+        ("function", rf"\b(?:const|let|var)\s+({W}+)[^=\n]*=\s*(?:async\s*)?\(([^)]*)\)[^=\n]*=>\s*(\{{?)", {"name": 1, "params": 2, "open": 3}),
+    ]
+    out = None
+    for kind, pattern, groups in forms:
+        found = matches(rows, pattern, groups, 50_000).withColumns({"kind": F.lit(kind), "line_end": end})
+        found = found if "params" in groups else found.withColumn("params", F.lit(None).cast("string"))
+        out = found if out is None else out.unionByName(found)
+    return _listed(out.withColumn("params", F.substring(F.trim("params"), 1, 60)))
+
+
+def _listed(rows: DataFrame) -> DataFrame:
+    return rows.select("repo_id", F.concat("file_path", F.lit("::"), "name").alias("qualified_name"), "kind", "file_path", "name", F.col("line").alias("line_start"), "line_end", "params")
 
 
 def nodes(files: DataFrame) -> DataFrame:
-    return python_nodes(files).unionByName(generic_nodes(files), allowMissingColumns=True)
+    return python_nodes(files).unionByName(script_nodes(files), allowMissingColumns=True).unionByName(generic_nodes(files), allowMissingColumns=True)
 
 
 def key_flows(files: DataFrame) -> DataFrame:

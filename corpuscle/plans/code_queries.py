@@ -70,9 +70,13 @@ NODES = f"""df AS (SELECT *, length(s) - length(ltrim(s)) AS ind, regexp_matches
         CASE WHEN NOT is_class AND ind > 0 THEN nullif(regexp_extract(coalesce(opener, ''), '^class\\s+(\\w+)', 1), '') END AS parent_name
         FROM df JOIN ln USING (file_path) LEFT JOIN nx USING (file_path, line) LEFT JOIN pv USING (file_path, line)),
     pyn AS (SELECT file_path || '::' || coalesce(parent_name || '.', '') || name AS qualified_name, CASE WHEN is_class THEN 'class' WHEN parent_name IS NOT NULL THEN 'method' ELSE 'function' END AS kind, file_path, name, parent_name, line_start, line_end, s FROM nd WHERE ltrim(s) = s OR parent_name IS NOT NULL)"""
-GENERIC = f"""SELECT file_path || '::' || name AS qualified_name, kind, file_path, name, line AS line_start, line + more AS line_end, params FROM (
-    SELECT file_path, line, unnest(regexp_extract_all(s, 'class\\s+(\\w+)', 1)) AS name, 'class' AS kind, 20 AS more, NULL AS params FROM ls WHERE {TS}
-    UNION ALL SELECT file_path, line, unnest(regexp_extract_all(s, '(?:function|func|fun|fn|def)\\s+(\\w+)\\s*\\([^)]*\\)', 1)), 'function', 15, regexp_extract(s, '(?:function|func|fun|fn|def)\\s+\\w+\\s*\\(([^)]*)\\)', 1)[1:60] FROM ls WHERE {TS})"""
+GENERIC = f"""WITH ch AS (SELECT file_path, unnest(string_split(content, '')) AS c, generate_subscripts(string_split(content, ''), 1) AS pos FROM code WHERE {TS}),
+    br AS (SELECT file_path, pos, c, sum(CASE c WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END) OVER w AS depth, 1 + sum((c = chr(10))::INT) OVER w AS line FROM ch WINDOW w AS (PARTITION BY file_path ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+    op AS (SELECT file_path, line, min(pos) AS pos, min_by(depth, pos) AS depth FROM br WHERE c = '{{' GROUP BY ALL),
+    cl AS (SELECT op.file_path, op.line, min_by(br.line, br.pos) AS line_end FROM op JOIN br ON br.file_path = op.file_path AND br.pos > op.pos AND br.c = '}}' AND br.depth = op.depth - 1 GROUP BY ALL),
+    tn AS (SELECT file_path, line, unnest(regexp_extract_all(s, 'class\\s+(\\w+)', 1)) AS name, 'class' AS kind, NULL AS params FROM ls WHERE {TS}
+        UNION ALL SELECT file_path, line, unnest(regexp_extract_all(s, 'function\\s+(\\w+)\\s*\\([^)]*\\)', 1)), 'function', regexp_extract(s, 'function\\s+\\w+\\s*\\(([^)]*)\\)', 1)[1:60] FROM ls WHERE {TS})
+    SELECT file_path || '::' || name AS qualified_name, kind, file_path, name, line AS line_start, line_end::BIGINT AS line_end, params FROM tn JOIN cl USING (file_path, line)"""
 
 
 @query(f"{LINES}, {NODES} SELECT qualified_name, kind, name, parent_name, line_start, line_end FROM pyn")
@@ -81,9 +85,9 @@ def python_nodes(spark, d):
     return n.select("qualified_name", "kind", "name", "parent_name", F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"))
 
 
-@query(f"{LINES} {GENERIC}")
+@query(f"{LINES} SELECT * FROM ({GENERIC})")
 def js_nodes(spark, d):
-    return X.generic_nodes(code(spark, d)).select("qualified_name", "kind", "file_path", "name", F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"), "params")
+    return X.script_nodes(code(spark, d)).select("qualified_name", "kind", "file_path", "name", F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"), "params")
 
 
 @query(
@@ -192,3 +196,17 @@ def key_flows(spark, d):
 def flow_order(spark, d):
     return X.key_flows(code(spark, d)).select("type", "flow", "file_path").orderBy(F.when(F.col("type") == "API", 0).when(F.col("type") == "TASK", 1).otherwise(2), "flow", "file_path").limit(15)
 
+
+
+DEFINED = "regexp_extract_all(content, '(?m)^(?:class|(?:async\\s+)?def|function)\\s+(\\w+)', 1)[1:5]"
+OPENING = "nullif(trim(regexp_extract(content, '^\"\"\"([^\"]*)\"\"\"', 1))[1:200], '')"
+
+
+@query(
+    f"{CODE}, {views.FILES_SQL} SELECT file_path, 'doc_whole' AS strategy, string_split(file_path, '/')[-1] AS symbol_name, {FIRST.format(c='content')} AS summary, 1 AS line_start FROM files WHERE length(content) // 4 <= 4000 "
+    "UNION ALL SELECT file_path, 'doc_sections', 'Top', NULL, 1 FROM files WHERE length(content) // 4 > 4000 "
+    f"UNION ALL SELECT file_path, 'code_whole', string_split(file_path, '/')[-1], concat_ws(' | ', array_to_string(string_split(file_path, '/')[-2:], '/'), {OPENING}, 'Defines: ' || nullif(array_to_string({DEFINED}, ', '), '')), 1 FROM code"
+)
+def chunk_files(spark, d):
+    both = views.files(spark, d).select("file_path", "content").withColumn("language", text.language(F.col("file_path"))).unionByName(code(spark, d).select("file_path", "content", "language"))
+    return C.chunk_files(both).select("file_path", "strategy", "symbol_name", "summary", "line_start")

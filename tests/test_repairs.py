@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from test_core import CHUNKS
 
 from corpuscle.functions import text
-from corpuscle.operators import extract, graph, maintenance, outline, search
+from corpuscle.operators import chunking, extract, graph, maintenance, outline, search
 
 
 @pytest.mark.parametrize("word", ["tiếng", "йод", "ÅNGSTRÖM", "Ǆ", "कि", "naïve"])
@@ -83,3 +83,34 @@ def test_sketch_of_json(spark):
 def test_status_line(spark):
     rows = lambda n: spark.createDataFrame([(f"f{i}",) for i in range(n)], "file_path string")
     assert outline.status_line(rows(3), rows(2), rows(0)).first().status == "3 files, 2 symbols, 0 edges"
+
+
+SCRIPT = """export class A<T> extends B implements C {
+  run() { if (x) { y() } }
+}
+
+const add = (a, b) => a + b
+export const go = async (x: number): Promise<void> => {
+  await z()
+}
+function open(a) {
+  never
+"""
+
+
+def test_scripts_to_their_closing_braces(spark):
+    files = spark.createDataFrame([("r", "a.ts", "typescript", SCRIPT), ("r", "b.go", "go", "func F(a int) {\n}\n")], "repo_id string, file_path string, language string, content string")
+    got = {r.name: (r.kind, r.line_start, r.line_end, r.params) for r in extract.nodes(files).collect()}
+    assert got == {"A": ("class", 1, 3, None), "add": ("function", 5, 5, "a, b"), "go": ("function", 6, 8, "x: number"), "open": ("function", 9, 59, "a"), "F": ("function", 1, 16, "a int")}
+
+
+def test_files_reach_their_chunkers(spark):
+    long = "import os\n\n\ndef one():\n    return 1\n\n\nclass Two:\n    def run(self):\n        pass\n" + "# filler of a long file\n" * 500
+    rows = [("d/a.md", "# Hi\n\ntext", "markdown"), ("d/b.md", "# One\n" + "word " * 4000 + "\n## Two\nx\n", "markdown"), ("s/c.py", '"""About."""\ndef f(): pass\n', "python"), ("s/long.py", long, "python"), ("s/bad.py", "def (\n\n\nx = 1\n" + "y = 2\n" * 2000, "python"), ("s/long.go", "a\n\n\n" + "b = 1\n" * 2000, "go")]
+    got = {}
+    for r in chunking.chunk_files(spark.createDataFrame(rows, "file_path string, content string, language string")).collect():
+        got.setdefault((r.file_path, r.strategy), []).append((r.symbol_name, r.summary))
+    assert got["d/a.md", "doc_whole"] == [("a.md", "Hi")] and sorted(x for x, _ in got["d/b.md", "doc_sections"]) == ["One", "Two"]
+    assert got["s/c.py", "code_whole"] == [("c.py", "s/c.py | About. | Defines: f")]
+    assert sorted(x for x, _ in got["s/long.py", "code_symbols"]) == ["Two", "imports", "one", "run"]
+    assert len(got["s/bad.py", "code_blocks"]) == 2 and len(got["s/long.go", "code_blocks"]) == 2 and len(got) == 6
