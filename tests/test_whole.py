@@ -4,7 +4,6 @@ import duckdb
 import pytest
 from test_core import TABLES, shown
 
-from corpuscle.llm import html_text
 from corpuscle.operators import contracts
 from corpuscle.plans.catalog import QUERIES, SQL
 
@@ -66,14 +65,5 @@ def test_hits_of_whole_passages(spark, tmp_path):
     assert {r.item_id: r.documents for r in QUERIES["expected_hits"](spark, str(tmp_path)).collect()} == {1: 2, 2: 1}
 
 
-@pytest.mark.parametrize("tag", sorted(html_text.RAW))
-def test_text_after_an_unclosed_element(tag):
-    text = "A long sentence, with marks and words enough to be content of the page. " * 3
-    page = f"<html><body><article><p>{text}</p>{{}}<p>And then: {text}</p></article></body></html>"
-    seen = lambda part: sum("And then" in b.text for b in html_text.blocks_of(page.format(part)))
-    assert seen(f"<{tag}>") == seen(f"<{tag} a='b'><{tag}>") == (tag not in html_text.ENDLESS)
-    assert seen(f"<{tag}>And then</{tag}>") == 1
-
-
 def test_insights_of_all_turns(spark, small, duck):
     check_whole(spark, small, duck, "insight_chunks", (" WHERE turn = 1", ""))
