@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from corpuscle.functions import fixed, text
 from corpuscle.operators import contracts as K
-from corpuscle.operators import extract as X
 from corpuscle.operators import graph as G
 from corpuscle.operators import search as S
 from corpuscle.sources import views
