@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .ann import nearest
 from .bpe import encode_table
 from .common import table
 from .exact_dedup import exact_groups
+from .hard_negatives import mined
 from .html_text import extract
 from .mixing import mixture
 from .ngram_join import near_groups
 from .secrets import scan
 from .token_ids import token_id_table
 from .toxicity import toxicity
+from .vector_codes import compressed
 from .warc import archived_pages
 
 
@@ -64,9 +67,56 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_table(table(spark, sf_dir, "documents"), tokenizer_path(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_ngram_join, op3_html_text, op4_mixing, op5_token_ids, op6_toxicity, op7_exact_dedup, op8_warc, op9_secrets, op10_bpe_codec)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mined(rows.withColumn("label", label), F.col("id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_ann, op2_ngram_join, op3_html_text, op4_mixing, op5_token_ids, op6_toxicity, op7_exact_dedup, op8_warc, op9_secrets, op10_bpe_codec, op11_vector_codes, op13_hard_negatives)}
+
+USABLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _codebook_rounds(rounds: int) -> str:
+    """The steps of vector codes as SQL: entries of round k (b) from the parts nearest to those before (a)."""
+    near = """
+        a{k} AS MATERIALIZED (
+            SELECT vec_id, label, p.part, first(x) AS x, arg_min(entry, d * 64 + entry) AS entry, min(d) AS d
+            FROM (SELECT p.*, entry, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))::BIGINT AS d FROM p JOIN b{k} USING (part)) p
+            GROUP BY vec_id, label, p.part)"""
+    move = """
+        m{k} AS (SELECT part, entry, list(v ORDER BY i) AS c FROM (
+            SELECT part, entry, i, floor(sum(x[i])::DOUBLE / count(*))::BIGINT AS v FROM a{k}, generate_series(1, (SELECT max(len(x)) FROM p)) t(i) GROUP BY part, entry, i) GROUP BY part, entry),
+        b{next} AS MATERIALIZED (SELECT part, entry, coalesce(m.c, b.c) AS c FROM b{k} b LEFT JOIN m{k} m USING (part, entry))"""
+    steps = [step.format(k=k, next=k + 1) for k in range(rounds) for step in (near, move)]
+    return ",".join([*steps, near.format(k=rounds)])
+
 
 SQL = {
+    "op11_vector_codes": f"""
+        WITH v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings WHERE {USABLE}),
+        p AS MATERIALIZED (SELECT vec_id, label, part, q[part * w + 1 : part * w + w] AS x FROM (SELECT *, len(q) // 16 AS w FROM v), range(16) t(part)),
+        b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS c FROM p QUALIFY entry < 64),
+        {_codebook_rounds(2)},
+        r AS (SELECT vec_id, label, string_agg(lower(lpad(to_hex(entry), 2, '0')), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY ALL)
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+               sha256((SELECT string_agg(array_to_string(c, ','), ',' ORDER BY part, entry) FROM b2)) AS codebooks_sha256 FROM r""",
+    "op13_hard_negatives": f"""
+        WITH v AS MATERIALIZED (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+            FROM embeddings WHERE label IS NOT NULL AND {USABLE}),
+        s AS MATERIALIZED (
+            SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+            FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+        p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, s.vec_id))::INT AS rank,
+               s.vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10""",
     "op2_ngram_join": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
