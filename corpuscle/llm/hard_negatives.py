@@ -195,7 +195,7 @@ def mined(
         return spark.createDataFrame([], final)
     drawn = good.orderBy(F.xxhash64("id"), "id", "q").limit(min(pivots, -(-n_anchors // ANCHORS))).collect()
     cells = Cells(np.array([r["q"] for r in drawn], np.int64), largest)
-    chunks = -(-n // max(1024, chunk_bytes // (8 * width)))
+    chunks = -(-n // max(64, chunk_bytes // (8 * width)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -14,6 +14,7 @@ from .html_text import extract
 from .mixing import mixture
 from .ngram_join import near_groups
 from .secrets import scan
+from .substring_dedup import drop_repeats
 from .token_ids import token_id_table
 from .toxicity import toxicity
 from .vector_codes import compressed
@@ -71,13 +72,18 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compressed(table(spark, sf_dir, "embeddings"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return mined(rows.withColumn("label", label), F.col("id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_ngram_join, op3_html_text, op4_mixing, op5_token_ids, op6_toxicity, op7_exact_dedup, op8_warc, op9_secrets, op10_bpe_codec, op11_vector_codes, op13_hard_negatives)}
+QUERIES = {f.__name__: f for f in (op1_ann, op2_ngram_join, op3_html_text, op4_mixing, op5_token_ids, op6_toxicity, op7_exact_dedup, op8_warc, op9_secrets, op10_bpe_codec, op11_vector_codes, op12_substring_dedup, op13_hard_negatives)}
 
 USABLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 
@@ -106,6 +112,15 @@ SQL = {
         r AS (SELECT vec_id, label, string_agg(lower(lpad(to_hex(entry), 2, '0')), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY ALL)
         SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
                sha256((SELECT string_agg(array_to_string(c, ','), ',' ORDER BY part, entry) FROM b2)) AS codebooks_sha256 FROM r""",
+    "op12_substring_dedup": r"""
+        WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS MATERIALIZED (SELECT doc_id, p, sha256(array_to_string(w[p : p + 12], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d)),
+        r AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY g) AS least FROM s) WHERE least < doc_id),
+        c AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, unnest(range(p, p + 13)) AS i FROM r)),
+        l AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+               sha256(array_to_string(list_select(w, list_filter(range(1, len(w) + 1), lambda i: gone IS NULL OR NOT list_contains(gone, i))), ' ')) AS kept_sha256
+        FROM d LEFT JOIN l USING (doc_id)""",
     "op13_hard_negatives": f"""
         WITH v AS MATERIALIZED (
             SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
