@@ -153,7 +153,7 @@ def nodes(key: np.ndarray, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray,
         s = h[order]
         new[1:] |= s[1:] != s[:-1]
     first = np.flatnonzero(new)
-    return order, np.cumsum(new) - 1, first, np.append(first[1:], len(k)) - 1
+    return order, np.cumsum(new) - 1, first, np.append(first[1:], len(k))[: len(first)] - 1
 
 
 class Settled:
@@ -214,7 +214,7 @@ class Settled:
         return pack(key, h, doc.astype(np.uint32), pos.astype(np.int32), ids[used], hs[used])
 
 
-def answers(doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, hs: np.ndarray) -> pa.Table:
+def by_document(doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, hs: np.ndarray) -> pa.Table:
     """id, h and the places of each document."""
     order = np.lexsort((pos, hs[doc], ids[doc]))
     a, b = ids[doc][order], hs[doc][order]
@@ -225,39 +225,47 @@ def answers(doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, hs: np.ndarray) -
     return pa.table({"id": a[first], "h": b[first], "pos": lists})
 
 
+def unpacked(table: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Key, h, doc and pos of the leaves to decide on and then of those answered; doc counts in the ids and hs of both."""
+    cols: list[list[np.ndarray]] = [[np.empty(0, kind)] for kind in [*TYPES, *TYPES]]
+    docs = 0
+    for blob in table.column("packed"):
+        key, h, doc, pos, ids, hs = unpack(blob.as_buffer().to_pybytes())
+        for k, new in enumerate((key, h, doc.astype(np.int64) + docs, pos, ids, hs), 0 if len(key) else len(TYPES)):
+            cols[k % 6 if k % 6 > 3 else k].append(new)
+        docs += len(ids)
+    whole = [np.concatenate(c) for c in cols]
+    return whole[:6], [*whole[6:10], *whole[4:6]]
+
+
 def decided(packed: DataFrame, rule: str, groups: int) -> DataFrame:
-    """(id, h, pos): of each document, the leaves that the rule holds for."""
-
-    def run(table: pa.Table) -> pa.Table:
-        cols: list[list[np.ndarray]] = [[] for _ in TYPES]
-        docs, done_doc, done_pos = 0, [], []
-        for blob in table.column("packed"):
-            key, h, doc, pos, ids, hs = unpack(blob.as_buffer().to_pybytes())
-            doc = doc.astype(np.int64) + docs
-            docs += len(ids)
-            if len(key):
-                for held, new in zip(cols, (key, h, doc, pos), strict=False):
-                    held.append(new)
-            else:
-                done_doc.append(doc)
-                done_pos.append(pos)
-            cols[4].append(ids)
-            cols[5].append(hs)
-        ids, hs = np.concatenate(cols[4]), np.concatenate(cols[5])
-        if cols[0]:
-            key, h, doc, pos = (np.concatenate(c) for c in cols[:4])
-            own = ids[doc]
-            order, node, first, last = nodes(key, h, own)
-            own = own[order]
-            holds = (own[first] < own[last])[node] if rule == "shared" else own > own[first][node]
-            some = order[holds & (pos[order] >= 0)]
-            done_doc.append(doc[some])
-            done_pos.append(pos[some])
-        return answers(np.concatenate(done_doc), np.concatenate(done_pos), ids, hs)
+    """(id, h, pos): of each document, the leaves that the rule holds for.
+
+    Groups answer in columns packed by documents, so that there is no row for each
+    document and group; a bucket of documents then puts each one's places together.
+    """
+
+    def decide(table: pa.Table) -> pa.Table:
+        (key, h, doc, pos, ids, hs), (_, _, done_doc, done_pos, _, _) = unpacked(table)
+        own = ids[doc.astype(np.int64)]
+        order, node, first, last = nodes(key, h, own)
+        own = own[order]
+        holds = (own[first] < own[last])[node] if rule == "shared" else own > own[first][node]
+        some = order[holds & (pos[order] >= 0)]
+        doc, pos = np.concatenate([doc[some], done_doc]).astype(np.int64), np.concatenate([pos[some], done_pos])
+        bucket = np.mod(hs[doc], groups)
+        by = np.argsort(bucket, kind="stable")
+        parts = np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1) if len(by) else []
+        none = np.empty(0, np.uint64)
+        return pa.table({"bucket": pa.array([int(bucket[p[0]]) for p in parts], pa.int64()), "packed": pa.array([Settled._packed(none, none, doc[p], pos[p], ids, hs) for p in parts], pa.binary())})
+
+    def put_together(table: pa.Table) -> pa.Table:
+        _, (_, _, doc, pos, ids, hs) = unpacked(table)
+        return by_document(doc.astype(np.int64), pos, ids, hs)
 
     dealt = packed.withColumn("group", F.pmod("group", F.lit(groups)))
-    rows = dealt.groupBy("group").applyInArrow(run, "id long, h long, pos array<int>")
-    return rows.groupBy("id", "h").agg(F.flatten(F.collect_list("pos")).alias("pos"))
+    told = dealt.groupBy("group").applyInArrow(decide, "bucket long, packed binary")
+    return told.groupBy("bucket").applyInArrow(put_together, "id long, h long, pos array<int>")
 
 
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
