@@ -23,7 +23,9 @@ which changes no digit, so that squares neither overflow nor vanish.
 Vectors that are null, empty, of zero length, or hold a null or a non-finite
 component take no part, neither as queries nor as candidates; nor do null
 identifiers.  Vectors of another length than a query's are not its candidates.
-Rows that repeat an identifier are candidates each.  An empty table gives an empty
+Rows that repeat an identifier are candidates each, but none of a query with that
+identifier, however many there are; a query identifier with several vectors is
+searched with one of them.  An empty table gives an empty
 result.  Extra columns are left out.
 """
 
@@ -152,8 +154,8 @@ class Graph:
             graph.levels.append((members, level_graph(graph.unit, members, WIDTH * (1 if k else 2))))
         return graph
 
-    def search(self, query: np.ndarray, k: int, breadth: int) -> list[tuple[int, float]]:
-        """Up to k (id, cosine), nearest first, ties to the smaller id."""
+    def search(self, query: np.ndarray, k: int, breadth: int, own: int | None = None) -> list[tuple[int, float]]:
+        """Up to k (id, cosine), nearest first, ties to the smaller id; rows of the identifier ``own`` are no candidates."""
         query = scaled(query)
         q = (query / np.sqrt((query**2).sum())).astype(np.float32)
         unit = self.unit
@@ -195,7 +197,10 @@ class Graph:
                     heappush(todo, (-s, j))
         nodes = np.array([j for _, j in found])
         exact = (self.vectors[nodes] * query).sum(1) / (self.norms[nodes] * np.sqrt((query**2).sum()))
-        out = [(-float(c), int(i)) for j, c in zip(nodes, exact, strict=True) for i in self.ids[self.starts[j] : self.starts[j + 1]][:k]]
+        out = []
+        for j, c in zip(nodes.tolist(), exact.tolist(), strict=True):
+            ids = self.ids[self.starts[j] : self.starts[j + 1]]
+            out += [(-c, i) for i in (ids if own is None else ids[ids != own])[:k].tolist()]
         return [(i, -c) for c, i in sorted(out)[:k]]
 
     def pack(self) -> dict[str, bytes | int | list[bytes]]:
@@ -251,8 +256,7 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = 5, breadth: int
                 r = batch.slice(i, 1).to_pylist()[0]
                 graph, out = Graph.unpack(r), []
                 for q in r["queries"]:
-                    got = [x for x in graph.search(np.array(q["v"]), k + skip_self, breadth) if not skip_self or x[0] != q["id"]]
-                    out += [(q["id"], j, c) for j, c in got[:k]]
+                    out += [(q["id"], j, c) for j, c in graph.search(np.array(q["v"]), k, breadth, q["id"] if skip_self else None)]
                 cols = list(zip(*out, strict=True)) or [()] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query_id", "vec_id", "score"])
 

@@ -12,6 +12,13 @@ with the paragraphs around it, and a sentence in a list of links goes with the
 links; named elements (a menu, an advert) are borders that smoothness hardly crosses.
 The maximum flow separates content from boilerplate with the least total cost.
 
+What a name says is read token by token of class and id.  A token that says what a
+page has or lacks (``with-sidebar``, ``no-comments``) or in which state it is
+(``comment-open``) says nothing of the text inside; nor do ``html`` and ``body``, nor
+the heading of an article (``entry-header``).  An element around the page's core (an
+article, a main or a content element with half of the page's text or more) is no
+boilerplate, whatever its name.
+
 Character references are decoded, white space inside a block becomes one space,
 blocks are trimmed and joined by a line end in page order.  Null and empty pages
 give an empty text.  Reading takes time in proportion to the page, for deep,
@@ -59,43 +66,87 @@ ROLES = {"navigation": -90, "banner": -60, "contentinfo": -90, "complementary":
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>", re.S)
 LAST = re.compile(r"<!--.*|<!\[CDATA\[.*|<[!?].*", re.S)  # what can begin after the last >
-ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+LACKS = frozenset(["no", "not", "has", "with", "without", "hide", "is"])
+STATES = frozenset(["open", "opened", "closed", "enabled", "disabled", "active", "inactive", "on", "off", "visible", "collapsed", "expanded", "left", "right"])
 NAME = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 
 
+def token_cost(token: str) -> int:
+    """What one name of an element says about the text inside it."""
+    words = [w.lower() for w in NAME.findall(token)]
+    for i, w in enumerate(words):
+        if w in LACKS:
+            words = words[:i]
+            break
+    if len(words) > 1 and words[-1] in STATES:
+        return 0
+    found = {NAMES[w] for w in words if w in NAMES}
+    if "header" in words and max(found, default=0) > 0:  # the heading of an article
+        return 0
+    return min(found, default=0) if min(found, default=0) < 0 else max(found, default=0)
+
+
 def name_cost(tag: str, attributes: str) -> int:
     """What an element says about the text inside it."""
     cost = TAG_COST.get(tag, 0)
-    if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
+    if not attributes or tag in ("html", "body") or "=" not in attributes and "hidden" not in attributes.lower():
         return cost
+    seen = set()
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
+        if key in seen:  # the first of an attribute counts
+            continue
+        seen.add(key)
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             cost -= 90
         elif key == "role":
             cost += ROLES.get(value.lower(), 0)
         elif key in ("class", "id"):
-            found = {NAMES[w] for w in (x.lower() for x in NAME.findall(value)) if w in NAMES}
+            found = [token_cost(t) for t in value.split()]
             low, high = min(found, default=0), max(found, default=0)
             cost += low if low < 0 else high
     return cost
 
 
 class Element:
-    """An open element, with what it and its ancestors say."""
+    """An element, with what it and its ancestors say."""
 
-    __slots__ = ("best", "block", "cost", "depth", "inside", "parent", "tag", "worst")
+    __slots__ = ("best", "block", "cost", "depth", "holds", "inside", "parent", "size", "tag", "worst")
 
     def __init__(self, tag: str, parent: Element | None, cost: int):
-        self.tag, self.parent, self.cost = tag, parent, cost
-        self.depth, self.worst, self.best, self.inside = (parent.depth + 1, parent.worst, parent.best, parent.inside) if parent else (0, 0, 0, False)
-        # a heading group at the head of an article is the article's own
-        if cost < 0 and not (tag == "header" and cost == TAG_COST["header"] and self.inside):
-            self.worst = min(self.worst, cost)
-        self.best = max(self.best, cost)
-        self.inside = self.inside or tag in ("article", "main")
+        self.tag, self.parent, self.cost, self.size, self.holds = tag, parent, cost, 0, False
+        self.depth = parent.depth + 1 if parent else 0
+        self.worst, self.best, self.inside = 0, 0, False
         self.block = self if parent is None or tag in BLOCK else parent.block
 
+    def inherit(self) -> None:
+        """Adds up what the ancestors say; parents come first."""
+        if self.holds:
+            self.cost = max(self.cost, 0)
+        if self.parent:
+            self.worst, self.best, self.inside = self.parent.worst, self.parent.best, self.parent.inside
+        # a heading group at the head of an article is the article's own
+        if self.cost < 0 and not (self.tag == "header" and self.cost == TAG_COST["header"] and self.inside):
+            self.worst = min(self.worst, self.cost)
+        self.best = max(self.best, self.cost)
+        self.inside = self.inside or self.tag in ("article", "main")
+
+
+def weigh(elements: list[Element]) -> None:
+    """What elements say, given where the page's text is; ``elements`` in page order, own text in ``size``."""
+    for e in reversed(elements):
+        if e.parent:
+            e.parent.size += e.size
+    for e in elements:
+        if (e.cost > 0 or e.tag in ("article", "main")) and e.size and 2 * e.size >= elements[0].size:
+            at: Element | None = e
+            while at and not at.holds:
+                at.holds = True
+                at = at.parent
+    for e in elements:
+        e.inherit()
+
 
 class Block:
     __slots__ = ("element", "linked", "text")
@@ -109,6 +160,7 @@ class Stack:
 
     def __init__(self) -> None:
         self.open = [Element("html", None, 0)]
+        self.all = [*self.open]
         self.at: dict[str, list[int]] = {}
         self.blocks = [0]  # places of the block-level ones
 
@@ -117,6 +169,7 @@ class Stack:
         if tag in BLOCK:
             self.blocks.append(len(self.open))
         self.open.append(Element(tag, self.open[-1], cost))
+        self.all.append(self.open[-1])
 
     def cut(self, place: int) -> None:
         """Closes the elements from ``place`` on."""
@@ -144,6 +197,7 @@ def blocks_of(html: str) -> list[Block]:
             text = " ".join(unescape("".join(parts)).split())
             if text:
                 blocks.append(Block(stack.open[-1].block, text, linked))
+                blocks[-1].element.size += len(text)
             parts.clear()
             linked = 0
 
@@ -193,6 +247,7 @@ def blocks_of(html: str) -> list[Block]:
             continue
         stack.push(tag, name_cost(tag, attributes))
     flush()
+    weigh(stack.all)
     return blocks
 
 

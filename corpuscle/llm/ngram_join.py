@@ -104,12 +104,12 @@ def counter_of(s: np.ndarray) -> np.ndarray:
 
 
 def read_sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles and key, key2 (digest) of every row; and the sketch's chunks (doc_id null, chunk not)."""
+    """doc_id, n_shingles, key, key2 (digest) and text_key of every row; and the sketch's chunks (doc_id null, chunk not)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, sketch = kept_in_worker(("hashes",), Hashes), np.zeros(1 << BITS, np.int32)
-        names = ["doc_id", "n_shingles", "key", "key2", "chunk", "counts"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        names = ["doc_id", "n_shingles", "key", "key2", "text_key", "chunk", "counts"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         for batch in batches:
             sizes, keys = [], []
             for t in (v.as_py() for v in batch.column(1)):
@@ -117,13 +117,19 @@ def read_sets(docs: DataFrame, n: int) -> DataFrame:
                 sizes.append(len(s))
                 keys.append(fingerprint(s))
                 np.add.at(sketch, counter_of(s), 1)
-            cols = [batch.column(0), sizes, [k[0] for k in keys], [k[1] for k in keys], [None] * len(keys), [None] * len(keys)]
+            cols = [batch.column(0), sizes, [k[0] for k in keys], [k[1] for k in keys], batch.column(2), [None] * len(keys), [None] * len(keys)]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
         for k, part in enumerate(sketch.reshape(CHUNKS, -1)):
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([None, None, None, None, k, zlib.compress(part.tobytes(), 1)], kinds, strict=True)], names)
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([None, None, None, None, None, k, zlib.compress(part.tobytes(), 1)], kinds, strict=True)], names)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, key long, key2 long, chunk int, counts binary")
+    docs = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, key long, key2 long, text_key long, chunk int, counts binary")
+
+
+def text_key(text: Column) -> Column:
+    """Tells apart the texts of rows that repeat a doc_id."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def sum_sketches(parts: DataFrame) -> np.ndarray:
@@ -262,17 +268,17 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT, hot: int = HOT, with_key: bool = False) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row; ``with_key``: and text_key."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     read = cut(read_sets(docs, n), "read")
     sketch = sum_sketches(read.where("chunk IS NOT NULL").select("chunk", "counts"))
-    meta = read.where("chunk IS NULL").select("doc_id", "n_shingles", "key", "key2")
+    meta = read.where("chunk IS NULL").select("doc_id", "n_shingles", "key", "key2", "text_key")
     # equal sets: the least doc_id stands for them; empty sets stand alone
     second = F.when(F.col("n_shingles") == 0, F.coalesce("doc_id", F.lit(0))).otherwise(F.col("key2"))
     groups = tree_keep(meta.withColumns({KEY[0]: F.col("key"), KEY[1]: F.col("n_shingles"), KEY[2]: second}), "doc_id", largest=False)
-    groups = cut(groups.select("doc_id", "n_shingles", "key", "key2", F.col("keep_id").alias("rep")), "groups")
+    groups = cut(groups.select("doc_id", "n_shingles", "key", "key2", "text_key", F.col("keep_id").alias("rep")), "groups")
     reps = cut(groups.where("doc_id <=> rep AND n_shingles > 0").select("doc_id", "key", "key2").distinct(), "reps")
     # of the 2 ** 64 first halves, n nodes have about n * n / 2 ** 65 in common
     clash = frozenset(r["key"] for r in reps.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key").collect())
@@ -319,7 +325,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first_of = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_key = salted_join(named, first_of, "component", "key").select("key", "component_id")
     rows = salted_join(groups, by_key, "key", "doc_id", "left")
-    return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id")).withColumnRenamed("doc_id", id_col)
+    return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"), *["text_key"] * with_key).withColumnRenamed("doc_id", id_col)
 
 
 def across_components(mixed: DataFrame, percent: int) -> DataFrame:
@@ -336,9 +342,9 @@ def across_components(mixed: DataFrame, percent: int) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document (the least doc_id) of each component."""
-    gone = near_groups(docs).where("doc_id <> component_id").select("doc_id")
-    return without(docs, gone, doc_id=docs["doc_id"])
+    """``docs`` with one document (the least doc_id) of each component; rows that repeat a doc_id go or stay by their own text."""
+    gone = near_groups(docs, with_key=True).where("doc_id <> component_id").select("doc_id", "text_key")
+    return without(docs, gone, doc_id=docs["doc_id"], text_key=text_key(docs["text"]))
 
 
 def _linked(docs: DataFrame, reps: DataFrame, pairs: DataFrame, n: int, percent: int, clash: frozenset[int]) -> DataFrame:

@@ -59,6 +59,23 @@ def texts(n, seed):
     return ["".join(r.choice(parts) for _ in range(r.randint(0, 25))) for _ in range(n)]
 
 
+def test_ann_own_rows_leave_room_for_others(spark):
+    """A query row that occurs many times still gets its k nearest others."""
+    r = random.Random(4)
+    vec = lambda: [r.gauss(0, 1) for _ in range(8)]
+    same = vec()
+    rows = [(50, same)] * 9 + [(i, vec()) for i in range(1, 40)] + [(41, same), (42, same)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [x["rank"] for x in got] == [1, 2, 3, 4, 5] and [x["vec_id"] for x in got[:2]] == [41, 42] and all(x["vec_id"] != 50 for x in got)
+
+
+def test_near_copies_go_by_text_too(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (7, a), (7, b), (9, c), (7, b), (None, a), (8, None), (8, b + " more")]
+    got = ngram_join.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((tuple(r) for r in got), key=str) == sorted([(1, a), (7, b), (7, b), (9, c), (None, a), (8, None)], key=str)
+
+
 # BPE
 
 
@@ -540,6 +557,35 @@ def test_cut_overrules_scores(name):
     assert html_text.main_blocks(html) == want and by_score != want
 
 
+PARAS = ["The council met on Monday evening to talk about the new bridge, and it agreed on a plan.", "Work will begin in the spring, the mayor said, and it should end before the next winter comes."]
+AROUND = "<nav><ul><li><a href='/'>Home</a></li><li><a href='/n'>News</a></li></ul></nav>"
+AFTER = "<footer><p>All rights reserved, by the makers of this site, in all countries.</p></footer>"
+PP = "".join(f"<p>{p}</p>" for p in PARAS)
+NOTE = "<p>I do not agree at all with this, and neither do my neighbours, who wrote it.</p>"
+MAKES = {
+    "no-sidebar": f"<body class='single-post no-sidebar'>{AROUND}<article>{PP}</article>{AFTER}",
+    "with-sidebar": f"<body>{AROUND}<div class='layout with-sidebar'><article>{PP}</article><div class='sidebar'><p>Buy now, while it is cheap, all of it.</p></div></div>{AFTER}",
+    "with-banner": f"<body>{AROUND}<div id='page-with-banner'><main>{PP}</main></div>{AFTER}",
+    "comment-open": f"<body class='post comment-open'>{AROUND}<main>{PP}</main>{AFTER}",
+    "article-header": f"<body>{AROUND}<article><div class='article-header'><h1>The bridge</h1></div>{PP}</article>{AFTER}",
+    "title-attribute": f"<body>{AROUND}<div title='the hidden truth'>{PP}</div>{AFTER}",
+    "form-around": f"<body><form id='aspnetForm'>{AROUND}<div id='content'>{PP}</div>{AFTER}</form>",
+    "sidebar-right": f"<body>{AROUND}<main class='site-main sidebar'>{PP}</main>{AFTER}",
+    "comments": f"<body>{AROUND}<article>{PP}</article><div id='comments'>" + f"<article class='comment'>{NOTE}</article>" * 9 + f"</div>{AFTER}",
+    "related": f"<body>{AROUND}<main>{PP}</main><section class='related-posts'><article><p>Ten ways to cook an egg, and more.</p></article></section>{AFTER}",
+    "html-class": f"<html class='no-js cookie-banner'><body class='sidebar widget'>{AROUND}<div class='entry-content'>{PP}</div>{AFTER}",
+    "cookie": f"<body><div class='cookie-notice'><p>We use cookies, as all the others do, to know you.</p></div><div>{PP}</div>{AFTER}",
+    "tables": f"<body bgcolor=white><table><tr><td class=menu><a href=a>One</a> <a href=b>Two</a></td><td>{PP}</td></tr></table>{AFTER}",
+    "data-attribute": f"<body>{AROUND}<div data-hidden='x' data-class='sidebar'>{PP}</div>{AFTER}",
+}
+
+
+@pytest.mark.parametrize("make", sorted(MAKES))
+def test_html_of_many_makes(make):
+    want = [*(["The bridge"] if make == "article-header" else []), *PARAS]
+    assert html_text.main_blocks(MAKES[make]) == want
+
+
 def test_html_keeps_inline_content():
     page = "<article><p>The value of <math><mi>x</mi></math> is set, see <svg><text>fig</text></svg>.</p><object><p>Kept, as it is shown.</p></object><select><option>no</option></select></article>"
     assert html_text.main_text(page) == "The value of x is set, see fig.\nKept, as it is shown."
