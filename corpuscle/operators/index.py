@@ -2,16 +2,18 @@
 
 Tables below one folder, all parquet:
 
-    meta      a row for each chunk without its text, with its tokens in all fields (dl) and its size
+    meta      a row for each chunk without its text, with its tokens in all fields (dl), its size and the digest of its fields
     texts     repo_id, chunk_id and content, in order of chunk_id, so that few row groups hold what an answer shows
-    postings  (bucket, term, repo_id, chunk_id, n, f), by folders of ``bucket``, a hash of the term; n: how often
-              the chunk holds the term, f: the same by weights of fields
+    postings  (bucket, term, repo_id, chunk_id, n, f, positions), by folders of ``bucket``, a hash of the term; n: how often
+              the chunk holds the term, f: the same by weights of fields, positions: where, ascending (``FIELD`` times the
+              number of the field, and the number of the token in it), delta-coded by the writer
     stats     number of chunks and average length of each repository
+    layout    the number of buckets, which grows with the texts
     nodes, edges   symbols and relationships of source files
 
 A search reads the folders of its terms alone, and texts of the rows that it returns.
-Phrases are counted in the texts of the chunks that hold all their words.  A term that
-most chunks hold is written in several files of its bucket.
+Phrases and near words are found from positions; no text is read for them.  A term
+that most chunks hold is written in several files of its bucket.
 """
 
 from __future__ import annotations
@@ -22,33 +24,58 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuscle.functions import fixed, text
-from corpuscle.sources.scratch import cut
 
 from . import extract, search
 
-BUCKETS, SPREAD = 32, 4
-POSTINGS = "term string, repo_id string, chunk_id string, n long, f double, bucket int"  # of an empty index, too
+BUCKETS, BUCKET_CHARS, SPREAD = 16, 1 << 28, 4  # at least so many buckets; one more for so many characters of text; files of a bucket
+FIELD = 1 << 32
+KEY = ["repo_id", "chunk_id"]
+POSTINGS = "term string, repo_id string, chunk_id string, n long, f double, positions array<bigint>, bucket int"  # of an empty index, too
 
 
 def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def build_texts(chunks: DataFrame, folder: str, buckets: int = BUCKETS) -> None:
-    """Writes meta, texts, postings and stats of chunks (see ``search``)."""
-    spark = chunks.sparkSession
-    chunks.select("repo_id", "chunk_id", "content").repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").write.parquet(f"{folder}/texts")
-    terms = F.array(*[F.struct(F.lit(w).alias("w"), text.tokens(F.col(f)).alias("terms")) for f, w in fixed.COLUMN_WEIGHTS.items()])
-    kept = [c for c in chunks.columns if c != "content"]
-    read = cut(chunks.select(*kept, F.length(F.coalesce("content", F.lit(""))).alias("chars"), terms.alias("__t")), "terms")
-    dl = F.aggregate("__t", F.lit(0).cast("long"), lambda n, x: n + F.size(x["terms"]))
-    read.withColumn("dl", dl).drop("__t").write.parquet(f"{folder}/meta")
-    search.corpus_stats(spark.read.parquet(f"{folder}/meta")).write.parquet(f"{folder}/stats")
-    rows = read.select("repo_id", "chunk_id", F.explode("__t").alias("x")).select("repo_id", "chunk_id", "x.w", F.explode("x.terms").alias("term"))
-    rows = rows.groupBy("term", "repo_id", "chunk_id").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("f"))
+def meta_rows(chunks: DataFrame) -> DataFrame:
+    """The chunks without their text."""
+    dl = reduce(Column.__add__, [text.n_tokens(search.folded(f)) for f in fixed.COLUMN_WEIGHTS]).cast("long")
+    every = F.sha2(F.to_json(F.struct(*[c for c in chunks.columns]), {"ignoreNullFields": "false"}).cast("binary"), 256)
+    return chunks.withColumns({"chars": F.length(F.coalesce("content", F.lit(""))), "dl": dl, "digest": every}).drop("content")
+
+
+def posting_rows(chunks: DataFrame) -> DataFrame:
+    """(term, repo_id, chunk_id, n, f, positions)."""
+    fields = F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(w).alias("w"), text.tokens(F.col(f)).alias("terms")) for i, (f, w) in enumerate(fixed.COLUMN_WEIGHTS.items())])
+    rows = chunks.select(*KEY, F.explode(fields).alias("x")).select(*KEY, "x.i", "x.w", F.posexplode("x.terms").alias("pos", "term"))
+    return rows.groupBy("term", *KEY).agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("f"), F.sort_array(F.collect_list(F.col("i") * FIELD + F.col("pos"))).alias("positions"))
+
+
+def write_postings(rows: DataFrame, path: str, buckets: int) -> None:
     rows = rows.withColumn("bucket", bucket_of(F.col("term"), buckets))
-    rows = rows.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(SPREAD))).sortWithinPartitions("bucket", "term")
-    rows.write.partitionBy("bucket").parquet(f"{folder}/postings")
+    rows = rows.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(SPREAD))).sortWithinPartitions("bucket", "term", *KEY)
+    delta = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary#positions.list.element": "false"}
+    rows.write.options(**delta).partitionBy("bucket").parquet(path)
+
+
+def write_texts(chunks: DataFrame, path: str) -> None:
+    chunks.select(*KEY, "content").repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").write.parquet(path)
+
+
+def buckets_for(chunks: DataFrame) -> int:
+    """Buckets in proportion to the texts."""
+    chars = chunks.agg(F.sum(F.length("content"))).first()[0] or 0
+    return BUCKETS + chars // BUCKET_CHARS
+
+
+def build_texts(chunks: DataFrame, folder: str) -> None:
+    """Writes meta, texts, postings, stats and layout of chunks (see ``search``)."""
+    buckets = buckets_for(chunks)
+    write_texts(chunks, f"{folder}/texts")
+    meta_rows(chunks).write.parquet(f"{folder}/meta")
+    search.corpus_stats(chunks.sparkSession.read.parquet(f"{folder}/meta")).write.parquet(f"{folder}/stats")
+    write_postings(posting_rows(chunks), f"{folder}/postings", buckets)
+    chunks.sparkSession.range(1).select(F.lit(buckets).alias("buckets")).write.parquet(f"{folder}/layout")
 
 
 def build_code(files: DataFrame, folder: str) -> None:
@@ -60,37 +87,55 @@ def build_code(files: DataFrame, folder: str) -> None:
 class Index:
     """The tables of a folder."""
 
-    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
-        self.spark, self.folder, self.buckets = spark, folder, buckets
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
 
     def table(self, name: str) -> DataFrame:
         read = self.spark.read.schema(POSTINGS) if name == "postings" else self.spark.read
         return read.parquet(f"{self.folder}/{name}")
 
+    def buckets(self) -> int:
+        return self.table("layout").first()["buckets"]
+
     def postings(self, terms: list[str]) -> DataFrame:
         """The postings of some terms: their folders, and in these their rows."""
-        wanted = self.spark.createDataFrame([(t,) for t in terms] or [(None,)], "term string").select(bucket_of(F.col("term"), self.buckets).alias("b")).distinct()
+        wanted = self.spark.createDataFrame([(t,) for t in terms] or [(None,)], "term string").select(bucket_of(F.col("term"), self.buckets()).alias("b")).distinct()
         buckets = [r["b"] for r in wanted.collect()]  # as many as the query has terms
         return self.table("postings").where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
 
+    def starts(self, phrases: list[list[str]]) -> DataFrame:
+        """(repo_id, chunk_id, f0, s0, ...): of chunks that hold a term, the weighted frequency of each phrase, and where it starts (of one word: null)."""
+        terms = sorted({t for p in phrases for t in p})
+        placed = sorted({t for p in phrases if len(p) > 1 for t in p})
+        of = lambda t, c: F.max(F.when(F.col("term") == t, F.col(c)))  # noqa: E731  one row for each term and chunk
+        rows = self.postings(terms).groupBy(*KEY).agg(*[of(t, "f").alias(f"f_{t}") for t in terms], *[of(t, "positions").alias(f"p_{t}") for t in placed])
+        weight = lambda x: F.element_at(F.array(*[F.lit(w) for w in fixed.COLUMN_WEIGHTS.values()]), (F.shiftright(x, 32) + 1).cast("int"))
+        at = [follow([F.col(f"p_{t}") for t in p]) if len(p) > 1 else F.lit(None).cast("array<bigint>") for p in phrases]
+        rows = rows.withColumns({f"s{i}": s for i, s in enumerate(at)})
+        many = [F.aggregate(f"s{i}", F.lit(0.0), lambda a, x: a + weight(x)) if len(p) > 1 else F.col(f"f_{p[0]}") for i, p in enumerate(phrases)]
+        return rows.select(*KEY, *[F.coalesce(m, F.lit(0.0)).alias(f"f{i}") for i, m in enumerate(many)], *[f"s{i}" for i in range(len(phrases))])
+
     def frequencies(self, phrases: list[list[str]]) -> DataFrame:
         """(repo_id, chunk_id, f0, f1, ...): the weighted frequency of each phrase, of chunks that hold one."""
-        key = ["repo_id", "chunk_id"]
+        rows = self.starts(phrases).select(*KEY, *[f"f{i}" for i in range(len(phrases))])
+        return rows.where(reduce(Column.__or__, [F.col(f"f{i}") > 0 for i in range(len(phrases))]))
+
+    def near(self, phrases: list[list[str]], most: int = 10) -> DataFrame:
+        """(repo_id, chunk_id, clumps) of chunks in one field of which all phrases stand together: between the end of the
+        first and the start of the last there are ``most`` tokens or fewer.  clumps: how many places open such a group."""
         rows = self.postings(sorted({t for p in phrases for t in p}))
-        single = [rows.where(F.col("term") == p[0]).select(*key, F.lit(i).alias("i"), "f") for i, p in enumerate(phrases) if len(p) == 1]
-        longer = {i: p for i, p in enumerate(phrases) if len(p) > 1}
-        held = single
-        if longer:
-            every = rows.groupBy(*key).agg(F.collect_set("term").alias("terms"))  # no more than the query has terms
-            hold = {i: F.forall(F.array(*[F.lit(t) for t in p]), lambda t: F.array_contains("terms", t)) for i, p in longer.items()}
-            some = every.where(reduce(Column.__or__, hold.values())).select(*key)
-            read = some.join(self.table("meta").select(*key, "summary", "symbol_name", "file_path"), key).join(self.table("texts"), key)
-            count = lambda p: reduce(Column.__add__, [search.phrase_count(F.col(f"t_{f}"), p) * w for f, w in fixed.COLUMN_WEIGHTS.items()])
-            read = read.select(*key, *[search.folded(f).alias(f"t_{f}") for f in fixed.COLUMN_WEIGHTS])
-            found = read.select(*key, F.explode(F.array(*[F.struct(F.lit(i).alias("i"), count(p).alias("f")) for i, p in longer.items()])).alias("x"))
-            held = [*single, found.select(*key, "x.i", "x.f").where("f > 0")]
-        every = reduce(DataFrame.unionByName, held)
-        return every.groupBy(*key).agg(*[F.sum(F.when(F.col("i") == i, F.col("f")).otherwise(0.0)).alias(f"f{i}") for i in range(len(phrases))])
+        terms = sorted({t for p in phrases for t in p})
+        rows = rows.groupBy(*KEY).agg(*[F.max(F.when(F.col("term") == t, F.col("positions"))).alias(f"p_{t}") for t in terms])
+        rows = rows.select(*KEY, *[follow([F.col(f"p_{t}") for t in p]).alias(f"s{i}") for i, p in enumerate(phrases)])
+        numbered = lambda i: lambda x: F.struct(x.alias("pos"), F.lit(i).alias("i"))
+        every = F.concat(*[F.transform(f"s{i}", numbered(i)) for i in range(len(phrases))])
+        rows = rows.where(reduce(Column.__and__, [F.size(f"s{i}") > 0 for i in range(len(phrases))])).select(*KEY, F.explode(every).alias("x")).select(*KEY, "x.pos", "x.i")
+        opens = F.lit(False)
+        for size in {len(p) for p in phrases}:
+            w = Window.partitionBy(*KEY).orderBy("pos").rangeBetween(0, size + most)
+            own = F.col("i").isin([i for i, p in enumerate(phrases) if len(p) == size])
+            opens = F.when(own, reduce(Column.__and__, [F.max(F.col("i") == i).over(w) for i in range(len(phrases))])).otherwise(opens)
+        return rows.withColumn("opens", opens).where("opens").groupBy(*KEY).agg(F.count(F.lit(1)).alias("clumps"))
 
     def bm25(self, query: str, per_repo: int | None = 20) -> DataFrame:
         """As ``search.bm25``, without contents."""
@@ -111,7 +156,7 @@ class Index:
     def search_many(self, queries: DataFrame, k: int = 5) -> DataFrame:
         """(query, rank, repo_id, chunk_id, score) of many queries (query, text) in one pass: their words, by BM25, over all repositories."""
         asked = queries.select("query", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("term"))
-        terms = asked.select("term").distinct().withColumn("bucket", bucket_of(F.col("term"), self.buckets))
+        terms = asked.select("term").distinct().withColumn("bucket", bucket_of(F.col("term"), self.buckets()))
         held = self.table("postings").join(terms, ["bucket", "term"]).select("repo_id", "chunk_id", "term", "f")
         held = held.withColumn("nt", F.count(F.lit(1)).over(Window.partitionBy("repo_id", "term")))
         held = held.join(self.table("stats"), "repo_id").join(self.table("meta").select("repo_id", "chunk_id", "dl"), ["repo_id", "chunk_id"])
@@ -119,3 +164,9 @@ class Index:
         found = asked.join(parts, "term").groupBy("query", "repo_id", "chunk_id").agg(F.round(-F.sum("part"), 9).alias("score"))
         w = Window.partitionBy("query").orderBy("score", "chunk_id")
         return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "repo_id", "chunk_id", "score")
+
+
+def follow(positions: list[Column]) -> Column:
+    """Where lists of positions follow each other: intersections of lists moved back by their place."""
+    back = lambda i: lambda x: x - i
+    return reduce(F.array_intersect, [p if i == 0 else F.transform(p, back(i)) for i, p in enumerate(positions)])

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from corpuscle.functions import text
 from corpuscle.operators import digest as D
 from corpuscle.operators import search as S
+from corpuscle.operators.index import buckets_for
+from corpuscle.operators.segments import SegmentIndex
 from corpuscle.sources import views
-from corpuscle.sources.scratch import cut
+from corpuscle.sources.scratch import cut, new_folder
 
 from . import stored
 from .registry import query
@@ -178,6 +180,36 @@ def index_build(spark, d):
     return one("texts", "chunks", n).union(one("meta", "tokens", F.sum("dl"))).union(one("postings", "occurrences", F.sum("n"))).union(one("postings", "terms", F.count_distinct("term"))).union(one("stats", "repositories", n))
 
 
+PLACED = ", ".join(f"SELECT repo_id, chunk_id, {i} AS field, unnest({TOK.format(c=c)}) AS term, generate_subscripts({TOK.format(c=c)}, 1) - 1 AS pos FROM chunks" for i, c in enumerate(("content", "summary", "symbol_name", "file_path"))).replace(", SELECT repo_id", " UNION ALL SELECT repo_id")
+
+
+@query(
+    f"WITH {CHUNKS}, p AS MATERIALIZED (SELECT *, CASE term WHEN 'that' THEN 0 WHEN 'with' THEN 1 ELSE 2 END AS i FROM ({PLACED}) WHERE term IN ('that', 'with', 'this')), "
+    "o AS (SELECT repo_id, chunk_id, pos, (SELECT count(DISTINCT q.i) FROM p q WHERE q.repo_id = p.repo_id AND q.chunk_id = p.chunk_id AND q.field = p.field AND q.pos BETWEEN p.pos AND p.pos + 13) AS kinds FROM p) "
+    "SELECT repo_id, chunk_id, count(*) AS clumps FROM o WHERE kinds = 3 GROUP BY repo_id, chunk_id"
+)
+def text_near_search(spark, d):
+    """Chunks in which three words stand together, with twelve others between them or fewer."""
+    return stored.texts(spark, d).near([["that"], ["with"], ["this"]], 12)
+
+
+@query(
+    f"WITH {CHUNKS}, p AS MATERIALIZED ({PLACED.replace('FROM chunks', 'FROM (SELECT * FROM chunks WHERE doc_id % 5 <> 2)')}) "
+    "SELECT repo_id, term, count(*) AS occurrences, count(DISTINCT chunk_id) AS df, sum(field * 4294967296 + pos)::BIGINT AS places FROM p GROUP BY repo_id, term"
+)
+def index_incremental(spark, d):
+    """Postings after four batches: stale texts of every fourth document, all documents, deletions, and the same again."""
+    rows = chunks(spark, d)
+    index = SegmentIndex(spark, new_folder(spark), buckets_for(rows))
+    put = rows.withColumns({"change": F.lit("put"), "seq": F.lit(1)})
+    stale = put.where("doc_id % 4 = 1").withColumn("content", F.concat(F.lit("stale words "), F.reverse("content")))
+    gone = put.where("doc_id % 5 = 2").withColumn("change", F.lit("delete"))
+    for batch, changes in enumerate([stale, put, gone, put.where("doc_id % 5 <> 2")]):
+        index.apply(changes, batch)
+    index.compact(3)
+    return index.table("postings").groupBy("repo_id", "term").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("df"), F.sum(F.aggregate("positions", F.lit(0).cast("long"), lambda a, x: a + x)).alias("places"))
+
+
 ASKED = "SELECT item_id, text FROM benchmark b WHERE EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text))"
 FIELDS = {"content": 1.0, "summary": 2.0, "symbol_name": 3.0, "file_path": 1.5}
 MANY = (
