@@ -6,16 +6,21 @@ file is bounded (100 000 bytes by the source filter), so arrays of its lines are
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscle.functions import fixed, text
 
+from . import lexer
+
 W = r"[\p{L}\p{N}_]"
 
 
-def matches(files: DataFrame, pattern: str, groups: dict[str, int], after: int = 0) -> DataFrame:
-    """A row for each match of the pattern in content: the groups, and its line; with ``after``, so much of what follows it (``rest``)."""
+def matches(files: DataFrame, pattern: str, groups: dict[str, int]) -> DataFrame:
+    """A row for each match of the pattern in content: the groups, and its line."""
     p = F.lit(pattern)
     found = F.regexp_extract_all("content", p, F.lit(0))
     rows = files.withColumn("__m", found).where(F.size("__m") > 0)
@@ -27,28 +32,11 @@ def matches(files: DataFrame, pattern: str, groups: dict[str, int], after: int =
     rows = rows.withColumn("__line", F.transform(text.running_sums(F.col("__s")), lambda n: n + 1))
     rows = rows.withColumns({f"__{n}": F.regexp_extract_all("content", p, F.lit(g)) for n, g in groups.items()})
     names = list(groups)
-    if after:
-        size = lambda a: F.transform(a, F.length)
-        rows = rows.withColumn("__e", F.slice(steps(size(F.col("__g")), size(F.col("__m"))), F.lit(1), F.size("__m")))
-        rows = rows.withColumn("__b", text.running_sums(F.col("__e")))
-        rows = rows.withColumn("__rest", F.transform("__b", lambda at, i: F.substr("content", at + F.length(F.get("__m", i)) + 1, F.lit(after))))
-        rows, names = rows.withColumn("__own", F.col("__ml")), [*names, "rest", "own"]
     zipped = F.arrays_zip("__line", *[f"__{n}" for n in names])
     keep = [c for c in files.columns if c != "content"]
     return rows.select(*keep, F.explode(zipped).alias("z")).select(*keep, F.col("z.__line").alias("line"), *[F.col(f"z.__{n}").alias(n) for n in names])
 
 
-def closing_line(rest: Column) -> Column:
-    """How many lines after an opening brace its closing one stands; 50 if that is not in the text after it."""
-    marks = F.regexp_extract_all(rest, F.lit(r"[{}\n]"), F.lit(0))
-
-    def step(a: Column, m: Column) -> Column:
-        moved = F.struct((a["depth"] + F.when(m == "{", 1).when(m == "}", -1).otherwise(0)).alias("depth"), (a["line"] + (m == "\n").cast("int")).alias("line"))
-        return F.when(a["depth"] == 0, a).otherwise(moved)
-
-    return F.aggregate(marks, F.struct(F.lit(1).alias("depth"), F.lit(0).alias("line")), step, lambda a: F.when(a["depth"] == 0, a["line"]).otherwise(F.lit(50)))
-
-
 def edge(rows: DataFrame, kind: str, symbol: Column | None, target: Column, line: Column | None) -> DataFrame:
     none = F.lit(None)
     return rows.select("repo_id", F.lit(kind).alias("kind"), F.col("file_path").alias("source_file"), (none if symbol is None else symbol).cast("string").alias("source_symbol"), none.cast("string").alias("target_file"), target.alias("target_symbol"), (none if line is None else line).cast("int").alias("line"))
@@ -59,7 +47,7 @@ def imports(files: DataFrame) -> DataFrame:
     lang = F.col("language")
     py = F.concat(F.regexp_extract_all("content", F.lit(r"(?m)^from\s+([\p{L}\p{N}_.]+)\s+import"), F.lit(1)), F.regexp_extract_all("content", F.lit(r"(?m)^import\s+([\p{L}\p{N}_.]+)"), F.lit(1)))
     js = F.regexp_extract_all("content", F.lit(r"""(?:import|require)\s*\(?\s*['"]([^'"]+)['"]"""), F.lit(1))
-    go = F.regexp_extract_all(F.substring("content", 1, 2000), F.lit(r'"([^"]*/[^"]*)"'), F.lit(1))
+    go = F.regexp_extract_all("content", F.lit(r'"([^"]*/[^"]*)"'), F.lit(1))
     found = F.when(lang == "python", py).when(lang.isin("javascript", "typescript"), js).when(lang == "go", go)
     rows = files.select("repo_id", "file_path", "language", F.explode(found).alias("target"))
     return edge(rows, "IMPORTS", None, F.col("target"), None)
@@ -169,27 +157,36 @@ def python_nodes(files: DataFrame) -> DataFrame:
 
 def generic_nodes(files: DataFrame) -> DataFrame:
     """Classes and functions of languages without a reader of their own, by key words, with nominal ranges."""
-    rest = files.where("language NOT IN ('python', 'javascript', 'typescript')")
+    rest = files.where("language NOT IN ('python', 'javascript', 'typescript', 'dart')")
     classes = matches(rest, rf"class\s+({W}+)", {"name": 1}).withColumns({"kind": F.lit("class"), "params": F.lit(None).cast("string"), "line_end": F.col("line") + 20})
     functions = matches(rest, rf"(?:function|func|fun|fn|def)\s+({W}+)\s*\(([^)]*)\)", {"name": 1, "params": 2}).withColumns({"kind": F.lit("function"), "params": F.substring("params", 1, 60), "line_end": F.col("line") + 15})
     return _listed(classes.unionByName(functions))
 
 
+LEXED = "array<struct<name:string,kind:string,params:string,line:int,line_end:int>>"
+
+
+def brace_nodes(files: DataFrame, languages: list[str], kinds: list[str]) -> DataFrame:
+    """What ``lexer`` finds in files of these languages, to the brace that closes it."""
+
+    @F.pandas_udf(LEXED)
+    def read(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for sources, names in batches:
+            yield pd.Series([[{"name": d["name"], "kind": d["kind"], "params": d["params"], "line": d["line_start"], "line_end": d["line_end"]} for d in lexer.definitions(s or "", x) if d["kind"] in kinds] for s, x in zip(sources, names, strict=True)])
+
+    rows = files.where(F.col("language").isin(languages))
+    found = rows.select("repo_id", "file_path", F.explode(read("content", "language")).alias("d")).select("repo_id", "file_path", "d.*")
+    return _listed(found.withColumn("params", F.substring("params", 1, 60)))
+
+
 def script_nodes(files: DataFrame) -> DataFrame:
-    """Classes, functions and arrow functions of JavaScript and TypeScript, to the brace that closes them."""
-    rows = files.where("language IN ('javascript', 'typescript')")
-    end = F.col("line") + F.col("own") + F.when(F.col("open") == "", 0).otherwise(closing_line(F.col("rest")))
-    forms = [
-        ("class", rf"\bclass\s+({W}+)[^{{}};()]*(\{{)", {"name": 1, "open": 2}),
-        ("function", rf"\bfunction\s*\*?\s*({W}+)\s*(?:<[^>]*>)?\s*\(([^)]*)\)[^{{}};]*(\{{)", {"name": 1, "params": 2, "open": 3}),
-        ("function", rf"\b(?:const|let|var)\s+({W}+)[^=\n]*=\s*(?:async\s*)?\(([^)]*)\)[^=\n]*=>\s*(\{{?)", {"name": 1, "params": 2, "open": 3}),
-    ]
-    out = None
-    for kind, pattern, groups in forms:
-        found = matches(rows, pattern, groups, 50_000).withColumns({"kind": F.lit(kind), "line_end": end})
-        found = found if "params" in groups else found.withColumn("params", F.lit(None).cast("string"))
-        out = found if out is None else out.unionByName(found)
-    return _listed(out.withColumn("params", F.substring(F.trim("params"), 1, 60)))
+    """Classes, functions and arrow functions of JavaScript and TypeScript."""
+    return brace_nodes(files, ["javascript", "typescript"], ["class", "function"])
+
+
+def dart_nodes(files: DataFrame) -> DataFrame:
+    """Classes (mixins, enums and extensions too), functions and methods of Dart."""
+    return brace_nodes(files, ["dart"], ["class", "function", "method"])
 
 
 def _listed(rows: DataFrame) -> DataFrame:
@@ -197,7 +194,7 @@ def _listed(rows: DataFrame) -> DataFrame:
 
 
 def nodes(files: DataFrame) -> DataFrame:
-    return python_nodes(files).unionByName(script_nodes(files), allowMissingColumns=True).unionByName(generic_nodes(files), allowMissingColumns=True)
+    return python_nodes(files).unionByName(script_nodes(files), allowMissingColumns=True).unionByName(dart_nodes(files), allowMissingColumns=True).unionByName(generic_nodes(files), allowMissingColumns=True)
 
 
 def key_flows(files: DataFrame) -> DataFrame:

@@ -59,33 +59,51 @@ def nodes_at_lines(nodes: DataFrame, lo: int, hi: int) -> DataFrame:
 
 
 def enclosing_nodes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Each edge with the nodes of its source file around its line; all of the file's nodes if none is."""
-    n = nodes.select(F.col("file_path").alias("source_file"), "qualified_name", "line_start", "line_end")
+    """Each edge with the nodes of its source file, in its repository, around its line; all of the file's nodes if none is."""
+    key = both_have(edges, nodes)
+    n = nodes.select(*key, F.col("file_path").alias("source_file"), "qualified_name", "line_start", "line_end")
     inside = F.coalesce(F.col("line").between(F.col("line_start"), F.col("line_end")), F.lit(False))
-    rows = edges.join(n, "source_file").withColumn("inside", inside)
-    w = Window.partitionBy("source_file", "kind", "target_symbol", "line")
+    rows = edges.join(n, [*key, "source_file"]).withColumn("inside", inside)
+    w = Window.partitionBy(*key, "source_file", "kind", "target_symbol", "line")
     return rows.withColumn("any_inside", F.max("inside").over(w)).where(F.col("inside") | ~F.col("any_inside")).drop("any_inside")
 
 
+def both_have(left: DataFrame, right: DataFrame) -> list[str]:
+    """The repository as a key, where both sides know it."""
+    return ["repo_id"] if "repo_id" in left.columns and "repo_id" in right.columns else []
+
+
+def of_repo(rows: DataFrame, repo: str | None) -> DataFrame:
+    """The rows of one repository; all, without one."""
+    return rows if repo is None else rows.where(F.col("repo_id") == repo)
+
+
 def resolve_targets(edges: DataFrame, nodes: DataFrame, most: int = 3) -> DataFrame:
     """Edges (edge_id, target_symbol, target_file) with their nodes: by file and name, else by name, else by path.
 
     The first stage that finds a node counts; the last two give ``most`` nodes at most,
-    in order of qualified_name.
+    in order of qualified_name.  With repo_id on both sides, nodes are those of the
+    edge's own repository, and edge_id need be unique only there.
     """
+    key = both_have(edges, nodes)
     e = cut(edges.withColumns({"name": F.element_at(F.split("target_symbol", r"\."), -1), "module_path": F.replace("target_symbol", F.lit("."), F.lit("/"))}), "edges")
-    n = cut(nodes.select("qualified_name", F.col("file_path").alias("node_file"), F.col("name").alias("node_name")), "nodes")
-    first = e.join(n, (e["target_file"] == n["node_file"]) & (e["name"] == n["node_name"])).select("edge_id", "qualified_name", F.lit(1).alias("stage"))
-    names = e.select("edge_id", F.col("name").alias("node_name"))
-    w = Window.partitionBy("node_name").orderBy("qualified_name")
+    n = cut(nodes.select(*key, "qualified_name", F.col("file_path").alias("node_file"), F.col("name").alias("node_name")), "nodes")
+    own = [*key, "edge_id"]
+    first = e.select(*own, F.col("target_file").alias("node_file"), F.col("name").alias("node_name")).join(n, [*key, "node_file", "node_name"]).select(*own, "qualified_name", F.lit(1).alias("stage"))
+    w = Window.partitionBy(*key, "node_name").orderBy("qualified_name")
     best = n.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
-    second = names.join(best, "node_name").select("edge_id", "qualified_name", F.lit(2).alias("stage"))
-    left = e.join(first.unionByName(second), "edge_id", "left_anti").select("edge_id", "module_path")
-    third = substring_join(left, n.select("node_file", "qualified_name"), "module_path", "node_file").withColumn("stage", F.lit(3))
-    w3 = Window.partitionBy("edge_id").orderBy("qualified_name")
-    third = third.withColumn("r", F.row_number().over(w3)).where(F.col("r") <= most).select("edge_id", "qualified_name", "stage")
+    second = e.select(*own, F.col("name").alias("node_name")).join(best, [*key, "node_name"]).select(*own, "qualified_name", F.lit(2).alias("stage"))
+    left = e.join(first.unionByName(second).select(*own), own, "left_anti").select(*own, "module_path")
+    if key:  # distinct needles and paths meet once, then each repository's own
+        needles = left.select(F.lower("module_path").alias("module_path")).distinct()
+        found = substring_join(needles, n.select("node_file").distinct(), "module_path", "node_file")
+        third = left.withColumn("module_path", F.lower("module_path")).join(found, "module_path").join(n, [*key, "node_file"]).drop("module_path")
+    else:
+        third = substring_join(left, n.select("node_file", "qualified_name"), "module_path", "node_file")
+    w3 = Window.partitionBy(*own).orderBy("qualified_name")
+    third = third.withColumn("r", F.row_number().over(w3)).where(F.col("r") <= most).select(*own, "qualified_name", F.lit(3).alias("stage"))
     every = first.unionByName(second).unionByName(third)
-    return every.withColumn("least", F.min("stage").over(Window.partitionBy("edge_id"))).where("stage = least").drop("least")
+    return every.withColumn("least", F.min("stage").over(Window.partitionBy(*own))).where("stage = least").drop("least")
 
 
 def reachable(links: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
@@ -102,12 +120,13 @@ def reachable(links: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     return seen
 
 
-def trace(edges: DataFrame, nodes: DataFrame, path: str, depth: int = 2) -> DataFrame:
+def trace(edges: DataFrame, nodes: DataFrame, path: str, depth: int = 2, repo: str | None = None) -> DataFrame:
     """(depth, parent, child, target) of the imports below a file; an import without a file is a leaf.
 
     A file is opened once, at its least depth.
     """
     spark = edges.sparkSession
+    edges, nodes = of_repo(edges, repo), of_repo(nodes, repo)
     imp = cut(edges.where("kind = 'IMPORTS'").select("source_file", "target_symbol").distinct(), "imports")
     files = cut(nodes.select("file_path").distinct(), "files")
     todo = spark.createDataFrame([(path,)], "source_file string")
@@ -122,13 +141,14 @@ def trace(edges: DataFrame, nodes: DataFrame, path: str, depth: int = 2) -> Data
     return out
 
 
-def references(edges: DataFrame, nodes: DataFrame, hits: DataFrame, symbol: str) -> DataFrame:
+def references(edges: DataFrame, nodes: DataFrame, hits: DataFrame, symbol: str, repo: str | None = None) -> DataFrame:
     """Tagged places of a symbol: defined, imported, called, inherited, and other texts that hold it.
 
     hits: (file_path) of chunks in which the symbol occurs as a phrase.
     """
     shape = lambda df, tag, f, s, line: df.select(F.lit(tag).alias("category"), f.alias("file"), s.alias("symbol"), line.cast("int").alias("line"))
-    edges, nodes, none = cut(edges, "edges"), cut(nodes, "nodes"), F.lit(None)
+    edges, nodes, none = cut(of_repo(edges, repo), "edges"), cut(of_repo(nodes, repo), "nodes"), F.lit(None)
+    hits = of_repo(hits, repo)
     defined = shape(nodes.where(F.col("name") == symbol), "defined_in", F.col("file_path"), F.col("qualified_name"), F.col("line_start"))
     imported = shape(importers(edges, symbol).select("source_file").distinct(), "imported_by", F.col("source_file"), none.cast("string"), none)
     called = shape(callers(edges, symbol), "called_by", F.col("source_file"), F.col("target_symbol"), F.col("line"))
@@ -150,19 +170,20 @@ def symbol_links(edges: DataFrame, nodes: DataFrame, like: bool = False) -> Data
     if like:
         hit = substring_join(nodes.select("name", F.col("qualified_name").alias("b"), F.col("file_path").alias("f")), e.select("edge_id", "target_symbol"), "name", "target_symbol").select("edge_id", "b", "f")
     else:
-        hit = resolve_targets(e.select("edge_id", "target_symbol", "target_file"), nodes).join(nodes.select("qualified_name", F.col("file_path").alias("f")), "qualified_name").select("edge_id", F.col("qualified_name").alias("b"), "f")
+        hit = resolve_targets(e.select("edge_id", "target_symbol", "target_file"), nodes.drop("repo_id")).join(nodes.select("qualified_name", F.col("file_path").alias("f")), "qualified_name").select("edge_id", F.col("qualified_name").alias("b"), "f")
     both = cut(src.join(hit, "edge_id").where("a <> b").select("a", "b", "kind", F.col("source_file") != F.col("f")))
     forward = both.select(F.col("a").alias("src"), F.col("b").alias("dst"), "kind", F.lit("forward").alias("direction"))
     return forward.unionByName(both.select(F.col("b").alias("src"), F.col("a").alias("dst"), "kind", F.lit("reverse").alias("direction"))).distinct()
 
 
-def impact(edges: DataFrame, nodes: DataFrame, path: str, max_depth: int = 3, max_nodes: int = 50, changed: tuple[int, int] | None = None, fan: int = 5, like: bool = False) -> DataFrame:
+def impact(edges: DataFrame, nodes: DataFrame, path: str, max_depth: int = 3, max_nodes: int = 50, changed: tuple[int, int] | None = None, fan: int = 5, like: bool = False, repo: str | None = None) -> DataFrame:
     """Symbols within max_depth of a file's symbols, both ways, at their least distance.
 
     Each symbol is expanded over ``fan`` links of each direction, in order of the other
-    end; of all symbols the ``max_nodes`` first by distance and name stay.
+    end; of all symbols the ``max_nodes`` first by distance and name stay.  ``repo``: the
+    repository that the path is in, where tables hold several.
     """
-    nodes = cut(nodes, "nodes")
+    edges, nodes = of_repo(edges, repo), cut(of_repo(nodes, repo), "nodes")
     links = cut(symbol_links(edges, nodes, like))
     w = Window.partitionBy("src", "direction").orderBy("dst", "kind")
     links = links.withColumn("r", F.row_number().over(w)).where(F.col("r") <= fan).drop("r")
@@ -226,12 +247,13 @@ def overall_risk(rows: DataFrame, sensitive_source: Column) -> DataFrame:
     return out.withColumn("level", risk_level(F.col("risk")))
 
 
-def impact_report(edges: DataFrame, nodes: DataFrame, path: str, changed: tuple[int, int] | None = None, most: int = 25) -> DataFrame:
+def impact_report(edges: DataFrame, nodes: DataFrame, path: str, changed: tuple[int, int] | None = None, most: int = 25, repo: str | None = None) -> DataFrame:
     """What a change of a file touches: each symbol with its distance, tests, callers, risk and level; riskiest first, the first ``most``.
 
     A file is tested if a TESTED_BY edge's target holds its module path or its stem as
     a part; its callers are the files with a CALLS edge whose target holds its stem.
     """
+    edges, nodes = of_repo(edges, repo), of_repo(nodes, repo)
     hit = cut(impact(edges, nodes, path, changed=changed), "impact")
     files = hit.select("file_path").distinct().withColumn("stem", text.stem(F.col("file_path")))
     tests = edges.where("kind = 'TESTED_BY'").select("target_symbol").distinct()

@@ -55,8 +55,14 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str = "file_path", value:
 
 
 def changed_files(files: DataFrame, known: DataFrame) -> DataFrame:
-    """Files whose (path, hash) is not indexed yet; only these need chunking."""
-    return files.join(known.select("file_path", "file_hash"), ["file_path", "file_hash"], "left_anti")
+    """Files whose (repository, path, hash) is not indexed yet; only these need chunking."""
+    key = [*scope(files), "file_path", "file_hash"]
+    return files.join(known.select(*key), key, "left_anti")
+
+
+def scope(rows: DataFrame) -> list[str]:
+    """The repository, where rows have one: paths and names are unique within it alone."""
+    return ["repo_id"] if "repo_id" in rows.columns else []
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -67,20 +73,20 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], order: str) -> DataFr
 
 
 def replace_nodes(old: DataFrame, new: DataFrame, order: str, path: str = "file_path") -> DataFrame:
-    """As replace_files; of rows with one qualified name the last in the order stays."""
-    w = Window.partitionBy("qualified_name").orderBy(F.desc("__new"), F.desc(order))
-    both = old.join(new.select(path).distinct(), path, "left_anti").withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
+    """As replace_files; of rows of a repository with one qualified name the last in the order stays."""
+    w = Window.partitionBy(*scope(old), "qualified_name").orderBy(F.desc("__new"), F.desc(order))
+    both = old.join(new.select(*scope(old), path).distinct(), [*scope(old), path], "left_anti").withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
     return both.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r", "__new")
 
 
 def replace_files(old: DataFrame, new: DataFrame, path: str = "file_path") -> DataFrame:
-    """Old rows of files that new has no rows of, and all new ones."""
-    return old.join(new.select(path).distinct(), path, "left_anti").unionByName(new)
+    """Old rows of files, by repository and path, that new has no rows of, and all new ones."""
+    return old.join(new.select(*scope(old), path).distinct(), [*scope(old), path], "left_anti").unionByName(new)
 
 
 def keep_first_edges(edges: DataFrame, order: str) -> DataFrame:
-    """The first of equal edges; edges without a source symbol are places, and all stay."""
-    w = Window.partitionBy("kind", "source_file", "source_symbol", "target_symbol").orderBy(order)
+    """The first of equal edges of a repository; edges without a source symbol are places, and all stay."""
+    w = Window.partitionBy(*scope(edges), "kind", "source_file", "source_symbol", "target_symbol").orderBy(order)
     return edges.withColumn("__r", F.row_number().over(w)).where("__r = 1 OR source_symbol IS NULL").drop("__r")
 
 
