@@ -9,7 +9,7 @@ from corpuscle.functions import fixed, text
 
 
 def modules(files: DataFrame) -> DataFrame:
-    """A row for each module: sorted files, symbols in order of first sight, longest summary, size."""
+    """A row for each module: sorted files, longest summary, size."""
     rows = files.withColumn("module", text.module_of(F.col("file_path")))
     return rows.groupBy("module").agg(
         F.array_sort(F.collect_set("file_path")).alias("files"),

@@ -19,8 +19,8 @@ from . import lexer
 W = r"[\p{L}\p{N}_]"
 
 
-def matches(files: DataFrame, pattern: str, groups: dict[str, int]) -> DataFrame:
-    """A row for each match of the pattern in content: the groups, and its line."""
+def matches(files: DataFrame, pattern: str, groups: dict[str, int], around: int = 0) -> DataFrame:
+    """A row for each match of the pattern in content: the groups, and its line; with ``around``, the match and so many characters before and after it."""
     p = F.lit(pattern)
     found = F.regexp_extract_all("content", p, F.lit(0))
     rows = files.withColumn("__m", found).where(F.size("__m") > 0)
@@ -32,6 +32,11 @@ def matches(files: DataFrame, pattern: str, groups: dict[str, int]) -> DataFrame
     rows = rows.withColumn("__line", F.transform(text.running_sums(F.col("__s")), lambda n: n + 1))
     rows = rows.withColumns({f"__{n}": F.regexp_extract_all("content", p, F.lit(g)) for n, g in groups.items()})
     names = list(groups)
+    if around:
+        start = text.running_sums(steps(F.transform(F.slice("__g", F.lit(1), F.size("__m")), F.length), F.transform("__m", F.length)))
+        shown = lambda m, at: F.substr("content", F.greatest(at - around, F.lit(0)) + 1, at + F.length(m) + around - F.greatest(at - around, F.lit(0)))
+        rows = rows.withColumn("__at", start).withColumn("__context", F.zip_with("__m", "__at", shown))
+        names.append("context")
     zipped = F.arrays_zip("__line", *[f"__{n}" for n in names])
     keep = [c for c in files.columns if c != "content"]
     return rows.select(*keep, F.explode(zipped).alias("z")).select(*keep, F.col("z.__line").alias("line"), *[F.col(f"z.__{n}").alias(n) for n in names])

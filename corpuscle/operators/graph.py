@@ -162,10 +162,12 @@ def references(edges: DataFrame, nodes: DataFrame, hits: DataFrame, symbol: str,
 def symbol_links(edges: DataFrame, nodes: DataFrame, like: bool = False) -> DataFrame:
     """(src, dst, kind, direction) between nodes: an edge's source nodes and its resolved targets, both ways.
 
-    With ``like``, a target symbol reaches every node whose name it holds.
+    With ``like``, a target symbol reaches every node whose name it holds.  An edge leaves
+    from nodes of its own repository; targets are sought among all nodes given, so a
+    caller that means one repository gives the rows of one.
     """
     nodes = cut(nodes, "nodes")
-    e = cut(edges.withColumn("edge_id", F.xxhash64("kind", "source_file", "source_symbol", "target_symbol", "line")).dropDuplicates(["edge_id"]))
+    e = cut(edges.withColumn("edge_id", F.xxhash64(*both_have(edges, nodes), "kind", "source_file", "source_symbol", "target_symbol", "line")).dropDuplicates(["edge_id"]))
     src = enclosing_nodes(e, nodes).select("edge_id", "kind", "source_file", F.col("qualified_name").alias("a"))
     if like:
         hit = substring_join(nodes.select("name", F.col("qualified_name").alias("b"), F.col("file_path").alias("f")), e.select("edge_id", "target_symbol"), "name", "target_symbol").select("edge_id", "b", "f")

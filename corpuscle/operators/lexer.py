@@ -4,11 +4,12 @@ One pass over the text keeps a stack of states: code, strings, templates (a stri
 which ``${`` opens code again, up to its brace), comments and regular expressions.
 Everything but code is blanked, character for character, so patterns over the blanked
 text see neither braces nor key words of strings, and offsets stay true.  Each opening
-brace gets its partner; one that is never closed ends with the text.  The pass takes
-time in proportion to the text, whatever its nesting.
+brace gets its partner.  The pass takes time in proportion to the text, whatever its
+nesting.
 
 Definitions are patterns over the blanked text, with the range to the closing brace of
-their body.  Ranges nest, so a walk over them in order of their start, with a stack of
+their body; a body that is never closed holds the rest of the text and gets the
+nominal range of UNCLOSED lines.  Ranges nest, so a walk over them in order of their start, with a stack of
 the open ones, gives each definition the one around it.
 """
 
@@ -127,6 +128,8 @@ DART_FORMS = [
     ("class", re.compile(r"\b(?:class|mixin|enum|extension)\s+(?P<name>\w+)[^{};()]*(?P<open>\{)")),
     ("function", re.compile(r"(?<![\w.])(?:[\w?]+(?:<[^;{}()]*>)?\??)\s+(?P<name>\w+)\s*(?:<[^>]*>)?\((?P<params>[^)]*)\)\s*(?:async\*?\s*|sync\*\s*)?(?P<open>\{|=>)")),
 ]
+# Fixed value: lines after the first of a body whose brace is never closed.
+UNCLOSED = 50
 # Words before a bracket that name no function.
 NOT_FUNCTIONS = frozenset(["if", "for", "while", "switch", "catch", "function", "return", "new", "else", "do", "await", "super"])
 
@@ -146,10 +149,12 @@ def definitions(source: str, language: str) -> list[dict]:
             end = partner.get(place, len(code) - 1) if place is not None else code.find(";", m.end()) if m["open"] == "=>" else m.end() - 1
             end = len(code) - 1 if end < 0 else end
             params = source[m.start("params") : m.end("params")].strip() if "params" in pattern.groupindex else None
-            found.setdefault(m.start("name"), (kind, m["name"], params, line(m.start() + len(m[0]) - len(m[0].lstrip())), end, place is not None))
+            first = line(m.start() + len(m[0]) - len(m[0].lstrip()))
+            last = first + UNCLOSED if place is not None and place not in partner else line(end)
+            found.setdefault(m.start("name"), (kind, m["name"], params, first, end, last, place is not None))
     out, around = [], []
     for at in sorted(found):
-        kind, name, params, first, end, braces = found[at]
+        kind, name, params, first, end, last, braces = found[at]
         while around and around[-1][0] < at:
             around.pop()
         parent = around[-1] if around else None
@@ -157,6 +162,6 @@ def definitions(source: str, language: str) -> list[dict]:
             continue  # a call with a block after it, or a method of an object literal
         if kind == "function" and language == "dart" and parent is not None and parent[2] == "class":
             kind = "method"
-        out.append({"name": name, "kind": kind, "params": params, "parent": parent[1] if parent else None, "line_start": first, "line_end": line(end), "braces": braces})
+        out.append({"name": name, "kind": kind, "params": params, "parent": parent[1] if parent else None, "line_start": first, "line_end": last, "braces": braces})
         around.append((end, name, kind))
     return out

@@ -172,9 +172,30 @@ def chunk_blocks(spark, d):
     return rows.select("file_path", "block", F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"), F.md5(F.col("content").cast("binary")).alias("hash"))
 
 
-@query()
+AST = f"""df AS (SELECT *, length(s) - length(ltrim(s)) AS ind, regexp_matches(s, '^\\s*class\\s') AS is_class FROM ls WHERE {PY} AND regexp_matches(s, '^\\s*(async\\s+)?def\\s+\\w+\\s*\\(|^\\s*class\\s+\\w+')),
+    rl AS (SELECT file_path, line, s, length(s) - length(ltrim(s)) AS ind FROM ls WHERE {PY} AND trim(s) <> '' AND ltrim(s)[1] <> '#'),
+    nx AS (SELECT df.file_path, df.line, min(rl.line) AS nxt FROM df JOIN rl ON rl.file_path = df.file_path AND rl.line > df.line AND rl.ind <= df.ind GROUP BY ALL),
+    pa AS (SELECT df.file_path, regexp_extract(df.s, '(?:class|def)\\s+(\\w+)', 1) AS name, CASE WHEN is_class THEN 'class' ELSE 'function' END AS kind, df.line AS line_start, max(rl.line) AS line_end
+        FROM df LEFT JOIN nx USING (file_path, line) JOIN rl ON rl.file_path = df.file_path AND rl.line >= df.line AND (nxt IS NULL OR rl.line < nxt) GROUP BY ALL),
+    ta AS (SELECT file_path, name, kind, line_start, line_end FROM ({GENERIC}) UNION ALL SELECT file_path, regexp_extract(s, '^  (\\w+)\\(\\) \\{{', 1), 'method', line, line FROM ls WHERE {TS} AND regexp_matches(s, '^  \\w+\\(\\) \\{{')),
+    al AS (SELECT * FROM pa UNION ALL SELECT * FROM ta)"""
+
+
+@query(f"{LINES}, {AST} SELECT al.*, array_to_string(string_split(content, chr(10))[line_start:line_end], chr(10)) AS content FROM al JOIN code USING (file_path)")
 def ast_chunks(spark, d):
-    return C.code_symbols(code(spark, d)).select("file_path", "name", "kind", "line_start", "line_end", "content")
+    return C.code_symbols(code(spark, d)).select("file_path", "name", "kind", F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"), "content")
+
+
+DART = LINES.replace(views.CODE_SQL, views.DART_SQL) + """, dn AS (
+    SELECT file_path, line, regexp_extract(s, '^\\w+ (\\w+)', 1) AS name, 'class' AS kind, NULL AS params, '}' AS closer FROM ls WHERE regexp_matches(s, '^(class|mixin) ')
+    UNION ALL SELECT file_path, line, regexp_extract(s, '^  \\w+ (\\w+)\\(', 1), 'method', regexp_extract(s, '\\((.*)\\) \\{$', 1), '  }' FROM ls WHERE regexp_matches(s, '^  \\w+ \\w+\\(.*\\) \\{$')
+    UNION ALL SELECT file_path, line, regexp_extract(s, '^  \\w+ (\\w+)\\(', 1), 'method', '', NULL FROM ls WHERE regexp_matches(s, '^  \\w+ \\w+\\(\\) => ')
+    UNION ALL SELECT file_path, line, regexp_extract(s, ' (\\w+)\\(', 1), 'function', regexp_extract(s, '\\((.*)\\) async', 1), '}' FROM ls WHERE regexp_matches(s, '^\\S+ \\w+\\(.*\\) async \\{$'))"""
+
+
+@query(f"{DART} SELECT dn.file_path, name, kind, params, dn.line AS line_start, CASE WHEN closer IS NULL THEN dn.line ELSE min(ls.line) END AS line_end FROM dn LEFT JOIN ls ON ls.file_path = dn.file_path AND ls.line > dn.line AND ls.s = closer GROUP BY dn.file_path, name, kind, params, dn.line, closer")
+def dart_nodes(spark, d):
+    return X.dart_nodes(views.dart(spark, d)).select("file_path", "name", "kind", "params", F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"))
 
 
 @query(

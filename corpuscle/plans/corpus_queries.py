@@ -325,10 +325,9 @@ def module_collect(spark, d):
     return D.modules(code_modules(spark, d)).select("module", F.array_join("files", ",").alias("files"))
 
 
-@query(f"WITH {views.CODE_SQL}, m AS (SELECT *, {module_sql('file_path')} AS module FROM code) SELECT module, count(*) AS members FROM m WHERE module IN ('auth', 'core', 'api') GROUP BY module")
+@query(f"WITH {views.CODE_SQL}, m AS (SELECT *, {module_sql('file_path')} AS module FROM code) SELECT module, count(*) AS members FROM m GROUP BY module")
 def module_membership(spark, d):
-    known = spark.createDataFrame([("auth",), ("core",), ("api",)], "module string")
-    rows = views.code(spark, d).withColumn("module", text.module_of(F.col("file_path"))).join(F.broadcast(known), "module", "left_semi")
+    rows = views.code(spark, d).withColumn("module", text.module_of(F.col("file_path")))
     return rows.groupBy("module").agg(F.count(F.lit(1)).alias("members"))
 
 
@@ -409,9 +408,9 @@ def sort_stable(spark, d):
     return top.withColumn("rank", F.row_number().over(Window.orderBy("n_chars", "source", "doc_id")))
 
 
-@query("SELECT source AS repo_id, doc_id AS id FROM documents WHERE source IN ('src1', 'src2') UNION ALL SELECT 'pages', page_id FROM pages")
+@query("SELECT source AS repo_id, doc_id AS id FROM documents UNION ALL SELECT 'pages', page_id FROM pages")
 def cross_repo_union(spark, d):
-    return T(spark, d, "documents").where("source IN ('src1', 'src2')").select(F.col("source").alias("repo_id"), F.col("doc_id").alias("id")).unionByName(T(spark, d, "pages").select(F.lit("pages").alias("repo_id"), F.col("page_id").alias("id")))
+    return T(spark, d, "documents").select(F.col("source").alias("repo_id"), F.col("doc_id").alias("id")).unionByName(T(spark, d, "pages").select(F.lit("pages").alias("repo_id"), F.col("page_id").alias("id")))
 
 
 @query("SELECT item_id, array_to_string(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda z: list_position(w, z[1]) = z[2]), lambda z: z[1]), ' ') AS words FROM (SELECT item_id, string_split(lower(text), ' ') AS w FROM benchmark)")

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from corpuscle.functions import fixed, text
 from corpuscle.operators import contracts as K
 from corpuscle.operators import graph as G
+from corpuscle.operators import modules as M
 from corpuscle.operators import search as S
 from corpuscle.sources import views
 from corpuscle.sources.scratch import cut
 
 from . import code_queries as Q
 from . import stored
+from .corpus_queries import module_sql
 from .registry import query
 
 EDGES = (
@@ -159,10 +161,32 @@ def external_callers(spark, d):
     return e.join(n, "target_symbol").where("source_file <> file_path").groupBy(F.col("target_symbol").alias("module")).agg(F.count_distinct("source_file").alias("call_files"))
 
 
-@lookup("SELECT n.file_path, count(*) AS importers FROM (SELECT DISTINCT file_path, replace(regexp_replace(file_path, '\\.[^.]*$', ''), '/', '.') AS dotted FROM nodes) n JOIN edges e ON e.kind = 'IMPORTS' AND e.target_symbol = n.dotted GROUP BY 1")
+@lookup(
+    "SELECT n.file_path, count(*) AS importers FROM (SELECT DISTINCT file_path, unnest([dotted, regexp_replace(dotted, '^[^.]*\\.', '')]) AS name FROM (SELECT DISTINCT file_path, replace(regexp_replace(file_path, '\\.[^.]*$', ''), '/', '.') AS dotted FROM nodes)) n "
+    "JOIN edges e ON e.kind = 'IMPORTS' AND e.target_symbol = n.name GROUP BY 1"
+)
 def module_importers(spark, d):
-    n = nodes(spark, d).select("file_path").distinct().withColumn("target_symbol", F.replace(F.regexp_replace("file_path", r"\.[^.]*$", ""), F.lit("/"), F.lit(".")))
-    return edges(spark, d).where("kind = 'IMPORTS'").join(n, "target_symbol").groupBy("file_path").agg(F.count(F.lit(1)).alias("importers"))
+    return M.module_importers(edges(spark, d), nodes(spark, d).select("file_path"))
+
+
+MODULES = f""", im AS (SELECT row_number() OVER () AS id, source_file, target_symbol LIKE './%' AS rel, CASE WHEN target_symbol LIKE './%' THEN string_split(source_file, '/')[:-2] || string_split(target_symbol[3:], '/') WHEN contains(target_symbol, '/') THEN string_split(target_symbol, '/') ELSE string_split(target_symbol, '.') END AS p FROM edges WHERE kind = 'IMPORTS'),
+    ak AS (SELECT id, source_file, rel, n, array_to_string(p[1:n], '.') AS name FROM (SELECT *, unnest(range(1, len(p) + 1)) AS n FROM im)),
+    fp AS (SELECT file_path, string_split(regexp_replace(file_path, '\\.[^./]*$', ''), '/') AS p FROM (SELECT DISTINCT file_path FROM code)),
+    fn AS (SELECT name, min_by(file_path, (k, file_path)) AS file_path, min(k) AS k FROM (SELECT file_path, k, array_to_string(p[k + 1:], '.') AS name FROM (SELECT *, unnest(range(0, len(p))) AS k FROM fp) WHERE k <= 1 OR len(p) - k >= 2) GROUP BY name),
+    rs AS (SELECT id, source_file, max_by(file_path, n) AS file_path FROM ak JOIN fn USING (name) WHERE (k = 0 OR NOT rel) AND file_path <> source_file GROUP BY id, source_file),
+    mg AS (SELECT {module_sql('source_file')} AS src, {module_sql('file_path')} AS dst, source_file FROM rs)"""
+
+
+@query(f"{EDGES}{MODULES} SELECT src, dst, count(*) AS imports, count(DISTINCT source_file) AS files FROM mg WHERE src <> dst GROUP BY src, dst")
+def module_graph(spark, d):
+    return M.module_graph(edges(spark, d), views.code(spark, d).select("file_path"))
+
+
+@lookup(
+    f"SELECT module, array_to_string(list(name ORDER BY r), ',') AS symbols FROM (SELECT module, name, row_number() OVER (PARTITION BY module ORDER BY place, name) AS r FROM (SELECT {module_sql('file_path')} AS module, name, min((file_path, line_start)) AS place FROM nodes GROUP BY ALL)) WHERE r <= 20 GROUP BY module"
+)
+def module_symbols(spark, d):
+    return M.module_symbols(nodes(spark, d).drop("repo_id")).select("module", F.array_join("symbols", ",").alias("symbols"))
 
 
 @query(f"{EDGES} SELECT kind, source_file, target_symbol, coalesce(line, 0) AS line, qualified_name FROM (SELECT e.*, n.qualified_name, e.line BETWEEN n.line_start AND n.line_end AS inside, bool_or(coalesce(e.line BETWEEN n.line_start AND n.line_end, false)) OVER (PARTITION BY e.source_file, e.kind, e.target_symbol, e.line) AS anyin FROM edges e JOIN nodes n ON e.source_file = n.file_path WHERE e.kind <> 'TESTED_BY') WHERE coalesce(inside, false) OR NOT anyin")
@@ -365,11 +389,10 @@ def changed_file_fallback(spark, d):
     return count(K.affected_endpoints(ends, "app/x/router_m3.py")).unionByName(count(K.affected_endpoints(ends, "nowhere.py")))
 
 
-@query(f"{ENDS}, {USES}, a AS (SELECT DISTINCT path, method, {SEG.format(c='path')} AS sg FROM en WHERE file_path LIKE '%router_m3.py'), b AS (SELECT repo_id, file_path, url, method, {SEG.format(c='url')} AS sg FROM us) SELECT b.repo_id, count(*) AS consumers FROM a JOIN b ON list_has_any(a.sg, b.sg) AND (b.method IS NULL OR b.method = a.method) GROUP BY b.repo_id")
+@query(f"{ENDS}, {USES}, a AS (SELECT DISTINCT repo_id, path, method, {SEG.format(c='path')} AS sg FROM en WHERE file_path LIKE '%router_m3.py'), b AS (SELECT repo_id, file_path, url, method, {SEG.format(c='url')} AS sg FROM us) SELECT b.repo_id, count(*) AS consumers FROM a JOIN b ON b.repo_id <> a.repo_id AND list_has_any(a.sg, b.sg) AND (b.method IS NULL OR b.method = a.method) GROUP BY b.repo_id")
 def cross_project_impact(spark, d):
     c = views.code(spark, d)
-    ends = K.affected_endpoints(K.endpoints(c), "router_m3.py")
-    pairs = K.contract_match(ends, K.consumers(c))
+    pairs = K.cross_project(K.endpoints(c), K.consumers(c), "router_m3.py")
     return pairs.groupBy(F.col("use_repo").alias("repo_id")).agg(F.count(F.lit(1)).alias("consumers"))
 
 

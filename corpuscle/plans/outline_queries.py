@@ -42,12 +42,12 @@ def precise_symbols(spark, d):
     "SELECT file_path, name, CASE WHEN kind = 'class' AND methods IS NOT NULL THEN name || ': ' || methods ELSE sig END AS outline FROM sg LEFT JOIN ls2 USING (file_path, name) WHERE kind <> 'method'"
 )
 def class_outline(spark, d):
-    return O.class_outline(py_nodes(spark, d))
+    return O.class_outline(py_nodes(spark, d)).drop("repo_id")
 
 
 @query(f"{Q.LINES}, c AS (SELECT file_path, regexp_extract(s, '^class\\s+(\\w+)', 1) AS model, line FROM ls WHERE {Q.PY} AND regexp_matches(s, '^class\\s')) SELECT c.file_path, model, regexp_extract(ls.s, '^\\s+(\\w+):', 1) || '(' || trim(regexp_extract(ls.s, ':\\s*([\\w\\[\\], |]+?)(?:\\s*=|\\s*$)', 1)) || ')' AS fields FROM c JOIN ls ON ls.file_path = c.file_path AND ls.line = c.line + 1 WHERE regexp_matches(ls.s, '^\\s+\\w+:\\s*[\\w\\[\\], |]+?(?:\\s*=|\\s*$)')")
 def model_fields(spark, d):
-    return O.model_fields(views.code(spark, d))
+    return O.model_fields(views.code(spark, d)).drop("repo_id")
 
 
 @query(f"{Q.LINES} SELECT file_path, regexp_extract(s, '^([A-Z][A-Z_0-9]+)', 1) || '=' || trim(regexp_extract(s, '[:=]\\s*(.+)$', 1)) AS setting FROM ls WHERE {Q.PY} AND regexp_matches(s, '^[A-Z][A-Z_0-9]+\\s*[:=]\\s*.+')")

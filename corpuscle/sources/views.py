@@ -39,6 +39,12 @@ ROUTER = _text(
     "'from app.core.m'", "p_size", "' import Store, Helper as Aid'", NL, NL, "'@router.get(\"/part-sets/{id}/items'", "p_size", "'\")'", NL,
     "'async def get_items_'", K, "'(id: int) -> Item'", "p_size", "'Response:'", NL, "'    return Store(id)'", NL, NL, "'@router.post(\"/v1/orders\")'", NL, "'def add_'", K, "'(body: OrderCreate):'", NL, "'    Aid(body)'", NL,
 )
+DART = _text(
+    "'import \"package:app/card'", N, "'.dart\";'", NL, "'/* class Hidden { /* one more } */ */'", NL, "'class Card'", K, "' extends Base'", "p_size", "' {'", NL, "'  final String name = \"a } brace {\";'", NL,
+    "'  String title(int a, {int b = 1}) {'", NL, "'    if (a > 0) { return \"x$'", "'{ { 1: \"}\" }[a] }\"; }'", NL, "'    return r\"\";'", NL, "'  }'", NL, "'  int size'", "p_size", "'() => { 1: 2 }.length;'", NL, "'}'", NL,
+    "'mixin Shown'", K, "' {'", NL, "'}'", NL, "'Future<void> load'", K, "'(String url) async {'", NL, "'  // } not here'", NL, "'  await fetch(url);'", NL, "'}'", NL,
+)
+DART_FILES = {"repo_id": "p_brand", "file_path": f"concat('lib/', {_module(K)}, '/card', {K}, '.dart')", "language": "'dart'", "content": DART}
 CODE = {
     "repo_id": "p_brand",
     "file_path": f"CASE WHEN {K} % 10 = 0 THEN concat('tests/test_m', {K}, '.py') WHEN {K} % 4 = 2 THEN concat('web/src/view', {K}, '.ts') "
@@ -74,6 +80,10 @@ def code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "part", CODE)
 
 
+def dart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "part", DART_FILES)
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "documents", FILES)
 
@@ -83,5 +93,6 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CODE_SQL = view_sql("code", "part", CODE)
+DART_SQL = view_sql("code", "part", DART_FILES)
 FILES_SQL = view_sql("files", "documents", FILES)
 SECTIONS_SQL = view_sql("sections", "documents", SECTIONS)
