@@ -8,31 +8,53 @@ from pyspark.sql import functions as F
 from corpuscle.functions import text
 from corpuscle.sources.scratch import cut
 
+from .joins import salted_join
+
 FEW, GRAM = 300, 8
 
 
 def substring_join(left: DataFrame, right: DataFrame, needle: str, hay: str) -> DataFrame:
     """left x right where the needle of left is inside the hay of right, in any letter case.
 
-    Few distinct needles are broadcast.  More are joined by key: the last GRAM
-    characters of a needle, equal to one of the hay's runs of that length.
+    Few distinct needles are broadcast.  More are joined by key.  Each needle has the
+    rarest of its runs of GRAM characters (itself, if shorter), by occurrences in the
+    hays; a needle with a run that no hay has is out.  Where a hay holds a needle's run, it
+    answers with the part of itself around it that is as long as the needle, once for
+    each shape (place of the run, length) of that run's needles, and parts meet needles
+    as equal texts.  So needles that share a run are not compared one by one, and hot
+    runs and hot needles are split (``salted_join``).
+
+    Null or empty needles, and null hays, meet nothing.  Repeated rows each have their matches.
     """
     needles = left.select(F.lower(needle).alias("__n")).where("length(__n) > 0").distinct()
     head = needles.limit(FEW + 1).count()
-    hays = right.select(F.col(hay).alias("__h")).distinct()
+    hays = right.select(F.col(hay).alias("__h")).where("__h IS NOT NULL").distinct()
     if head <= FEW:
         pairs = hays.join(F.broadcast(needles), F.contains(F.lower("__h"), F.col("__n")))
+        out = left.withColumn("__n", F.lower(needle)).join(pairs, "__n")
     else:
-        sizes = [r[0] for r in needles.select(F.least(F.length("__n"), F.lit(GRAM)).alias("l")).distinct().collect()]
-        keyed = hays.withColumn("__g", F.explode(F.array_distinct(F.concat(*[_runs(F.lower("__h"), n) for n in sizes]))))
-        pairs = keyed.join(needles.withColumn("__g", F.right("__n", F.lit(GRAM))), "__g").where(F.contains(F.lower("__h"), F.col("__n"))).select("__h", "__n")
-    out = left.withColumn("__n", F.lower(needle)).join(pairs, "__n").join(right.withColumn("__h", F.col(hay)), "__h")
-    return out.drop("__n", "__h")
+        out = salted_join(cut(_holders(needles, hays), "parts"), left.withColumn("__n", F.lower(needle)), ["__n"])
+    return out.join(right.withColumn("__h", F.col(hay)), "__h").drop("__n", "__h")
+
+
+def _holders(needles: DataFrame, hays: DataFrame) -> DataFrame:
+    """(__h, __n): the parts of hays that may be needles; a needle that a hay holds is among the hay's parts."""
+    needles, hays = cut(needles, "needles"), cut(hays.withColumn("__l", F.lower("__h")), "hays")
+    size = F.least(F.length("__n"), F.lit(GRAM))
+    sizes = [r[0] for r in needles.select(size.alias("l")).distinct().collect()]  # at most GRAM of them
+    keyed = hays.select("__h", "__l", F.inline(F.flatten(F.array(*[_runs(F.col("__l"), F.lit(n)) for n in sizes]))))
+    often = keyed.groupBy("g").agg(F.count(F.lit(1)).alias("c"))
+    of_needle = needles.select("__n", F.inline(_runs(F.col("__n"), size))).join(often, "g", "left")
+    best = of_needle.groupBy("__n").agg(F.min(F.when(F.col("c").isNotNull(), F.struct("c", "g", "p"))).alias("m"), F.bool_and(F.col("c").isNotNull()).alias("all_known"))
+    shapes = cut(best.where("all_known").select("m.g", F.col("m.p").alias("o"), F.length("__n").alias("len")).distinct(), "shapes")
+    around = salted_join(keyed, shapes, ["g"]).where("p >= o")
+    return around.select("__h", F.substr("__l", F.col("p") - F.col("o") + 1, F.col("len")).alias("__n")).distinct()
 
 
-def _runs(hay: Column, n: int) -> Column:
-    """All runs of n characters."""
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(hay) - n + 1, F.lit(1))), lambda i: F.substr(hay, i, F.lit(n)))
+def _runs(hay: Column, n: Column) -> Column:
+    """(p, g): all runs of n characters and their places from 1; none where the text is shorter."""
+    last = F.length(hay) - n + 1
+    return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.struct(i.alias("p"), F.substr(hay, i, n).alias("g")))).otherwise(F.array().cast("array<struct<p:int,g:string>>"))
 
 
 def edges_to(edges: DataFrame, target: str, kind: str | None = None) -> DataFrame:
@@ -222,14 +244,22 @@ def two_hop(deps: DataFrame, limit: int = 25) -> DataFrame:
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: str) -> DataFrame:
-    """Pairs of rows whose arrays share an element, with the number of common elements; equal rows make pairs of their own."""
+    """Pairs of rows whose arrays share an element, with the number of common elements; equal rows make pairs of their own.
+
+    A pair counts where it meets by the least of its common elements, so pairs need not
+    be grouped; an element that very many rows share is split on both sides.  Null
+    arrays and null elements meet nothing.
+    """
     n = F.count(F.lit(1))
-    a = left.groupBy(*left.columns).agg(n.alias("__a")).withColumn("__k", F.explode(F.array_distinct(F.col(f"l_{keys}"))))
-    b = right.groupBy(*right.columns).agg(n.alias("__b")).withColumn("__k", F.explode(F.array_distinct(F.col(f"r_{keys}"))))
-    cols = [*left.columns, *right.columns]
-    pairs = a.join(b, "__k").groupBy(*cols, "__a", "__b").agg(n.alias("common"))
+
+    def side(df: DataFrame, column: str, times: str, elements: str) -> DataFrame:
+        rows = df.groupBy(*df.columns).agg(n.alias(times))
+        return cut(rows.withColumn(elements, F.array_distinct(F.array_compact(column))), "side").withColumn("__k", F.explode(elements))
+
+    a, b = side(left, f"l_{keys}", "__a", "__ls"), side(right, f"r_{keys}", "__b", "__rs")
+    pairs = salted_join(a, b, ["__k"]).withColumn("__c", F.array_intersect("__ls", "__rs")).where("__k = array_min(__c)")
     times = F.explode(F.array_repeat(F.lit(0), (F.col("__a") * F.col("__b")).cast("int")))
-    return pairs.withColumn("__t", times).drop("__a", "__b", "__t")
+    return pairs.select(*left.columns, *right.columns, F.size("__c").cast("long").alias("common"), times.alias("__t")).drop("__t")
 
 
 def item_risk(distance: Column, tested: Column, sensitive: Column, caller_files: Column) -> Column:
