@@ -289,7 +289,24 @@ def trace_both(spark, d):
     return out.unionByName(G.importers(e, "brands.m9").select(F.lit("importers").alias("direction"), F.col("source_file").alias("other")))
 
 
-@query()
+def steps_sql(depth: int) -> str:
+    """Levels z1 to z<depth> from z0: each symbol at its least distance, with the first direction and kind that reach it."""
+    seen, out = "SELECT q FROM z0", ""
+    for i in range(1, depth + 1):
+        out += f", z{i} AS (SELECT dst AS q, {i} AS distance, min({{'d': direction, 'k': kind}}) AS m FROM cp JOIN z{i - 1} z ON cp.src = z.q WHERE dst NOT IN ({seen}) GROUP BY dst)"
+        seen += f" UNION ALL SELECT q FROM z{i}"
+    return out
+
+
+WITHIN = "coalesce(e.line BETWEEN n.line_start AND n.line_end, false)"
+IMPACT = f"""{RESOLVED}, sr AS (SELECT e.kind, e.target_symbol, e.target_file, n.qualified_name AS a, {WITHIN} AS inside, bool_or({WITHIN}) OVER (PARTITION BY e.source_file, e.kind, e.target_symbol, e.line) AS anyin FROM edges e JOIN nodes n ON e.source_file = n.file_path),
+    pr AS (SELECT DISTINCT a, mn.qualified_name AS b, kind FROM sr JOIN mn ON sr.target_symbol = mn.target_symbol AND sr.target_file IS NOT DISTINCT FROM mn.target_file WHERE stage = lo AND (inside OR NOT anyin) AND a <> mn.qualified_name),
+    lk AS (SELECT a AS src, b AS dst, kind, 'forward' AS direction FROM pr UNION SELECT b, a, kind, 'reverse' FROM pr), cp AS (SELECT * FROM lk QUALIFY row_number() OVER (PARTITION BY src, direction ORDER BY dst, kind) <= 5),
+    z0 AS (SELECT DISTINCT qualified_name AS q FROM nodes WHERE file_path = 'app/core/m1.py'){steps_sql(3)},
+    hit AS (SELECT qualified_name, file_path, distance, m.k AS via, m.d AS direction, file_path <> 'app/core/m1.py' AS is_new_file FROM (SELECT * FROM z1 UNION ALL SELECT * FROM z2 UNION ALL SELECT * FROM z3) JOIN nodes ON q = qualified_name ORDER BY distance, qualified_name LIMIT 50)"""
+
+
+@query(f"{EDGES}{IMPACT} SELECT qualified_name, distance, via, direction, is_new_file FROM hit")
 def impact_capped(spark, d):
     return G.impact(edges(spark, d), nodes(spark, d), "app/core/m1.py").select("qualified_name", "distance", "via", "direction", "is_new_file")
 
@@ -401,6 +418,12 @@ def file_match(spark, d):
     return S.file_match(nodes(spark, d), views.code(spark, d), "Core/M1")
 
 
-@query()
+REPORT = f""", fl AS (SELECT DISTINCT file_path, regexp_replace(string_split(file_path, '/')[-1], '(.)\\.[^.]*$', '\\1') AS st FROM hit), tp AS (SELECT DISTINCT unnest(regexp_split_to_array(target_symbol, '[./]')) AS part FROM edges WHERE kind = 'TESTED_BY'),
+    cn AS (SELECT file_path, count(DISTINCT source_file) AS callers FROM fl JOIN edges ON edges.kind = 'CALLS' AND contains(lower(target_symbol), lower(st)) GROUP BY file_path),
+    rp AS (SELECT qualified_name, hit.file_path, distance, direction, st IN (SELECT part FROM tp) AS tested, coalesce(callers, 0) AS callers FROM hit JOIN fl USING (file_path) LEFT JOIN cn USING (file_path)),
+    rk AS (SELECT *, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.3::DOUBLE - (distance - 1) * 0.1::DOUBLE) + CASE WHEN tested THEN 0 ELSE 0.25 END::DOUBLE + CASE WHEN {SENSITIVE.format(c='file_path')} THEN 0.2 ELSE 0 END::DOUBLE + CASE WHEN callers > 3 THEN 0.15 WHEN callers > 1 THEN 0.05 ELSE 0 END::DOUBLE), 2) AS risk FROM rp)"""
+
+
+@query(f"{EDGES}{IMPACT}{REPORT} SELECT *, CASE WHEN risk > 0.7 THEN 'critical' WHEN risk > 0.5 THEN 'high' WHEN risk > 0.3 THEN 'medium' ELSE 'low' END AS level FROM rk ORDER BY risk DESC, distance, qualified_name LIMIT 25")
 def impact_report(spark, d):
     return G.impact_report(edges(spark, d), nodes(spark, d), "app/core/m1.py")
