@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuscle.operators import digest as D
+from corpuscle.operators import extract as X
+from corpuscle.operators import graph as G
 from corpuscle.operators import outline as O
 from corpuscle.sources import views
 
@@ -45,12 +47,18 @@ def class_outline(spark, d):
     return O.class_outline(py_nodes(spark, d)).drop("repo_id")
 
 
-@query(f"{Q.LINES}, c AS (SELECT file_path, regexp_extract(s, '^class\\s+(\\w+)', 1) AS model, line FROM ls WHERE {Q.PY} AND regexp_matches(s, '^class\\s')) SELECT c.file_path, model, regexp_extract(ls.s, '^\\s+(\\w+):', 1) || '(' || trim(regexp_extract(ls.s, ':\\s*([\\w\\[\\], |]+?)(?:\\s*=|\\s*$)', 1)) || ')' AS fields FROM c JOIN ls ON ls.file_path = c.file_path AND ls.line = c.line + 1 WHERE regexp_matches(ls.s, '^\\s+\\w+:\\s*[\\w\\[\\], |]+?(?:\\s*=|\\s*$)')")
+MODELS = f"""c AS (SELECT file_path, regexp_extract(s, '^class\\s+(\\w+)', 1) AS model, line FROM ls WHERE {Q.PY} AND regexp_matches(s, '^class\\s')), mf AS (SELECT c.file_path, model, regexp_extract(ls.s, '^\\s+(\\w+):', 1) || '(' || trim(regexp_extract(ls.s, ':\\s*([\\w\\[\\], |]+?)(?:\\s*=|\\s*$)', 1)) || ')' AS fields FROM c JOIN ls ON ls.file_path = c.file_path AND ls.line = c.line + 1 WHERE regexp_matches(ls.s, '^\\s+\\w+:\\s*[\\w\\[\\], |]+?(?:\\s*=|\\s*$)'))"""
+
+
+@query(f"{Q.LINES}, {MODELS} SELECT * FROM mf")
 def model_fields(spark, d):
     return O.model_fields(views.code(spark, d)).drop("repo_id")
 
 
-@query(f"{Q.LINES} SELECT file_path, regexp_extract(s, '^([A-Z][A-Z_0-9]+)', 1) || '=' || trim(regexp_extract(s, '[:=]\\s*(.+)$', 1)) AS setting FROM ls WHERE {Q.PY} AND regexp_matches(s, '^[A-Z][A-Z_0-9]+\\s*[:=]\\s*.+')")
+SETTINGS = f"""cv AS (SELECT file_path, line, regexp_extract(s, '^([A-Z][A-Z_0-9]+)', 1) || '=' || trim(regexp_extract(s, '[:=]\\s*(.+)$', 1)) AS setting FROM ls WHERE {Q.PY} AND regexp_matches(s, '^[A-Z][A-Z_0-9]+\\s*[:=]\\s*.+'))"""
+
+
+@query(f"{Q.LINES}, {SETTINGS} SELECT file_path, setting FROM cv")
 def config_values(spark, d):
     return O.config_values(views.code(spark, d)).select("file_path", "setting")
 
@@ -93,6 +101,28 @@ def render_digest(spark, d):
     return rows.select("module", F.md5(F.col("digest").cast("binary")).alias("hash"), "tokens")
 
 
+def top_sql(title: str, rows: str, order: str, most: int) -> str:
+    """A section of the first entries (module, file_path, e) of each module."""
+    return f"{title} AS (SELECT module, chr(10) || '{title}: ' || string_agg(e, '; ' ORDER BY r) AS {title} FROM (SELECT module, e, row_number() OVER (PARTITION BY module ORDER BY {order}) AS r FROM (SELECT {CQ.module_sql('file_path')} AS module, * FROM ({rows}))) WHERE r <= {most} GROUP BY module)"
+
+
+FULL = f"""fm AS (SELECT DISTINCT {CQ.module_sql('file_path')} AS module, file_path FROM code), mc AS (SELECT module, count(*) AS files FROM fm GROUP BY module), li AS (SELECT module, chr(10) || string_agg(symbol, chr(10) ORDER BY rank) AS listed FROM pr WHERE rank <= 25 GROUP BY module),
+    {top_sql('fields', "SELECT file_path, model || ': ' || fields AS e FROM mf", 'file_path, e', 8)}, {top_sql('settings', 'SELECT file_path, line, setting AS e FROM cv', 'file_path, line', 6)},
+    af AS (SELECT DISTINCT file_path, upper(verb) || ' ' || path AS flow FROM (SELECT file_path, unnest(regexp_extract_all(content, '@router\\.(get|post|put|patch|delete)\\("([^"]+)"', 1)) AS verb, unnest(regexp_extract_all(content, '@router\\.(get|post|put|patch|delete)\\("([^"]+)"', 2)) AS path FROM code WHERE {Q.PY})),
+    tg AS (SELECT source_file AS file_path, array_to_string(list_sort(list(DISTINCT dst))[1:3], ', ') AS targets FROM mg WHERE src <> dst GROUP BY source_file),
+    fw AS (SELECT flow, file_path, 'API ' || flow || ' (' || file_path || ')' || coalesce(' -> ' || targets, '') AS e FROM af LEFT JOIN tg USING (file_path) ORDER BY flow, file_path LIMIT 15), cs AS (SELECT * FROM al ORDER BY part, fan DESC, chain LIMIT 15),
+    dg AS (SELECT 'module' AS part, module, '## ' || module || ' (' || files || ' files)' || coalesce(listed, '') || coalesce(fields, '') || coalesce(settings, '') AS digest FROM mc LEFT JOIN li USING (module) LEFT JOIN fields USING (module) LEFT JOIN settings USING (module)
+    UNION ALL SELECT 'chains', '', '## chains' || chr(10) || string_agg(chain, chr(10) ORDER BY part, fan DESC, chain) FROM cs HAVING count(*) > 0 UNION ALL SELECT 'flows', '', '## flows' || chr(10) || string_agg(e, chr(10) ORDER BY flow, file_path) FROM fw HAVING count(*) > 0)"""
+
+
+@query(f"{GQ.EDGES}{GQ.MODULES}{GQ.DEPS}{GQ.CHAINS}, {PRECISE}, {MODELS}, {SETTINGS}, {FULL} SELECT part, module, md5(digest) AS hash, length(digest) // 4 AS tokens FROM dg")
+def full_digest(spark, d):
+    code, edges = views.code(spark, d), GQ.edges(spark, d)
+    flows = O.flow_targets(X.key_flows(code), edges, code.select("file_path"))
+    rows = O.full_digest(D.modules(CQ.code_modules(spark, d)), O.precise_symbols(py_nodes(spark, d)), O.model_fields(code), O.config_values(code), G.two_hop(GQ.deps(spark, d)), flows)
+    return rows.select("part", "module", F.md5(F.col("digest").cast("binary")).alias("hash"), "tokens")
+
+
 @query("SELECT '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}' AS json FROM nation")
 def tool_json(spark, d):
     return O.as_json(views.table(spark, d, "nation").select("n_nationkey", "n_name"))
