@@ -134,3 +134,5 @@ MAPPED_FIELD = r"^\s*([\p{L}\p{N}_]+):\s*Mapped\[([^\]]+)\]\s*=\s*mapped_column\
 TYPED_FIELD = r"^\s+([\p{L}\p{N}_]+):\s*([\w\[\], |]+?)(?:\s*=|\s*$)"
 NOT_FIELDS = r"^(_|model_)|^[A-Z_0-9]+$|^tablename$|^table_args$"
 SETTING = r"(?m)^([A-Z][A-Z_0-9]+)\s*[:=]\s*(.+)$"
+SETTINGS_CLASS = r"(?s)class\s+Settings\s*\([^\n]*\n(.*)"
+SETTINGS_FIELD = r"^([\p{L}\p{N}_]+):\s*[\p{L}\p{N}_]+.*?=\s*(.+)$"

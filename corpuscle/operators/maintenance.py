@@ -54,6 +54,11 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str = "file_path", value:
     return o.join(n, key, "full").select(key, status.alias("status"))
 
 
+def reconcile_counts(diff: DataFrame) -> DataFrame:
+    """One row: how many keys of a ``snapshot_diff`` were added, updated, removed and left unchanged."""
+    return diff.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("added", "updated", "removed", "unchanged")])
+
+
 def changed_files(files: DataFrame, known: DataFrame) -> DataFrame:
     """Files whose (repository, path, hash) is not indexed yet; only these need chunking."""
     key = [*scope(files), "file_path", "file_hash"]

@@ -194,6 +194,14 @@ def snapshot_diff(spark, d):
     return M.snapshot_diff(*versions(spark, d))
 
 
+COUNTED = ", ".join(f"count(*) FILTER (WHERE {c}) AS {n}" for n, c in {"added": "o.file_path IS NULL", "updated": "o.file_hash <> n.file_hash", "removed": "n.file_path IS NULL", "unchanged": "o.file_hash = n.file_hash"}.items())
+
+
+@query(f"SELECT {COUNTED} FROM ({OLD}) o FULL JOIN ({NEW}) n ON o.file_path = n.file_path")
+def reconcile_counts(spark, d):
+    return M.reconcile_counts(M.snapshot_diff(*versions(spark, d)))
+
+
 @query(f"SELECT file_path FROM ({OLD}) EXCEPT SELECT file_path FROM ({NEW})")
 def path_set_diff(spark, d):
     old, new = versions(spark, d)

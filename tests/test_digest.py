@@ -39,3 +39,33 @@ def test_sections(spark):
 def test_no_files(spark):
     none = spark.createDataFrame([], "repo_id string, file_path string, language string, content string")
     assert [k for k in sections(spark, none) if k[0] == "module"] == []
+
+
+CONFIG = '''import os
+
+class Settings(BaseSettings):
+    """All settings."""
+    name: str = "shop",
+    _hidden: int = 1
+    _OPEN: int = 2
+    key: Optional[str] = None
+    plain: int
+    long: str = "''' + "x" * 60 + '''"
+
+    def load(self):
+        late: int = 3
+
+LIMIT = 10
+KIND = Type[int]
+'''
+
+
+def test_settings_class(spark):
+    """Fields of the class before its first method come before constants; underscored names only in capitals; ten in all."""
+    rows = [("r", "a.py", "python", CONFIG), ("r", "b.py", "python", "".join(f"A{i:02d} = {i}\n" for i in range(12))), ("r", "c.py", "python", None), ("r", "d.py", "python", "class Settings():")]
+    files = spark.createDataFrame(rows, "repo_id string, file_path string, language string, content string")
+    got = {}
+    for r in outline.config_values(files).orderBy("file_path", "pos").collect():
+        got.setdefault(r.file_path, []).append(r.setting)
+    assert got["a.py"] == ['name="shop"', "_OPEN=2", "key=None", 'long="' + "x" * 39 + "...", "LIMIT=10"]
+    assert got["b.py"] == [f"A{i:02d}={i}" for i in range(10)] and set(got) == {"a.py", "b.py"}
