@@ -46,8 +46,9 @@ def _holders(needles: DataFrame, hays: DataFrame) -> DataFrame:
     often = keyed.groupBy("g").agg(F.count(F.lit(1)).alias("c"))
     of_needle = needles.select("__n", F.inline(_runs(F.col("__n"), size))).join(often, "g", "left")
     best = of_needle.groupBy("__n").agg(F.min(F.when(F.col("c").isNotNull(), F.struct("c", "g", "p"))).alias("m"), F.bool_and(F.col("c").isNotNull()).alias("all_known"))
-    shapes = cut(best.where("all_known").select("m.g", F.col("m.p").alias("o"), F.length("__n").alias("len")).distinct(), "shapes")
-    around = salted_join(keyed, shapes, ["g"]).where("p >= o")
+    shapes = cut(best.where("all_known").select("m.c", "m.g", F.col("m.p").alias("o"), F.length("__n").alias("len")).distinct(), "shapes")
+    counts = shapes.groupBy("g").agg(F.max("c").alias("__l"), F.count(F.lit(1)).alias("__r"))
+    around = salted_join(keyed, shapes.drop("c"), ["g"], counts=counts).where("p >= o")
     return around.select("__h", F.substr("__l", F.col("p") - F.col("o") + 1, F.col("len")).alias("__n")).distinct()
 
 

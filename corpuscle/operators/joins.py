@@ -11,23 +11,25 @@ from corpuscle.sources.scratch import cut
 CELL = 1 << 16
 
 
-def hot_keys(left: DataFrame, right: DataFrame, key: list[str], most: int) -> DataFrame:
-    """(key, __rows, __cols): keys of more than ``most`` rows on a side that both sides have, and into how many parts each side goes."""
+def key_counts(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
+    """(key, __l, __r): the rows of each side, of keys that both sides have."""
     count = lambda df, name: df.groupBy(*key).agg(F.count(F.lit(1)).alias(name))
-    both = count(left, "__l").join(count(right, "__r"), key).where((F.col("__l") > most) | (F.col("__r") > most))
-    return both.select(*key, F.ceil(F.col("__l") / most).cast("int").alias("__rows"), F.ceil(F.col("__r") / most).cast("int").alias("__cols"))
+    return count(left, "__l").join(count(right, "__r"), key)
 
 
-def dealt(left: DataFrame, right: DataFrame, key: list[str], most: int | None = None) -> tuple[DataFrame, DataFrame]:
+def dealt(left: DataFrame, right: DataFrame, key: list[str], most: int | None = None, counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Both sides with a cell (__i, __j) of their key: a row of left meets a row of right in just one cell.
 
     A key with n rows in left and m in right has ceil(n / most) times ceil(m / most)
     cells; each row is copied along its own row or column of them.  Only hot keys are
     copied.  A row's place is a hash of all its columns, so equal rows share a place:
-    callers with very many equal rows count them first.
+    callers with very many equal rows count them first.  ``counts``: the ``key_counts``,
+    where the caller knows them.
     """
     most = CELL if most is None else most
-    hot = cut(hot_keys(left, right, key, most), "hot")
+    counts = key_counts(left, right, key) if counts is None else counts
+    parts = lambda n: F.ceil(F.col(n) / most).cast("int")
+    hot = cut(counts.where((F.col("__l") > most) | (F.col("__r") > most)).select(*key, parts("__l").alias("__rows"), parts("__r").alias("__cols")), "hot")
     if hot.isEmpty():
         one = F.lit(0)
         return left.withColumns({"__i": one, "__j": one}), right.withColumns({"__i": one, "__j": one})
@@ -41,7 +43,7 @@ def dealt(left: DataFrame, right: DataFrame, key: list[str], most: int | None =
     return a.drop("__rows", "__cols"), b.drop("__rows", "__cols")
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: list[str], most: int | None = None) -> DataFrame:
-    """The inner join by ``key``, with hot keys split on both sides; null keys meet nothing.  Both sides are read twice."""
-    a, b = dealt(left, right, key, most)
+def salted_join(left: DataFrame, right: DataFrame, key: list[str], most: int | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """The inner join by ``key``, with hot keys split on both sides; null keys meet nothing.  Without ``counts``, both sides are read twice."""
+    a, b = dealt(left, right, key, most, counts)
     return a.join(b, [*key, "__i", "__j"]).drop("__i", "__j")
