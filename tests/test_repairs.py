@@ -114,3 +114,25 @@ def test_files_reach_their_chunkers(spark):
     assert got["s/c.py", "code_whole"] == [("c.py", "s/c.py | About. | Defines: f")]
     assert sorted(x for x, _ in got["s/long.py", "code_symbols"]) == ["Two", "imports", "one", "run"]
     assert len(got["s/bad.py", "code_blocks"]) == 2 and len(got["s/long.go", "code_blocks"]) == 2 and len(got) == 6
+
+
+def test_first_lines_keep_their_digits_and_lose_all_spaces(spark):
+    lines = ["0 items of 40", "\n  \n  ##  Part 10  \nx", "　", None]
+    rows = [(f"d/{i}.txt", x, "text") for i, x in enumerate(lines)]
+    files = spark.createDataFrame(rows, "file_path string, content string, language string")
+    want = {"d/0.txt": "0 items of 40", "d/1.txt": "Part 10", "d/2.txt": ""}
+    assert {r.file_path: r.summary for r in chunking.whole(files).collect()} == want
+    assert {r.file_path: r.summary for r in chunking.chunk_files(files).where("strategy = 'doc_whole'").collect()} == want
+
+
+def test_signatures_keep_their_digits(spark):
+    files = spark.createDataFrame([("r", "a.py", "python", "def f(\n    b,\n    c=10\n) -> A0:\n    pass\n1")], "repo_id string, file_path string, language string, content string")
+    assert [(r.params, r.return_type) for r in extract.python_nodes(files).collect()] == [("b, c", "A0")]
+    files = spark.createDataFrame([("r", "a.py", "python", "def f(a0,\n1b1,\n  c): pass")], "repo_id string, file_path string, language string, content string")
+    assert [r.params for r in extract.python_nodes(files).collect()] == ["a0, 1b1, c"]
+
+
+def test_segments_keep_their_digits(spark):
+    from corpuscle.operators import contracts
+
+    assert spark.createDataFrame([("/0items0/1a1",)], "u string").select(contracts.segments(F.col("u")).alias("s")).first().s == ["0items0", "1a1"]
