@@ -221,7 +221,8 @@ def replace_per_file(spark, d):
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) AS r FROM lineitem) WHERE r = 1")
 def keep_last(spark, d):
-    rows = D.keep_last(T(spark, d, "lineitem"), ["l_orderkey"], F.desc("l_linenumber"))
+    rows = views.placed(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "__file", "__at")
+    rows = D.keep_last(rows, ["l_orderkey"], F.desc("l_linenumber"), "__file", "__at")  # of equal lines, the first in the table
     return rows.select("l_orderkey", "l_linenumber", "l_partkey")
 
 

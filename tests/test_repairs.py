@@ -136,3 +136,20 @@ def test_segments_keep_their_digits(spark):
     from corpuscle.operators import contracts
 
     assert spark.createDataFrame([("/0items0/1a1",)], "u string").select(contracts.segments(F.col("u")).alias("s")).first().s == ["0items0", "1a1"]
+
+
+def test_of_equal_lines_the_first_in_the_table_stays(spark, tmp_path):
+    from corpuscle.plans.catalog import QUERIES
+
+    rows = spark.range(0, 40000, 1, 1).selectExpr("id % 100 AS l_orderkey", "cast(least(id DIV 100, 7) AS int) AS l_linenumber", "id AS l_partkey")
+    for part in range(2):
+        rows.where(f"l_partkey DIV 20000 = {part}").sort(F.expr(f"xxhash64(l_partkey + {part})")).coalesce(1).write.parquet(str(tmp_path / f"p{part}"))
+    (tmp_path / "lineitem.parquet").mkdir()
+    want = {}
+    for part in range(2):
+        file = next((tmp_path / f"p{part}").glob("*.parquet")).rename(tmp_path / "lineitem.parquet" / f"{'ba'[part]}.parquet")
+        for r in spark.read.parquet(str(file)).collect():
+            if r.l_linenumber == 7 and (r.l_orderkey not in want or want[r.l_orderkey][0] > file.name):
+                want[r.l_orderkey] = (file.name, r.l_partkey)
+    got = {r.l_orderkey: r.l_partkey for r in QUERIES["keep_last"](spark, str(tmp_path)).collect()}
+    assert got == {k: v for k, (_, v) in want.items()}
