@@ -29,7 +29,7 @@ from pyspark.sql.streaming import StreamingQuery
 from corpuscle.sources.scratch import hadoop
 
 from . import search
-from .index import BUCKETS, KEY, POSTINGS, Index, meta_rows, posting_rows, write_postings, write_texts
+from .index import BUCKETS, KEY, POSTINGS, Index, meta_rows, posting_lists, relisted, write_postings, write_texts
 
 FAN = 4
 TABLES = ["meta", "texts", "postings", "marks"]
@@ -124,7 +124,7 @@ class SegmentIndex(Index):
         write_texts(put, path["texts"])
         meta_rows(put).write.parquet(path["meta"])
         marks.write.parquet(path["marks"])
-        write_postings(posting_rows(put), path["postings"], buckets)
+        write_postings(posting_lists(put, buckets), path["postings"])
         return sum(self.spark.read.parquet(path[name]).count() for name in ("meta", "marks"))
 
     def compact(self, fan: int = FAN) -> int:
@@ -148,7 +148,7 @@ class SegmentIndex(Index):
             store.delete(at, True)
         for name in ("meta", "texts"):
             self.living(name, some).write.parquet(path[name])
-        write_postings(self.living("postings", some).drop("bucket"), path["postings"], state["buckets"])
+        write_postings(relisted(self.living("postings", some)), path["postings"])
         marks = self.parts("marks", some).select(*KEY).distinct()
         (marks if first else marks.limit(0)).write.parquet(path["marks"])
         rows = sum(self.spark.read.parquet(path[name]).count() for name in ("meta", "marks"))

@@ -99,3 +99,16 @@ def test_impact_report_by_brute_force(spark):
     assert got == sorted(want)[:25] and len(got) >= 4 and any(r[3] for r in got) and max(r[4] for r in got) == 2
     level = lambda risk: "critical" if risk > 0.7 else "high" if risk > 0.5 else "medium" if risk > 0.3 else "low"
     assert all(r.level == level(r.risk) for r in graph.impact_report(e, n, "app/core/token.py").collect())
+
+
+def test_postings_of_a_chunk_are_few_rows(spark, tmp_path):
+    from corpuscle.operators.index import KEY, posting_lists, write_postings
+
+    rows = [("r", "1", "a", "code", "s1", "été a b a " * 50 + " ".join(f"w{i}" for i in range(500)), "a", 0.0), ("r", "2", None, "code", None, None, None, 0.0), ("r", "3", "x", "code", None, "", None, 0.0)]
+    lists = posting_lists(spark.createDataFrame(rows, CHUNKS), 4)
+    assert lists.groupBy(*KEY).count().where("count > 4").isEmpty()
+    write_postings(lists, str(tmp_path / "p"))
+    got = {(r.chunk_id, r.term): (r.n, r.f, list(r.positions)) for r in spark.read.parquet(str(tmp_path / "p")).collect()}
+    a = sorted([i * 4 + j for i in range(50) for j in (1, 3)])
+    assert got["1", "a"] == (102, 103.5, [*a, 1 << 32, 3 << 32])
+    assert got["1", "w499"] == (1, 1.0, [699]) and got["3", "x"][0] == 1 and len(got) == 505
