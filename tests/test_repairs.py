@@ -153,3 +153,13 @@ def test_of_equal_lines_the_first_in_the_table_stays(spark, tmp_path):
                 want[r.l_orderkey] = (file.name, r.l_partkey)
     got = {r.l_orderkey: r.l_partkey for r in QUERIES["keep_last"](spark, str(tmp_path)).collect()}
     assert got == {k: v for k, (_, v) in want.items()}
+
+
+def test_source_files_are_spread_over_tasks(spark, tmp_path):
+    from corpuscle.sources import views
+
+    rows = spark.range(0, 10000, 1, 1).selectExpr("id AS p_partkey", "'a b' AS p_name", "'Brand#1' AS p_brand", "'LARGE' AS p_type", "cast(id % 50 AS int) AS p_size", "1.0D AS p_retailprice")
+    rows.write.parquet(str(tmp_path / "part.parquet"))
+    spread = views.spread_code(spark, str(tmp_path))
+    assert spread.rdd.getNumPartitions() == 3
+    assert spread.exceptAll(views.code(spark, str(tmp_path))).isEmpty() and spread.count() == 10000
