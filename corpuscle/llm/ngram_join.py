@@ -17,14 +17,14 @@ Two documents link if ``100 * |x & y| >= PERCENT * |x | y|``.
    smallest by hash.  Overlap counts are summed over blocks; pairs whose count is
    below the bound that the two sizes imply wait.  The others are compared exactly
    and give the first components: a group of n near copies costs O(n) comparisons.
-4. Blocks that still hold several components are multiplied out across components,
-   and overlap counts are summed over blocks again.  With o = ceil(t / (1 + t) (|x| +
-   |y|)), linked sets share o - ceil(t max(|x|, |y|)) + 1 kept entries or more, one of
-   which has the place |x| - o or less in x and |y| - o or less in y.  A product whose
-   entries before and after it leave too small a count is discarded, and so is a pair
-   whose count is too small or whose products are all at later places; the pairs that
-   remain are compared exactly.  So no link between components is lost, and none
-   inside them is needed.
+4. Blocks that still hold several components are multiplied out across components.
+   With o = ceil(t / (1 + t) (|x| + |y|)), linked sets share c = o - ceil(t max(|x|,
+   |y|)) + 1 kept entries or more.  The first of these in the order has the place |x| -
+   o or less in x and |y| - o or less in y, and c - 1 shared entries or more after it
+   in both.  Only such products are made: in a group of near copies most shared entries
+   come too late for one of the two.  Overlaps of the pairs that they give are counted
+   over all of their entries; those that reach c are compared exactly.  So no link
+   between components is lost, and none inside them is needed.
 
 Bounds hold for any order of the shingles, so the sketch never changes a result.
 A block of up to ``HOT`` rows is one task's; the counters bound every block.  Larger
@@ -328,17 +328,24 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"), *["text_key"] * with_key).withColumnRenamed("doc_id", id_col)
 
 
-def across_components(mixed: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of nodes of two components whose summed overlap count reaches the bound of their sizes."""
+def first_in_common(mixed: DataFrame, percent: int) -> DataFrame:
+    """(a, b, bound, s): the shared entries of two components' nodes that can be the first of ``bound`` shared ones, of nodes that may link."""
     x, y = mixed.alias("x"), mixed.alias("y")
-    overlap = least_overlap(F.col("x.n"), F.col("y.n"), percent)
-    early = (F.col("x.place") <= F.col("x.n") - overlap) & (F.col("y.place") <= F.col("y.n") - overlap)
+    overlap, bound = (least(F.col("x.n"), F.col("y.n"), percent) for least in (least_overlap, least_count))
+    first = lambda r: (F.col(f"{r}.place") <= F.col(f"{r}.n") - overlap) & (F.col(f"{r}.rank") <= F.col(f"{r}.shared") - bound + 1)
     most = F.least("x.rank", "y.rank") + F.least(F.col("x.shared") - F.col("x.rank"), F.col("y.shared") - F.col("y.rank"))
-    fit = sizes_fit(F.col("x.n"), F.col("y.n"), percent) & (most >= least_count(F.col("x.n"), F.col("y.n"), percent))
+    fit = sizes_fit(F.col("x.n"), F.col("y.n"), percent) & (most >= bound) & first("x") & first("y")
     products = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.k") < F.col("y.k")) & (F.col("x.c") != F.col("y.c")) & fit)
-    products = products.select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), least_count(F.col("x.n"), F.col("y.n"), percent).alias("bound"), early.alias("early"))
-    counted = products.groupBy("a", "b", "bound").agg(F.count(F.lit(1)).alias("c"), F.max("early").alias("early"))
-    return counted.where("early AND c >= bound").select("a", "b")
+    return products.select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), bound.alias("bound"), F.col("x.s").alias("s"))
+
+
+def across_components(mixed: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of nodes of two components whose overlap count reaches the bound of their sizes."""
+    met = first_in_common(mixed, percent).select("a", "b", "bound").distinct()
+    entries = mixed.groupBy("k").agg(F.collect_list("s").alias("kept"))
+    pairs = met.join(entries.select(F.col("k").alias("a"), F.col("kept").alias("x")), "a")
+    pairs = pairs.join(entries.select(F.col("k").alias("b"), F.col("kept").alias("y")), "b")
+    return pairs.where(F.size(F.array_intersect("x", "y")) >= F.col("bound")).select("a", "b")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

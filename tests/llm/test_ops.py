@@ -339,6 +339,15 @@ def test_near_groups_edges(spark, edge, empty):
     assert kept.columns == edge.columns and kept.where("doc_id = 2").count() == 0 and kept.where("doc_id IN (3, 4, 5)").count() == 3
 
 
+def test_products_of_near_copies_grow_with_their_number(spark):
+    """Twins share 17 of 30 entries, others 13, one less than the bound: only the first entries of twins are multiplied."""
+    for size in (20, 40):
+        rows = [(i // 2 * 100 + j if j < 17 else -j, i, 146, j, j - 12, 17, i) for i in range(size) for j in range(13, 30)]
+        mixed = spark.createDataFrame(rows, "s long, k long, n long, place long, rank long, shared long, c long")
+        assert ngram_join.first_in_common(mixed, 80).count() == size // 2 * 4
+        assert sorted(map(tuple, ngram_join.across_components(mixed, 80).collect())) == [(i, i + 1) for i in range(0, size, 2)]
+
+
 def test_bounds_never_lose_a_link(spark):
     rows = [(x, y) for x in range(1, 60) for y in range(1, 60)]
     df = spark.createDataFrame(rows, "x long, y long")
