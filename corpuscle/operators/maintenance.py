@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuscle.functions import fixed, text
+from corpuscle.operators.joins import paired
 
 
 def walk(spark: SparkSession, root: str) -> DataFrame:
@@ -204,8 +205,16 @@ def resolve_context(asked: DataFrame, repos: DataFrame, workspaces: DataFrame) -
     return out.select("path", "repo_id", "workspace", status.alias("status"))
 
 
-def related_repos(repos: DataFrame) -> DataFrame:
-    """Pairs of repositories with the same parent folder or organisation."""
-    r = repos.select("repo_id", F.regexp_replace("local_path", "/[^/]*$", "").alias("parent"), organisation(F.col("remote")).alias("org"))
-    pair = lambda key: r.select(F.col("repo_id").alias("a"), key).where(F.col(key) != "").join(r.select(F.col("repo_id").alias("b"), key), key).where("a < b").select("a", "b")
-    return pair("parent").unionByName(pair("org")).distinct()
+def related_repos(repos: DataFrame, most: int | None = None) -> DataFrame:
+    """Pairs of repositories with the same parent folder or organisation, each where its least common key is.
+
+    The result grows with the square of an organisation; ``most`` rows of one meet in a task.
+    """
+    key = lambda kind, value: F.when(value != "", F.concat(F.lit(kind), value))
+    r = repos.where("repo_id IS NOT NULL").select("repo_id", F.explode(F.array(key("0", organisation(F.col("remote"))), key("1", F.regexp_replace("local_path", "/[^/]*$", "")))).alias("key"))
+    r = r.where("key IS NOT NULL").groupBy("repo_id").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    r = r.select("repo_id", "keys", F.posexplode("keys").alias("at", "key"))
+    met = paired(r, "key", "repo_id", most)
+    # the least key of either is the least in common
+    least = (F.col("x.at") == 0) | (F.col("y.at") == 0) | (F.element_at(F.array_intersect("x.keys", "y.keys"), 1) == F.col("x.key"))
+    return met.where(least).select(F.least("x.repo_id", "y.repo_id").alias("a"), F.greatest("x.repo_id", "y.repo_id").alias("b"))

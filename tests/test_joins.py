@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from corpuscle.operators import graph, joins
+from corpuscle.operators import graph, joins, maintenance
 
 
 @pytest.fixture
@@ -63,3 +63,21 @@ def test_overlap_of_a_hot_element(spark, monkeypatch, most):
     common = lambda x, y: len((set(x or []) & set(y or [])) - {None})
     want = Counter((i, u, common(x, y)) for (i, x), (u, y) in itertools.product(left, right) if common(x, y))
     assert Counter((r.id, r.u, r.common) for r in graph.overlap_join(a, b, "k").collect()) == want
+
+
+@pytest.mark.parametrize("most", [None, 3])
+def test_related_repos_meet_once_in_cells(spark, most):
+    """Every pair comes once, whatever keys it shares and however often an id occurs; a large organisation is spread over tasks."""
+    rows = [(i, f"https://host/org{i % 2}/r{i}", f"/p{i % 3}/r{i}") for i in range(40)]
+    rows += [(3, "git@host:org0/x.git", "/p9/x"), (5, "git@host:org0/y.git", "/p9/y"), (5, "git@host:org0/y.git", "/p9/y"), (50, None, None), (51, "", "/r"), (52, "alone", "/r"), (None, "git@host:org0/z.git", "/p0/z"), (53, "https://host/0/a", "/1/a"), (54, "https://host/1/a", "/0/a")]
+    keys = {}
+    for i, remote, path in rows:
+        parts = (remote or "").split("/")
+        org = remote.split(":")[1].split("/")[0] if (remote or "").startswith("git@") else parts[-2] if len(parts) > 1 else ""
+        keys.setdefault(i, set()).update({("org", org), ("parent", (path or "").rsplit("/", 1)[0])} - {("org", ""), ("parent", "")})
+    expected = sorted((a, b) for a in keys for b in keys if a is not None and b is not None and a < b and keys[a] & keys[b])
+    got = maintenance.related_repos(spark.createDataFrame(rows, "repo_id long, remote string, local_path string"), most)
+    assert sorted(map(tuple, got.collect())) == expected
+    if most:
+        made = got.where("a < 40 AND b < 40 AND a % 2 = 1 AND b % 2 = 1").groupBy(F.spark_partition_id()).count().collect()
+        assert len(made) > 2 and max(r["count"] for r in made) < sum(r["count"] for r in made) / 2
