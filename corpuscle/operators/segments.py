@@ -9,7 +9,7 @@ last batch of each stream: a batch that comes again is skipped, and files of a b
 that died before its version are written over.
 
 Chunks whose fields have not changed are left out of a batch, so a write is as large as
-the change.  ``compact`` merges ``fan`` neighbours of about one size, as rows that live
+the change.  A segment none of whose rows lives is not read.  ``compact`` merges ``fan`` neighbours of about one size, as rows that live
 among them; marks stay for as long as there is an older segment.  So segments number
 some ``fan`` times the logarithm of the table, and a chunk is written again as often.
 
@@ -22,16 +22,16 @@ from __future__ import annotations
 import json
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from corpuscle.sources.scratch import hadoop
+from corpuscle.sources.scratch import cut, hadoop
 
 from . import search
-from .index import BUCKETS, KEY, POSTINGS, Index, meta_rows, posting_lists, relisted, write_postings, write_texts
+from .index import BUCKETS, KEY, POSTINGS, Index, digest, meta_rows, posting_lists, relisted, write_postings, write_texts
 
-FAN = 4
+FAN, FEW_MARKS = 4, 1 << 20  # marks that are broadcast
 TABLES = ["meta", "texts", "postings", "marks"]
 
 
@@ -45,7 +45,7 @@ class SegmentIndex(Index):
     # the log
 
     def state(self) -> dict:
-        """The newest version: its number, buckets, segments from old to new (id, rows) and the last batch of each stream."""
+        """The newest version: its number, buckets, segments from old to new (id, rows, marks, and how many rows live) and the last batch of each stream."""
         at, store = hadoop(self.spark, f"{self.folder}/log")
         names = sorted(f.getPath().getName() for f in store.listStatus(at)) if store.exists(at) else []
         if not names:
@@ -66,22 +66,34 @@ class SegmentIndex(Index):
 
     # reading
 
-    def parts(self, name: str, segments: list[dict]) -> DataFrame:
-        """The rows of a table in some segments, with the place of their segment."""
+    def parts(self, name: str, segments: list[dict], some: list[int] | None = None) -> DataFrame:
+        """The rows of a table in the segments, or at some of their places, with the place of their segment."""
         read = self.spark.read.option("basePath", f"{self.folder}/{name}")
         if name == "postings":
             read = read.schema(f"{POSTINGS}, segment int")
         rank = F.create_map(*[F.lit(x) for i, s in enumerate(segments) for x in (s["id"], i)])
-        rows = read.parquet(*[f"{self.folder}/{name}/segment={s['id']}" for s in segments])
+        rows = read.parquet(*[f"{self.folder}/{name}/segment={segments[i]['id']}" for i in (range(len(segments)) if some is None else some)])
         return rows.withColumn("__rank", rank[F.col("segment")]).drop("segment")
 
+    def ranked(self, name: str, segments: list[dict]) -> DataFrame:
+        """The rows of a table that no later segment marks, with the place of their segment."""
+        full = [i for i, s in enumerate(segments) if s["live"]] or [len(segments) - 1]
+        rows = self.parts(name, segments, full)
+        later = [i for i in range(full[0] + 1, len(segments)) if segments[i]["marks"]]
+        if later:
+            last = self.parts("marks", segments, later).groupBy(*KEY).agg(F.max("__rank").alias("__last"))
+            last = F.broadcast(last) if sum(segments[i]["marks"] for i in later) <= FEW_MARKS else last
+            rows = rows.join(last, KEY, "left").where(F.col("__last").isNull() | (F.col("__rank") >= F.col("__last"))).drop("__last")
+        return rows
+
     def living(self, name: str, segments: list[dict]) -> DataFrame:
         """The rows of a table that no later segment marks."""
-        rows = self.parts(name, segments)
-        if len(segments) > 1:
-            last = self.parts("marks", segments).groupBy(*KEY).agg(F.max("__rank").alias("__last"))
-            rows = rows.join(last, KEY, "left").where(F.col("__last").isNull() | (F.col("__rank") >= F.col("__last"))).drop("__last")
-        return rows.drop("__rank")
+        return self.ranked(name, segments).drop("__rank")
+
+    def counted(self, segments: list[dict]) -> list[dict]:
+        """The segments with the number of their rows that live."""
+        lives = {r["__rank"]: r["count"] for r in self.ranked("meta", segments).groupBy("__rank").count().collect()} if segments else {}
+        return [s | {"live": lives.get(i, 0)} for i, s in enumerate(segments)]
 
     def table(self, name: str) -> DataFrame:
         if name == "stats":
@@ -95,28 +107,44 @@ class SegmentIndex(Index):
         state = self.state()
         if batch is not None and batch <= state["batches"].get(stream, -1):
             return False
-        order = Window.partitionBy(*KEY).orderBy(F.desc("seq"), F.desc("change"))
-        last = changes.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n", "seq")
-        put = last.where("change = 'put'").drop("change")
-        marks = last.select(*KEY)
+        fields = [c for c in changes.columns if c not in ("change", "seq")]
+        asked = changes.select(*KEY, "change", "seq", digest(fields).alias("digest"))
+        last = asked.groupBy(*KEY).agg(F.max(F.struct("seq", "change", "digest")).alias("m"), F.count(F.lit(1)).alias("n")).select(*KEY, "m.*", "n")
         if state["segments"]:
-            known = self.living("meta", state["segments"]).select(*KEY, "digest")
-            same = meta_rows(put).join(known, [*KEY, "digest"], "left_semi").select(*KEY)
-            held = known.select(*KEY)
-            put = put.join(same, KEY, "left_anti")
-            # what is new needs no mark, nor what stays as it is
-            marks = marks.join(held, KEY, "left_semi").join(same, KEY, "left_anti")
+            known = self.living("meta", state["segments"]).select(*KEY, F.col("digest").alias("old"))
+            last = last.join(known, KEY, "left")
         else:
-            marks = marks.limit(0)
-        rows = self.write(state["next"], put, marks, state["buckets"])
+            last = last.withColumn("old", F.lit(None).cast("string"))
+        # what is new needs no mark, nor what stays as it is
+        same = (F.col("change") == "put") & F.col("old").eqNullSafe(F.col("digest"))
+        todo = cut(last.withColumns({"puts": (F.col("change") == "put") & ~same, "mark": F.col("old").isNotNull() & ~same}), "todo")
+        read, puts, marks = todo.agg(F.sum("n"), F.count_if("puts"), F.count_if("mark")).first()
         after = dict(state, next=state["next"] + 1, batches=state["batches"] | ({stream: batch} if batch is not None else {}))
-        if rows:
-            after["segments"] = [*state["segments"], {"id": state["next"], "rows": rows}]
+        if puts or marks:
+            put = changes if puts == read else self.chosen(changes, todo.where("puts"), fields)
+            put = cut(put.select(*fields).repartition(*KEY), "put")  # over tasks however the batch came: all else is made of it
+            self.write(state["next"], put, todo.where("mark").select(*KEY), state["buckets"])
+            self.drop(put)
+            after["segments"] = self.counted([*state["segments"], {"id": state["next"], "rows": puts + marks, "marks": marks, "live": puts}])
+        self.drop(todo)
         self.commit(after, state["version"] + 1)
         return True
 
-    def write(self, segment: int, put: DataFrame, marks: DataFrame, buckets: int) -> int:
-        """The tables of a segment; how many chunks and marks they hold."""
+    def chosen(self, changes: DataFrame, puts: DataFrame, fields: list[str]) -> DataFrame:
+        """The rows of a batch that are to be written, each once."""
+        these = puts.select(*KEY, *[F.col(c).alias(f"__{c}") for c in ("seq", "change", "digest")])
+        rows = changes.withColumn("__d", digest(fields)).join(these, KEY)
+        rows = rows.where(F.col("seq").eqNullSafe(F.col("__seq")) & (F.col("change") == F.col("__change")) & (F.col("__d") == F.col("__digest")))
+        return rows.dropDuplicates(KEY)
+
+    def drop(self, rows: DataFrame) -> None:
+        """Deletes a table that ``cut`` wrote."""
+        for file in rows.inputFiles():
+            at, store = hadoop(self.spark, file)
+            store.delete(at, False)
+
+    def write(self, segment: int, put: DataFrame, marks: DataFrame, buckets: int) -> None:
+        """The tables of a segment."""
         for name in TABLES:  # what a writer left that died before its version
             at, store = hadoop(self.spark, f"{self.folder}/{name}/segment={segment}")
             store.delete(at, True)
@@ -125,7 +153,6 @@ class SegmentIndex(Index):
         meta_rows(put).write.parquet(path["meta"])
         marks.write.parquet(path["marks"])
         write_postings(posting_lists(put, buckets), path["postings"])
-        return sum(self.spark.read.parquet(path[name]).count() for name in ("meta", "marks"))
 
     def compact(self, fan: int = FAN) -> int:
         """Merges neighbours of about one size until none are left; how many merges there were."""
@@ -151,9 +178,9 @@ class SegmentIndex(Index):
         write_postings(relisted(self.living("postings", some)), path["postings"])
         marks = self.parts("marks", some).select(*KEY).distinct()
         (marks if first else marks.limit(0)).write.parquet(path["marks"])
-        rows = sum(self.spark.read.parquet(path[name]).count() for name in ("meta", "marks"))
-        segments = [*state["segments"][:first], {"id": new, "rows": rows}, *state["segments"][end:]]
-        self.commit(state | {"segments": segments, "next": new + 1}, state["version"] + 1)
+        live, marks = (self.spark.read.parquet(path[name]).count() for name in ("meta", "marks"))
+        segments = [*state["segments"][:first], {"id": new, "rows": live + marks, "marks": marks, "live": live}, *state["segments"][end:]]
+        self.commit(state | {"segments": self.counted(segments), "next": new + 1}, state["version"] + 1)
 
     def vacuum(self) -> None:
         """Deletes the tables of segments that the newest version doesn't name; for when no reader uses an older one."""

@@ -150,3 +150,44 @@ def test_near_equals_brute_force(spark, tmp_path, phrases, most):
         weigh = (1.0, 2.0, 3.0, 1.5)
         want = {k: sum(w * sum(ws[i : i + len(long[0])] == long[0] for i in range(len(ws))) for w, ws in zip(weigh, fields)) for k, fields in texts.items()}
         assert {(x.repo_id, x.chunk_id): x.f0 for x in found.where("f0 > 0").collect()} == {k: v for k, v in want.items() if v}
+
+
+def test_the_same_again_writes_nothing_whatever_the_columns_order(spark, tmp_path):
+    """A batch that comes after others, with columns in another order than the index keeps: unchanged chunks stay out."""
+    r = random.Random(9)
+    index, rows = SegmentIndex(spark, str(tmp_path / "s")), [chunk(r, i) for i in range(30)]
+    order = ["symbol_name", "content", "chunk_id", "summary", "file_path", "repo_id", "chunk_type", "last_modified", "seq", "change"]
+    batch = lambda some: spark.createDataFrame([(*x, "put", 0) for x in some], CHANGE).select(*order)
+    index.apply(batch([chunk(r, i) for i in range(10)]), 0)
+    index.apply(batch(rows), 1)
+    assert [(s["rows"], s["marks"], s["live"]) for s in index.state()["segments"]] == [(10, 0, 0), (40, 10, 30)]
+    index.apply(batch(rows), 2)
+    index.apply(batch([*rows[:29], chunk(r, 29)]), 3)
+    assert [(s["rows"], s["live"]) for s in index.state()["segments"]] == [(10, 0), (40, 29), (2, 1)]
+    assert "segment=0" not in " ".join(index.table("postings").inputFiles())  # nothing of it lives
+    build_texts(index.table("texts").join(index.table("meta"), ["repo_id", "chunk_id"]).select(*rows_of(CHUNKS)), str(tmp_path / "w"))
+    assert places(index) == places(Index(spark, str(tmp_path / "w")))
+
+
+def rows_of(schema):
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 1 << 20])
+def test_lists_of_terms_by_hand(spark, monkeypatch, at_once):
+    from corpuscle.operators import index
+
+    r = random.Random(10)
+    monkeypatch.setattr(index, "AT_ONCE", at_once)
+    rows = [chunk(r, i) for i in range(20)] + [("r0", "none", *[None] * (len(CHUNKS.split(", ")) - 2))]
+    want, names = {}, rows_of(CHUNKS)
+    for x in rows:
+        for i, c in enumerate(("content", "summary", "symbol_name", "file_path")):
+            for p, t in enumerate(re.findall(r"[^\W_]+", (x[names.index(c)] or "").lower().replace("é", "e").replace("ï", "i"))):
+                want.setdefault((x[0], x[1], t), []).append(i * index.FIELD + p)
+    lists = index.posting_lists(spark.createDataFrame(rows, CHUNKS), 3)
+    assert lists.groupBy("repo_id", "chunk_id", "bucket").count().where("count > 1").isEmpty()
+    got = index.posting_rows(lists.select("repo_id", "chunk_id", "bucket", F.explode(F.split("lists", " ")).alias("list")))
+    weigh = (1.0, 2.0, 3.0, 1.5)
+    assert {(x.repo_id, x.chunk_id, x.term): (x.n, x.f, x.positions) for x in got.collect()} == {k: (len(v), sum(weigh[p // index.FIELD] for p in v), v) for k, v in want.items()}
+    assert got.where(F.col("bucket") != index.bucket_of(F.col("term"), 3)).isEmpty()
