@@ -29,7 +29,7 @@ from pyspark.sql.streaming import StreamingQuery
 from corpuscle.sources.scratch import cut, hadoop
 
 from . import search
-from .index import BUCKETS, KEY, POSTINGS, Index, digest, meta_rows, posting_lists, relisted, write_postings, write_texts
+from .index import BUCKETS, KEY, POSTINGS, Index, digest, in_order, meta_rows, posting_lists, relisted, write_postings
 
 FAN, FEW_MARKS = 4, 1 << 20  # marks that are broadcast
 TABLES = ["meta", "texts", "postings", "marks"]
@@ -122,7 +122,7 @@ class SegmentIndex(Index):
         after = dict(state, next=state["next"] + 1, batches=state["batches"] | ({stream: batch} if batch is not None else {}))
         if puts or marks:
             put = changes if puts == read else self.chosen(changes, todo.where("puts"), fields)
-            put = cut(put.select(*fields).repartition(*KEY), "put")  # over tasks however the batch came: all else is made of it
+            put = cut(in_order(put.select(*fields)), "put")  # over tasks however the batch came: all else is made of it
             self.write(state["next"], put, todo.where("mark").select(*KEY), state["buckets"])
             self.drop(put)
             after["segments"] = self.counted([*state["segments"], {"id": state["next"], "rows": puts + marks, "marks": marks, "live": puts}])
@@ -144,12 +144,12 @@ class SegmentIndex(Index):
             store.delete(at, False)
 
     def write(self, segment: int, put: DataFrame, marks: DataFrame, buckets: int) -> None:
-        """The tables of a segment."""
+        """The tables of a segment, from chunks in order."""
         for name in TABLES:  # what a writer left that died before its version
             at, store = hadoop(self.spark, f"{self.folder}/{name}/segment={segment}")
             store.delete(at, True)
         path = {name: f"{self.folder}/{name}/segment={segment}" for name in TABLES}
-        write_texts(put, path["texts"])
+        put.select(*KEY, "content").write.parquet(path["texts"])
         meta_rows(put).write.parquet(path["meta"])
         marks.write.parquet(path["marks"])
         write_postings(posting_lists(put, buckets), path["postings"])
